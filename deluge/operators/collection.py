@@ -82,3 +82,15 @@ def drop_fully_masked(df: DataFrame, bands: Sequence[str] = REQUIRED_BANDS) -> D
         c = F.col(b).isNotNull()
         cond = c if cond is None else (cond | c)
     return df.where(cond)
+
+
+def dropna_any(df: DataFrame) -> DataFrame:
+    """Drop rows with a NULL (or NaN) in any column; safe for names like '.geo'."""
+    cond = None
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        ok = c.isNotNull()
+        if f.dataType.typeName() in ("double", "float"):
+            ok = ok & ~F.isnan(c)
+        cond = ok if cond is None else (cond & ok)
+    return df if cond is None else df.where(cond)

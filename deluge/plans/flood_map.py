@@ -177,7 +177,7 @@ class FloodMap:
                  .select("row", "col", "ndwi_post", "mndwi_post", "awei_post", vv.cast("double").alias("VV"),
                          "elevation", "slope", "Map", F.col("seasonality").alias("jrc_seasonality")))
         joined = self.flood_final.join(bands, ["row", "col"], "inner")
-        return joined.dropna("any")
+        return C.dropna_any(joined)
 
     @cached_property
     def samples(self) -> DataFrame:

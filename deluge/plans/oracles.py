@@ -156,7 +156,119 @@ def flood_oracles() -> dict[str, str]:
     return q
 
 
+# ---- stage 3: predictions, zones, spatial join, report ------------------------------------------
+SFHA_SQL = "('A','AE','AH','AO','AR','A99','V','VE','VO')"
+
+
+def _zone_ctes() -> str:
+    geo = """case when k%97=5 then NULL when k%97=7 then '{oops' when k%97=11 then '' when k%97=13 then '5'
+       when k%97=17 then '{"type":"LineString","coordinates":[[' || c || ',' || r || '],[' || (c+1) || ',' || r || ']]}'
+       when k%50=3 then '{"type":"Polygon","coordinates":[[[' || (c-1) || ',' || (r-1) || '],[' || (c+1) || ',' || (r-1)
+            || '],[' || (c+1) || ',' || (r+1) || '],[' || (c-1) || ',' || (r+1) || '],[' || (c-1) || ',' || (r-1) || ']]]}'
+       when k%50=9 then '{''type'': ''Point'', ''coordinates'': [' || c || ', ' || r || ']}'
+       else '{"type":"Point","coordinates":[' || c || ',' || r || ']}' end"""
+    return f"""pred_src as (select p_partkey as k, cast((p_partkey-1)%40 as int) as c,
+                        cast(floor((p_partkey-1)/40) as int) as r from part),
+predictions as (select cast(k as varchar) as "system:index", ((k*7919)%1000)/cast(1000 as double) as flood_probability,
+                       cast(case when ((k*7919)%1000)/cast(1000 as double) >= 0.5 then 1 else 0 end as int) as flood_predicted,
+                       {geo} as ".geo" from pred_src),
+pj as (select *, case when trim(coalesce(".geo", '')) <> '' and json_valid(replace(trim(".geo"), '''', '"'))
+                      then replace(trim(".geo"), '''', '"') end as j from predictions),
+pt as (select *, json_extract_string(j, '$.type') as t0 from pj),
+parsed as (select *, case when t0 in ('Point', 'Polygon') then t0 end as gtype,
+       case when t0 = 'Point' then cast(json_extract(j, '$.coordinates[0]') as double)
+            when t0 = 'Polygon' then list_min(cast(json_extract(j, '$.coordinates[0][*][0]') as double[])) end as minx,
+       case when t0 = 'Point' then cast(json_extract(j, '$.coordinates[1]') as double)
+            when t0 = 'Polygon' then list_min(cast(json_extract(j, '$.coordinates[0][*][1]') as double[])) end as miny,
+       case when t0 = 'Point' then cast(json_extract(j, '$.coordinates[0]') as double)
+            when t0 = 'Polygon' then list_max(cast(json_extract(j, '$.coordinates[0][*][0]') as double[])) end as maxx,
+       case when t0 = 'Point' then cast(json_extract(j, '$.coordinates[1]') as double)
+            when t0 = 'Polygon' then list_max(cast(json_extract(j, '$.coordinates[0][*][1]') as double[])) end as maxy
+       from pt),
+gdf as (select * from parsed where gtype is not null),
+zones as (select s_suppkey as zone_id, case s_suppkey%6 when 0 then 'X' when 1 then 'AE' when 2 then 'A' when 3 then 'VE'
+                 when 4 then 'D' else 'AH' end as FLD_ZONE,
+                 cast((s_suppkey*7)%40 as double)-0.5 as zminx, cast((s_suppkey*7)%40 as double)+2.5 as zmaxx,
+                 cast((s_suppkey*3)%50 as double)-0.5 as zminy, cast((s_suppkey*3)%50 as double)+1.5 as zmaxy from supplier),
+sfha as (select * from zones where FLD_ZONE in {SFHA_SQL}),
+zsel as (select * from sfha union all select * from zones where not exists (select 1 from sfha)),
+flooded as (select * from gdf where flood_predicted = 1),
+outside as (select * from flooded f where not exists (select 1 from zsel z where f.minx <= z.zmaxx and f.maxx >= z.zminx
+                                                      and f.miny <= z.zmaxy and f.maxy >= z.zminy))"""
+
+
+def _zwith(body: str) -> str:
+    return f"WITH {_zone_ctes()}\n{body}"
+
+
+def _merc_x(c: str) -> str:
+    return f"6378137.0 * radians({c})"
+
+
+def _merc_y(c: str) -> str:
+    lat = f"greatest(least({c}, 85.0511287798066), -85.0511287798066)"
+    return f"6378137.0 * ln(tan(pi() / 4 + radians({lat}) / 2))"
+
+
+def zone_oracles() -> dict[str, str]:
+    q = {}
+    q["parse_geometry"] = _zwith('select "system:index", gtype, minx, miny, maxx, maxy from parsed')
+    q["parse_stats"] = _zwith("select count(*) filter (where gtype is not null) as success, "
+                              "count(*) filter (where gtype is null) as failed from parsed")
+    q["total_bounds"] = _zwith("select min(minx) as minx, min(miny) as miny, max(maxx) as maxx, max(maxy) as maxy from gdf")
+    q["reproject"] = _zwith(
+        'select "system:index", ' + ", ".join(
+            f"round({f(c)}, 4) as {c}" for c, f in (("minx", _merc_x), ("miny", _merc_y), ("maxx", _merc_x), ("maxy", _merc_y)))
+        + " from gdf")
+    q["dropna_rows"] = _zwith('select "system:index", flood_probability, flood_predicted, ".geo" from predictions '
+                              'where ".geo" is not null')
+    q["zone_filter"] = _zwith("select zone_id, FLD_ZONE from zsel")
+    q["zone_fallback"] = _zwith("select zone_id, FLD_ZONE from zones where FLD_ZONE in ('X', 'D')")
+    q["source_fallback"] = _zwith("select zone_id, FLD_ZONE, 1 as source_priority from zones where FLD_ZONE = 'X'")
+    q["distinct_zones"] = _zwith("select distinct FLD_ZONE from zones")
+    q["spatial_left"] = _zwith(
+        'select g."system:index", z.zone_id from gdf g left join zsel z on g.minx <= z.zmaxx and g.maxx >= z.zminx '
+        "and g.miny <= z.zmaxy and g.maxy >= z.zminy")
+    q["outside_zones"] = _zwith('select "system:index", flood_probability from outside')
+    q["report"] = _zwith(
+        "select (select count(*) from gdf) as total_areas_analyzed, "
+        "(select count(*) from gdf where flood_predicted = 1) as flood_predictions_count, "
+        "coalesce(round_even((select count(*) from gdf where flood_predicted = 1) * 100.0 / "
+        "nullif((select count(*) from gdf), 0), 2), 0.0)::double as flood_percentage, "
+        "(select count(*) > 0 from zsel) as fema_data_available, "
+        "(select least(count(*), 1) from zsel) as fema_zones_count, "
+        "(select count(*) from outside) as flooded_outside_fema_count, "
+        "(select min(minx) from gdf) as bbox_minx, (select min(miny) from gdf) as bbox_miny, "
+        "(select max(maxx) from gdf) as bbox_maxx, (select max(maxy) from gdf) as bbox_maxy, 'EPSG:4326' as crs")
+    lay = lambda name, src, idc, a, b, cc, d: (
+        f"select '{name}' as layer, cast({idc} as varchar) as feature_id, {{t}} as geom_type, "
+        f"round({_merc_x(a)}, 4) as minx, round({_merc_y(b)}, 4) as miny, "
+        f"round({_merc_x(cc)}, 4) as maxx, round({_merc_y(d)}, 4) as maxy from {src}")
+    layers = " union all ".join([
+        lay("study_area", "gdf", '"system:index"', "minx", "miny", "maxx", "maxy").format(t="gtype"),
+        lay("zones", "zsel", "zone_id", "zminx", "zminy", "zmaxx", "zmaxy").format(t="'Polygon'"),
+        lay("flooded", "flooded", '"system:index"', "minx", "miny", "maxx", "maxy").format(t="gtype"),
+        lay("outside", "outside", '"system:index"', "minx", "miny", "maxx", "maxy").format(t="gtype")])
+    q["map_layers"] = _zwith(layers)
+    q["map_extent"] = _zwith(
+        f"select round(x0 - (x1 - x0) * 0.15, 4) as xmin, round(x1 + (x1 - x0) * 0.15, 4) as xmax, "
+        f"round(y0 - (y1 - y0) * 0.15, 4) as ymin, round(y1 + (y1 - y0) * 0.15, 4) as ymax from "
+        f"(select min({_merc_x('minx')}) as x0, max({_merc_x('maxx')}) as x1, min({_merc_y('miny')}) as y0, "
+        f"max({_merc_y('maxy')}) as y1 from gdf)")
+    q["aoi_area"] = _zwith(
+        "select round(6378137.0 * 6378137.0 * radians(max(maxx) - min(minx)) * "
+        "(sin(radians(max(maxy))) - sin(radians(min(miny)))) / 1e6, 3) as area_km2 from gdf")
+    q["prediction_summary"] = _zwith(
+        "select count(*) as rows_read, "
+        "count(*) filter (where gtype is not null and starts_with(trim(\".geo\"), '{') and json_valid(trim(\".geo\"))) as valid_geometries, "
+        "count(*) filter (where not (gtype is not null and starts_with(trim(\".geo\"), '{') and json_valid(trim(\".geo\")))) as parse_errors, "
+        "count(*) filter (where flood_predicted = 1 and gtype is not null and starts_with(trim(\".geo\"), '{') "
+        "and json_valid(trim(\".geo\"))) as flooded from parsed")
+    return q
+
+
 def all_oracles() -> dict[str, str]:
     out = {}
     out.update(flood_oracles())
+    out.update(zone_oracles())
     return out

@@ -151,3 +151,111 @@ def q_predictor_stack(spark, sf):
     return p.select("row", "col", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in
                                     ("ndwi_post", "mndwi_post", "awei_post", "VV", "elevation", "slope", "Map",
                                      "jrc_seasonality")])
+
+
+# ---- steps 6-8: geometry, zones, spatial join, report ---------------------------------------------
+from ..config import ZoneSettings  # noqa: E402
+from ..functions import geometry as G  # noqa: E402
+from ..operators import spatial as SP  # noqa: E402
+from ..operators import zones as Z  # noqa: E402
+from .zone_gap import ZoneGap, prediction_summary  # noqa: E402
+
+
+def _zg(spark, sf) -> ZoneGap:
+    return ZoneGap(fixtures.predictions(spark, sf), [fixtures.zones(spark, sf)], ZoneSettings())
+
+
+def _bbox_cols(geom: str = "geometry"):
+    bb = G.bbox(geom)
+    return [bb[k].alias(k) for k in ("minx", "miny", "maxx", "maxy")]
+
+
+@query
+def q_parse_geometry(spark, sf):
+    return _zg(spark, sf).parsed.select("system:index", F.col("geometry.type").alias("gtype"), *_bbox_cols())
+
+
+@query
+def q_parse_stats(spark, sf):
+    return _zg(spark, sf).parse_stats()
+
+
+@query
+def q_total_bounds(spark, sf):
+    return _zg(spark, sf).total_bounds()
+
+
+@query
+def q_reproject(spark, sf):
+    g = _zg(spark, sf).gdf.select("system:index", G.to_web_mercator(F.col("geometry")).alias("m"))
+    bb = G.bbox("m")
+    return g.select("system:index", *[F.round(bb[n], 4).alias(n) for n in ("minx", "miny", "maxx", "maxy")])
+
+
+@query
+def q_dropna_rows(spark, sf):
+    return C.dropna_any(fixtures.predictions(spark, sf))
+
+
+@query
+def q_zone_filter(spark, sf):
+    return Z.filter_zone_codes(fixtures.zones(spark, sf), "FLD_ZONE", ZoneSettings().sfha_zones).select("zone_id", "FLD_ZONE")
+
+
+@query
+def q_zone_fallback(spark, sf):
+    z = fixtures.zones(spark, sf).where(F.col("FLD_ZONE").isin("X", "D"))
+    return Z.filter_zone_codes(z, "FLD_ZONE", ZoneSettings().sfha_zones).select("zone_id", "FLD_ZONE")
+
+
+@query
+def q_source_fallback(spark, sf):
+    z = fixtures.zones(spark, sf)
+    picked = Z.first_nonempty_source([z.where(F.col("zone_id") < 0), z.where(F.col("FLD_ZONE") == "X"), z])
+    return picked.select("zone_id", "FLD_ZONE", "source_priority")
+
+
+@query
+def q_distinct_zones(spark, sf):
+    return Z.distinct_codes(fixtures.zones(spark, sf), "FLD_ZONE")
+
+
+@query
+def q_spatial_left(spark, sf):
+    return _zg(spark, sf).spatial_left().select("system:index", "zone_id")
+
+
+@query
+def q_outside_zones(spark, sf):
+    return _zg(spark, sf).outside.select("system:index", "flood_probability")
+
+
+@query
+def q_report(spark, sf):
+    r = _zg(spark, sf).report(with_date=False)
+    return r.select(*[c for c in r.columns if c != "bbox"],
+                    *[F.col("bbox")[i].alias(f"bbox_{k}") for i, k in enumerate(("minx", "miny", "maxx", "maxy"))])
+
+
+@query
+def q_map_layers(spark, sf):
+    lay = _zg(spark, sf).map_layers()
+    return lay.select("layer", "feature_id", "geom_type", *[F.round(c, 4).alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+
+
+@query
+def q_map_extent(spark, sf):
+    return _zg(spark, sf).map_extent().select(*[F.round(c, 4).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
+
+
+@query
+def q_aoi_area(spark, sf):
+    b = _zg(spark, sf).total_bounds()
+    area = (F.lit(G.EARTH_RADIUS_M ** 2) * F.radians(F.col("maxx") - F.col("minx"))
+            * (F.sin(F.radians("maxy")) - F.sin(F.radians("miny"))) / F.lit(1e6))
+    return b.select(F.round(area, 3).alias("area_km2"))
+
+
+@query
+def q_prediction_summary(spark, sf):
+    return prediction_summary(fixtures.predictions(spark, sf))
