@@ -25,6 +25,7 @@ from ..operators import collection as C
 from ..operators import composite as X
 from ..operators import neighbourhood as N
 from ..operators import sampling as S
+from ..session import cut_lineage
 from ..sources import fixtures
 
 PERIODS = ("pre", "post")
@@ -46,9 +47,14 @@ def fixture_inputs(spark: SparkSession, sf_dir: str) -> FloodInputs:
 
 
 class FloodMap:
-    def __init__(self, inputs: FloodInputs, settings: FloodSettings = FloodSettings()):
+    def __init__(self, inputs: FloodInputs, settings: FloodSettings = FloodSettings(),
+                 materialize: bool = False):
+        """``materialize=True`` checkpoints the per-pixel change stack (into the shared
+        ``spark.checkpoint.dir``) so the flood mask, change map, samples and predictors
+        share one computation of the composites instead of recomputing them."""
         self.inp = inputs
         self.s = settings
+        self.materialize = materialize
 
     @property
     def periods(self):
@@ -142,11 +148,12 @@ class FloodMap:
     def change(self) -> DataFrame:
         post, pre = F.col("water_post"), F.col("water_pre")
         flood_map = M.m_and(post, M.m_not(pre))
-        return self.water.withColumns({
+        out = self.water.withColumns({
             "change": M.change_code(post, pre),
             "flood_map": flood_map,
             "combined_flood": M.m_or(flood_map, F.col("s1_water")),
         })
+        return cut_lineage(out) if self.materialize else out
 
     # ---- cleaning -------------------------------------------------------------------
     @cached_property

@@ -267,8 +267,62 @@ def zone_oracles() -> dict[str, str]:
     return q
 
 
+def ml_oracles() -> dict[str, str]:
+    q = {}
+    n_c = (f"select flood, least(count(*), {FS.samples_per_class}) as n_c from ff join chg using ({R}, col) "
+           f"join sl using ({R}, col) where flood is not null and ndwi_post is not null and mndwi_post is not null "
+           "and awei_post is not null and s1_water is not null and elevation is not null and slope is not null "
+           "and Map is not null and seasonality is not null group by flood")
+    q["split_sizes"] = _with(
+        f"select flood, 1 as is_test, cast(ceil(n_c * 0.25) as bigint) as n from ({n_c}) "
+        f"union all select flood, 0 as is_test, n_c - cast(ceil(n_c * 0.25) as bigint) as n from ({n_c})")
+    q["fold_sizes"] = _with(
+        f"select flood, cast(f as int) as fold, cast(floor((tr - 1 - f) / 5) + 1 as bigint) as n from "
+        f"(select flood, n_c - cast(ceil(n_c * 0.25) as bigint) as tr from ({n_c})) cross join range(5) t(f) where tr > f")
+    q["snap_to_grid"] = _zwith(
+        "select cell_row, cell_col, \"system:index\", n from (select *, row_number() over (partition by cell_row, cell_col "
+        "order by d2, \"system:index\") as rn, count(*) over (partition by cell_row, cell_col) as n from "
+        "(select \"system:index\", floor(miny / 2) as cell_row, floor(minx / 2) as cell_col, "
+        "(minx - (floor(minx / 2) * 2 + 1)) ** 2 + (miny - (floor(miny / 2) * 2 + 1)) ** 2 as d2 from gdf where gtype = 'Point')) "
+        "where rn = 1")
+    q["confusion_matrix"] = (
+        "select quality as truth, count(*) filter (where toxic = 0) as pred_0, count(*) filter (where toxic = 1) as pred_1 "
+        "from labels group by quality")
+    q["classification_report"] = """
+with n as (select count(*) filter (where quality=0 and toxic=0)::double as n00, count(*) filter (where quality=0 and toxic=1)::double as n01,
+                  count(*) filter (where quality=1 and toxic=0)::double as n10, count(*) filter (where quality=1 and toxic=1)::double as n11 from labels),
+m as (select coalesce(n00 / nullif(n00 + n10, 0), 0.0) as p0, coalesce(n00 / nullif(n00 + n01, 0), 0.0) as r0,
+             coalesce(n11 / nullif(n11 + n01, 0), 0.0) as p1, coalesce(n11 / nullif(n11 + n10, 0), 0.0) as r1,
+             n00 + n01 as s0, n10 + n11 as s1, n00 + n01 + n10 + n11 as tot,
+             coalesce((n00 + n11) / nullif(n00 + n01 + n10 + n11, 0), 0.0) as acc from n),
+f as (select *, coalesce(2.0 * p0 * r0 / nullif(p0 + r0, 0), 0.0) as f0, coalesce(2.0 * p1 * r1 / nullif(p1 + r1, 0), 0.0) as f1 from m)
+select '0' as label, p0 as precision, r0 as recall, f0 as f1_score, cast(s0 as bigint) as support from f
+union all select '1', p1, r1, f1, cast(s1 as bigint) from f
+union all select 'accuracy', null, null, acc, cast(tot as bigint) from f
+union all select 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, cast(tot as bigint) from f
+union all select 'weighted avg', coalesce((p0 * s0 + p1 * s1) / nullif(tot, 0), 0.0), coalesce((r0 * s0 + r1 * s1) / nullif(tot, 0), 0.0),
+                 coalesce((f0 * s0 + f1 * s1) / nullif(tot, 0), 0.0), cast(tot as bigint) from f"""
+    q["roc_auc"] = """
+with s as (select c_acctbal as score, cast(c_mktsegment = 'BUILDING' as int) as y from customer),
+g as (select score, sum(y) as pos, sum(1 - y) as neg from s group by score),
+c as (select pos, neg, coalesce(sum(neg) over (order by score rows between unbounded preceding and 1 preceding), 0) as below from g)
+select round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 10) as auc from c"""
+    q["class_weights"] = ("select quality as class, count(*) as n_c, sum(count(*)) over () / "
+                          "(count(*) over () * count(*)) as weight from labels group by quality")
+    q["one_hot_aligned"] = (
+        f"WITH px_static as ({VIEWS['px_static']}) select {R}, col, "
+        + ", ".join(f"coalesce(cast(Map = {c} as double), 0.0) as Map_{c}" for c in (10, 20, 30, 40, 60))
+        + " from px_static")
+    # CSV keeps no difference between empty text and NULL (as with pandas): '' comes back NULL.
+    q["csv_roundtrip"] = _zwith('select "system:index", flood_probability, flood_predicted, nullif(".geo", \'\') as ".geo" from predictions')
+    q["geojson_roundtrip"] = _zwith('select "system:index", gtype, minx, miny, maxx, maxy from gdf')
+    q["raster_roundtrip"] = _with(f"select {R}, col, change from chg")
+    return q
+
+
 def all_oracles() -> dict[str, str]:
     out = {}
     out.update(flood_oracles())
     out.update(zone_oracles())
+    out.update(ml_oracles())
     return out

@@ -21,8 +21,8 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def _fm(spark: SparkSession, sf_dir: str) -> FloodMap:
-    return FloodMap(fixture_inputs(spark, sf_dir), FIXTURE_SETTINGS)
+def _fm(spark: SparkSession, sf_dir: str, materialize: bool = False) -> FloodMap:
+    return FloodMap(fixture_inputs(spark, sf_dir), FIXTURE_SETTINGS, materialize=materialize)
 
 
 def _r6(name: str, alias: str | None = None):
@@ -142,7 +142,7 @@ def q_slope(spark, sf):
 # ---- step 5: samples and predictors ------------------------------------------------------------
 @query
 def q_stratified_sample_sizes(spark, sf):
-    return _fm(spark, sf).samples.groupBy("flood").agg(F.count(F.lit(1)).alias("n"))
+    return _fm(spark, sf, True).samples.groupBy("flood").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -259,3 +259,153 @@ def q_aoi_area(spark, sf):
 @query
 def q_prediction_summary(spark, sf):
     return prediction_summary(fixtures.predictions(spark, sf))
+
+
+# ---- step 5 (rest): split, folds, grid snapping ---------------------------------------------------------
+import uuid  # noqa: E402
+
+from ..config import ModelSettings  # noqa: E402
+from ..operators import metrics as MT  # noqa: E402
+from ..operators import ml as ML  # noqa: E402
+from ..operators.sampling import stratified_folds  # noqa: E402
+from ..session import output_root  # noqa: E402
+from ..sources import files as FI  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+MS = ModelSettings()
+
+
+@query
+def q_split_sizes(spark, sf):
+    d = ML.prepare(_fm(spark, sf, True).samples, MS)
+    return d.groupBy("flood", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_fold_sizes(spark, sf):
+    d = ML.prepare(_fm(spark, sf, True).samples, MS).where("is_test = 0")
+    f = stratified_folds(d, "flood", MS.folds, MS.seed, ["system:index"])
+    return f.groupBy("flood", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_snap_to_grid(spark, sf, scale: float = 2.0):
+    g = _zg(spark, sf).gdf.where(F.col("geometry.type") == "Point")
+    x, y = F.col("geometry.parts")[0][0][0][0], F.col("geometry.parts")[0][0][0][1]
+    cells = g.select("system:index", x.alias("x"), y.alias("y")).withColumns({
+        "cell_row": F.floor(F.col("y") / scale), "cell_col": F.floor(F.col("x") / scale)})
+    d2 = ((F.col("x") - (F.col("cell_col") * scale + scale / 2)) ** 2
+          + (F.col("y") - (F.col("cell_row") * scale + scale / 2)) ** 2)
+    return cells.groupBy("cell_row", "cell_col").agg(
+        F.min_by("system:index", F.struct(d2, F.col("system:index"))).alias("system:index"),
+        F.count(F.lit(1)).alias("n"))
+
+
+# ---- step 9: metrics ------------------------------------------------------------------------------------
+@query
+def q_confusion_matrix(spark, sf):
+    return MT.confusion_matrix(table(spark, sf, "labels"), "quality", "toxic")
+
+
+@query
+def q_classification_report(spark, sf):
+    return MT.classification_report(table(spark, sf, "labels"), "quality", "toxic")
+
+
+@query
+def q_roc_auc(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_acctbal").alias("score"),
+                                            (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y"))
+    return MT.roc_auc_frame(c, "y", "score").select(F.round("auc", 10).alias("auc"))
+
+
+@query
+def q_class_weights(spark, sf):
+    return MT.class_weights(table(spark, sf, "labels"), "quality")
+
+
+# ---- step 10: model ------------------------------------------------------------------------------------------
+_TRAINED: dict = {}
+
+
+def _trained(spark, sf):
+    key = (sf, id(spark))
+    if key not in _TRAINED:
+        _TRAINED[key] = ML.train(_fm(spark, sf, True).samples, MS)
+    return _TRAINED[key]
+
+
+@query
+def q_one_hot_aligned(spark, sf):
+    px = fixtures.px_static(spark, sf)
+    codes = ML.fit_codes(px.where(F.col("Map") != 50), "Map")
+    tmpl = ["row", "col"] + [f"Map_{c}" for c in codes]
+    return ML.align(ML.one_hot(px, "Map", codes), tmpl)
+
+
+@query
+def q_importances_sorted(spark, sf):
+    return ML.importances(_trained(spark, sf).model, spark)
+
+
+@query
+def q_rf_scores(spark, sf):
+    return _trained(spark, sf).test_scored.select("system:index", "flood", "flood_probability", "flood_predicted")
+
+
+@query
+def q_cv_auc(spark, sf):
+    res = _trained(spark, sf)
+    folds = ML.cross_validate(res.train, MS, res.codes)
+    rows = [(str(f), float(a)) for f, a in folds] + [("mean", float(sum(a for _, a in folds) / len(folds)))]
+    return spark.createDataFrame(rows, "fold string, auc double")
+
+
+@query
+def q_calibrated_auc(spark, sf):
+    res = _trained(spark, sf)
+    before, after = ML.calibrated_auc(res, MS)
+    return spark.createDataFrame([(before, after)], "test_auc double, calibrated_auc double")
+
+
+@query
+def q_batch_score(spark, sf):
+    """Train -> save -> load -> score every pixel of the predictor stack (Q3)."""
+    res = _trained(spark, sf)
+    path = f"{output_root(spark)}/model-{uuid.uuid4().hex}"
+    SK.save_model(res.model, path)
+    model = FI.load_model(path)
+    preds = _fm(spark, sf).predictors
+    return ML.score(model, preds).select("row", "col", "flood_probability", "flood_predicted")
+
+
+# ---- step 11: sinks written and read back ----------------------------------------------------------------
+def _out(spark, name):
+    return f"{output_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def q_csv_roundtrip(spark, sf):
+    df = fixtures.predictions(spark, sf)
+    path = _out(spark, "predictions_csv")
+    SK.write_csv(df, path)
+    return FI.read_csv(spark, path, df.schema)
+
+
+@query
+def q_geojson_roundtrip(spark, sf):
+    zg = _zg(spark, sf)
+    path = _out(spark, "all_predictions_geojson")
+    SK.write_geojson(zg.gdf.select("system:index", "flood_predicted", "geometry"), path)
+    back = spark.read.schema("type string, geometry string, properties map<string,string>").json(path)
+    g = back.select(F.col("properties")["system:index"].alias("system:index"),
+                    G.parse_geojson(F.col("geometry")).alias("geometry"))
+    return g.select("system:index", F.col("geometry.type").alias("gtype"), *_bbox_cols())
+
+
+@query
+def q_raster_roundtrip(spark, sf):
+    path = _out(spark, "change_map")
+    SK.write_raster(_fm(spark, sf).change.select("row", "col", "change"), path, tile=16)
+    return spark.read.parquet(path).select("row", "col", "change")
