@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GEOM_DDL = "struct<type:string,parts:array<array<array<array<double>>>>>"
@@ -19,38 +19,52 @@ EARTH_RADIUS_M = 6378137.0
 MERCATOR_MAX_LAT = 85.0511287798066
 
 
-def _build(raw: Column) -> Column:
-    coords = raw.getField("coordinates")
-    typ = raw.getField("type")
-    point = F.from_json(coords, "array<double>")
-    poly = F.from_json(coords, "array<array<array<double>>>")
-    multi = F.from_json(coords, "array<array<array<array<double>>>>")
-    point_ok = point.isNotNull() & (F.size(point) >= 2) & F.forall(point, lambda v: v.isNotNull())
-    parts = (F.when((typ == "Point") & point_ok,
-                    F.array(F.array(F.array(F.slice(point, 1, 2)))))
-              .when((typ == "Polygon") & poly.isNotNull() & (F.size(poly) > 0), F.array(poly))
-              .when((typ == "MultiPolygon") & multi.isNotNull() & (F.size(multi) > 0), multi))
-    return F.when(parts.isNotNull(), F.struct(typ.alias("type"), parts.alias("parts")))
+def with_geometry(df: DataFrame, text: Column, out: str = "geometry", python_literals: bool = True,
+                  strict: bool = False) -> DataFrame:
+    """Add geometry column ``out`` parsed from GeoJSON text.
 
-
-def parse_geojson(text: Column, python_literals: bool = True) -> Column:
-    """Robust parse: NULL/empty -> NULL; JSON; Python-literal dict (single quotes,
-    tuples) as fallback; anything else (bad text, unknown type) -> NULL."""
-    t = F.trim(text)
-    opts = {"allowSingleQuotes": "true" if python_literals else "false"}
-    first = _build(F.from_json(t, _RAW_DDL, opts))
-    if python_literals:
-        second = _build(F.from_json(F.translate(t, "()", "[]"), _RAW_DDL, opts))
-        geom = F.coalesce(first, second)
-    else:
-        geom = first
-    return F.when(t.isNotNull() & (t != ""), geom)
-
-
-def parse_geojson_strict(text: Column) -> Column:
-    """Only ``{...}`` JSON text with double quotes is accepted."""
+    Robust mode: NULL/empty -> NULL; JSON; Python-literal dict (single quotes, tuples)
+    as fallback; anything else (bad text, unknown type) -> NULL.  ``strict=True`` accepts
+    only ``{...}`` JSON with double quotes.  Each ``from_json`` is its own projected
+    column, so it runs once per row (Catalyst does not inline a non-cheap expression
+    that is referenced several times).
+    """
+    opts = {"allowSingleQuotes": "false" if strict else ("true" if python_literals else "false")}
     t = F.trim(text)
-    return F.when(t.startswith("{"), parse_geojson(t, python_literals=False))
+    ok = t.isNotNull() & (t != "")
+    if strict:
+        ok = ok & t.startswith("{")
+    d = df.withColumn("_g_t", F.when(ok, t))
+    d = d.withColumn("_g_raw", F.from_json("_g_t", _RAW_DDL, opts))
+    if python_literals and not strict:
+        d = d.withColumn("_g_raw", F.when(F.col("_g_raw.type").isNull() & F.col("_g_t").isNotNull(),
+                                          F.from_json(F.translate("_g_t", "()", "[]"), _RAW_DDL, opts))
+                                    .otherwise(F.col("_g_raw")))
+    typ, coords = F.col("_g_raw.type"), F.col("_g_raw.coordinates")
+    d = d.withColumns({
+        "_g_pt": F.when(typ == "Point", F.from_json(coords, "array<double>")),
+        "_g_poly": F.when(typ == "Polygon", F.from_json(coords, "array<array<array<double>>>")),
+        "_g_multi": F.when(typ == "MultiPolygon", F.from_json(coords, "array<array<array<array<double>>>>")),
+    })
+    pt, poly, multi = F.col("_g_pt"), F.col("_g_poly"), F.col("_g_multi")
+    pt_ok = (F.size(pt) >= 2) & F.forall(pt, lambda v: v.isNotNull())
+    parts = (F.when(pt.isNotNull() & pt_ok, F.array(F.array(F.array(F.slice(pt, 1, 2)))))
+              .when(poly.isNotNull() & (F.size(poly) > 0), F.array(poly))
+              .when(multi.isNotNull() & (F.size(multi) > 0), multi))
+    d = d.withColumn("_g_parts", parts)
+    geom = F.when(F.col("_g_parts").isNotNull(), F.struct(typ.alias("type"), F.col("_g_parts").alias("parts")))
+    return d.withColumn(out, geom).drop("_g_t", "_g_raw", "_g_pt", "_g_poly", "_g_multi", "_g_parts")
+
+
+def keep_valid(df: DataFrame, geom: str = "geometry") -> DataFrame:
+    """Drop rows whose geometry is NULL.
+
+    Done with a generator (explode of a filtered one-element array) rather than a
+    Filter: a Filter on a derived column is pushed below the projections that build
+    it, with the parse expression substituted in (and multiplied per staged column);
+    a Generate is a barrier, so the parse runs exactly once per row.
+    """
+    return df.withColumn(geom, F.explode(F.filter(F.array(F.col(geom)), lambda g: g.isNotNull())))
 
 
 def point(x: Column, y: Column) -> Column:

@@ -52,15 +52,23 @@ def save_first(left: DataFrame, right: DataFrame, key: Sequence[str],
                order: Sequence[str] | None = None, outer: bool = False) -> DataFrame:
     """Each left row gets the first matching right row (smallest ``order``, then payload).
 
-    The pick is a hash aggregate (``min_by``) with map-side combine, so a key holding
-    a large share of right rows never lands whole in one task.
+    The pick is a hash aggregate with map-side combine, so a key holding a large share
+    of right rows never lands whole in one task.  A single payload column ordered by a
+    single column uses primitive ``min`` / ``min_by`` buffers (HashAggregate); wider
+    payloads fall back to a struct-valued ``min_by``.
     """
     key = list(key)
     payload = [c for c in right.columns if c not in key]
-    order_cols = list(order or payload) + [c for c in payload if c not in (order or [])]
-    firsts = (right.groupBy(*key)
-              .agg(F.min_by(F.struct(*payload), F.struct(*order_cols)).alias("_first"))
-              .select(*key, *[F.col("_first")[c].alias(c) for c in payload]))
+    order = list(order or payload)
+    if len(payload) == 1 and order == payload:
+        firsts = right.groupBy(*key).agg(F.min(payload[0]).alias(payload[0]))
+    elif len(payload) == 1 and len(order) == 1:
+        firsts = right.groupBy(*key).agg(F.min_by(payload[0], order[0]).alias(payload[0]))
+    else:
+        order_cols = order + [c for c in payload if c not in order]
+        firsts = (right.groupBy(*key)
+                  .agg(F.min_by(F.struct(*payload), F.struct(*order_cols)).alias("_first"))
+                  .select(*key, *[F.col("_first")[c].alias(c) for c in payload]))
     return left.join(firsts, key, "left" if outer else "inner")
 
 

@@ -399,8 +399,8 @@ def q_geojson_roundtrip(spark, sf):
     path = _out(spark, "all_predictions_geojson")
     SK.write_geojson(zg.gdf.select("system:index", "flood_predicted", "geometry"), path)
     back = spark.read.schema("type string, geometry string, properties map<string,string>").json(path)
-    g = back.select(F.col("properties")["system:index"].alias("system:index"),
-                    G.parse_geojson(F.col("geometry")).alias("geometry"))
+    g = G.with_geometry(back.select(F.col("properties")["system:index"].alias("system:index"), "geometry"),
+                        F.col("geometry"), "geometry")
     return g.select("system:index", F.col("geometry.type").alias("gtype"), *_bbox_cols())
 
 

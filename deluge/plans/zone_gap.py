@@ -41,7 +41,7 @@ class ZoneGap:
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return self.raw.withColumn("geometry", G.parse_geojson(F.col(f"`{self.geo_col}`")))
+        return G.with_geometry(self.raw, F.col(f"`{self.geo_col}`"), "geometry")
 
     def parse_stats(self) -> DataFrame:
         return self.parsed.agg(F.count_if(F.col("geometry").isNotNull()).alias("success"),
@@ -49,7 +49,7 @@ class ZoneGap:
 
     @cached_property
     def gdf(self) -> DataFrame:
-        return self.parsed.where(F.col("geometry").isNotNull())
+        return G.keep_valid(self.parsed, "geometry")
 
     @cached_property
     def zones(self) -> DataFrame:
@@ -139,8 +139,7 @@ class ZoneGap:
 
 def prediction_summary(predictions: DataFrame, geo_col: str = ".geo") -> DataFrame:
     """Strict parse (only '{...}' JSON), valid geometries, total and flooded counts."""
-    g = G.parse_geojson_strict(F.col(f"`{geo_col}`"))
-    df = predictions.withColumn("geometry", g)
+    df = G.with_geometry(predictions, F.col(f"`{geo_col}`"), "geometry", strict=True)
     flooded = (F.count_if((F.col("flood_predicted") == 1) & F.col("geometry").isNotNull())
                if "flood_predicted" in predictions.columns else F.lit(None).cast("long"))
     return df.agg(F.count(F.lit(1)).alias("rows_read"),

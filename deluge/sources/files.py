@@ -34,9 +34,9 @@ def read_zone_features(spark: SparkSession, path: str, zone_field: str = "FLD_ZO
         feats = spark.read.schema(FEATURE_DDL).json(path)
     text = F.concat(F.lit('{"type":"'), F.col("geometry.type"), F.lit('","coordinates":'),
                     F.col("geometry.coordinates"), F.lit("}"))
-    return feats.select(F.xxhash64(F.col("geometry.coordinates"), F.to_json(F.col("properties"))).alias("zone_id"),
-                        F.col("properties")[zone_field].alias(zone_field),
-                        G.parse_geojson(text).alias("geom"))
+    base = feats.select(F.xxhash64(F.col("geometry.coordinates"), F.to_json(F.col("properties"))).alias("zone_id"),
+                        F.col("properties")[zone_field].alias(zone_field), text.alias("_text"))
+    return G.with_geometry(base, F.col("_text"), "geom").drop("_text")
 
 
 def load_model(path: str) -> PipelineModel:

@@ -75,9 +75,9 @@ def test_parse_geojson_edge_texts(spark):
              "{oops", "", None, "5", '{"type":"LineString","coordinates":[[0,0],[1,1]]}',
              '{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]]]}']
     df = spark.createDataFrame([(t,) for t in texts], "g string")
-    got = df.select(G.parse_geojson(F.col("g")).alias("geom")).select("geom.type").collect()
+    got = G.with_geometry(df, F.col("g"), "geom").select("geom.type").collect()
     assert [r[0] for r in got] == ["Point", "Polygon", "Point", "Point", None, None, None, None, None, "MultiPolygon"]
-    strict = df.select(G.parse_geojson_strict(F.col("g")).alias("geom")).select("geom.type").collect()
+    strict = G.with_geometry(df, F.col("g"), "geom", strict=True).select("geom.type").collect()
     assert [r[0] for r in strict][:4] == ["Point", "Polygon", None, None]
 
 
@@ -87,7 +87,7 @@ def test_point_in_polygon_boundary_and_hole(spark):
     pts = [(5.0, 5.0, False), (5.0, 4.0, True), (0.0, 0.0, True), (10.0, 5.0, True), (2.0, 2.0, True),
            (11.0, 5.0, False), (4.0, 5.0, True), (-0.1, 5.0, False)]
     df = spark.createDataFrame([(poly, x, y) for x, y, _ in pts], "g string, x double, y double")
-    df = df.withColumn("geom", G.parse_geojson(F.col("g")))
+    df = G.with_geometry(df, F.col("g"), "geom")
     got = [r[0] for r in df.select(G.point_in_geometry("geom", "x", "y")).collect()]
     assert got == [e for _, _, e in pts]
 
