@@ -132,9 +132,11 @@ class FloodMap:
             g, n, s1, s2 = (F.col(f"{b}_{p}") for b in ("B3", "B8", "B11", "B12"))
             cols[f"ndwi_{p}"] = I.ndwi(g, n)
             cols[f"mndwi_{p}"] = I.mndwi(g, s1)
-            cols[f"awei_{p}"] = I.awei(g, s1, n, s2)
         cols["s1_water"] = M.lt(F.col("VV"), self.s.vv_threshold)
-        return self.stack.withColumns(cols)
+        out = self.stack.withColumns(cols)
+        for p in PERIODS:  # AWEI from its expression string with bound band names
+            out = I.awei_expression(out, f"awei_{p}", suffix=f"_{p}")
+        return out
 
     @cached_property
     def water(self) -> DataFrame:
@@ -207,6 +209,29 @@ class FloodMap:
             F.col("seasonality").cast("float").alias("jrc_seasonality"),
             G.to_geojson(G.point(F.col("col"), F.col("row"))).alias(".geo"))
 
+    # ---- exports (K5-K8, K10) ----------------------------------------------------------
+    def export(self, out_dir: str) -> dict[str, str]:
+        """Write the four stage-1 outputs, named by the post-period start date.
+
+        The per-pixel stack is checkpointed first (``materialize``) so the four exports
+        share one computation of the composites.
+        """
+        from ..functions.dates import compact_date
+        from ..sources import sinks as SK
+        tag = compact_date(self.s.post_start)
+        paths = {
+            "flood_mask": f"{out_dir}/flood_mask_final_{tag}",
+            "samples": f"{out_dir}/FloodSamples_{tag}",
+            "change_map": f"{out_dir}/changeMap_{tag}",
+            "predictors": f"{out_dir}/predictors_{tag}",
+        }
+        SK.write_raster(self.flood_final, paths["flood_mask"], self.s.tile_size, self.s.max_pixels)
+        SK.write_csv(self.samples, paths["samples"])
+        SK.write_raster(self.change.select("row", "col", "change"), paths["change_map"], self.s.tile_size,
+                        self.s.max_pixels)
+        SK.write_raster(self.predictors.drop(".geo"), paths["predictors"], self.s.tile_size, self.s.max_pixels)
+        return paths
+
     # ---- statistics (Q6) -------------------------------------------------------------
     def run_statistics(self) -> DataFrame:
         aoi = self.s.aoi

@@ -320,9 +320,51 @@ select round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 10) as auc
     return q
 
 
+def job_oracles() -> dict[str, str]:
+    q = {}
+    q["zone_geojson_roundtrip"] = _zwith("select FLD_ZONE, zminx as minx, zminy as miny, zmaxx as maxx, zmaxy as maxy from zones")
+    pre0 = ", ".join(f"case when n_pre > 0 then c.{x}_pre else 0.0 end as {x}_pre" for x in ("B3", "B8", "B11"))
+    q["dummy_composite"] = (
+        f"WITH s2_obs as ({VIEWS['s2_obs']}), s2_scene as ({VIEWS['s2_scene']}), s2_cloud as ({VIEWS['s2_cloud']}), "
+        f"px_static as ({VIEWS['px_static']}), "
+        "valid as (select scene_id from s2_scene where len(list_distinct(list_intersect(band_names, ['B3','B4','B8','B11','B12']))) = 5), "
+        "cloud1 as (select scene_id, min(probability) as probability from s2_cloud group by scene_id), "
+        "s2j as (select o.*, c.probability from s2_obs o join cloud1 c on o.scene_id = c.scene_id "
+        "where o.scene_id in (select scene_id from valid) and o.ts >= TIMESTAMP '1980-01-01' and o.ts < TIMESTAMP '1999-12-31'), "
+        f"tagged as (select * from (select s2j.*, 'pre' as period, {_k('1980-01-01')} as k from s2j) where k between 0 and 11 "
+        f"union all select * from (select s2j.*, 'post' as period, {_k(FS.post_start)} as k from s2j) where k between 0 and {N_POST - 1}), "
+        f"comp as (select {R}, col, median(B3) filter (where period='pre') as B3_pre, median(B8) filter (where period='pre') as B8_pre, "
+        "median(B11) filter (where period='pre') as B11_pre, median(B3) filter (where period='post') as B3_post from "
+        f"(select {R}, col, period, k, median(B3) as B3, median(B8) as B8, median(B11) as B11 from "
+        f"(select {R}, col, period, k, B3/10000.0 as B3, B8/10000.0 as B8, B11/10000.0 as B11 from tagged where probability < 50) "
+        f"group by {R}, col, period, k) group by {R}, col), "
+        "counts as (select (select count(distinct k) from tagged where period='pre') as n_pre, "
+        "(select count(distinct k) from tagged where period='post') as n_post) "
+        f"select {pre0.replace('c.', 'c.')}, count(*) as pixels, count(case when n_post > 0 then c.B3_post else 0.0 end) as post_valid "
+        f"from px_static p left join comp c on p.{R} = c.{R} and p.col = c.col cross join counts group by all")
+    n_c = (f"select flood, least(count(*), {FS.samples_per_class}) as n_c from ff join chg using ({R}, col) "
+           f"join sl using ({R}, col) where flood is not null and ndwi_post is not null and mndwi_post is not null "
+           "and awei_post is not null and s1_water is not null and elevation is not null and slope is not null "
+           "and Map is not null and seasonality is not null group by flood")
+    q["flood_exports"] = _with(
+        f"select (select count(*) from ff where flood is not null) as flood_mask, (select sum(n_c) from ({n_c})) as samples, "
+        "(select count(*) from chg) as change_map, (select count(*) from idx) as predictors")
+    q["prediction_head"] = _zwith('select "system:index", flood_probability, flood_predicted, ".geo" from predictions '
+                                  'order by "system:index" limit 5')
+    q["zone_gap_job"] = _zwith(
+        "select (select count(*) from gdf) as total_areas_analyzed, "
+        "(select count(*) from gdf where flood_predicted = 1) as flood_predictions_count, "
+        "coalesce(round_even((select count(*) from gdf where flood_predicted = 1) * 100.0 / "
+        "nullif((select count(*) from gdf), 0), 2), 0.0)::double as flood_percentage, "
+        "(select least(count(*), 1) from zsel) as fema_zones_count, "
+        "(select count(*) from outside) as flooded_outside_fema_count, (select count(*) from outside) as outside_features")
+    return q
+
+
 def all_oracles() -> dict[str, str]:
     out = {}
     out.update(flood_oracles())
     out.update(zone_oracles())
     out.update(ml_oracles())
+    out.update(job_oracles())
     return out

@@ -409,3 +409,62 @@ def q_raster_roundtrip(spark, sf):
     path = _out(spark, "change_map")
     SK.write_raster(_fm(spark, sf).change.select("row", "col", "change"), path, tile=16)
     return spark.read.parquet(path).select("row", "col", "change")
+
+
+# ---- remaining sources, guards, limits and whole jobs ----------------------------------------------------
+from dataclasses import replace  # noqa: E402
+
+from .zone_gap import run_analysis  # noqa: E402
+
+
+@query
+def q_zone_geojson_roundtrip(spark, sf):
+    """Zones written as GeoJSON features (one per line) and scanned back (S6)."""
+    z = fixtures.zones(spark, sf)
+    path = _out(spark, "zones_geojson")
+    SK.write_geojson(z.select("FLD_ZONE", F.col("geom").alias("geometry")), path)
+    back = FI.read_zone_features(spark, path, "FLD_ZONE")
+    bb = G.bbox("geom")
+    return back.select("FLD_ZONE", *[bb[k].alias(k) for k in ("minx", "miny", "maxx", "maxy")])
+
+
+@query
+def q_dummy_composite(spark, sf):
+    """Empty pre collection (a window before any observation) -> constant zero image (S9, J6)."""
+    s = replace(FIXTURE_SETTINGS, pre_start="1980-01-01", pre_end="1980-12-31")
+    fm = FloodMap(fixture_inputs(spark, sf), s)
+    return fm.stack.groupBy("B3_pre", "B8_pre", "B11_pre").agg(
+        F.count(F.lit(1)).alias("pixels"), F.count("B3_post").alias("post_valid"))
+
+
+@query
+def q_prediction_head(spark, sf):
+    """First five rows in key order (the reference prints df.head())."""
+    return fixtures.predictions(spark, sf).orderBy("system:index").limit(5)
+
+
+@query
+def q_zone_gap_job(spark, sf):
+    """Whole zone-gap job (validate, parse, zones, anti-join, GeoJSON/parquet/JSON outputs);
+    returns the report read back from its JSON file, minus the run timestamp."""
+    out = _out(spark, "zone_gap")
+    run_analysis(fixtures.predictions(spark, sf), [fixtures.zones(spark, sf)], out, ZoneSettings())
+    rep = spark.read.json(f"{out}/analysis_report")
+    outside = spark.read.text(f"{out}/outside_fema").agg(F.count(F.lit(1)).alias("outside_features"))
+    return rep.select("total_areas_analyzed", "flood_predictions_count", "flood_percentage",
+                      "fema_zones_count", "flooded_outside_fema_count").crossJoin(outside)
+
+
+@query
+def q_flood_exports(spark, sf):
+    """Stage-1 exports (flood mask, samples CSV, change map, predictors) read back: row counts."""
+    fm = _fm(spark, sf, True)
+    paths = fm.export(_out(spark, "flood_exports"))
+    parts = [spark.read.parquet(paths["flood_mask"]).agg(F.count(F.lit(1)).alias("flood_mask")),
+             spark.read.option("header", True).csv(paths["samples"]).agg(F.count(F.lit(1)).alias("samples")),
+             spark.read.parquet(paths["change_map"]).agg(F.count(F.lit(1)).alias("change_map")),
+             spark.read.parquet(paths["predictors"]).agg(F.count(F.lit(1)).alias("predictors"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)
+    return out

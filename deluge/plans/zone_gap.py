@@ -17,6 +17,7 @@ from ..config import EXTENT_BUFFER, ZoneSettings
 from ..functions import geometry as G
 from ..operators import spatial as SP
 from ..operators import zones as Z
+from ..sources import sinks as SK
 
 REQUIRED = (".geo", "flood_predicted")
 
@@ -146,3 +147,24 @@ def prediction_summary(predictions: DataFrame, geo_col: str = ".geo") -> DataFra
                   F.count_if(F.col("geometry").isNotNull()).alias("valid_geometries"),
                   F.count_if(F.col("geometry").isNull()).alias("parse_errors"),
                   flooded.alias("flooded"))
+
+
+def run_analysis(predictions: DataFrame, zone_sources: Sequence[DataFrame], out_dir: str,
+                 settings: ZoneSettings = ZoneSettings()) -> DataFrame:
+    """The whole zone-gap job: validate, parse, select zones, anti-join, write outputs.
+
+    Writes all_predictions (GeoJSON features), outside_fema (only when non-empty),
+    map_layers (parquet) and analysis_report (JSON); returns the report frame.
+    Unlike the reference, failures raise instead of being logged.
+    """
+    validate(predictions)
+    zg = ZoneGap(predictions, zone_sources, settings)
+    if zg.gdf.isEmpty():
+        raise ValueError("No valid geometries found")
+    keep = [c for c in zg.gdf.columns if c not in (".geo",)]
+    SK.write_geojson(zg.gdf.select(*[F.col(f"`{c}`") for c in keep]), f"{out_dir}/all_predictions")
+    SK.write_geojson_if_any(zg.outside.select(*[F.col(f"`{c}`") for c in keep]), f"{out_dir}/outside_fema")
+    zg.map_layers().write.mode("overwrite").parquet(f"{out_dir}/map_layers")
+    report = zg.report()
+    SK.write_report(report, f"{out_dir}/analysis_report")
+    return report
