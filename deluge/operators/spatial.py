@@ -58,13 +58,14 @@ def spatial_join(left: DataFrame, right: DataFrame, how: str = "inner", left_geo
     R = _prep(right.withColumnRenamed(right_geom, "_r_geom"), "_r_geom", "_r_")
     rpay = [c for c in right.columns if c != right_geom]
 
+    # One job for both scalars: largest left extent and median zone extent.
     ext = L.agg(F.max(F.col("_l_maxx") - F.col("_l_minx")).alias("w"),
-                F.max(F.col("_l_maxy") - F.col("_l_miny")).alias("h")).first()
+                F.max(F.col("_l_maxy") - F.col("_l_miny")).alias("h")).crossJoin(
+        R.agg(F.percentile_approx(F.greatest(F.col("_r_maxx") - F.col("_r_minx"),
+                                             F.col("_r_maxy") - F.col("_r_miny")), 0.5).alias("m"))).first()
     w, h = float(ext["w"] or 0.0), float(ext["h"] or 0.0)
     if cell_size is None:
-        med = R.agg(F.percentile_approx(F.greatest(F.col("_r_maxx") - F.col("_r_minx"),
-                                                   F.col("_r_maxy") - F.col("_r_miny")), 0.5).alias("m")).first()["m"]
-        cell_size = max(float(med or 0.0), w, h)
+        cell_size = max(float(ext["m"] or 0.0), w, h)
     cs = cell_size if cell_size and cell_size > 0 else 1.0
 
     lo_x = F.floor((F.col("_r_minx") - F.lit(w)) / cs)

@@ -86,8 +86,10 @@ class FloodMap:
 
     @cached_property
     def monthly(self) -> DataFrame:
-        # One shuffle by pixel; both aggregation levels and the pixel joins reuse it.
-        return X.monthly_median(self.s2_masked.repartition("row", "col"))
+        # Partial (map-side) percentile aggregation runs before the shuffle, so a pixel
+        # with very many observations ships at most one partial buffer per map task;
+        # buffers are value->count maps bounded by the distinct reflectance values.
+        return X.monthly_median(self.s2_masked)
 
     @cached_property
     def composite(self) -> DataFrame:
