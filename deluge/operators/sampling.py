@@ -32,24 +32,31 @@ def _rank(df: DataFrame, class_col: str, order_cols: Sequence[str]) -> DataFrame
 
 def stratified_sample(df: DataFrame, class_col: str, n: int, seed: int,
                       order_cols: Sequence[str]) -> DataFrame:
-    """Up to ``n`` rows per class value (NULL class excluded), seeded."""
+    """Up to ``n`` rows per class value (NULL class excluded), seeded.
+
+    Two passes over the input: class sizes, then threshold + rank.  The (bounded)
+    result is checkpointed and checked; a class that came up short - probability
+    about exp(-50) with this margin - is redone with the exact full ranking.
+    """
+    from ..session import cut_lineage
     base = df.where(F.col(class_col).isNotNull()).withColumn("_u", uniform_hash(seed, order_cols))
     sizes = {r[0]: r[1] for r in base.groupBy(class_col).count().collect()}  # one row per class
-    margin = lambda k: k + 10 * math.sqrt(k) + 100
-    frac = {c: min(1.0, margin(n) / cnt) for c, cnt in sizes.items()}
+    if not sizes:
+        return base.drop("_u").limit(0)
+    margin = n + 10 * math.sqrt(n) + 100
     thr = None
-    for c, f in frac.items():
-        cond = F.when(F.col(class_col) == F.lit(c), F.lit(f))
+    for c, cnt in sizes.items():
+        cond = F.when(F.col(class_col) == F.lit(c), F.lit(min(1.0, margin / cnt)))
         thr = cond if thr is None else F.coalesce(thr, cond)
-    if thr is None:
-        return base.drop("_u").limit(0)
-    pre = base.where(F.col("_u") < thr)
-    kept = {r[0]: r[1] for r in pre.groupBy(class_col).count().collect()}
-    short = [c for c, cnt in sizes.items() if kept.get(c, 0) < min(n, cnt)]
-    if short:
-        exact = base.where(F.col(class_col).isin(short))
-        pre = pre.where(~F.col(class_col).isin(short)).unionByName(exact)
-    return _rank(pre, class_col, order_cols).where(F.col("_rank") <= n).drop("_u", "_rank")
+    picked = cut_lineage(_rank(base.where(F.col("_u") < thr), class_col, order_cols)
+                         .where(F.col("_rank") <= n).drop("_u", "_rank"))
+    got = {r[0]: r[1] for r in picked.groupBy(class_col).count().collect()}
+    short = [c for c, cnt in sizes.items() if got.get(c, 0) < min(n, cnt)]
+    if not short:
+        return picked
+    exact = _rank(base.where(F.col(class_col).isin(short)), class_col, order_cols)
+    exact = exact.where(F.col("_rank") <= n).drop("_u", "_rank")
+    return picked.where(~F.col(class_col).isin(short)).unionByName(exact)
 
 
 def stratified_split(df: DataFrame, class_col: str, test_fraction: float, seed: int,

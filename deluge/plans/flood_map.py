@@ -71,9 +71,12 @@ class FloodMap:
         """Observations of valid scenes with their first cloud record (F1, P11, F5, J1)."""
         obs = C.filter_date(self.inp.s2_obs, self.s.pre_start, self.s.post_end)
         obs = C.clip(obs, self.s.aoi)
-        obs = obs.join(self.scenes_valid.select("scene_id"), "scene_id", "left_semi")
+        # Validity and first cloud record are resolved on the (small) scene table first,
+        # so each observation probes a single scene-level table once.
         cloud = self.inp.s2_cloud.select("scene_id", "probability")
-        return C.save_first(obs, cloud, ["scene_id"], order=["probability"], outer=self.s.keep_unmatched_scenes)
+        scenes = C.save_first(self.scenes_valid.select("scene_id"), cloud, ["scene_id"], order=["probability"],
+                              outer=self.s.keep_unmatched_scenes)
+        return obs.join(scenes, "scene_id", "inner")
 
     @cached_property
     def s2_tagged(self) -> DataFrame:
@@ -116,7 +119,11 @@ class FloodMap:
     # ---- pixel stack ------------------------------------------------------------
     @cached_property
     def pixels(self) -> DataFrame:
-        return C.clip(self.inp.px_static, self.s.aoi).select("row", "col", "elevation", "Map", "seasonality")
+        # Hash-partitioned by pixel: the joins with the per-pixel composites need this
+        # distribution anyway, and everything downstream (indices, neighbourhoods,
+        # scoring) inherits the parallelism whatever the source file layout.
+        px = C.clip(self.inp.px_static, self.s.aoi).select("row", "col", "elevation", "Map", "seasonality")
+        return px.repartition("row", "col")
 
     @cached_property
     def stack(self) -> DataFrame:
@@ -163,8 +170,9 @@ class FloodMap:
     @cached_property
     def connected(self) -> DataFrame:
         """(row, col, combined_flood, count, Map, seasonality) for valid pixels."""
-        return N.connected_pixel_count(self.change, "combined_flood", self.s.min_component,
-                                       tile=self.s.tile_size, payload=("Map", "seasonality"))
+        out = N.connected_pixel_count(self.change, "combined_flood", self.s.min_component,
+                                      tile=self.s.tile_size, payload=("Map", "seasonality"))
+        return cut_lineage(out) if self.materialize else out
 
     @cached_property
     def flood_final(self) -> DataFrame:
@@ -203,7 +211,8 @@ class FloodMap:
     @cached_property
     def predictors(self) -> DataFrame:
         """Eight float predictor bands over every pixel (raw radar dB in ``VV``)."""
-        base = self.indices.join(self.slope, ["row", "col"], "left")
+        # From ``change`` (it carries every index column) so a checkpointed stack is reused.
+        base = self.change.join(self.slope, ["row", "col"], "left")
         return base.select(
             "row", "col",
             *[F.col(c).cast("float").alias(c) for c in

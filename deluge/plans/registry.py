@@ -329,13 +329,19 @@ def q_class_weights(spark, sf):
 _TRAINED: dict = {}
 
 
-def _trained(spark, sf):
+def _trained_with_map(spark, sf):
+    """(flood map with its per-pixel stack checkpointed, training result), per process."""
     key = (sf, id(spark))
     if key not in _TRAINED:
-        _TRAINED[key] = ML.train(_fm(spark, sf, True).samples, MS)
+        fm = _fm(spark, sf, True)
+        _TRAINED[key] = (fm, ML.train(fm.samples, MS))
     return _TRAINED[key]
 
 
+def _trained(spark, sf):
+    return _trained_with_map(spark, sf)[1]
+
+
 @query
 def q_one_hot_aligned(spark, sf):
     px = fixtures.px_static(spark, sf)
@@ -372,11 +378,11 @@ def q_calibrated_auc(spark, sf):
 @query
 def q_batch_score(spark, sf):
     """Train -> save -> load -> score every pixel of the predictor stack (Q3)."""
-    res = _trained(spark, sf)
+    fm, res = _trained_with_map(spark, sf)
     path = f"{output_root(spark)}/model-{uuid.uuid4().hex}"
     SK.save_model(res.model, path)
     model = FI.load_model(path)
-    preds = _fm(spark, sf).predictors
+    preds = fm.predictors  # same checkpointed per-pixel stack the samples came from
     return ML.score(model, preds).select("row", "col", "flood_probability", "flood_predicted")
 
 

@@ -17,6 +17,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Median/percentile merges are CPU-heavy while their shuffles are small: do not let
+    # AQE coalesce them into a single task.  Large inputs stay at the advisory size.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -65,7 +68,14 @@ def output_root(spark: SparkSession) -> str:
     return checkpoint_dir(spark).rstrip("/") + "/outputs"
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing a parquet table in the shared checkpoint folder.
+
+    Computes the plan once (a reliable RDD checkpoint would compute it twice unless
+    cached), survives executor loss, and later reads get column pruning and pushdown.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
