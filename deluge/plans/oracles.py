@@ -32,7 +32,7 @@ VIEWS = {
 
 def _k(start: str) -> str:
     k0 = f"datediff('month', DATE '{start}', ts)"
-    return f"({k0} - case when ts < DATE '{start}' + to_months(cast({k0} as int)) then 1 else 0 end)"
+    return f"cast({k0} - case when ts < DATE '{start}' + to_months(cast({k0} as int)) then 1 else 0 end as int)"
 
 
 N_PRE = month_count(FS.pre_start, FS.pre_end)
@@ -282,7 +282,7 @@ def ml_oracles() -> dict[str, str]:
     q["snap_to_grid"] = _zwith(
         "select cell_row, cell_col, \"system:index\", n from (select *, row_number() over (partition by cell_row, cell_col "
         "order by d2, \"system:index\") as rn, count(*) over (partition by cell_row, cell_col) as n from "
-        "(select \"system:index\", floor(miny / 2) as cell_row, floor(minx / 2) as cell_col, "
+        "(select \"system:index\", cast(floor(miny / 2) as bigint) as cell_row, cast(floor(minx / 2) as bigint) as cell_col, "
         "(minx - (floor(minx / 2) * 2 + 1)) ** 2 + (miny - (floor(miny / 2) * 2 + 1)) ** 2 as d2 from gdf where gtype = 'Point')) "
         "where rn = 1")
     q["confusion_matrix"] = (
@@ -347,7 +347,7 @@ def job_oracles() -> dict[str, str]:
            "and awei_post is not null and s1_water is not null and elevation is not null and slope is not null "
            "and Map is not null and seasonality is not null group by flood")
     q["flood_exports"] = _with(
-        f"select (select count(*) from ff where flood is not null) as flood_mask, (select sum(n_c) from ({n_c})) as samples, "
+        f"select (select count(*) from ff where flood is not null) as flood_mask, (select cast(sum(n_c) as bigint) from ({n_c})) as samples, "
         "(select count(*) from chg) as change_map, (select count(*) from idx) as predictors")
     q["prediction_head"] = _zwith('select "system:index", flood_probability, flood_predicted, ".geo" from predictions '
                                   'order by "system:index" limit 5')
