@@ -105,8 +105,18 @@ sl as (select p.{R}, p.col, degrees(atan(sqrt(((xp.elevation - xm.elevation) / 6
        left join px_static ym on ym.{R} = p.{R} - 1 and ym.col = p.col)"""
 
 
-def _with(body: str, recursive: bool = True) -> str:
-    return f"WITH {'RECURSIVE ' if recursive else ''}{_flood_ctes()}\n{body}"
+def _with(body: str, recursive: bool = True, aoi: tuple | None = None, outer: bool = False) -> str:
+    ctes = _flood_ctes()
+    if aoi is not None:
+        w, s_, e, n = aoi
+        for v in ("s2_obs", "s1_obs", "px_static"):
+            ctes = ctes.replace(f"{v} as ({VIEWS[v]})",
+                                f"{v} as (select * from ({VIEWS[v]}) where col between {w} and {e} and {R} between {s_} and {n})")
+    if outer:
+        ctes = ctes.replace("from s2_obs o join cloud1 c on", "from s2_obs o left join cloud1 c on")
+        ctes = ctes.replace("case when probability < 50 then", "case when coalesce(probability, 0) < 50 then")
+        ctes = ctes.replace("from tagged where probability < 50", "from tagged where coalesce(probability, 0) < 50")
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
 
 
 def _r6(c: str, alias: str | None = None) -> str:
@@ -349,6 +359,12 @@ def job_oracles() -> dict[str, str]:
     q["flood_exports"] = _with(
         f"select (select count(*) from ff where flood is not null) as flood_mask, (select cast(sum(n_c) as bigint) from ({n_c})) as samples, "
         "(select count(*) from chg) as change_map, (select count(*) from idx) as predictors")
+    q["scene_save_first_outer"] = _with(
+        f"select scene_id, {R}, col, strftime(ts, '%Y-%m-%d') as day, probability from s2j", outer=True)
+    q["change_counts_outer"] = _with(
+        "select change, combined_flood, count(*) as pixels from chg group by change, combined_flood", outer=True)
+    q["clipped_change_counts"] = _with(
+        "select change, combined_flood, count(*) as pixels from chg group by change, combined_flood", aoi=(0, 0, 19, 24))
     q["prediction_head"] = _zwith('select "system:index", flood_probability, flood_predicted, ".geo" from predictions '
                                   'order by "system:index" limit 5')
     q["zone_gap_job"] = _zwith(

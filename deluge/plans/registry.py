@@ -474,3 +474,27 @@ def q_flood_exports(spark, sf):
     for p in parts[1:]:
         out = out.crossJoin(p)
     return out
+
+
+# ---- options: outer save-first, AOI clip ------------------------------------------------------------------
+def _fm_with(spark, sf, **kw) -> FloodMap:
+    return FloodMap(fixture_inputs(spark, sf), replace(FIXTURE_SETTINGS, **kw))
+
+
+@query
+def q_scene_save_first_outer(spark, sf):
+    """Save-first join keeping optical scenes with no cloud record (probability NULL, treated as clear)."""
+    return _fm_with(spark, sf, keep_unmatched_scenes=True).s2_joined.select("scene_id", "row", "col", _day(), "probability")
+
+
+@query
+def q_change_counts_outer(spark, sf):
+    return _fm_with(spark, sf, keep_unmatched_scenes=True).change.groupBy("change", "combined_flood").agg(
+        F.count(F.lit(1)).alias("pixels"))
+
+
+@query
+def q_clipped_change_counts(spark, sf):
+    """Change counts inside an AOI rectangle (x = col 0..19, y = row 0..24): scans, radar and pixels clipped."""
+    return _fm_with(spark, sf, aoi=(0, 0, 19, 24)).change.groupBy("change", "combined_flood").agg(
+        F.count(F.lit(1)).alias("pixels"))
