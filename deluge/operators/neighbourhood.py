@@ -11,11 +11,19 @@ and a group never exceeds (tile + 2(k-1))^2 pixels however the data is skewed.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The per-tile function is shipped by value (it needs only numpy and pandas), so Python
+# workers do not have to import this package: it works from --py-files, an installed
+# wheel, or neither.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def component_sizes(values: np.ndarray, present: np.ndarray) -> np.ndarray:
     """Size of each cell's 4-connected equal-value component (0 where absent)."""

@@ -39,3 +39,23 @@ def test_change_counts_regression_anchor(spark):
     """FIXTURES.md anchor at sf0.01 (change, flood, pixels)."""
     rows = {(r.change, r.combined_flood): r.pixels for r in E.queries()["change_counts"](spark, "/root/testdata/sf0.01").collect()}
     assert rows[(None, None)] == 294 and rows[(2, 1)] == 338 and rows[(3, 0)] == 335 and rows[(0, 1)] == 93
+
+
+def test_python_worker_path_runs_outside_the_repo(tmp_path):
+    """The driver imports __spark_entry__ from elsewhere: Python workers must not need the package."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import sys\n"
+        f"sys.path.insert(0, {repo!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        "print('ROWS', E.queries()['connected_count'](spark, '/root/testdata/sf0.001').count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
