@@ -22,9 +22,15 @@ from . import metrics as MT
 from .sampling import stratified_folds, stratified_split
 
 
-def fit_codes(df: DataFrame, column: str) -> list[int]:
-    """Distinct category codes (a land-cover vocabulary: bounded, a few dozen at most)."""
-    return sorted(int(r[0]) for r in df.select(F.col(column).cast("int")).distinct().collect() if r[0] is not None)
+MAX_CODES = 256  # land-cover codes are 8-bit class numbers
+
+
+def fit_codes(df: DataFrame, column: str, max_codes: int = MAX_CODES) -> list[int]:
+    """Distinct category codes; the vocabulary is bounded (8-bit classes) and checked."""
+    rows = df.select(F.col(column).cast("int")).distinct().limit(max_codes + 1).collect()
+    if len(rows) > max_codes:
+        raise ValueError(f"more than {max_codes} distinct {column} codes: not a categorical band")
+    return sorted(int(r[0]) for r in rows if r[0] is not None)
 
 
 def one_hot_sql(column: str, codes: list[int]) -> str:

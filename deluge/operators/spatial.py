@@ -74,9 +74,13 @@ def spatial_join(left: DataFrame, right: DataFrame, how: str = "inner", left_geo
     R = R.withColumn("_r_cells", (hi_x - lo_x + 1) * (hi_y - lo_y + 1))
     stats = R.agg(F.count(F.lit(1)).alias("n"),
                   F.count_if(F.col("_r_cells") > max_cells_per_zone).alias("big"),
+                  F.sum(F.when(F.col("_r_cells") > max_cells_per_zone, F.size("_r_edges") + 1)).alias("big_verts"),
                   F.sum(F.when(F.col("_r_cells") <= max_cells_per_zone,
                                F.col("_r_cells") * (F.size("_r_edges") + 1))).alias("verts")).first()
-    split_big = 0 < (stats["big"] or 0) <= big_zone_broadcast_limit
+    # Big zones are broadcast only under both a count and a vertex bound; otherwise they
+    # stay on the grid (more replicas, still exact).
+    split_big = (0 < (stats["big"] or 0) <= big_zone_broadcast_limit
+                 and (stats["big_verts"] or 0) <= broadcast_vertex_limit)
     grid_src = R.where(F.col("_r_cells") <= max_cells_per_zone) if split_big else R
     grid = (grid_src.withColumn("_cx", F.explode(F.sequence(lo_x, hi_x)))
                     .withColumn("_cy", F.explode(F.sequence(lo_y, hi_y))))
