@@ -1 +1 @@
-"""Column-level helpers: every function returns a pyspark Column (JVM-side, codegen-friendly)."""
+"""Column-level helpers (JVM-side expressions; geometry parsing adds staged columns)."""

@@ -90,7 +90,6 @@ def spatial_join(left: DataFrame, right: DataFrame, how: str = "inner", left_geo
     on_grid = (L["_cx"] == grid["_cx"]) & (L["_cy"] == grid["_cy"]) & _condition()
     big = F.broadcast(R.where(F.col("_r_cells") > max_cells_per_zone)) if split_big else None
 
-    helper = [c for c in L.columns if c.startswith("_l_") or c in ("_cx", "_cy")]
     if how in ("left_anti", "left_semi"):
         anti = L.join(grid, on_grid, "left_anti")
         if big is not None:
@@ -116,5 +115,4 @@ def spatial_join(left: DataFrame, right: DataFrame, how: str = "inner", left_geo
         nulls = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in rpay]
         out = out.unionByName(anti.select(*[q(c) for c in lcols], *nulls,
                                           F.lit(None).cast(right.schema[right_geom].dataType).alias("right_geometry")))
-    _ = helper
     return out

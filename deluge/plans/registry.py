@@ -156,7 +156,6 @@ def q_predictor_stack(spark, sf):
 # ---- steps 6-8: geometry, zones, spatial join, report ---------------------------------------------
 from ..config import ZoneSettings  # noqa: E402
 from ..functions import geometry as G  # noqa: E402
-from ..operators import spatial as SP  # noqa: E402
 from ..operators import zones as Z  # noqa: E402
 from .zone_gap import ZoneGap, prediction_summary  # noqa: E402
 
