@@ -341,7 +341,8 @@ def job_oracles() -> dict[str, str]:
         "cloud1 as (select scene_id, min(probability) as probability from s2_cloud group by scene_id), "
         "s2j as (select o.*, c.probability from s2_obs o join cloud1 c on o.scene_id = c.scene_id "
         "where o.scene_id in (select scene_id from valid) and o.ts >= TIMESTAMP '1980-01-01' and o.ts < TIMESTAMP '1999-12-31'), "
-        f"tagged as (select * from (select s2j.*, 'pre' as period, {_k('1980-01-01')} as k from s2j) where k between 0 and 11 "
+        f"tagged as (select * from (select s2j.*, 'pre' as period, {_k('1980-01-01')} as k from s2j) "
+        f"where k between 0 and {month_count('1980-01-01', '1980-12-31') - 1} "
         f"union all select * from (select s2j.*, 'post' as period, {_k(FS.post_start)} as k from s2j) where k between 0 and {N_POST - 1}), "
         f"comp as (select {R}, col, median(B3) filter (where period='pre') as B3_pre, median(B8) filter (where period='pre') as B8_pre, "
         "median(B11) filter (where period='pre') as B11_pre, median(B3) filter (where period='post') as B3_post from "

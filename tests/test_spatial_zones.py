@@ -66,3 +66,87 @@ def test_zone_filter_fallbacks(spark):
     picked = Z.first_nonempty_source([empty, z2, z])
     assert picked.count() == 2 and {r.source_priority for r in picked.collect()} == {1}
     assert Z.dissolved_count(empty).first()[0] == 0 and Z.dissolved_count(z).first()[0] == 1
+
+
+def _pip(x, y, rings):
+    """Reference point-in-polygon (even-odd over all rings), boundary included."""
+    inside = False
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+            cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+            if cross == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+                return True
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                inside = not inside
+    return inside
+
+
+def test_random_polygons_vs_reference(spark):
+    import json
+    import math
+    rng = random.Random(5)
+    zones, polys = [], []
+    for i in range(40):
+        cx, cy, rad = rng.uniform(0, 60), rng.uniform(0, 60), rng.uniform(2, 9)
+        k = rng.choice([3, 5, 6])
+        ring = [(round(cx + rad * math.cos(2 * math.pi * j / k + 0.3), 3), round(cy + rad * math.sin(2 * math.pi * j / k + 0.3), 3))
+                for j in range(k)]
+        ring.append(ring[0])
+        polys.append([ring])
+        zones.append((i, json.dumps({"type": "Polygon", "coordinates": [ring]})))
+    # one multipolygon zone made of two triangles
+    mp = [[[(70.0, 0.0), (80.0, 0.0), (75.0, 8.0), (70.0, 0.0)]], [[(70.0, 20.0), (80.0, 20.0), (75.0, 28.0), (70.0, 20.0)]]]
+    zones.append((99, json.dumps({"type": "MultiPolygon", "coordinates": mp})))
+    zdf = G.with_geometry(spark.createDataFrame(zones, "zone_id long, g string"), F.col("g"), "geom").drop("g")
+    pts = [(round(rng.uniform(-2, 85), 2), round(rng.uniform(-2, 65), 2)) for _ in range(1500)]
+    pts += [polys[0][0][0], polys[1][0][1], (75.0, 4.0), (75.0, 12.0)]  # vertices and multipolygon parts
+    p = _points(spark, pts)
+    got = {r.id for r in SP.spatial_join(p, zdf, "left_semi", left_geom="geometry").collect()}
+    allp = polys + [[m[0]] for m in mp]
+    want = {str(i) for i, (x, y) in enumerate(pts) if any(_pip(x, y, rings) for rings in allp)}
+    assert got == want
+
+
+def _seg_touch(a, b, c, d):
+    def o(p, q, r):
+        v = (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+        return (v > 0) - (v < 0)
+    box = (max(a[0], b[0]) >= min(c[0], d[0]) and max(c[0], d[0]) >= min(a[0], b[0]) and
+           max(a[1], b[1]) >= min(c[1], d[1]) and max(c[1], d[1]) >= min(a[1], b[1]))
+    return o(a, b, c) * o(a, b, d) <= 0 and o(c, d, a) * o(c, d, b) <= 0 and box
+
+
+def _poly_hit(p, q):
+    ep = [(u, v) for r in p for u, v in zip(r, r[1:])]
+    eq = [(u, v) for r in q for u, v in zip(r, r[1:])]
+    if any(_seg_touch(a, b, c, d) for a, b in ep for c, d in eq):
+        return True
+    return _pip(p[0][0][0], p[0][0][1], q) or _pip(q[0][0][0], q[0][0][1], p)
+
+
+def test_random_squares_vs_polygons_reference(spark):
+    import json
+    import math
+    rng = random.Random(9)
+    polys, zones = [], []
+    for i in range(30):
+        cx, cy, rad = rng.uniform(0, 50), rng.uniform(0, 50), rng.uniform(2, 8)
+        ring = [(round(cx + rad * math.cos(2 * math.pi * j / 5), 3), round(cy + rad * math.sin(2 * math.pi * j / 5), 3))
+                for j in range(5)]
+        ring.append(ring[0])
+        polys.append([ring])
+        zones.append((i, json.dumps({"type": "Polygon", "coordinates": [ring]})))
+    zdf = G.with_geometry(spark.createDataFrame(zones, "zone_id long, g string"), F.col("g"), "geom").drop("g")
+    sq = []
+    for i in range(600):
+        x, y, s = round(rng.uniform(-3, 58), 2), round(rng.uniform(-3, 58), 2), round(rng.uniform(0.2, 3), 2)
+        sq.append((str(i), x, y, x + s, y + s))
+    left = spark.createDataFrame(sq, "id string, a double, b double, c double, d double").select(
+        "id", G.rectangle(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("geometry"))
+    got = {r.id for r in SP.spatial_join(left, zdf, "left_semi", left_geom="geometry").collect()}
+    want = set()
+    for i, a, b, c, d in sq:
+        ring = [[(a, b), (c, b), (c, d), (a, d), (a, b)]]
+        if any(_poly_hit(ring, z) for z in polys):
+            want.add(i)
+    assert got == want
