@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import AWEI_EXPRESSION
@@ -25,20 +25,18 @@ def awei(green: Column, swir1: Column, nir: Column, swir2: Column) -> Column:
     return F.lit(4) * (green - swir1) - (F.lit(0.25) * nir + F.lit(2.75) * swir2)
 
 
-def band_expression(df: DataFrame, expression: str, bindings: dict[str, str], alias: str) -> DataFrame:
+def band_expression(expression: str, bindings: dict[str, str]) -> Column:
     """Evaluate an expression string whose names are bound to band columns.
 
-    ``band_expression(df, '4*(GREEN-SWIR1)', {'GREEN': 'B3', 'SWIR1': 'B11'}, 'x')``.
-    The bound names are added as temporary columns, evaluated with ``F.expr`` and dropped.
+    ``band_expression('4*(GREEN-SWIR1)', {'GREEN': 'B3', 'SWIR1': 'B11'})``: each bound
+    name (whole word) is replaced by its quoted column name and the text goes to
+    ``F.expr`` - one JVM expression, no temporary columns.
     """
-    tmp = {f"__{k}": F.col(v) for k, v in bindings.items()}
-    expr = expression
-    for k in sorted(bindings, key=len, reverse=True):
-        expr = expr.replace(k, f"`__{k}`")
-    return df.withColumns(tmp).withColumn(alias, F.expr(expr)).drop(*tmp.keys())
+    import re
+    pattern = re.compile(r"\b(" + "|".join(re.escape(k) for k in sorted(bindings, key=len, reverse=True)) + r")\b")
+    return F.expr(pattern.sub(lambda m: f"`{bindings[m.group(1)]}`", expression))
 
 
-def awei_expression(df: DataFrame, alias: str, suffix: str = "") -> DataFrame:
-    return band_expression(df, AWEI_EXPRESSION,
-                           {"GREEN": "B3" + suffix, "SWIR1": "B11" + suffix,
-                            "NIR": "B8" + suffix, "SWIR2": "B12" + suffix}, alias)
+def awei_expression(suffix: str = "") -> Column:
+    return band_expression(AWEI_EXPRESSION, {"GREEN": "B3" + suffix, "SWIR1": "B11" + suffix,
+                                             "NIR": "B8" + suffix, "SWIR2": "B12" + suffix})

@@ -60,10 +60,9 @@ def guard_empty(pixels: DataFrame, counts: DataFrame, columns_by_count: dict[str
     ``counts`` is a one-row frame, so the cross join is a broadcast of a single row.
     """
     joined = pixels.crossJoin(F.broadcast(counts))
-    out = joined
-    for n_col, cols in columns_by_count.items():
-        out = out.withColumns({c: F.when(F.col(n_col) > 0, F.col(c)).otherwise(F.lit(fill)) for c in cols})
-    return out.drop(*columns_by_count.keys())
+    guarded = {c: F.when(F.col(n_col) > 0, F.col(c)).otherwise(F.lit(fill)).alias(c)
+               for n_col, cols in columns_by_count.items() for c in cols}
+    return joined.select(*[guarded.get(c, F.col(c)) for c in pixels.columns])
 
 
 def temporal_median(df: DataFrame, column: str, keys: Sequence[str] = ("row", "col")) -> DataFrame:

@@ -141,11 +141,9 @@ class FloodMap:
             g, n, s1, s2 = (F.col(f"{b}_{p}") for b in ("B3", "B8", "B11", "B12"))
             cols[f"ndwi_{p}"] = I.ndwi(g, n)
             cols[f"mndwi_{p}"] = I.mndwi(g, s1)
+            cols[f"awei_{p}"] = I.awei_expression(suffix=f"_{p}")  # expression string, bound bands
         cols["s1_water"] = M.lt(F.col("VV"), self.s.vv_threshold)
-        out = self.stack.withColumns(cols)
-        for p in PERIODS:  # AWEI from its expression string with bound band names
-            out = I.awei_expression(out, f"awei_{p}", suffix=f"_{p}")
-        return out
+        return self.stack.withColumns(cols)
 
     @cached_property
     def water(self) -> DataFrame:

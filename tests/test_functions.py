@@ -39,7 +39,7 @@ def test_normalized_difference_masks_zero_and_negative(spark):
 
 def test_awei_expression_matches_columns(spark):
     df = spark.createDataFrame([(0.1, 0.2, 0.3, 0.4)], "B3 double, B8 double, B11 double, B12 double")
-    a = I.awei_expression(df, "x").first().x
+    a = df.select(I.awei_expression().alias("x")).first().x
     b = df.select(I.awei(F.col("B3"), F.col("B11"), F.col("B8"), F.col("B12"))).first()[0]
     assert abs(a - b) < 1e-12 and abs(a - (4 * (0.1 - 0.3) - (0.25 * 0.2 + 2.75 * 0.4))) < 1e-12
 
