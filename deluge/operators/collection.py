@@ -12,8 +12,19 @@ from ..functions.dates import half_open
 
 
 def filter_date(df: DataFrame, start: str, end: str, ts: str = "ts") -> DataFrame:
-    """Half-open [start, end); pushed into the parquet scan by Catalyst."""
-    return df.where(half_open(F.col(ts), start, end))
+    """Half-open [start, end); pushed into the parquet scan by Catalyst.
+
+    When the table is partitioned by ``year``/``month`` (the layout for observation
+    tables at scale) the same range is also stated on the partition columns, so whole
+    partition directories are pruned before any file is opened.
+    """
+    out = df.where(half_open(F.col(ts), start, end))
+    if "year" in df.columns and "month" in df.columns:
+        y0, m0 = int(start[:4]), int(start[5:7])
+        y1, m1 = int(end[:4]), int(end[5:7])
+        ym = F.col("year") * 100 + F.col("month")
+        out = out.where(ym.between(y0 * 100 + m0, y1 * 100 + m1))
+    return out
 
 
 def filter_bounds(df: DataFrame, aoi: Sequence[float] | None, prefix: str = "") -> DataFrame:

@@ -79,3 +79,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def partition_sizing(input_bytes: float, executor_cores: int, executors: int,
+                     target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle/scan sizing for a job reading ``input_bytes``.
+
+    Shuffle partitions: enough for ~``target_partition_bytes`` each (AQE coalesces
+    smaller ones), never fewer than twice the task slots; scans split at the same size.
+    At 100 TB with 1000 executors x 8 cores this gives ~400k shuffle partitions of
+    256 MiB and 256 MiB file splits.
+    """
+    slots = max(1, executor_cores * executors)
+    parts = max(2 * slots, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }

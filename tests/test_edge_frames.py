@@ -85,3 +85,17 @@ def test_zones_absent_all_flooded_outside(spark):
     assert rep.fema_data_available is False and rep.flooded_outside_fema_count == 2
     assert rep.flood_percentage == round(2 / 3 * 100, 2)
     assert F  # noqa
+
+
+def test_partitioned_observations_are_pruned(spark, tmp_path):
+    from deluge.operators.collection import filter_date
+    from deluge.session import partition_sizing
+    rows = [(dt.datetime(2020, m, 10), 2020, m) for m in range(1, 13)] + [(dt.datetime(2021, 2, 1), 2021, 2)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, year int, month int").write.partitionBy("year", "month").parquet(
+        str(tmp_path / "obs"))
+    df = filter_date(spark.read.parquet(str(tmp_path / "obs")), "2020-03-01", "2020-06-01")
+    assert df.count() == 3
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "year" in plan
+    conf = partition_sizing(100e12, 8, 1000)
+    assert int(conf["spark.sql.shuffle.partitions"]) >= 16000
