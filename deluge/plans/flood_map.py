@@ -117,13 +117,16 @@ class FloodMap:
         return X.temporal_median(self.s1_filtered, "VV")
 
     # ---- pixel stack ------------------------------------------------------------
+    @cached_property
+    def static_layers(self) -> DataFrame:
+        return C.clip(self.inp.px_static, self.s.aoi).select("row", "col", "elevation", "Map", "seasonality")
+
     @cached_property
     def pixels(self) -> DataFrame:
         # Hash-partitioned by pixel: the joins with the per-pixel composites need this
-        # distribution anyway, and everything downstream (indices, neighbourhoods,
-        # scoring) inherits the parallelism whatever the source file layout.
-        px = C.clip(self.inp.px_static, self.s.aoi).select("row", "col", "elevation", "Map", "seasonality")
-        return px.repartition("row", "col")
+        # distribution anyway, and everything downstream (indices, scoring) inherits the
+        # parallelism whatever the source file layout.
+        return self.static_layers.repartition("row", "col")
 
     @cached_property
     def stack(self) -> DataFrame:
@@ -183,7 +186,8 @@ class FloodMap:
 
     @cached_property
     def slope(self) -> DataFrame:
-        return N.slope_degrees(self.pixels, "elevation", dx=self.s.scale, dy=self.s.scale)
+        # Its own neighbour shuffle re-keys the rows, so it starts from the unpartitioned layer.
+        return N.slope_degrees(self.static_layers, "elevation", dx=self.s.scale, dy=self.s.scale)
 
     # ---- ML inputs --------------------------------------------------------------------
     @cached_property
