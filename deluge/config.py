@@ -32,6 +32,15 @@ SFHA_ZONES = ["A", "AE", "AH", "AO", "AR", "A99", "V", "VE", "VO"]
 ZONE_FIELD = "FLD_ZONE"
 INITIAL_CRS = "EPSG:4326"
 WEB_MERCATOR_CRS = "EPSG:3857"
+# Report key names of the older copy of the tool (report_names="legacy").
+LEGACY_REPORT_NAMES = {
+    "flood_predictions_count": "model_flood_predictions_count",
+    "flood_percentage": "model_flood_percentage_of_total",
+    "fema_data_available": "fema_data_processed",
+    "flooded_outside_fema_count": "model_flooded_outside_fema_count",
+    "bbox": "area_of_interest_bbox",
+    "crs": "aoi_crs",
+}
 EXTENT_BUFFER = 0.15
 FEATURES = ["ndwi_post", "mndwi_post", "awei_post", "VV",
             "elevation", "slope", "Map", "jrc_seasonality"]
@@ -79,6 +88,10 @@ class ZoneSettings:
     sfha_zones: tuple = tuple(SFHA_ZONES)
     initial_crs: str = INITIAL_CRS
     web_mercator_crs: str = WEB_MERCATOR_CRS
+    # CRS of the zone layer; predictions are reprojected to it when it differs.
+    zone_crs: str = INITIAL_CRS
+    # "current" or "legacy" report key names.
+    report_names: str = "current"
     # Grid cell edge for the spatial join; None = derive from zone extents.
     cell_size: float | None = None
     # Zones are broadcast only when their replicated vertex count stays below this.

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import EXTENT_BUFFER, ZoneSettings
+from ..config import EXTENT_BUFFER, LEGACY_REPORT_NAMES, ZoneSettings
 from ..functions import geometry as G
 from ..operators import spatial as SP
 from ..operators import zones as Z
@@ -59,6 +59,15 @@ class ZoneGap:
             return None
         return Z.filter_zone_codes(src, self.s.zone_field, self.s.sfha_zones)
 
+    def _in_zone_crs(self, df: DataFrame) -> DataFrame:
+        """Predictions in the zone layer's CRS (only geographic -> Web Mercator is supported)."""
+        src, dst = self.s.initial_crs, self.s.zone_crs
+        if src == dst:
+            return df
+        if (src, dst) == ("EPSG:4326", "EPSG:3857"):
+            return df.withColumn("geometry", G.to_web_mercator(F.col("geometry")))
+        raise ValueError(f"unsupported CRS pair {src} -> {dst}")
+
     @cached_property
     def flooded(self) -> DataFrame:
         return self.gdf.where(F.col("flood_predicted") == 1)
@@ -69,13 +78,13 @@ class ZoneGap:
         if self.zones is None:
             return self.flooded
         z = self.zones.select(self.s.zone_field, F.col("geom"))
-        return SP.spatial_join(self.flooded, z, "left_anti", left_geom="geometry", right_geom="geom",
+        return SP.spatial_join(self._in_zone_crs(self.flooded), z, "left_anti", left_geom="geometry", right_geom="geom",
                                cell_size=self.s.cell_size, broadcast_vertex_limit=self.s.broadcast_vertex_limit)
 
     def spatial_left(self) -> DataFrame:
         """Every valid prediction with each intersecting zone (NULL zone if none)."""
         z = self.zones.select("zone_id", self.s.zone_field, F.col("geom"))
-        return SP.spatial_join(self.gdf, z, "left", left_geom="geometry", right_geom="geom",
+        return SP.spatial_join(self._in_zone_crs(self.gdf), z, "left", left_geom="geometry", right_geom="geom",
                                cell_size=self.s.cell_size, broadcast_vertex_limit=self.s.broadcast_vertex_limit)
 
     def total_bounds(self, df: DataFrame | None = None) -> DataFrame:
@@ -107,7 +116,10 @@ class ZoneGap:
                  (F.col("fema_zones_count") > 0).alias("fema_data_available"), F.col("fema_zones_count"),
                  F.col("flooded_outside_fema_count"),
                  F.array("minx", "miny", "maxx", "maxy").alias("bbox"), F.lit(self.s.initial_crs).alias("crs")]
-        return agg.crossJoin(zones).crossJoin(outside).select(*cols)
+        out = agg.crossJoin(zones).crossJoin(outside).select(*cols)
+        if self.s.report_names == "legacy":
+            out = out.withColumnsRenamed(LEGACY_REPORT_NAMES)
+        return out
 
     def map_layers(self) -> DataFrame:
         """Study area, zones, flooded and outside features in EPSG:3857 with a layer tag."""

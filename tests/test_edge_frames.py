@@ -99,3 +99,19 @@ def test_partitioned_observations_are_pruned(spark, tmp_path):
     assert "PartitionFilters" in plan and "year" in plan
     conf = partition_sizing(100e12, 8, 1000)
     assert int(conf["spark.sql.shuffle.partitions"]) >= 16000
+
+
+def test_zone_crs_reprojection_and_legacy_names(spark):
+    from pyspark.sql import functions as F
+    from deluge.functions import geometry as G
+    p = _preds(spark, [("a", 1, '{"type":"Point","coordinates":[-77.0,39.0]}'),
+                       ("b", 1, '{"type":"Point","coordinates":[-76.0,39.0]}')])
+    x0, y0 = -77.1, 38.9
+    z = spark.createDataFrame([(1, "AE", x0, y0, -76.9, 39.1)], "zone_id long, FLD_ZONE string, a double, b double, c double, d double")
+    # the zone is stored in Web Mercator
+    zm = z.select("zone_id", "FLD_ZONE", G.rectangle(G.mercator_x(F.col("a")), G.mercator_y(F.col("b")),
+                                                    G.mercator_x(F.col("c")), G.mercator_y(F.col("d"))).alias("geom"))
+    zg = ZoneGap(p, [zm], ZoneSettings(zone_crs="EPSG:3857", report_names="legacy"))
+    assert [r["system:index"] for r in zg.outside.collect()] == ["b"]
+    rep = zg.report(with_date=False)
+    assert "model_flooded_outside_fema_count" in rep.columns and rep.first().model_flooded_outside_fema_count == 1
