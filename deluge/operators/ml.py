@@ -76,12 +76,40 @@ def fit(df: DataFrame, ms: ModelSettings, codes: list[int] | None = None) -> Pip
     return build_pipeline(ms, codes).fit(data)
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Adds flood_probability (P(class 1)) and flood_predicted (0/1)."""
+def score(model: PipelineModel, df: DataFrame, calibrator=None) -> DataFrame:
+    """Adds flood_probability (P(class 1)) and flood_predicted (0/1).
+
+    With an isotonic ``calibrator`` the probability is the calibrated one; the class
+    stays the forest's vote, as with a prefit calibrated classifier's predict().
+    """
     out = model.transform(df)
     keep = [F.col(f"`{c}`") for c in df.columns]
-    return out.select(*keep, vector_to_array("probability")[1].alias("flood_probability"),
-                      F.col("prediction").cast("int").alias("flood_predicted"))
+    out = out.select(*keep, vector_to_array("probability")[1].alias("flood_probability"),
+                     F.col("prediction").cast("int").alias("flood_predicted"))
+    if calibrator is not None:
+        cal = calibrator.copy({calibrator.featuresCol: "flood_probability", calibrator.predictionCol: "_p_cal"})
+        out = cal.transform(out).withColumn("flood_probability", F.col("_p_cal")).drop("_p_cal")
+    return out
+
+
+def fit_calibrator(model: PipelineModel, train_df: DataFrame, label: str):
+    """Isotonic map from forest probability to observed frequency, fitted on training rows."""
+    from pyspark.ml.regression import IsotonicRegression
+    tr = score(model, train_df).withColumn("_yy", F.col(label).cast("double"))
+    return IsotonicRegression(featuresCol="flood_probability", labelCol="_yy", predictionCol="p_cal").fit(tr)
+
+
+def save(model: PipelineModel, path: str, calibrator=None) -> None:
+    """Forest pipeline at ``path``; with ``calibrator`` also ``path/calibrator`` (opt-in)."""
+    model.write().overwrite().save(path)
+    if calibrator is not None:
+        calibrator.write().overwrite().save(f"{path.rstrip('/')}/calibrator")
+
+
+def load(path: str, calibrated: bool = False):
+    from pyspark.ml.regression import IsotonicRegressionModel
+    model = PipelineModel.load(path)
+    return model, (IsotonicRegressionModel.load(f"{path.rstrip('/')}/calibrator") if calibrated else None)
 
 
 def importances(model: PipelineModel, spark) -> DataFrame:
@@ -132,9 +160,6 @@ def cross_validate(train_df: DataFrame, ms: ModelSettings, codes: list[int], ord
 
 def calibrated_auc(res: TrainingResult, ms: ModelSettings) -> tuple[float, float]:
     """Test AUC before and after isotonic calibration fitted on the training rows."""
-    from pyspark.ml.regression import IsotonicRegression
-    tr = score(res.model, res.train)
-    iso = IsotonicRegression(featuresCol="flood_probability", labelCol="_yy", predictionCol="p_cal").fit(
-        tr.withColumn("_yy", F.col(ms.label).cast("double")))
-    te = iso.transform(res.test_scored)
-    return (MT.roc_auc(res.test_scored, ms.label, "flood_probability"), MT.roc_auc(te, ms.label, "p_cal"))
+    iso = fit_calibrator(res.model, res.train, ms.label)
+    te = score(res.model, res.test, calibrator=iso)
+    return (MT.roc_auc(res.test_scored, ms.label, "flood_probability"), MT.roc_auc(te, ms.label, "flood_probability"))

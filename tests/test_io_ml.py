@@ -74,3 +74,18 @@ def test_stream_scoring_matches_batch(spark):
     assert got.count() == preds.count()
     batch = ML.score(res.model, spark.read.parquet(f"{root}/in"))
     assert got.select("row", "col", "flood_predicted").exceptAll(batch.select("row", "col", "flood_predicted")).count() == 0
+
+
+def test_calibrated_model_save_load(spark):
+    from deluge.config import FIXTURE_SETTINGS
+    from deluge.plans.flood_map import FloodMap, fixture_inputs
+    fm = FloodMap(fixture_inputs(spark, "/root/testdata/sf0.01"), FIXTURE_SETTINGS, materialize=True)
+    res = ML.train(fm.samples, ModelSettings(trees=20))
+    iso = ML.fit_calibrator(res.model, res.train, "flood")
+    path = f"{output_root(spark)}/mc-{uuid.uuid4().hex}"
+    ML.save(res.model, path, calibrator=iso)
+    model, cal = ML.load(path, calibrated=True)
+    a = ML.score(model, res.test, calibrator=cal).select("system:index", "flood_probability").collect()
+    b = ML.score(res.model, res.test, calibrator=iso).select("system:index", "flood_probability").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    assert all(0.0 <= r.flood_probability <= 1.0 for r in a)
