@@ -25,6 +25,11 @@ def uniform_hash(seed: int, cols: Sequence[str]) -> Column:
     return F.pmod(h, F.lit(2 ** 53)).cast("double") / F.lit(_SPAN)
 
 
+def _margin(n: int) -> float:
+    """Rows expected to survive the hash threshold: n plus ten standard deviations."""
+    return n + 10 * math.sqrt(n) + 100
+
+
 def _rank(df: DataFrame, class_col: str, order_cols: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(class_col).orderBy("_u", *order_cols)
     return df.withColumn("_rank", F.row_number().over(w))
@@ -34,29 +39,35 @@ def stratified_sample(df: DataFrame, class_col: str, n: int, seed: int,
                       order_cols: Sequence[str]) -> DataFrame:
     """Up to ``n`` rows per class value (NULL class excluded), seeded.
 
-    Two passes over the input: class sizes, then threshold + rank.  The (bounded)
-    result is checkpointed and checked; a class that came up short - probability
-    about exp(-50) with this margin - is redone with the exact full ranking.
+    Pass 1: class sizes.  Pass 2: keep rows whose hash is under a per-class fraction
+    sized for n plus a wide margin, rank only those, checkpoint the (bounded) result.
+    A class that came up short (probability about exp(-50)) is redone with a 4x larger
+    fraction, and so on up to 1, so every ranking window stays proportional to the rows
+    kept and the result is exact.
     """
     from ..session import cut_lineage
     base = df.where(F.col(class_col).isNotNull()).withColumn("_u", uniform_hash(seed, order_cols))
     sizes = {r[0]: r[1] for r in base.groupBy(class_col).count().collect()}  # one row per class
     if not sizes:
         return base.drop("_u").limit(0)
-    margin = n + 10 * math.sqrt(n) + 100
-    thr = None
-    for c, cnt in sizes.items():
-        cond = F.when(F.col(class_col) == F.lit(c), F.lit(min(1.0, margin / cnt)))
-        thr = cond if thr is None else F.coalesce(thr, cond)
-    picked = cut_lineage(_rank(base.where(F.col("_u") < thr), class_col, order_cols)
-                         .where(F.col("_rank") <= n).drop("_u", "_rank"))
-    got = {r[0]: r[1] for r in picked.groupBy(class_col).count().collect()}
-    short = [c for c, cnt in sizes.items() if got.get(c, 0) < min(n, cnt)]
-    if not short:
-        return picked
-    exact = _rank(base.where(F.col(class_col).isin(short)), class_col, order_cols)
-    exact = exact.where(F.col("_rank") <= n).drop("_u", "_rank")
-    return picked.where(~F.col(class_col).isin(short)).unionByName(exact)
+    margin = _margin(n)
+    frac = {c: min(1.0, margin / cnt) for c, cnt in sizes.items()}
+    todo, done = list(sizes), None
+    while todo:
+        thr = None
+        for c in todo:
+            cond = F.when(F.col(class_col) == F.lit(c), F.lit(frac[c]))
+            thr = cond if thr is None else F.coalesce(thr, cond)
+        picked = cut_lineage(_rank(base.where(F.col(class_col).isin(todo) & (F.col("_u") < thr)),
+                                   class_col, order_cols).where(F.col("_rank") <= n).drop("_u", "_rank"))
+        got = {r[0]: r[1] for r in picked.groupBy(class_col).count().collect()}
+        short = [c for c in todo if got.get(c, 0) < min(n, sizes[c]) and frac[c] < 1.0]
+        ok = picked.where(~F.col(class_col).isin(short)) if short else picked
+        done = ok if done is None else done.unionByName(ok)
+        for c in short:
+            frac[c] = min(1.0, frac[c] * 4)
+        todo = short
+    return done
 
 
 def stratified_split(df: DataFrame, class_col: str, test_fraction: float, seed: int,

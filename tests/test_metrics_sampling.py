@@ -53,3 +53,11 @@ def test_split_and_folds_exact(spark):
     f = S.stratified_folds(sp.where("is_test = 0"), "cls", 5, 42, ["k"])
     sizes = [r["count"] for r in f.groupBy("cls", "fold").count().collect()]
     assert max(sizes) - min(sizes) <= 1
+
+
+def test_stratified_sample_shortfall_retry_is_exact(spark, monkeypatch):
+    df = spark.range(0, 30000).select((F.col("id") % 3 == 0).cast("int").alias("cls"), F.col("id").alias("k"))
+    want = sorted(r.k for r in S.stratified_sample(df, "cls", 700, 7, ["k"]).collect())
+    monkeypatch.setattr(S, "_margin", lambda n: n * 0.3)  # forces every class short on the first pass
+    got = sorted(r.k for r in S.stratified_sample(df, "cls", 700, 7, ["k"]).collect())
+    assert got == want and len(got) == 1400
