@@ -99,3 +99,19 @@ def test_reproject_known_values(spark):
     assert abs(r[0][0] - 20037508.342789244) < 1e-6 and abs(r[0][1]) < 1e-9
     assert abs(r[1][1] - 6378137.0 * math.log(math.tan(math.pi / 4 + math.radians(38.8) / 2))) < 1e-6
     assert abs(r[2][1] - 20037508.342789244) < 1.0  # clamped to the Mercator limit
+
+
+def test_python_months_between_matches_spark(spark):
+    import random
+    rng = random.Random(3)
+    base = dt.date(1990, 1, 1)
+    pairs = []
+    for _ in range(400):
+        a = base + dt.timedelta(days=rng.randint(0, 12000))
+        b = a + dt.timedelta(days=rng.randint(0, 3000))
+        pairs.append((a, b))
+    pairs += [(dt.date(2020, 1, 31), dt.date(2020, 2, 29)), (dt.date(2020, 1, 30), dt.date(2020, 2, 29))]
+    df = spark.createDataFrame(pairs, "s date, e date")
+    rows = df.select("s", "e", F.months_between("e", "s", False).alias("m")).collect()
+    for r in rows:
+        assert abs(D.months_between(r.e.isoformat(), r.s.isoformat()) - r.m) < 1e-9

@@ -59,3 +59,17 @@ def test_slope_flat_and_ramp(spark):
     got = {(x.row, x.col): x.slope for x in slope_degrees(df, dx=30.0, dy=30.0).collect()}
     assert got[(0, 0)] is None and got[(3, 3)] is None
     assert abs(got[(1, 1)] - np.degrees(np.arctan(6 / 60))) < 1e-9
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+from hypothesis.extra.numpy import arrays  # noqa: E402
+
+
+@settings(max_examples=60, deadline=None)
+@given(arrays(np.int64, st.tuples(st.integers(1, 9), st.integers(1, 9)), elements=st.integers(0, 2)),
+       st.integers(0, 2 ** 31 - 1))
+def test_component_sizes_property(values, seed):
+    present = np.random.default_rng(seed).random(values.shape) < 0.8
+    got = np.where(present, np.minimum(component_sizes(values, present), 10), 0)
+    assert (got == brute(values, present, 10)).all()
