@@ -71,12 +71,22 @@ class FloodMap:
         """Observations of valid scenes with their first cloud record (F1, P11, F5, J1)."""
         obs = C.filter_date(self.inp.s2_obs, self.s.pre_start, self.s.post_end)
         obs = C.clip(obs, self.s.aoi)
-        # Validity and first cloud record are resolved on the (small) scene table first,
-        # so each observation probes a single scene-level table once.
+        return obs.join(self.scene_table.select("scene_id", "probability"), "scene_id", "inner")
+
+    @cached_property
+    def scene_table(self) -> DataFrame:
+        """Valid scenes with their first cloud record, resolved on the (small) scene table,
+        so each observation probes one scene-level table once.  Scene time and footprint
+        filters apply here when the scene table carries ``ts`` / a bbox."""
+        sc = self.scenes_valid
+        if "ts" in sc.columns:
+            sc = C.filter_date(sc, self.s.pre_start, self.s.post_end)
+        if {"minx", "miny", "maxx", "maxy"} <= set(sc.columns):
+            sc = C.filter_bounds(sc, self.s.aoi)
+        keep = ["scene_id"] + (["ts"] if "ts" in sc.columns else [])
         cloud = self.inp.s2_cloud.select("scene_id", "probability")
-        scenes = C.save_first(self.scenes_valid.select("scene_id"), cloud, ["scene_id"], order=["probability"],
-                              outer=self.s.keep_unmatched_scenes)
-        return obs.join(scenes, "scene_id", "inner")
+        return C.save_first(sc.select(*keep), cloud, ["scene_id"], order=["probability"],
+                            outer=self.s.keep_unmatched_scenes)
 
     @cached_property
     def s2_tagged(self) -> DataFrame:
@@ -100,8 +110,16 @@ class FloodMap:
 
     @cached_property
     def counts(self) -> DataFrame:
-        """One row: n_pre, n_post (months with images), n_s1 (radar observations)."""
-        return X.month_counts(self.s2_tagged, PERIODS).crossJoin(
+        """One row: n_pre, n_post (months with images), n_s1 (radar observations).
+
+        With one timestamp per scene (real scene metadata) the months are counted on the
+        scene table; otherwise they are derived from the observations (two narrow columns).
+        """
+        if "ts" in self.scene_table.columns:
+            tagged = X.assign_months(self.scene_table.select("ts"), self.periods, self.s.inclusive_tail_month)
+        else:
+            tagged = self.s2_tagged
+        return X.month_counts(tagged, PERIODS).crossJoin(
             self.s1_filtered.agg(F.count(F.lit(1)).alias("n_s1")))
 
     # ---- radar ----------------------------------------------------------------

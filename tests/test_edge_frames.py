@@ -115,3 +115,16 @@ def test_zone_crs_reprojection_and_legacy_names(spark):
     assert [r["system:index"] for r in zg.outside.collect()] == ["b"]
     rep = zg.report(with_date=False)
     assert "model_flooded_outside_fema_count" in rep.columns and rep.first().model_flooded_outside_fema_count == 1
+
+
+def test_scene_level_month_counts_match_observation_counts(spark):
+    inp = _inputs(spark, prob=90, obs_days=("2021-03-05", "2021-03-20", "2022-07-01", "2024-06-01"))
+    by_obs = FloodMap(inp, S).counts.first()
+    scene_ts = inp.s2_obs.groupBy("scene_id").agg(F.min("ts").alias("ts"))
+    inp2 = FloodInputs(inp.s2_obs, inp.s2_scene.join(scene_ts, "scene_id"), inp.s2_cloud, inp.s1_obs, inp.px_static)
+    fm2 = FloodMap(inp2, S)
+    by_scene = fm2.counts.first()
+    assert (by_obs.n_pre, by_obs.n_post) == (by_scene.n_pre, by_scene.n_post) == (2, 1)
+    plan = fm2.counts._jdf.queryExecution().executedPlan().toString()
+    import re
+    assert not re.search(r"\bB4#\d+", plan)  # observation band columns are never read for the guard
