@@ -120,7 +120,8 @@ def test_zone_crs_reprojection_and_legacy_names(spark):
 def test_scene_level_month_counts_match_observation_counts(spark):
     inp = _inputs(spark, prob=90, obs_days=("2021-03-05", "2021-03-20", "2022-07-01", "2024-06-01"))
     by_obs = FloodMap(inp, S).counts.first()
-    scene_ts = inp.s2_obs.groupBy("scene_id").agg(F.min("ts").alias("ts"))
+    scene_ts = spark.createDataFrame(inp.s2_obs.groupBy("scene_id").agg(F.min("ts").alias("ts")).collect(),
+                                     "scene_id long, ts timestamp_ntz")
     inp2 = FloodInputs(inp.s2_obs, inp.s2_scene.join(scene_ts, "scene_id"), inp.s2_cloud, inp.s1_obs, inp.px_static)
     fm2 = FloodMap(inp2, S)
     by_scene = fm2.counts.first()
