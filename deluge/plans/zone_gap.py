@@ -8,6 +8,7 @@ predictions (.geo text, flood_predicted) --validate--> parse GeoJSON (native fro
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -161,22 +162,35 @@ def prediction_summary(predictions: DataFrame, geo_col: str = ".geo") -> DataFra
                   flooded.alias("flooded"))
 
 
+@dataclass
+class ZoneGapResult:
+    report: DataFrame
+    parse_stats: dict
+
+
 def run_analysis(predictions: DataFrame, zone_sources: Sequence[DataFrame], out_dir: str,
-                 settings: ZoneSettings = ZoneSettings()) -> DataFrame:
+                 settings: ZoneSettings = ZoneSettings()) -> ZoneGapResult:
     """The whole zone-gap job: validate, parse, select zones, anti-join, write outputs.
 
     Writes all_predictions (GeoJSON features), outside_fema (only when non-empty),
-    map_layers (parquet) and analysis_report (JSON); returns the report frame.
+    map_layers (parquet) and analysis_report (JSON); returns the report frame and the
+    parse statistics (success / failed) observed during the write.
     Unlike the reference, failures raise instead of being logged.
     """
+    from pyspark.sql import Observation
     validate(predictions)
     zg = ZoneGap(predictions, zone_sources, settings)
     if zg.gdf.isEmpty():
         raise ValueError("No valid geometries found")
     keep = [c for c in zg.gdf.columns if c not in (".geo",)]
-    SK.write_geojson(zg.gdf.select(*[F.col(f"`{c}`") for c in keep]), f"{out_dir}/all_predictions")
+    # Parse statistics ride along the full write of all predictions (no extra pass).
+    stats = Observation("parse_stats")
+    observed = zg.parsed.observe(stats, F.count_if(F.col("geometry").isNotNull()).alias("success"),
+                                 F.count_if(F.col("geometry").isNull()).alias("failed"))
+    SK.write_geojson(G.keep_valid(observed).select(*[F.col(f"`{c}`") for c in keep]), f"{out_dir}/all_predictions")
+    parse_stats = dict(stats.get)
     SK.write_geojson_if_any(zg.outside.select(*[F.col(f"`{c}`") for c in keep]), f"{out_dir}/outside_fema")
     zg.map_layers().write.mode("overwrite").parquet(f"{out_dir}/map_layers")
     report = zg.report()
     SK.write_report(report, f"{out_dir}/analysis_report")
-    return report
+    return ZoneGapResult(report, parse_stats)
