@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FIXTURE_SETTINGS, REQUIRED_BANDS
+from ..config import FIXTURE_SETTINGS, REQUIRED_BANDS, ModelSettings, ZoneSettings
+from ..functions import geometry as G
 from ..operators import collection as C
+from ..operators import metrics as MT
+from ..operators import ml as ML
+from ..operators import zones as Z
+from ..operators.sampling import stratified_folds
+from ..session import output_root
+from ..sources import files as FI
 from ..sources import fixtures
+from ..sources import sinks as SK
+from ..sources.tables import table
 from .flood_map import FloodMap, fixture_inputs
+from .zone_gap import ZoneGap, prediction_summary, run_analysis
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,10 +166,6 @@ def q_predictor_stack(spark, sf):
 
 
 # ---- steps 6-8: geometry, zones, spatial join, report ---------------------------------------------
-from ..config import ZoneSettings  # noqa: E402
-from ..functions import geometry as G  # noqa: E402
-from ..operators import zones as Z  # noqa: E402
-from .zone_gap import ZoneGap, prediction_summary  # noqa: E402
 
 
 def _zg(spark, sf) -> ZoneGap:
@@ -261,16 +269,7 @@ def q_prediction_summary(spark, sf):
 
 
 # ---- step 5 (rest): split, folds, grid snapping ---------------------------------------------------------
-import uuid  # noqa: E402
 
-from ..config import ModelSettings  # noqa: E402
-from ..operators import metrics as MT  # noqa: E402
-from ..operators import ml as ML  # noqa: E402
-from ..operators.sampling import stratified_folds  # noqa: E402
-from ..session import output_root  # noqa: E402
-from ..sources import files as FI  # noqa: E402
-from ..sources import sinks as SK  # noqa: E402
-from ..sources.tables import table  # noqa: E402
 
 MS = ModelSettings()
 
@@ -417,9 +416,7 @@ def q_raster_roundtrip(spark, sf):
 
 
 # ---- remaining sources, guards, limits and whole jobs ----------------------------------------------------
-from dataclasses import replace  # noqa: E402
 
-from .zone_gap import run_analysis  # noqa: E402
 
 
 @query
