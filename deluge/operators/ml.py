@@ -67,10 +67,15 @@ def build_pipeline(ms: ModelSettings, codes: list[int]) -> Pipeline:
         RandomForestClassifier(featuresCol="features", labelCol="_y", weightCol="_w", numTrees=ms.trees,
                                maxDepth=ms.max_depth, minInstancesPerNode=ms.min_leaf, seed=ms.seed,
                                featureSubsetStrategy="sqrt", probabilityCol="probability",
-                               maxMemoryInMB=512)])  # larger node groups: fewer passes per level
+                               # larger node groups: fewer passes per level; node ids cached per
+                               # row instead of shipping 200 deep trees every level (checkpointed
+                               # into spark.checkpoint.dir every 10 iterations)
+                               maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10)])
 
 
 def fit(df: DataFrame, ms: ModelSettings, codes: list[int] | None = None) -> PipelineModel:
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)  # the node-id cache checkpoints into the shared folder
     codes = fit_codes(df, ms.categorical) if codes is None else codes
     data = with_weights(df, ms.label).withColumn("_y", F.col(ms.label).cast("double"))
     return build_pipeline(ms, codes).fit(data)
