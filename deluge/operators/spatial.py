@@ -102,9 +102,13 @@ def spatial_join(left: DataFrame, right: DataFrame, how: str = "inner", left_geo
             L.join(grid, on_grid, "left_anti").join(big, _condition(), "left_semi"))
         return hit.select(*[q(c) for c in lcols])
 
-    def pairs(r, cond):
-        return L.join(r, cond, "inner").select(*[L[q(c)] for c in lcols], *[r[q(c)] for c in rpay],
-                                               r["_r_geom"].alias("right_geometry"))
+    def pairs(r, cond, how_="inner"):
+        return L.join(r, cond, how_).select(*[L[q(c)] for c in lcols], *[r[q(c)] for c in rpay],
+                                            r["_r_geom"].alias("right_geometry"))
+    if how == "left" and big is None:
+        # One cell per left row: a single left outer join yields the pairs and, for rows
+        # without a partner, one row of NULLs - one pass over the left side.
+        return pairs(grid, on_grid, "left")
     out = pairs(grid, on_grid)
     if big is not None:
         out = out.unionByName(pairs(big, _condition()))

@@ -150,3 +150,11 @@ def test_random_squares_vs_polygons_reference(spark):
         if any(_poly_hit(ring, z) for z in polys):
             want.add(i)
     assert got == want
+
+
+def test_left_join_pairs_plus_unmatched(spark):
+    z = _zones(spark, [("A", (0.0, 0.0, 4.0, 4.0)), ("AE", (3.0, 3.0, 6.0, 6.0))])
+    p = _points(spark, [(3.5, 3.5), (1.0, 1.0), (9.0, 9.0)])
+    for kw in ({}, {"max_cells_per_zone": 1}):
+        rows = sorted((r.id, r.zone_id) for r in SP.spatial_join(p, z, "left", left_geom="geometry", **kw).collect())
+        assert rows == [("0", 0), ("0", 1), ("1", 0), ("2", None)]
