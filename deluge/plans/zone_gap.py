@@ -174,23 +174,23 @@ def run_analysis(predictions: DataFrame, zone_sources: Sequence[DataFrame], out_
 
     Writes all_predictions (GeoJSON features), outside_fema (only when non-empty),
     map_layers (parquet) and analysis_report (JSON); returns the report frame and the
-    parse statistics (success / failed) observed during the write.
+    parse statistics (success / failed).
     Unlike the reference, failures raise instead of being logged.
     """
-    from pyspark.sql import Observation
     validate(predictions)
     zg = ZoneGap(predictions, zone_sources, settings)
     if zg.gdf.isEmpty():
         raise ValueError("No valid geometries found")
     keep = [c for c in zg.gdf.columns if c not in (".geo",)]
-    # Parse statistics ride along the full write of all predictions (no extra pass).
-    stats = Observation("parse_stats")
-    observed = zg.parsed.observe(stats, F.count_if(F.col("geometry").isNotNull()).alias("success"),
-                                 F.count_if(F.col("geometry").isNull()).alias("failed"))
-    SK.write_geojson(G.keep_valid(observed).select(*[F.col(f"`{c}`") for c in keep]), f"{out_dir}/all_predictions")
-    parse_stats = dict(stats.get)
+    SK.write_geojson(zg.gdf.select(*[F.col(f"`{c}`") for c in keep]), f"{out_dir}/all_predictions")
     SK.write_geojson_if_any(zg.outside.select(*[F.col(f"`{c}`") for c in keep]), f"{out_dir}/outside_fema")
     zg.map_layers().write.mode("overwrite").parquet(f"{out_dir}/map_layers")
     report = zg.report()
     SK.write_report(report, f"{out_dir}/analysis_report")
+    # Parse statistics from the written (one-row) report and a plain row count (no
+    # parsing; parquet answers it from footers).  DataFrame.observe is avoided on purpose:
+    # in Spark 4.1 a used Observation makes the session unserialisable, which breaks
+    # closures that capture it (e.g. scoring with a freshly fitted forest).
+    valid = report.sparkSession.read.json(f"{out_dir}/analysis_report").first()["total_areas_analyzed"]
+    parse_stats = {"success": int(valid), "failed": int(predictions.count() - valid)}
     return ZoneGapResult(report, parse_stats)

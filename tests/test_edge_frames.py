@@ -131,7 +131,7 @@ def test_scene_level_month_counts_match_observation_counts(spark):
     assert not re.search(r"\bB4#\d+", plan)  # observation band columns are never read for the guard
 
 
-def test_zone_gap_job_parse_stats_by_observation(spark, tmp_path):
+def test_zone_gap_job_parse_stats(spark, tmp_path):
     from deluge.plans.zone_gap import run_analysis
     p = _preds(spark, [("a", 1, '{"type":"Point","coordinates":[1,1]}'), ("b", 0, "{oops"), ("c", 1, None)])
     res = run_analysis(p, [], str(tmp_path / "out"))
