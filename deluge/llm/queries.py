@@ -9,6 +9,8 @@ from deluge.llm.common import ship
 
 #: Sequence length of the packed output and the limit that token counts are held against.
 SEQUENCE_TOKENS = 2048
+#: SimHash near-dedup: words of a shingle and the most bits two linked fingerprints differ in.
+SIMHASH_SHINGLE, SIMHASH_BITS = 4, 4
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -32,9 +34,27 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE_TOKENS)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deluge.llm.substring_dedup import report
+    return report(_table(spark, sf_dir, "documents"), window=13)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deluge.llm.simhash import near_duplicates
+    return near_duplicates(_table(spark, sf_dir, "documents"), SIMHASH_SHINGLE, SIMHASH_BITS)
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deluge.llm.suffix_dedup import report
+    return report(_table(spark, sf_dir, "documents"), window=400)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_packing": op3_packing,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_simhash": op6_simhash,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {}
