@@ -9,8 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from deluge.llm.common import cut, ship
+from deluge.llm.decontaminate import keep_clean
 from deluge.llm.packing import pack
-from deluge.llm.queries import SEQUENCE_TOKENS, tokenizer_path
+from deluge.llm.quality import keep_good
+from deluge.llm.queries import SEQUENCE_TOKENS, SIMHASH_BITS, SIMHASH_SHINGLE, tokenizer_path
+from deluge.llm.simhash import keep_one, near_duplicates
+from deluge.llm.substring_dedup import remove
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the trees reject go."""
+    ship(spark)
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    ship(spark)
+    return keep_one(docs, near_duplicates(docs, SIMHASH_SHINGLE, SIMHASH_BITS))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 13 words and more stay in the first document that has them."""
+    ship(spark)
+    return remove(docs, window=13)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    ship(spark)
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +48,10 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
     ("best-fit packing", best_fit_packing),
 ]
 

@@ -11,6 +11,9 @@ from deluge.llm.common import ship
 SEQUENCE_TOKENS = 2048
 #: SimHash near-dedup: words of a shingle and the most bits two linked fingerprints differ in.
 SIMHASH_SHINGLE, SIMHASH_BITS = 4, 4
+#: URL rules (host and path prefix, verdict); the longest that fits decides.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
+             ("com/fr/", "allow"), ("com/de/", "block")]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -49,12 +52,48 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), window=400)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deluge.llm.url_filter import judge
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deluge.llm.sharding import shard_documents
+    return shard_documents(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deluge.llm.decontaminate import contaminated
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deluge.llm.chat import digest, format_turns
+    own = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
+                                "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    path = tokenizer_path("byte_bpe_50k.json")
+    return digest(format_turns(turns, path), path)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deluge.llm.quality import report
+    return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
+    "op4_sharding": op4_sharding,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash": op6_simhash,
+    "op7_decontamination": op7_decontamination,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_quality_rules": op10_quality_rules,
 }
 
+#: None of the ten is expressible in SQL over whole tables in reasonable time (tokenizers, fitted
+#: models, bit traversal, byte windows); tests/llm hold each against brute force instead.
 ORACLES: dict[str, str] = {}

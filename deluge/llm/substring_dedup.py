@@ -16,6 +16,7 @@ import hashlib
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,8 +177,7 @@ def remove(docs: DataFrame, window: int = 13) -> DataFrame:
         F.col("tid").alias("__tid"), F.col("first").alias("__first"), F.col("spans").alias("__spans"))
 
     @F.pandas_udf("string")
-    def kept(text: "pd.Series", later: "pd.Series", found: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
+    def kept(text: pd.Series, later: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else without_spans(t, bool(x), s, window)
                           for t, x, s in zip(text, later, found)], dtype=object)
 
