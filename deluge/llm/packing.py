@@ -37,18 +37,20 @@ class IdStream:
     def _clear(self):
         self.index: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
-        self.starts, self.lengths, self.used, self._flat = [], [], 0, None
+        self.starts, self.lengths, self.used = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), 0
 
     def _add(self, pretoken: str) -> int:
         got = self.text.pieces(pretoken)
         if self.used + len(got) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(got)), np.uint32)])
         self.ids[self.used:self.used + len(got)] = got
-        self.starts.append(self.used)
-        self.lengths.append(len(got))
+        i = len(self.index)
+        if i == len(self.starts):
+            self.starts = np.concatenate([self.starts, np.empty(i, np.int64)])
+            self.lengths = np.concatenate([self.lengths, np.empty(i, np.int64)])
+        self.starts[i], self.lengths[i] = self.used, len(got)
         self.used += len(got)
-        self.index[pretoken] = i = len(self.index)
-        self._flat = None
+        self.index[pretoken] = i
         return i
 
     def encode(self, text: str) -> np.ndarray:
@@ -62,10 +64,8 @@ class IdStream:
                 if i < 0:
                     p = pretokens[k]
                     at[k] = index[p] if p in index else self._add(p)
-        if self._flat is None:
-            self._flat = np.array(self.starts, np.int64), np.array(self.lengths, np.int64)
         at = np.array(at, np.int64)
-        starts, lengths = self._flat[0][at], self._flat[1][at]
+        starts, lengths = self.starts[at], self.lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
