@@ -2,9 +2,8 @@
 
 Pass 1 gathers every distinct pre-token with its corpus frequency (per-task dictionaries,
 then one hash aggregate) and counts its pieces.  Pass 2 counts each document's pre-tokens.
-A pre-token is *frequent* when it makes up at least 1/``frequent`` of all pre-tokens; there
-are at most ``frequent`` of those whatever the corpus, so their piece counts travel as a
-bounded broadcast and a hot word never reaches a shuffle.  All rarer pre-tokens are joined
+The most frequent pre-tokens, at most ``frequent`` of them whatever the corpus, have their
+piece counts sent along as a bounded broadcast, so a hot word never reaches a shuffle.  All rarer pre-tokens are joined
 by a shuffle on the pre-token, and the products are summed per document.  No id is ever
 materialised.
 """
@@ -52,7 +51,23 @@ def vocabulary(docs: DataFrame, json_text: str) -> DataFrame:
     return freq.mapInArrow(count, "pretoken string, freq long, pieces long")
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, frequent: int = 65_536,
+def _least_frequent(words: DataFrame, frequent: int) -> int:
+    """The frequency from which on there are at most ``frequent`` pre-tokens.
+
+    Found on a logarithmic histogram of a few hundred rows, so nothing is sorted or collected.
+    """
+    step = F.floor(F.log2("freq") * 16)
+    rows = words.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("freq").alias("least")).collect()
+    taken, least = 0, 1 << 62
+    for r in sorted(rows, key=lambda r: -r["step"]):
+        taken += r["n"]
+        if taken > frequent:
+            break
+        least = r["least"]
+    return least
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, frequent: int = 200_000,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, n_bytes, n_tokens) per input row.
 
@@ -63,10 +78,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, frequent: int = 65_536,
     spark = docs.sparkSession
     json_text = tokenizer_json(tokenizer_path)
     words = cut(vocabulary(docs, json_text))
-    total = words.agg(F.sum("freq")).first()[0] or 0
-    hot = dict(words.where(F.col("freq") * F.lit(frequent) >= F.lit(total)).select("pretoken", "pieces").toPandas()
-               .itertuples(index=False, name=None))
-    sent = spark.sparkContext.broadcast((json_text, {p: int(n) for p, n in hot.items()}))
+    least = _least_frequent(words, frequent)
+    hot = (words.where(F.col("freq") >= F.lit(least)).select("pretoken", "pieces").toPandas()
+           .itertuples(index=False, name=None))
+    sent = spark.sparkContext.broadcast((json_text, {p: int(n) for p, n in hot}))
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_bytes", pa.int64()),
                         ("known", pa.int64()), ("pretoken", pa.string()), ("freq", pa.int64())])
 
@@ -92,7 +107,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, frequent: int = 65_536,
         yield from batches_of(per_document(rows_of(batches, "doc_id", "text")), schema)
 
     parts = docs.mapInArrow(run, "doc_id long, digest long, n_bytes long, known long, pretoken string, freq long")
-    rare_words = words.where(F.col("freq") * F.lit(frequent) < F.lit(total)).select("pretoken", "pieces")
+    rare_words = words.where(F.col("freq") < F.lit(least)).select("pretoken", "pieces")
     joined = parts.join(rare_words, "pretoken", "left")
     per_doc = joined.groupBy("doc_id", "digest").agg(
         F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("rows"),
