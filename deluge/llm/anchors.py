@@ -30,7 +30,7 @@ from deluge.llm.common import batches_of, cut, rows_of
 
 _POS_BITS = 24
 _POS = np.uint64((1 << _POS_BITS) - 1)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD, _FULL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Texts are cut into overlapping stretches of so many units, to bound a task's memory.
 STRETCH = 1 << 21
 #: Stands for a null id: no document is smaller because of it.
@@ -83,10 +83,10 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
     while True:
         if width & size:
             if out is None:
-                out, done, shift = power, size, None
+                out, done = power, size
             else:  # append `size` further units to those hashed so far
                 n = len(out) - size
-                out = out[:n] * factor + power[done:done + n]
+                out = out[:n] * np.uint64(factor) + power[done:done + n]
                 done += size
         size *= 2
         if size > width:
@@ -94,8 +94,8 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
         n = len(power) - size // 2
         if n <= 0:
             return np.empty(0, np.uint64)
-        power = power[:n] * factor + power[size // 2:size // 2 + n]
-        factor = factor * factor
+        power = power[:n] * np.uint64(factor) + power[size // 2:size // 2 + n]
+        factor = factor * factor & _FULL
     out = out[:max(0, len(h) - width + 1)]
     out = out ^ (out >> np.uint64(29))
     out = out * np.uint64(0xBF58476D1CE4E5B9)

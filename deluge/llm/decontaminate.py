@@ -5,7 +5,8 @@ spans ``SPAN`` tokens and ignores some of them, so a substituted token under an
 leaves the hash as it is; the three masks together keep at least one hash alive for every
 choice of two substitutions in ``OVERLAP`` aligned tokens.  Hashes of benchmark and documents
 are joined, and every hit is verified on the tokens around it: an aligned stretch of
-``OVERLAP`` tokens (the whole item, if shorter) with at most ``substitutions`` differing.
+``OVERLAP`` tokens with at most ``substitutions`` differing.  A shorter item must occur
+whole and unchanged.
 
 The benchmark is the query set: it is taken in blocks of bounded size, and a bitmap of a
 block's hashes, sent to the tasks, lets only possible hits of the documents into the join.
@@ -43,8 +44,8 @@ def tokens(text: str | None) -> np.ndarray:
 
 
 def masks_for(n_tokens: int) -> list[np.ndarray]:
-    """Places each mask looks at; an item shorter than a mask is taken whole."""
-    if n_tokens >= SPAN:
+    """Places each mask looks at; an item shorter than ``OVERLAP`` is taken whole."""
+    if n_tokens >= OVERLAP:
         return [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == ord("1")) for m in MASKS]
     return [np.arange(n_tokens)] if n_tokens >= LEAST else []
 
@@ -111,14 +112,14 @@ def _bitmap(block: DataFrame) -> bytes:
 def hits(docs: DataFrame, block: DataFrame) -> DataFrame:
     """Verified rows (row key, item_id, place, agree, length) for one benchmark block."""
     spark = docs.sparkSession
-    short = sorted({r[0] for r in block.where(F.col("n") < SPAN).select("n").distinct().collect()})
+    short = sorted({r[0] for r in block.where(F.col("n") < OVERLAP).select("n").distinct().collect()})
     sent = spark.sparkContext.broadcast((_bitmap(block), short))
     schema = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("d_place", pa.int32()),
                         ("d_context", pa.binary())])
 
     def rows(batches):
         bitmap, short = np.frombuffer(sent.value[0], np.uint8), sent.value[1]
-        masks = masks_for(SPAN) + [np.arange(n) for n in short]
+        masks = masks_for(OVERLAP) + [np.arange(n) for n in short]
         for doc_id, text in rows_of(batches, "doc_id", "text"):
             h = tokens(text)
             for mask in masks:
@@ -138,10 +139,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, substitutions: int = 2)
     """(doc_id, item_id, n_hits, agree, place): one row per document and benchmark item it holds.
 
     ``agree`` is the most equal tokens in a verified stretch, ``place`` the first verified
-    place in the document, in tokens.  An item of fewer than ``OVERLAP`` tokens must occur as
-    a whole (from ``SPAN`` tokens on with substitutions), one of fewer than ``LEAST`` is not
-    searched.  Null texts and ids: no tokens; a null id is reported as it is.  Rows of one id
-    count as one document.
+    place in the document, in tokens.  An item of fewer than ``OVERLAP`` tokens must occur
+    whole and unchanged, one of fewer than ``LEAST`` is not searched.  Null texts have no
+    tokens; null ids are reported as they are.  Rows of one id count as one document.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("place", pa.int32()), ("agree", pa.int32())])
@@ -152,7 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, substitutions: int = 2)
                     batches, "doc_id", "item_id", "n", "width", "d_place", "d_context", "i_context"):
                 length = min(OVERLAP, n)
                 agree = agreement(d, i, length, width)
-                if agree >= length - (substitutions if n >= SPAN else 0):
+                if agree >= length - (substitutions if n >= OVERLAP else 0):
                     yield doc_id, item, place, agree
         yield from batches_of(rows(), schema)
 
