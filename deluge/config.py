@@ -6,7 +6,7 @@ stated plainly and together.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 # ---- fixed values (must match the reference tool) ---------------------------
 REQUIRED_BANDS = ["B3", "B4", "B8", "B11", "B12"]
@@ -46,9 +46,29 @@ FEATURES = ["ndwi_post", "mndwi_post", "awei_post", "VV",
             "elevation", "slope", "Map", "jrc_seasonality"]
 LABEL = "flood"
 BALTIMORE_AOI = (-77.3, 38.8, -76.0, 39.7)
+# Days in a month when the length of a period is turned into months.
+DAYS_PER_MONTH = 30.436875
+# Names of the four stage-1 outputs; the post-period start date follows.
+OUTPUT_NAMES = {"flood_mask": "flood_mask_final", "samples": "FloodSamples",
+                "change_map": "changeMap", "predictors": "predictors"}
 # ------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Grid:
+    """Where pixel (row, col) lies: centre x = origin_x + (col + 0.5) * step_x, y likewise.
+
+    The default puts pixel centres at x = col, y = row.  For a north-up raster give the
+    upper-left corner and a negative ``step_y``.
+    """
+
+    origin_x: float = -0.5
+    origin_y: float = -0.5
+    step_x: float = 1.0
+    step_y: float = 1.0
+    crs: str = INITIAL_CRS
+
+
 @dataclass(frozen=True)
 class FloodSettings:
     """Stage-1 (flood map extraction) parameters."""
@@ -59,8 +79,10 @@ class FloodSettings:
     post_end: str = "2024-12-31"
     cloud_threshold: int = CLOUD_PROBABILITY_THRESHOLD
     scale: float = EXPORT_SCALE_M
-    # [west, south, east, north] in the pixel frame's x/y units; None = no clip.
-    aoi: tuple | None = BALTIMORE_AOI
+    grid: Grid = field(default_factory=Grid)
+    # [west, south, east, north] in the grid's units, for pixels, footprints and area alike;
+    # None = everything (BALTIMORE_AOI is the reference area, for a grid in degrees).
+    aoi: tuple | None = None
     ndwi_threshold: float = NDWI_THRESHOLD
     mndwi_threshold: float = MNDWI_THRESHOLD
     awei_threshold: float = AWEI_THRESHOLD
@@ -77,7 +99,8 @@ class FloodSettings:
     # 'water' = radar water flag in samples (reference default), 'db' = raw backscatter.
     sample_vv: str = "water"
     tile_size: int = 256
-    max_pixels: float = 1e9
+    # Largest raster export; None = no limit (opt in, as an export quota).
+    max_pixels: float | None = None
 
 
 @dataclass(frozen=True)
@@ -109,6 +132,8 @@ class ModelSettings:
     features: tuple = tuple(FEATURES)
     label: str = LABEL
     categorical: str = "Map"
+    # Most category codes to one-hot; None = as many as there are.
+    max_codes: int | None = None
 
 
 # Dates used against the driver's TPC-H-style tables (ship dates 1992-1998+).

@@ -2,35 +2,35 @@
 
 from __future__ import annotations
 
-import calendar
 import datetime as dt
 import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..config import DAYS_PER_MONTH
+
 
 def _parse(d: str) -> dt.date:
     return dt.date.fromisoformat(d)
 
 
 def months_between(end: str, start: str) -> float:
-    """Fractional months, the rule of Spark's ``months_between`` for dates."""
-    e, s = _parse(end), _parse(start)
-    whole = (e.year - s.year) * 12 + (e.month - s.month)
-    e_last = e.day == calendar.monthrange(e.year, e.month)[1]
-    s_last = s.day == calendar.monthrange(s.year, s.month)[1]
-    if e.day == s.day or (e_last and s_last):
-        return float(whole)
-    return whole + (e.day - s.day) / 31.0
+    """Length of a period in average months."""
+    return (_parse(end) - _parse(start)).days / DAYS_PER_MONTH
 
 
 def month_count(start: str, end: str, inclusive_tail: bool = True) -> int:
-    """Number of month windows: 0..round(diff) inclusive (reference default)."""
+    """Number of month windows: 0..round(difference) inclusive (reference default)."""
     n = int(math.floor(months_between(end, start) + 0.5))
     return n + 1 if inclusive_tail else max(n, 0)
 
 
+def epoch_millis(ts: Column) -> Column:
+    """Milliseconds since 1970-01-01 UTC of a timestamp without zone."""
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
 def half_open(ts: Column, start: str, end: str) -> Column:
     """start <= ts < end (the platform's filterDate)."""
     return (ts >= F.lit(start).cast("timestamp_ntz")) & (ts < F.lit(end).cast("timestamp_ntz"))

@@ -1,9 +1,10 @@
 """Geometry as plain Spark columns.
 
 A geometry is ``struct<type: string, parts: array<array<array<array<double>>>>>``:
-parts -> rings -> points -> [x, y].  A Point is one part with one ring of one point.
-Predicates are SQL higher-order functions (``exists``/``aggregate``/``transform``),
-so they run inside whole-stage code generation with no Python in the loop.
+parts -> rings -> points -> [x, y].  A point is one part with one ring of one point, a line
+one part with one ring of its vertices.  Predicates are SQL higher-order functions
+(``exists``/``aggregate``/``transform``): they run in the JVM, interpreted per row (Spark does
+not generate code for them), with no Python in the loop.
 """
 
 from __future__ import annotations
@@ -19,13 +20,19 @@ EARTH_RADIUS_M = 6378137.0
 MERCATOR_MAX_LAT = 85.0511287798066
 
 
+def _brackets(text: Column) -> Column:
+    """Python tuples as JSON arrays: round brackets squared, commas before a closing one dropped."""
+    return F.regexp_replace(F.translate(text, "()", "[]"), r",(\s*\])", "$1")
+
+
 def with_geometry(df: DataFrame, text: Column, out: str = "geometry", python_literals: bool = True,
                   strict: bool = False) -> DataFrame:
     """Add geometry column ``out`` parsed from GeoJSON text.
 
     Robust mode: NULL/empty -> NULL; JSON; Python-literal dict (single quotes, tuples)
-    as fallback; anything else (bad text, unknown type) -> NULL.  ``strict=True`` accepts
-    only ``{...}`` JSON with double quotes.  Each ``from_json`` is its own projected
+    as fallback, with the trailing commas Python prints; anything else -> NULL: bad text,
+    empty or malformed coordinates, and GeometryCollection, which holds no coordinates of its
+    own.  All six coordinate types of GeoJSON are kept.  ``strict=True`` accepts only ``{...}`` JSON with double quotes.  Each ``from_json`` is its own projected
     column, so it runs once per row (Catalyst does not inline a non-cheap expression
     that is referenced several times).
     """
@@ -38,22 +45,35 @@ def with_geometry(df: DataFrame, text: Column, out: str = "geometry", python_lit
     d = d.withColumn("_g_raw", F.from_json("_g_t", _RAW_DDL, opts))
     if python_literals and not strict:
         d = d.withColumn("_g_raw", F.when(F.col("_g_raw.type").isNull() & F.col("_g_t").isNotNull(),
-                                          F.from_json(F.translate("_g_t", "()", "[]"), _RAW_DDL, opts))
+                                          F.from_json(_brackets(F.col("_g_t")), _RAW_DDL, opts))
                                     .otherwise(F.col("_g_raw")))
     typ, coords = F.col("_g_raw.type"), F.col("_g_raw.coordinates")
-    d = d.withColumns({
-        "_g_pt": F.when(typ == "Point", F.from_json(coords, "array<double>")),
-        "_g_poly": F.when(typ == "Polygon", F.from_json(coords, "array<array<array<double>>>")),
-        "_g_multi": F.when(typ == "MultiPolygon", F.from_json(coords, "array<array<array<array<double>>>>")),
-    })
-    pt, poly, multi = F.col("_g_pt"), F.col("_g_poly"), F.col("_g_multi")
-    pt_ok = (F.size(pt) >= 2) & F.forall(pt, lambda v: v.isNotNull())
-    parts = (F.when(pt.isNotNull() & pt_ok, F.array(F.array(F.array(F.slice(pt, 1, 2)))))
-              .when(poly.isNotNull() & (F.size(poly) > 0), F.array(poly))
-              .when(multi.isNotNull() & (F.size(multi) > 0), multi))
+    depths = {"Point": 1, "MultiPoint": 2, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
+    raw = {}
+    for depth in sorted(set(depths.values())):
+        kinds = [k for k, v in depths.items() if v == depth]
+        raw[f"_g_{depth}"] = F.when(typ.isin(kinds), F.from_json(coords, "array<" * depth + "double" + ">" * depth))
+    d = d.withColumns(raw)
+    parts = F.expr("""CASE _g_raw.type
+        WHEN 'Point' THEN array(array(array(_g_1)))
+        WHEN 'MultiPoint' THEN transform(_g_2, p -> array(array(p)))
+        WHEN 'LineString' THEN array(array(_g_2))
+        WHEN 'MultiLineString' THEN transform(_g_3, l -> array(l))
+        WHEN 'Polygon' THEN array(_g_3)
+        WHEN 'MultiPolygon' THEN _g_4 END""")
     d = d.withColumn("_g_parts", parts)
-    geom = F.when(F.col("_g_parts").isNotNull(), F.struct(typ.alias("type"), F.col("_g_parts").alias("parts")))
-    return d.withColumn(out, geom).drop("_g_t", "_g_raw", "_g_pt", "_g_poly", "_g_multi", "_g_parts")
+    # Every vertex two numbers; a line two vertices, a ring three; no empty part or ring.
+    least = "CASE WHEN _g_raw.type LIKE '%Polygon' THEN 3 WHEN _g_raw.type LIKE '%LineString' THEN 2 ELSE 1 END"
+    sound = F.expr(f"""size(_g_parts) > 0 AND forall(_g_parts, part -> coalesce(size(part) > 0 AND forall(part, ring ->
+        coalesce(size(ring) >= {least} AND forall(ring, v -> coalesce(size(v) >= 2 AND get(v, 0) IS NOT NULL
+        AND get(v, 1) IS NOT NULL, false)), false)), false))""")
+    # Only x and y are kept; an open ring is closed.
+    clean = F.expr("""transform(_g_parts, part -> transform(part, ring -> CASE
+        WHEN _g_raw.type LIKE '%Polygon' AND slice(element_at(ring, 1), 1, 2) != slice(element_at(ring, -1), 1, 2)
+        THEN transform(concat(ring, array(element_at(ring, 1))), v -> slice(v, 1, 2))
+        ELSE transform(ring, v -> slice(v, 1, 2)) END))""")
+    geom = F.when(F.coalesce(sound, F.lit(False)), F.struct(typ.alias("type"), clean.alias("parts")))
+    return d.withColumn(out, geom).drop("_g_t", "_g_raw", *raw, "_g_parts")
 
 
 def keep_valid(df: DataFrame, geom: str = "geometry") -> DataFrame:
@@ -94,13 +114,19 @@ def bbox(geom: str) -> dict[str, Column]:
 
 
 def edges(geom: str) -> Column:
-    """array<array<double>> of segments [ax, ay, bx, by] over every ring."""
+    """array<array<double>> of segments [ax, ay, bx, by] over every ring; a point is a segment of length 0."""
     return F.expr(
         f"flatten(transform(flatten(`{geom}`.parts), r -> "
-        f"CASE WHEN size(r) < 2 THEN array() ELSE "
+        f"CASE WHEN size(r) = 1 THEN array(array(r[0][0], r[0][1], r[0][0], r[0][1])) ELSE "
         f"transform(sequence(0, size(r) - 2), i -> array(r[i][0], r[i][1], r[i + 1][0], r[i + 1][1])) END))")
 
 
+def area_edges(geom: str, edges_col: str) -> Column:
+    """The segments that bound an area: those of polygons."""
+    return F.when(F.col(f"`{geom}`.type").isin("Polygon", "MultiPolygon"), F.col(edges_col)).otherwise(
+        F.array().cast("array<array<double>>"))
+
+
 def anchors(geom: str) -> Column:
     """One vertex per part (enough for containment tests once no edges cross)."""
     return F.expr(f"transform(`{geom}`.parts, p -> p[0][0])")
@@ -135,10 +161,11 @@ def _segments_touch(e: str, f: str) -> str:
             f"greatest({e}[1], {e}[3]) >= least({f}[1], {f}[3]) AND greatest({f}[1], {f}[3]) >= least({e}[1], {e}[3]))")
 
 
-def intersects_sql(edges_a: str, anchors_a: str, edges_b: str, anchors_b: str) -> str:
-    """Boundary-inclusive intersects for points/polygons given edges and anchors."""
-    return (f"(exists({anchors_a}, pa -> {_point_in(edges_b, 'pa', 'b')}) OR "
-            f"exists({anchors_b}, pb -> {_point_in(edges_a, 'pb', 'a')}) OR "
+def intersects_sql(edges_a: str, anchors_a: str, edges_b: str, anchors_b: str,
+                   area_a: str | None = None, area_b: str | None = None) -> str:
+    """Boundary-inclusive intersects given edges, anchors and the edges that bound areas."""
+    return (f"(exists({anchors_a}, pa -> {_point_in(area_b or edges_b, 'pa', 'b')}) OR "
+            f"exists({anchors_b}, pb -> {_point_in(area_a or edges_a, 'pb', 'a')}) OR "
             f"exists({edges_a}, ea -> exists({edges_b}, eb -> {_segments_touch('ea', 'eb')})))")
 
 
@@ -171,14 +198,43 @@ def mercator_y(lat: Column) -> Column:
 
 def to_geojson(geom: Column) -> Column:
     """Geometry struct -> GeoJSON geometry text."""
-    parts = geom.getField("parts")
-    coords = (F.when(geom.getField("type") == "Point", F.to_json(parts[0][0][0]))
-               .when(geom.getField("type") == "Polygon", F.to_json(parts[0]))
+    parts, kind = geom.getField("parts"), geom.getField("type")
+    coords = (F.when(kind == "Point", F.to_json(parts[0][0][0]))
+               .when(kind == "MultiPoint", F.to_json(F.transform(parts, lambda p: p[0][0])))
+               .when(kind == "LineString", F.to_json(parts[0][0]))
+               .when(kind == "MultiLineString", F.to_json(F.transform(parts, lambda p: p[0])))
+               .when(kind == "Polygon", F.to_json(parts[0]))
                .otherwise(F.to_json(parts)))
     return F.when(geom.isNotNull(),
                   F.concat(F.lit('{"type":"'), geom.getField("type"), F.lit('","coordinates":'), coords, F.lit("}")))
 
 
+def snap_to_grid(df: DataFrame, id_col: str, scale: float, geom: str = "geometry") -> DataFrame:
+    """(cell_row, cell_col, id, n): per grid cell the geometry whose bbox centre is nearest to the cell's.
+
+    Every geometry type counts by the centre of its bbox (a point by itself); ties go to the
+    smaller id.
+    """
+    bb = bbox(geom)
+    d = df.select(id_col, ((bb["minx"] + bb["maxx"]) / 2).alias("_x"), ((bb["miny"] + bb["maxy"]) / 2).alias("_y"))
+    d = d.withColumns({"cell_row": F.floor(F.col("_y") / scale), "cell_col": F.floor(F.col("_x") / scale)})
+    d2 = ((F.col("_x") - (F.col("cell_col") * scale + scale / 2)) ** 2
+          + (F.col("_y") - (F.col("cell_row") * scale + scale / 2)) ** 2)
+    return d.groupBy("cell_row", "cell_col").agg(
+        F.min_by(F.col(f"`{id_col}`"), F.struct(d2, F.col(f"`{id_col}`"))).alias(id_col), F.count(F.lit(1)).alias("n"))
+
+
+def sphere_rectangle_area(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """Area of a lon/lat rectangle on a sphere, km^2."""
+    return (F.lit(EARTH_RADIUS_M ** 2) * F.radians(maxx - minx)
+            * (F.sin(F.radians(maxy)) - F.sin(F.radians(miny))) / F.lit(1e6))
+
+
+def authority_code(crs: Column) -> Column:
+    """Numeric code of a CRS name such as ``EPSG:3857``; NULL without one."""
+    return F.nullif(F.regexp_extract(crs, r":(\d+)$", 1), F.lit("")).cast("int")
+
+
 def sphere_rectangle_area_km2(w: float, s: float, e: float, n: float, radius_m: float = EARTH_RADIUS_M) -> float:
     """Area of a lon/lat rectangle on a sphere, km^2."""
     return radius_m ** 2 * math.radians(e - w) * (math.sin(math.radians(n)) - math.sin(math.radians(s))) / 1e6

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import REFLECTANCE_SCALE, REQUIRED_BANDS
+from ..config import REFLECTANCE_SCALE, REQUIRED_BANDS, Grid
 from ..functions.dates import half_open
 
 
@@ -36,12 +37,26 @@ def filter_bounds(df: DataFrame, aoi: Sequence[float] | None, prefix: str = "")
     return df.where((c("minx") <= e) & (c("maxx") >= w) & (c("miny") <= n) & (c("maxy") >= s))
 
 
-def clip(df: DataFrame, aoi: Sequence[float] | None, x: str = "col", y: str = "row") -> DataFrame:
-    """Drop pixels whose centre lies outside the AOI."""
+def pixel_centre(grid: Grid, row: str = "row", col: str = "col") -> tuple[Column, Column]:
+    """x and y of a pixel's centre in the grid's units."""
+    return (F.lit(grid.origin_x) + (F.col(col) + F.lit(0.5)) * F.lit(grid.step_x),
+            F.lit(grid.origin_y) + (F.col(row) + F.lit(0.5)) * F.lit(grid.step_y))
+
+
+def clip(df: DataFrame, aoi: Sequence[float] | None, grid: Grid = Grid()) -> DataFrame:
+    """Drop pixels whose centre lies outside the AOI (in the grid's units).
+
+    Stated as a range of the integer columns, which the scan can use to skip row groups.
+    """
     if aoi is None:
         return df
     w, s, e, n = aoi
-    return df.where(F.col(x).between(w, e) & F.col(y).between(s, n))
+
+    def span(low, high, origin, step):
+        a, b = sorted(((low - origin) / step - 0.5, (high - origin) / step - 0.5))
+        return math.ceil(a - 1e-9), math.floor(b + 1e-9)
+    cols, rows = span(w, e, grid.origin_x, grid.step_x), span(s, n, grid.origin_y, grid.step_y)
+    return df.where(F.col("col").between(*cols) & F.col("row").between(*rows))
 
 
 def filter_list_contains(df: DataFrame, column: str, value: str) -> DataFrame:

@@ -67,9 +67,3 @@ def guard_empty(pixels: DataFrame, counts: DataFrame, columns_by_count: dict[str
 
 def temporal_median(df: DataFrame, column: str, keys: Sequence[str] = ("row", "col")) -> DataFrame:
     return df.groupBy(*keys).agg(F.median(column).alias(column))
-
-
-def constant_image(pixels: DataFrame, bands: Sequence[str], value: float = 0.0,
-                   keys: Sequence[str] = ("row", "col")) -> DataFrame:
-    """A constant image over the pixel frame (the 'dummy image')."""
-    return pixels.select(*keys, *[F.lit(float(value)).alias(b) for b in bands])

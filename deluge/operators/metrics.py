@@ -60,24 +60,27 @@ def roc_auc(df: DataFrame, label: str, score: str) -> float:
     return ev.evaluate(df.select(F.col(score).cast("double").alias(score), F.col(label).cast("double").alias(label)))
 
 
-def roc_auc_frame(df: DataFrame, label: str, score: str, buckets: int = 64) -> DataFrame:
-    """Exact ROC AUC (ties averaged) as a one-row DataFrame, fully distributed.
+def roc_auc_frame(df: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:
+    """Exact ROC AUC (ties averaged) as a one-row DataFrame, fully distributed; NULL with one class only.
 
     Scores are grouped first (pos/neg per distinct score).  Distinct scores are then
-    cut into ``buckets`` ranges by approximate quantiles (boundaries only decide the
-    split, not the result); negatives below a score = negatives in earlier buckets
+    cut into ``buckets`` ranges (by default one per shuffle partition) by approximate
+    quantiles (boundaries only decide the split, not the result); negatives below a score = negatives in earlier buckets
     (a prefix over <= ``buckets`` rows, broadcast) + a running sum inside its bucket
     (a window partitioned by bucket).  No single task sees all scores.
     """
     from pyspark.sql import Window
+    if buckets is None:
+        buckets = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     g = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
            .groupBy(F.col(score).cast("double").alias("s"))
            .agg(F.sum(F.col(label).cast("long")).alias("pos"),
                 F.sum((1 - F.col(label)).cast("long")).alias("neg")))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = g.agg(F.percentile_approx("s", probs, 10000).alias("c")).first()["c"] or []
+    cuts = g.agg(F.percentile_approx("s", probs, max(10000, 20 * buckets)).alias("c")).first()["c"] or []
     cuts = sorted(set(float(c) for c in cuts))
-    arr = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
+    # Boundaries travel as one literal array; a score's range is the number of boundaries below it.
+    arr = F.lit(cuts) if cuts else F.array().cast("array<double>")
     gb = g.withColumn("b", F.size(F.filter(arr, lambda c: c < F.col("s"))))
     per = gb.groupBy("b").agg(F.sum("neg").alias("bneg"))
     prefix = per.withColumn("off", F.coalesce(
@@ -85,8 +88,9 @@ def roc_auc_frame(df: DataFrame, label: str, score: str, buckets: int = 64) -> D
     w = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     c = (gb.join(F.broadcast(prefix.select("b", "off")), "b")
            .withColumn("below", F.col("off") + F.coalesce(F.sum("neg").over(w), F.lit(0))))
-    return c.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
-                  / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    # In doubles: products of row counts pass the range of a long at about 3e9 rows per class.
+    pos, neg, below = (F.col(k).cast("double") for k in ("pos", "neg", "below"))
+    return c.agg(F.try_divide(F.sum(pos * (below + neg / 2.0)), F.sum(pos) * F.sum(neg)).alias("auc"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -22,15 +22,15 @@ from . import metrics as MT
 from .sampling import stratified_folds, stratified_split
 
 
-MAX_CODES = 256  # land-cover codes are 8-bit class numbers
+def fit_codes(df: DataFrame, column: str, max_codes: int | None = None) -> list[int]:
+    """Distinct category codes, sorted; more than ``max_codes`` (if given) is an error.
 
-
-def fit_codes(df: DataFrame, column: str, max_codes: int = MAX_CODES) -> list[int]:
-    """Distinct category codes; the vocabulary is bounded (8-bit classes) and checked."""
-    rows = df.select(F.col(column).cast("int")).distinct().limit(max_codes + 1).collect()
-    if len(rows) > max_codes:
-        raise ValueError(f"more than {max_codes} distinct {column} codes: not a categorical band")
-    return sorted(int(r[0]) for r in rows if r[0] is not None)
+    One column of the model per code, so the vocabulary has to fit the driver anyway.
+    """
+    codes = df.agg(F.sort_array(F.collect_set(F.col(column).cast("int"))).alias("c")).first()["c"]
+    if max_codes is not None and len(codes) > max_codes:
+        raise ValueError(f"{len(codes)} distinct {column} codes, more than the limit of {max_codes}")
+    return [int(c) for c in codes]
 
 
 def one_hot_sql(column: str, codes: list[int]) -> str:
@@ -76,7 +76,7 @@ def build_pipeline(ms: ModelSettings, codes: list[int]) -> Pipeline:
 def fit(df: DataFrame, ms: ModelSettings, codes: list[int] | None = None) -> PipelineModel:
     from ..session import checkpoint_dir
     checkpoint_dir(df.sparkSession)  # the node-id cache checkpoints into the shared folder
-    codes = fit_codes(df, ms.categorical) if codes is None else codes
+    codes = fit_codes(df, ms.categorical, ms.max_codes) if codes is None else codes
     data = with_weights(df, ms.label).withColumn("_y", F.col(ms.label).cast("double"))
     return build_pipeline(ms, codes).fit(data)
 
@@ -84,8 +84,8 @@ def fit(df: DataFrame, ms: ModelSettings, codes: list[int] | None = None) -> Pip
 def score(model: PipelineModel, df: DataFrame, calibrator=None) -> DataFrame:
     """Adds flood_probability (P(class 1)) and flood_predicted (0/1).
 
-    With an isotonic ``calibrator`` the probability is the calibrated one; the class
-    stays the forest's vote, as with a prefit calibrated classifier's predict().
+    With an isotonic ``calibrator`` both are the calibrated ones: the class is 1 where the
+    calibrated probability is above one half.
     """
     out = model.transform(df)
     keep = [F.col(f"`{c}`") for c in df.columns]
@@ -93,7 +93,8 @@ def score(model: PipelineModel, df: DataFrame, calibrator=None) -> DataFrame:
                      F.col("prediction").cast("int").alias("flood_predicted"))
     if calibrator is not None:
         cal = calibrator.copy({calibrator.featuresCol: "flood_probability", calibrator.predictionCol: "_p_cal"})
-        out = cal.transform(out).withColumn("flood_probability", F.col("_p_cal")).drop("_p_cal")
+        out = cal.transform(out).withColumn("flood_probability", F.col("_p_cal"))
+        out = out.withColumn("flood_predicted", (F.col("_p_cal") > 0.5).cast("int")).drop("_p_cal")
     return out
 
 
@@ -146,7 +147,7 @@ def train(samples: DataFrame, ms: ModelSettings, order_cols=("system:index",)) -
     # The sample table is bounded (classes x samples per class); checkpoint it so the
     # forest's many passes do not recompute the composites behind it.
     data = cut_lineage(prepare(samples, ms, order_cols))
-    codes = fit_codes(data.where("is_test = 0"), ms.categorical)
+    codes = fit_codes(data.where("is_test = 0"), ms.categorical, ms.max_codes)
     tr, te = data.where("is_test = 0"), data.where("is_test = 1")
     model = fit(tr, ms, codes)
     return TrainingResult(model, codes, tr, te, score(model, te))

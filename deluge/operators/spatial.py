@@ -1,19 +1,18 @@
-"""Exact spatial join (boundary-inclusive intersects) as a grid-cell equi-join.
+"""Exact spatial join (boundary-inclusive intersects) as grid-cell equi-joins over size levels.
 
 Plan
-  * every left geometry goes to ONE cell: the cell of its bbox's lower-left corner;
-  * every zone is copied to the cells covering [minx - W, maxx] x [miny - H, maxy], where
-    W, H are the largest left bbox width/height (one scalar aggregate);
-  * so each (left, zone) pair whose bboxes overlap meets in exactly one cell: no
-    duplicates, no distinct, and left_anti / left_semi / left joins keep one-row-per-left
-    semantics directly;
+  * geometries are sorted into levels by the longer side of their bbox; a cell at level k is
+    ``base * 2^k`` wide, and no geometry of a level is wider than its cell;
+  * a left geometry of level a meets the zones of level z on the grid of level max(a, z): it
+    goes to ONE cell there, that of its bbox's lower-left corner, and a zone is copied to the
+    cells covering its bbox widened by one cell to the lower left: at most nine;
+  * so every (left, zone) pair whose bboxes overlap meets in exactly one cell of one grid: no
+    duplicates, no distinct, and a wide geometry on either side coarsens only its own grid;
   * join condition = cell equality, then bbox overlap, then the exact predicate
     (SQL higher-order functions, see functions/geometry.py).
-Cell size = max(median zone extent, W, H), so a typical zone covers a handful of cells.
-Zones that would still cover more than ``max_cells_per_zone`` cells are joined apart
-with a broadcast bbox-filtered nested loop when their count is small, else kept on the
-grid (exact either way).  Zones are broadcast only when the replicated vertex count is
-below a limit; otherwise both sides shuffle on the cell (AQE splits hot cells).
+There is one equi-join per level that zones have (usually one to three).  Hot cells are the
+large side of an equi-join, which adaptive execution splits.  A level's zones are broadcast
+only while their copies, vertices and other columns stay below a limit.
 """
 
 from __future__ import annotations
@@ -23,100 +22,122 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 
+#: Cell sizes span base * 2^0 .. base * 2^MAX_LEVEL.
+MAX_LEVEL = 60
+
 
 def _prep(df: DataFrame, geom: str, prefix: str) -> DataFrame:
     bb = G.bbox(geom)
-    return df.withColumns({
+    d = df.withColumns({
         f"{prefix}minx": bb["minx"], f"{prefix}miny": bb["miny"],
         f"{prefix}maxx": bb["maxx"], f"{prefix}maxy": bb["maxy"],
         f"{prefix}edges": G.edges(geom), f"{prefix}anchors": G.anchors(geom)})
+    return d.withColumn(f"{prefix}area", G.area_edges(geom, f"{prefix}edges"))
 
 
-def _condition(exact: bool = True):
+def _condition():
     overlap = ((F.col("_l_minx") <= F.col("_r_maxx")) & (F.col("_l_maxx") >= F.col("_r_minx")) &
                (F.col("_l_miny") <= F.col("_r_maxy")) & (F.col("_l_maxy") >= F.col("_r_miny")))
-    if not exact:
-        return overlap
-    return overlap & F.expr(G.intersects_sql("_l_edges", "_l_anchors", "_r_edges", "_r_anchors"))
+    return overlap & F.expr(G.intersects_sql("_l_edges", "_l_anchors", "_r_edges", "_r_anchors",
+                                             "_l_area", "_r_area"))
+
+
+def _extent(prefix: str):
+    return F.greatest(F.col(f"{prefix}maxx") - F.col(f"{prefix}minx"), F.col(f"{prefix}maxy") - F.col(f"{prefix}miny"))
+
+
+def _level(prefix: str, base: float):
+    """Smallest k with extent <= base * 2^k."""
+    k = F.ceil(F.log2(F.greatest(_extent(prefix) / F.lit(base), F.lit(1.0))))
+    # The logarithm may be off by an ulp at exact powers: one level up is always safe.
+    k = F.when(_extent(prefix) > F.lit(base) * F.pow(F.lit(2.0), k), k + 1).otherwise(k)
+    return F.least(k, F.lit(MAX_LEVEL)).cast("int")
 
 
 def spatial_join(left: DataFrame, right: DataFrame, how: str = "inner", left_geom: str = "geom",
                  right_geom: str = "geom", cell_size: float | None = None,
-                 broadcast_vertex_limit: int = 4_000_000, max_cells_per_zone: int = 256,
-                 big_zone_broadcast_limit: int = 10_000) -> DataFrame:
+                 broadcast_vertex_limit: int = 4_000_000) -> DataFrame:
     """Rows of ``left`` joined to intersecting rows of ``right``.
 
     how: 'inner' | 'left' (pairs, unmatched left rows with NULL right columns) |
          'left_semi' | 'left_anti'.  Right payload columns keep their names; the right
-         geometry is returned as ``right_geometry`` for pair joins.
+         geometry is returned as ``right_geometry`` for pair joins.  A null geometry
+         intersects nothing.  ``cell_size`` is the width of the finest cells; by default the
+         median extent of the zones.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
     q = lambda c: f"`{c}`"  # noqa: E731  (names such as '.geo' need quoting)
     lcols = left.columns
-    L = _prep(left, left_geom, "_l_")
-    R = _prep(right.withColumnRenamed(right_geom, "_r_geom"), "_r_geom", "_r_")
+    # Geometries pass through a generator on both sides: filters on what is derived from them then
+    # stop there, instead of being pushed below with the whole parse expression copied in.
+    L = _prep(left.withColumn(left_geom, F.explode(F.array(F.col(q(left_geom))))), left_geom, "_l_")
+    R = _prep(G.keep_valid(right.withColumnRenamed(right_geom, "_r_geom"), "_r_geom"), "_r_geom", "_r_")
     rpay = [c for c in right.columns if c != right_geom]
 
-    # One job for both scalars: largest left extent and median zone extent.
-    ext = L.agg(F.max(F.col("_l_maxx") - F.col("_l_minx")).alias("w"),
-                F.max(F.col("_l_maxy") - F.col("_l_miny")).alias("h")).crossJoin(
-        R.agg(F.percentile_approx(F.greatest(F.col("_r_maxx") - F.col("_r_minx"),
-                                             F.col("_r_maxy") - F.col("_r_miny")), 0.5).alias("m"))).first()
-    w, h = float(ext["w"] or 0.0), float(ext["h"] or 0.0)
     if cell_size is None:
-        cell_size = max(float(ext["m"] or 0.0), w, h)
-    cs = cell_size if cell_size and cell_size > 0 else 1.0
-
-    lo_x = F.floor((F.col("_r_minx") - F.lit(w)) / cs)
-    lo_y = F.floor((F.col("_r_miny") - F.lit(h)) / cs)
-    hi_x, hi_y = F.floor(F.col("_r_maxx") / cs), F.floor(F.col("_r_maxy") / cs)
-    R = R.withColumn("_r_cells", (hi_x - lo_x + 1) * (hi_y - lo_y + 1))
-    stats = R.agg(F.count(F.lit(1)).alias("n"),
-                  F.count_if(F.col("_r_cells") > max_cells_per_zone).alias("big"),
-                  F.sum(F.when(F.col("_r_cells") > max_cells_per_zone, F.size("_r_edges") + 1)).alias("big_verts"),
-                  F.sum(F.when(F.col("_r_cells") <= max_cells_per_zone,
-                               F.col("_r_cells") * (F.size("_r_edges") + 1))).alias("verts")).first()
-    # Big zones are broadcast only under both a count and a vertex bound; otherwise they
-    # stay on the grid (more replicas, still exact).
-    split_big = (0 < (stats["big"] or 0) <= big_zone_broadcast_limit
-                 and (stats["big_verts"] or 0) <= broadcast_vertex_limit)
-    grid_src = R.where(F.col("_r_cells") <= max_cells_per_zone) if split_big else R
-    grid = (grid_src.withColumn("_cx", F.explode(F.sequence(lo_x, hi_x)))
-                    .withColumn("_cy", F.explode(F.sequence(lo_y, hi_y))))
-    if (stats["verts"] or 0) <= broadcast_vertex_limit:
-        grid = F.broadcast(grid)
-    L = L.withColumn("_cx", F.floor(F.col("_l_minx") / cs)).withColumn("_cy", F.floor(F.col("_l_miny") / cs))
-    on_grid = (L["_cx"] == grid["_cx"]) & (L["_cy"] == grid["_cy"]) & _condition()
-    big = F.broadcast(R.where(F.col("_r_cells") > max_cells_per_zone)) if split_big else None
-
-    if how in ("left_anti", "left_semi"):
-        anti = L.join(grid, on_grid, "left_anti")
-        if big is not None:
-            anti = anti.join(big, _condition(), "left_anti")
-        if how == "left_anti":
-            return anti.select(*[q(c) for c in lcols])
-        if big is None:
-            return L.join(grid, on_grid, "left_semi").select(*[q(c) for c in lcols])
-        hit = L.join(grid, on_grid, "left_semi").unionByName(
-            L.join(grid, on_grid, "left_anti").join(big, _condition(), "left_semi"))
-        return hit.select(*[q(c) for c in lcols])
-
-    def pairs(r, cond, how_="inner"):
-        return L.join(r, cond, how_).select(*[L[q(c)] for c in lcols], *[r[q(c)] for c in rpay],
-                                            r["_r_geom"].alias("right_geometry"))
-    if how == "left" and big is None:
-        # One cell per left row: a single left outer join yields the pairs and, for rows
-        # without a partner, one row of NULLs - one pass over the left side.
-        return pairs(grid, on_grid, "left")
-    out = pairs(grid, on_grid)
-    if big is not None:
-        out = out.unionByName(pairs(big, _condition()))
-    if how == "left":
-        anti = L.join(grid, on_grid, "left_anti")
-        if big is not None:
-            anti = anti.join(big, _condition(), "left_anti")
-        nulls = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in rpay]
-        out = out.unionByName(anti.select(*[q(c) for c in lcols], *nulls,
-                                          F.lit(None).cast(right.schema[right_geom].dataType).alias("right_geometry")))
-    return out
+        cell_size = R.agg(F.percentile_approx(_extent("_r_"), 0.5).alias("m")).first()["m"]
+    base = float(cell_size) if cell_size and cell_size > 0 else 1.0
+    L = L.withColumn("_a", F.coalesce(_level("_l_", base), F.lit(0)))
+    R = R.withColumn("_z", _level("_r_", base))
+    # Levels in use: at most MAX_LEVEL + 1 on either side, whatever the data.
+    lefts = sorted(r[0] for r in L.select("_a").distinct().collect())
+    payload = F.length(F.to_json(F.struct(*[F.col(q(c)) for c in rpay]))) if rpay else F.lit(0)
+    zones = {r["_z"]: int(r["w"]) for r in R.groupBy("_z").agg(
+        F.sum(F.size("_r_edges") + 1 + payload / 40).alias("w")).collect()}
+
+    def cell(value, level):
+        return F.floor(value / (F.lit(base) * F.pow(F.lit(2.0), level.cast("double"))))
+
+    joins = []
+    for z, weight in sorted(zones.items()):
+        grids = sorted({max(a, z) for a in lefts})
+        width = F.lit(base) * F.pow(F.lit(2.0), F.col("_g").cast("double"))
+        own = (R.where(F.col("_z") == z).withColumn("_g", F.explode(F.array(*[F.lit(g) for g in grids])))
+               .withColumn("_cx", F.explode(F.sequence(cell(F.col("_r_minx") - width, F.col("_g")),
+                                                       cell(F.col("_r_maxx"), F.col("_g")))))
+               .withColumn("_cy", F.explode(F.sequence(cell(F.col("_r_miny") - width, F.col("_g")),
+                                                       cell(F.col("_r_maxy"), F.col("_g"))))))
+        if 9 * len(grids) * weight <= broadcast_vertex_limit:
+            own = F.broadcast(own)
+        g = F.greatest(F.col("_a"), F.lit(z))
+        placed = {"_lg": g, "_lx": cell(F.col("_l_minx"), g), "_ly": cell(F.col("_l_miny"), g)}
+        on = ((F.col("_lg") == F.col("_g")) & (F.col("_lx") == F.col("_cx")) & (F.col("_ly") == F.col("_cy"))
+              & _condition())
+        joins.append((placed, own, on))
+
+    def unmatched():
+        rest = L
+        for placed, own, on in joins:
+            rest = rest.withColumns(placed).join(own, on, "left_anti").drop(*placed)
+        return rest
+
+    if how == "left_anti":
+        return unmatched().select(*[q(c) for c in lcols])
+    if how == "left_semi":
+        rest, hits = L, None
+        for k, (placed, own, on) in enumerate(joins):
+            side = rest.withColumns(placed)
+            hit = side.join(own, on, "left_semi").select(*[q(c) for c in lcols])
+            hits = hit if hits is None else hits.unionByName(hit)
+            if k < len(joins) - 1:
+                rest = side.join(own, on, "left_anti").drop(*placed)
+        return L.select(*[q(c) for c in lcols]).limit(0) if hits is None else hits
+
+    nulls = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in rpay]
+    alone = [*[F.col(q(c)) for c in lcols], *nulls,
+             F.lit(None).cast(right.schema[right_geom].dataType).alias("right_geometry")]
+
+    def pairs(placed, own, on, how_="inner"):
+        side = L.withColumns(placed)
+        return side.join(own, on, how_).select(*[side[q(c)] for c in lcols], *[own[q(c)] for c in rpay],
+                                               own["_r_geom"].alias("right_geometry"))
+    if not joins:
+        return L.select(*alone) if how == "left" else L.select(*alone).limit(0)
+    if how == "left" and len(joins) == 1:
+        # One cell per left row: a single outer join gives the pairs and the rows without a partner.
+        return pairs(*joins[0], "left")
+    out = None
+    for j in joins:
+        out = pairs(*j) if out is None else out.unionByName(pairs(*j))
+    return out.unionByName(unmatched().select(*alone)) if how == "left" else out

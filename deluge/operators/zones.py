@@ -7,6 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+
+
+def within_bounds(zones: DataFrame, bounds: DataFrame, geom: str = "geom") -> DataFrame:
+    """Zones whose bbox touches ``bounds`` (one row: minx, miny, maxx, maxy), as an envelope query returns them."""
+    bb = G.bbox(geom)
+    b = bounds.select(*[F.col(k).alias(f"_b_{k}") for k in ("minx", "miny", "maxx", "maxy")])
+    touch = ((bb["minx"] <= F.col("_b_maxx")) & (bb["maxx"] >= F.col("_b_minx"))
+             & (bb["miny"] <= F.col("_b_maxy")) & (bb["maxy"] >= F.col("_b_miny")))
+    return zones.join(F.broadcast(b), touch, "left_semi")  # the bounds are one aggregate row
+
 
 def first_nonempty_source(sources: Sequence[DataFrame]) -> DataFrame:
     """Rows of the first source (in list order) that has at least one row.

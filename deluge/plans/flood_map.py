@@ -1,7 +1,7 @@
 """Flood map extraction (stage 1) as one lazily built Spark plan.
 
 optical obs --date/AOI filter--> semi-join valid scenes --save-first--> cloud probability
-  --> month tags (pre, post) --> cloud mask, drop masked --> shuffle once by pixel
+  --> month tags (pre, post) --> cloud mask, drop masked --> one shuffle by pixel
   --> monthly medians --> median of monthly medians (pre and post in one aggregate)
 radar obs --filters--> per-pixel median
 pixel frame (static layers) <-left join-- composites, radar; empty-collection guard
@@ -17,7 +17,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import REQUIRED_BANDS, FloodSettings
+from ..config import OUTPUT_NAMES, REQUIRED_BANDS, FloodSettings
 from ..functions import geometry as G
 from ..functions import indices as I
 from ..functions import masks as M
@@ -70,7 +70,7 @@ class FloodMap:
     def s2_joined(self) -> DataFrame:
         """Observations of valid scenes with their first cloud record (F1, P11, F5, J1)."""
         obs = C.filter_date(self.inp.s2_obs, self.s.pre_start, self.s.post_end)
-        obs = C.clip(obs, self.s.aoi)
+        obs = C.clip(obs, self.s.aoi, self.s.grid)
         return obs.join(self.scene_table.select("scene_id", "probability"), "scene_id", "inner")
 
     @cached_property
@@ -128,7 +128,7 @@ class FloodMap:
         s1 = C.filter_date(self.inp.s1_obs, self.s.post_start, self.s.post_end)
         s1 = C.filter_list_contains(s1, "pols", "VV")
         s1 = C.filter_eq(s1, "mode", "IW")
-        return C.clip(s1, self.s.aoi).select("row", "col", "ts", "VV")
+        return C.clip(s1, self.s.aoi, self.s.grid).select("row", "col", "ts", "VV")
 
     @cached_property
     def sar(self) -> DataFrame:
@@ -137,7 +137,7 @@ class FloodMap:
     # ---- pixel stack ------------------------------------------------------------
     @cached_property
     def static_layers(self) -> DataFrame:
-        return C.clip(self.inp.px_static, self.s.aoi).select("row", "col", "elevation", "Map", "seasonality")
+        return C.clip(self.inp.px_static, self.s.aoi, self.s.grid).select("row", "col", "elevation", "Map", "seasonality")
 
     @cached_property
     def pixels(self) -> DataFrame:
@@ -226,7 +226,7 @@ class FloodMap:
         return picked.select(
             F.concat_ws("_", F.col("row").cast("string"), F.col("col").cast("string")).alias("system:index"),
             "flood", "ndwi_post", "mndwi_post", "awei_post", "VV", "elevation", "slope", "Map",
-            "jrc_seasonality", G.to_geojson(G.point(F.col("col"), F.col("row"))).alias(".geo"))
+            "jrc_seasonality", G.to_geojson(G.point(*C.pixel_centre(self.s.grid))).alias(".geo"))
 
     @cached_property
     def predictors(self) -> DataFrame:
@@ -238,24 +238,19 @@ class FloodMap:
             *[F.col(c).cast("float").alias(c) for c in
               ("ndwi_post", "mndwi_post", "awei_post", "VV", "elevation", "slope", "Map")],
             F.col("seasonality").cast("float").alias("jrc_seasonality"),
-            G.to_geojson(G.point(F.col("col"), F.col("row"))).alias(".geo"))
+            G.to_geojson(G.point(*C.pixel_centre(self.s.grid))).alias(".geo"))
 
     # ---- exports (K5-K8, K10) ----------------------------------------------------------
     def export(self, out_dir: str) -> dict[str, str]:
         """Write the four stage-1 outputs, named by the post-period start date.
 
-        The per-pixel stack is checkpointed first (``materialize``) so the four exports
-        share one computation of the composites.
+        With ``materialize=True`` the four exports share one computation of the composites;
+        without it each computes its own.
         """
         from ..functions.dates import compact_date
         from ..sources import sinks as SK
         tag = compact_date(self.s.post_start)
-        paths = {
-            "flood_mask": f"{out_dir}/flood_mask_final_{tag}",
-            "samples": f"{out_dir}/FloodSamples_{tag}",
-            "change_map": f"{out_dir}/changeMap_{tag}",
-            "predictors": f"{out_dir}/predictors_{tag}",
-        }
+        paths = {k: f"{out_dir}/{name}_{tag}" for k, name in OUTPUT_NAMES.items()}
         SK.write_raster(self.flood_final, paths["flood_mask"], self.s.tile_size, self.s.max_pixels)
         SK.write_csv(self.samples, paths["samples"])
         SK.write_raster(self.change.select("row", "col", "change"), paths["change_map"], self.s.tile_size,

@@ -6,8 +6,9 @@ capped connected count and neighbour self-joins for slope.
 
 from __future__ import annotations
 
+from datetime import date
+
 from ..config import FIXTURE_SETTINGS as FS
-from ..functions.dates import month_count
 
 R = '"row"'
 
@@ -35,8 +36,13 @@ def _k(start: str) -> str:
     return f"cast({k0} - case when ts < DATE '{start}' + to_months(cast({k0} as int)) then 1 else 0 end as int)"
 
 
-N_PRE = month_count(FS.pre_start, FS.pre_end)
-N_POST = month_count(FS.post_start, FS.post_end)
+def _windows(start: str, end: str) -> int:
+    """Month windows of a period, worked out apart from the library: average months, rounded, tail included."""
+    return int((date.fromisoformat(end) - date.fromisoformat(start)).days / 30.436875 + 0.5) + 1
+
+
+N_PRE = _windows(FS.pre_start, FS.pre_end)
+N_POST = _windows(FS.post_start, FS.post_end)
 BANDS = ["B3", "B4", "B8", "B11", "B12"]
 
 
@@ -119,31 +125,28 @@ def _with(body: str, recursive: bool = True, aoi: tuple | None = None, outer: bo
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
 
 
-def _r6(c: str, alias: str | None = None) -> str:
-    return f"{c} as {alias or c}"
-
-
 def flood_oracles() -> dict[str, str]:
     q = {}
     q["scene_save_first"] = _with(f"select scene_id, {R}, col, strftime(ts, '%Y-%m-%d') as day, probability from s2j")
     q["valid_bands"] = _with(
         "select scene_id, cast(len(list_distinct(list_intersect(band_names, ['B3','B4','B8','B11','B12']))) = 5 as int) as is_valid from s2_scene")
-    q["cloud_masked"] = _with(f"select {R}, col, period, k, " + ", ".join(_r6(b) for b in BANDS) + " from masked")
+    q["cloud_masked"] = _with(f"select {R}, col, period, k, " + ", ".join(BANDS) + " from masked")
     q["date_filter"] = _with(f"select {R}, col, strftime(ts, '%Y-%m-%d') as day, VV from s1f")
     q["bbox_filter"] = _with(
         "select scene_id, minx, miny, maxx, maxy from (select scene_id, cast(min(col) as double) as minx, "
         f"cast(min({R}) as double) as miny, cast(max(col) as double) as maxx, cast(max({R}) as double) as maxy "
         "from s2_obs group by scene_id) where minx <= 19 and maxx >= 0 and miny <= 24 and maxy >= 0")
-    q["monthly_composite"] = _with(f"select {R}, col, period, k, " + ", ".join(_r6(b) for b in BANDS) + " from monthly")
+    q["monthly_composite"] = _with(f"select {R}, col, period, k, " + ", ".join(BANDS) + " from monthly")
     for p in ("pre", "post"):
         q[f"{p}_composite"] = _with(
-            f"select {R}, col, " + ", ".join(_r6(f"{b}_{p}") for b in BANDS) + f" from comp where B3_{p} is not null or B4_{p} is not null")
+            f"select {R}, col, " + ", ".join(f"{b}_{p}" for b in BANDS)
+            + " from comp where " + " or ".join(f"{b}_{p} is not null" for b in BANDS))
     q["sar_composite"] = _with(f"select {R}, col, VV from sar")
     q["collection_sizes"] = _with(
         "select (select count(distinct scene_id) from s2j) as s2_images, n_pre as pre_months, n_post as post_months, "
         "(select count(distinct ts) from s1f) as s1_images from counts")
     q["water_indices"] = _with(
-        f"select {R}, col, " + ", ".join(_r6(f"{i}_{p}") for p in ("pre", "post") for i in ("ndwi", "mndwi", "awei"))
+        f"select {R}, col, " + ", ".join(f"{i}_{p}" for p in ("pre", "post") for i in ("ndwi", "mndwi", "awei"))
         + ", s1_water from idx")
     q["water_consensus"] = _with(f"select {R}, col, water_pre, water_post from water")
     q["change_map"] = _with(f"select {R}, col, change from chg")
@@ -185,15 +188,19 @@ predictions as (select cast(k as varchar) as "system:index", ((k*7919)%1000)/cas
 pj as (select *, case when trim(coalesce(".geo", '')) <> '' and json_valid(replace(trim(".geo"), '''', '"'))
                       then replace(trim(".geo"), '''', '"') end as j from predictions),
 pt as (select *, json_extract_string(j, '$.type') as t0 from pj),
-parsed as (select *, case when t0 in ('Point', 'Polygon') then t0 end as gtype,
+parsed as (select *, case when t0 in ('Point', 'Polygon', 'LineString') then t0 end as gtype,
        case when t0 = 'Point' then cast(json_extract(j, '$.coordinates[0]') as double)
-            when t0 = 'Polygon' then list_min(cast(json_extract(j, '$.coordinates[0][*][0]') as double[])) end as minx,
+            when t0 = 'Polygon' then list_min(cast(json_extract(j, '$.coordinates[0][*][0]') as double[]))
+            when t0 = 'LineString' then list_min(cast(json_extract(j, '$.coordinates[*][0]') as double[])) end as minx,
        case when t0 = 'Point' then cast(json_extract(j, '$.coordinates[1]') as double)
-            when t0 = 'Polygon' then list_min(cast(json_extract(j, '$.coordinates[0][*][1]') as double[])) end as miny,
+            when t0 = 'Polygon' then list_min(cast(json_extract(j, '$.coordinates[0][*][1]') as double[]))
+            when t0 = 'LineString' then list_min(cast(json_extract(j, '$.coordinates[*][1]') as double[])) end as miny,
        case when t0 = 'Point' then cast(json_extract(j, '$.coordinates[0]') as double)
-            when t0 = 'Polygon' then list_max(cast(json_extract(j, '$.coordinates[0][*][0]') as double[])) end as maxx,
+            when t0 = 'Polygon' then list_max(cast(json_extract(j, '$.coordinates[0][*][0]') as double[]))
+            when t0 = 'LineString' then list_max(cast(json_extract(j, '$.coordinates[*][0]') as double[])) end as maxx,
        case when t0 = 'Point' then cast(json_extract(j, '$.coordinates[1]') as double)
-            when t0 = 'Polygon' then list_max(cast(json_extract(j, '$.coordinates[0][*][1]') as double[])) end as maxy
+            when t0 = 'Polygon' then list_max(cast(json_extract(j, '$.coordinates[0][*][1]') as double[]))
+            when t0 = 'LineString' then list_max(cast(json_extract(j, '$.coordinates[*][1]') as double[])) end as maxy
        from pt),
 gdf as (select * from parsed where gtype is not null),
 zones as (select s_suppkey as zone_id, case s_suppkey%6 when 0 then 'X' when 1 then 'AE' when 2 then 'A' when 3 then 'VE'
@@ -292,9 +299,9 @@ def ml_oracles() -> dict[str, str]:
     q["snap_to_grid"] = _zwith(
         "select cell_row, cell_col, \"system:index\", n from (select *, row_number() over (partition by cell_row, cell_col "
         "order by d2, \"system:index\") as rn, count(*) over (partition by cell_row, cell_col) as n from "
-        "(select \"system:index\", cast(floor(miny / 2) as bigint) as cell_row, cast(floor(minx / 2) as bigint) as cell_col, "
-        "(minx - (floor(minx / 2) * 2 + 1)) ** 2 + (miny - (floor(miny / 2) * 2 + 1)) ** 2 as d2 from gdf where gtype = 'Point')) "
-        "where rn = 1")
+        "(select \"system:index\", cast(floor(y / 2) as bigint) as cell_row, cast(floor(x / 2) as bigint) as cell_col, "
+        "(x - (floor(x / 2) * 2 + 1)) ** 2 + (y - (floor(y / 2) * 2 + 1)) ** 2 as d2 from "
+        "(select \"system:index\", (minx + maxx) / 2 as x, (miny + maxy) / 2 as y from gdf))) where rn = 1")
     q["confusion_matrix"] = (
         "select quality as truth, count(*) filter (where toxic = 0) as pred_0, count(*) filter (where toxic = 1) as pred_1 "
         "from labels group by quality")
@@ -342,7 +349,7 @@ def job_oracles() -> dict[str, str]:
         "s2j as (select o.*, c.probability from s2_obs o join cloud1 c on o.scene_id = c.scene_id "
         "where o.scene_id in (select scene_id from valid) and o.ts >= TIMESTAMP '1980-01-01' and o.ts < TIMESTAMP '1999-12-31'), "
         f"tagged as (select * from (select s2j.*, 'pre' as period, {_k('1980-01-01')} as k from s2j) "
-        f"where k between 0 and {month_count('1980-01-01', '1980-12-31') - 1} "
+        f"where k between 0 and {_windows('1980-01-01', '1980-12-31') - 1} "
         f"union all select * from (select s2j.*, 'post' as period, {_k(FS.post_start)} as k from s2j) where k between 0 and {N_POST - 1}), "
         f"comp as (select {R}, col, median(B3) filter (where period='pre') as B3_pre, median(B8) filter (where period='pre') as B8_pre, "
         "median(B11) filter (where period='pre') as B11_pre, median(B3) filter (where period='post') as B3_post from "
@@ -351,7 +358,7 @@ def job_oracles() -> dict[str, str]:
         f"group by {R}, col, period, k) group by {R}, col), "
         "counts as (select (select count(distinct k) from tagged where period='pre') as n_pre, "
         "(select count(distinct k) from tagged where period='post') as n_post) "
-        f"select {pre0.replace('c.', 'c.')}, count(*) as pixels, count(case when n_post > 0 then c.B3_post else 0.0 end) as post_valid "
+        f"select {pre0}, count(*) as pixels, count(case when n_post > 0 then c.B3_post else 0.0 end) as post_valid "
         f"from px_static p left join comp c on p.{R} = c.{R} and p.col = c.col cross join counts group by all")
     n_c = (f"select flood, least(count(*), {FS.samples_per_class}) as n_c from ff join chg using ({R}, col) "
            f"join sl using ({R}, col) where flood is not null and ndwi_post is not null and mndwi_post is not null "

@@ -37,12 +37,6 @@ def _fm(spark: SparkSession, sf_dir: str, materialize: bool = False) -> FloodMap
     return FloodMap(fixture_inputs(spark, sf_dir), FIXTURE_SETTINGS, materialize=materialize)
 
 
-def _r6(name: str, alias: str | None = None):
-    # No rounding inside queries: both engines produce the same doubles, and rounding
-    # rules at half-way decimals differ between engines.
-    return F.col(name).alias(alias or name)
-
-
 def _day(c: str = "ts"):
     return F.date_format(F.col(c), "yyyy-MM-dd").alias("day")
 
@@ -62,7 +56,7 @@ def q_valid_bands(spark, sf):
 
 @query
 def q_cloud_masked(spark, sf):
-    return _fm(spark, sf).s2_masked.select("row", "col", "period", "k", *[_r6(b) for b in REQUIRED_BANDS])
+    return _fm(spark, sf).s2_masked.select("row", "col", "period", "k", *REQUIRED_BANDS)
 
 
 @query
@@ -78,13 +72,13 @@ def q_bbox_filter(spark, sf):
 # ---- step 2: month windows and composites ----------------------------------------------
 @query
 def q_monthly_composite(spark, sf):
-    return _fm(spark, sf).monthly.select("row", "col", "period", "k", *[_r6(b) for b in REQUIRED_BANDS])
+    return _fm(spark, sf).monthly.select("row", "col", "period", "k", *REQUIRED_BANDS)
 
 
 def _period(spark, sf, p):
     comp = _fm(spark, sf).composite
     cols = [f"{b}_{p}" for b in REQUIRED_BANDS]
-    return comp.where(F.col(cols[0]).isNotNull() | F.col(cols[1]).isNotNull()).select("row", "col", *[_r6(c) for c in cols])
+    return comp.where(F.coalesce(*cols).isNotNull()).select("row", "col", *cols)
 
 
 @query
@@ -99,7 +93,7 @@ def q_post_composite(spark, sf):
 
 @query
 def q_sar_composite(spark, sf):
-    return _fm(spark, sf).sar.select("row", "col", _r6("VV"))
+    return _fm(spark, sf).sar.select("row", "col", "VV")
 
 
 @query
@@ -111,7 +105,7 @@ def q_collection_sizes(spark, sf):
 @query
 def q_water_indices(spark, sf):
     return _fm(spark, sf).indices.select(
-        "row", "col", *[_r6(f"{i}_{p}") for p in ("pre", "post") for i in ("ndwi", "mndwi", "awei")], "s1_water")
+        "row", "col", *[f"{i}_{p}" for p in ("pre", "post") for i in ("ndwi", "mndwi", "awei")], "s1_water")
 
 
 @query
@@ -258,9 +252,7 @@ def q_map_extent(spark, sf):
 @query
 def q_aoi_area(spark, sf):
     b = _zg(spark, sf).total_bounds()
-    area = (F.lit(G.EARTH_RADIUS_M ** 2) * F.radians(F.col("maxx") - F.col("minx"))
-            * (F.sin(F.radians("maxy")) - F.sin(F.radians("miny"))) / F.lit(1e6))
-    return b.select(F.round(area, 3).alias("area_km2"))
+    return b.select(F.round(G.sphere_rectangle_area(*[F.col(k) for k in b.columns]), 3).alias("area_km2"))
 
 
 @query
@@ -289,15 +281,7 @@ def q_fold_sizes(spark, sf):
 
 @query
 def q_snap_to_grid(spark, sf, scale: float = 2.0):
-    g = _zg(spark, sf).gdf.where(F.col("geometry.type") == "Point")
-    x, y = F.col("geometry.parts")[0][0][0][0], F.col("geometry.parts")[0][0][0][1]
-    cells = g.select("system:index", x.alias("x"), y.alias("y")).withColumns({
-        "cell_row": F.floor(F.col("y") / scale), "cell_col": F.floor(F.col("x") / scale)})
-    d2 = ((F.col("x") - (F.col("cell_col") * scale + scale / 2)) ** 2
-          + (F.col("y") - (F.col("cell_row") * scale + scale / 2)) ** 2)
-    return cells.groupBy("cell_row", "cell_col").agg(
-        F.min_by("system:index", F.struct(d2, F.col("system:index"))).alias("system:index"),
-        F.count(F.lit(1)).alias("n"))
+    return G.snap_to_grid(_zg(spark, sf).gdf, "system:index", scale)
 
 
 # ---- step 9: metrics ------------------------------------------------------------------------------------

@@ -18,6 +18,7 @@ from ..config import EXTENT_BUFFER, LEGACY_REPORT_NAMES, ZoneSettings
 from ..functions import geometry as G
 from ..operators import spatial as SP
 from ..operators import zones as Z
+from ..session import cut_lineage
 from ..sources import sinks as SK
 
 REQUIRED = (".geo", "flood_predicted")
@@ -27,9 +28,9 @@ def validate(df: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
     """Required columns present and at least one row, else ValueError."""
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"predictions lack the columns {missing}")
     if df.isEmpty():
-        raise ValueError("DataFrame is empty")
+        raise ValueError("there are no predictions")
     return df
 
 
@@ -55,18 +56,21 @@ class ZoneGap:
 
     @cached_property
     def zones(self) -> DataFrame:
-        src = Z.first_nonempty_source(self.sources) if self.sources else None
-        if src is None:
+        """Zones of the study area: sources cut to the predictions' envelope, then the first source
+        that has any, then its listed codes (all its codes if none is listed)."""
+        if not self.sources:
             return None
-        return Z.filter_zone_codes(src, self.s.zone_field, self.s.sfha_zones)
+        bounds = self.total_bounds(self._in_zone_crs(self.gdf))
+        near = [Z.within_bounds(s, bounds) for s in self.sources]
+        return Z.filter_zone_codes(Z.first_nonempty_source(near), self.s.zone_field, self.s.sfha_zones)
 
-    def _in_zone_crs(self, df: DataFrame) -> DataFrame:
-        """Predictions in the zone layer's CRS (only geographic -> Web Mercator is supported)."""
+    def _in_zone_crs(self, df: DataFrame, out: str = "geometry") -> DataFrame:
+        """Predictions with their geometry in the zone layer's CRS (geographic -> Web Mercator only)."""
         src, dst = self.s.initial_crs, self.s.zone_crs
         if src == dst:
-            return df
+            return df.withColumn(out, F.col("geometry"))
         if (src, dst) == ("EPSG:4326", "EPSG:3857"):
-            return df.withColumn("geometry", G.to_web_mercator(F.col("geometry")))
+            return df.withColumn(out, G.to_web_mercator(F.col("geometry")))
         raise ValueError(f"unsupported CRS pair {src} -> {dst}")
 
     @cached_property
@@ -75,18 +79,20 @@ class ZoneGap:
 
     @cached_property
     def outside(self) -> DataFrame:
-        """Flooded rows that intersect no selected zone (all flooded rows if no zones)."""
+        """Flooded rows that intersect no selected zone (all flooded rows if no zones), in their own CRS."""
         if self.zones is None:
             return self.flooded
         z = self.zones.select(self.s.zone_field, F.col("geom"))
-        return SP.spatial_join(self._in_zone_crs(self.flooded), z, "left_anti", left_geom="geometry", right_geom="geom",
-                               cell_size=self.s.cell_size, broadcast_vertex_limit=self.s.broadcast_vertex_limit)
+        left = self._in_zone_crs(self.flooded, "_in_zone")
+        return SP.spatial_join(left, z, "left_anti", left_geom="_in_zone", right_geom="geom", cell_size=self.s.cell_size,
+                               broadcast_vertex_limit=self.s.broadcast_vertex_limit).drop("_in_zone")
 
     def spatial_left(self) -> DataFrame:
         """Every valid prediction with each intersecting zone (NULL zone if none)."""
         z = self.zones.select("zone_id", self.s.zone_field, F.col("geom"))
-        return SP.spatial_join(self._in_zone_crs(self.gdf), z, "left", left_geom="geometry", right_geom="geom",
-                               cell_size=self.s.cell_size, broadcast_vertex_limit=self.s.broadcast_vertex_limit)
+        return SP.spatial_join(self._in_zone_crs(self.gdf, "_in_zone"), z, "left", left_geom="_in_zone",
+                               right_geom="geom", cell_size=self.s.cell_size,
+                               broadcast_vertex_limit=self.s.broadcast_vertex_limit).drop("_in_zone")
 
     def total_bounds(self, df: DataFrame | None = None) -> DataFrame:
         df = self.gdf if df is None else df
@@ -124,8 +130,8 @@ class ZoneGap:
 
     def map_layers(self) -> DataFrame:
         """Study area, zones, flooded and outside features in EPSG:3857 with a layer tag."""
-        def layer(df, name, id_col, geom_col):
-            g = G.to_web_mercator(F.col(geom_col))
+        def layer(df, name, id_col, geom_col, crs=self.s.initial_crs):
+            g = F.col(geom_col) if crs == self.s.web_mercator_crs else G.to_web_mercator(F.col(geom_col))
             bb = G.bbox("_g")
             return (df.select(F.col(id_col).cast("string").alias("feature_id"), g.alias("_g"))
                       .select(F.lit(name).alias("layer"), "feature_id", F.col("_g.type").alias("geom_type"),
@@ -133,16 +139,16 @@ class ZoneGap:
         idc = "system:index"
         parts = [layer(self.gdf, "study_area", idc, "geometry")]
         if self.zones is not None:
-            parts.append(layer(self.zones, "zones", "zone_id", "geom"))
+            parts.append(layer(self.zones, "zones", "zone_id", "geom", self.s.zone_crs))
         parts += [layer(self.flooded, "flooded", idc, "geometry"), layer(self.outside, "outside", idc, "geometry")]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p, allowMissingColumns=True)
         return out
 
-    def map_extent(self) -> DataFrame:
+    def map_extent(self, layers: DataFrame | None = None) -> DataFrame:
         """Projected total bounds of the study area widened by 15 % on each side."""
-        lay = self.map_layers().where(F.col("layer") == "study_area")
+        lay = (self.map_layers() if layers is None else layers).where(F.col("layer") == "study_area")
         b = lay.agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"),
                     F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
         bx = (F.col("maxx") - F.col("minx")) * EXTENT_BUFFER
@@ -179,18 +185,20 @@ def run_analysis(predictions: DataFrame, zone_sources: Sequence[DataFrame], out_
     """
     validate(predictions)
     zg = ZoneGap(predictions, zone_sources, settings)
-    if zg.gdf.isEmpty():
-        raise ValueError("No valid geometries found")
-    keep = [c for c in zg.gdf.columns if c not in (".geo",)]
-    SK.write_geojson(zg.gdf.select(*[F.col(f"`{c}`") for c in keep]), f"{out_dir}/all_predictions")
-    SK.write_geojson_if_any(zg.outside.select(*[F.col(f"`{c}`") for c in keep]), f"{out_dir}/outside_fema")
+    # Parsing, zone selection and the anti-join each run once; everything below reads tables.
+    zg.parsed = cut_lineage(zg.parsed)
+    stats = zg.parse_stats().first()
+    if not stats["success"]:
+        raise ValueError("no prediction has a usable geometry")
+    if zg.zones is not None:
+        zg.zones = cut_lineage(zg.zones)
+    zg.outside = cut_lineage(zg.outside)
+    keep = [F.col(f"`{c}`") for c in zg.gdf.columns if c != zg.geo_col]
+    SK.write_geojson(zg.gdf.select(*keep), f"{out_dir}/all_predictions")
+    if not zg.outside.isEmpty():
+        SK.write_geojson(zg.outside.select(*keep), f"{out_dir}/outside_fema")
     zg.map_layers().write.mode("overwrite").parquet(f"{out_dir}/map_layers")
     report = zg.report()
     SK.write_report(report, f"{out_dir}/analysis_report")
-    # Parse statistics from the written (one-row) report and a plain row count (no
-    # parsing; parquet answers it from footers).  DataFrame.observe is avoided on purpose:
-    # in Spark 4.1 a used Observation makes the session unserialisable, which breaks
-    # closures that capture it (e.g. scoring with a freshly fitted forest).
-    valid = report.sparkSession.read.json(f"{out_dir}/analysis_report").first()["total_areas_analyzed"]
-    parse_stats = {"success": int(valid), "failed": int(predictions.count() - valid)}
+    parse_stats = {"success": int(stats["success"]), "failed": int(stats["failed"])}
     return ZoneGapResult(report, parse_stats)

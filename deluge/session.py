@@ -45,13 +45,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if none is configured."""
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    Only a session on one machine (master ``local...``) may do without that setting; on a
+    cluster executors would each write to their own disk, so it is an error there.
+    """
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {sc.master}")
     local = tempfile.mkdtemp(prefix="deluge-ckpt-", dir=os.environ.get("DELUGE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -76,7 +76,7 @@ def test_parse_geojson_edge_texts(spark):
              '{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]]]}']
     df = spark.createDataFrame([(t,) for t in texts], "g string")
     got = G.with_geometry(df, F.col("g"), "geom").select("geom.type").collect()
-    assert [r[0] for r in got] == ["Point", "Polygon", "Point", "Point", None, None, None, None, None, "MultiPolygon"]
+    assert [r[0] for r in got] == ["Point", "Polygon", "Point", "Point", None, None, None, None, "LineString", "MultiPolygon"]
     strict = G.with_geometry(df, F.col("g"), "geom", strict=True).select("geom.type").collect()
     assert [r[0] for r in strict][:4] == ["Point", "Polygon", None, None]
 
@@ -101,17 +101,37 @@ def test_reproject_known_values(spark):
     assert abs(r[2][1] - 20037508.342789244) < 1.0  # clamped to the Mercator limit
 
 
-def test_python_months_between_matches_spark(spark):
-    import random
-    rng = random.Random(3)
-    base = dt.date(1990, 1, 1)
-    pairs = []
-    for _ in range(400):
-        a = base + dt.timedelta(days=rng.randint(0, 12000))
-        b = a + dt.timedelta(days=rng.randint(0, 3000))
-        pairs.append((a, b))
-    pairs += [(dt.date(2020, 1, 31), dt.date(2020, 2, 29)), (dt.date(2020, 1, 30), dt.date(2020, 2, 29))]
-    df = spark.createDataFrame(pairs, "s date, e date")
-    rows = df.select("s", "e", F.months_between("e", "s", False).alias("m")).collect()
-    for r in rows:
-        assert abs(D.months_between(r.e.isoformat(), r.s.isoformat()) - r.m) < 1e-9
+def test_months_are_average_months():
+    assert abs(D.months_between("2021-03-17", "2021-02-01") - 44 / 30.436875) < 1e-12
+    # 44 days are nearer to one month than to two; 105 days are nearer to three.
+    assert D.month_count("2021-02-01", "2021-03-17", inclusive_tail=False) == 1
+    assert D.month_count("2021-02-01", "2021-05-17", inclusive_tail=False) == 3
+
+
+def test_auc_with_one_class_and_many_rows(spark):
+    from deluge.operators import metrics as MT
+    one = spark.createDataFrame([(1, 0.2), (1, 0.7)], "y int, s double")
+    assert MT.roc_auc_frame(one, "y", "s").first()["auc"] is None
+    two = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, 0.5), (0, 0.5)], "y int, s double")
+    assert MT.roc_auc_frame(two, "y", "s").first()["auc"] == 0.875
+
+
+def test_malformed_geometry_is_null_and_never_raises(spark):
+    texts = ['{"type":"Polygon","coordinates":[[]]}', '{"type":"MultiPolygon","coordinates":[[]]}',
+             '{"type":"Polygon","coordinates":[[[1]]]}', '{"type":"Polygon","coordinates":[[[0,0],null,[1,1],[0,0]]]}',
+             '{"type":"Point","coordinates":[]}', '{"type":"LineString","coordinates":[[0,0]]}', '{"type":"GeometryCollection","geometries":[]}',
+             '{"type":"Polygon","coordinates":[]}', '{"type":"MultiPoint","coordinates":[]}', '{"type":"Polygon"}', "[1,2]"]
+    good = ["{'type': 'Polygon', 'coordinates': (((0, 0), (2, 0), (2, 2), (0, 0)),)}", "{'type': 'Point', 'coordinates': (1.5, 2.0)}",
+            '{"type":"MultiPoint","coordinates":[[0,0],[2,2]]}', '{"type":"MultiLineString","coordinates":[[[0,0],[2,2]],[[1,1],[2,0]]]}',
+            '{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,2]]]}', '{"type":"Point","coordinates":[1,2,9]}']
+    df = G.with_geometry(spark.createDataFrame([(t,) for t in texts + good], "t string"), F.col("t"), "geometry")
+    bb = G.bbox("geometry")
+    rows = df.select("t", F.col("geometry.type").alias("k"), bb["maxx"].alias("x"), F.size(G.edges("geometry")).alias("n"),
+                     G.to_geojson(F.col("geometry")).alias("out")).collect()
+    kinds = {r.t: r.k for r in rows}
+    assert all(kinds[t] is None for t in texts) and all(kinds[t] for t in good)
+    n = {r.t: r.n for r in rows}
+    assert n[good[0]] == 3 and n[good[4]] == 3  # an open ring is closed
+    again = spark.createDataFrame([(r.out,) for r in rows if r.out], "t string")
+    assert len([r for r in rows if r.out]) == len(good)
+    assert all(r[0] for r in G.with_geometry(again, F.col("t"), "geometry").select("geometry.type").collect())

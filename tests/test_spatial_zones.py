@@ -37,7 +37,7 @@ def test_random_points_rectangles_vs_brute_force(spark):
     z, p = _zones(spark, rects), _points(spark, pts)
     want = {str(i) for i, (x, y) in enumerate(pts)
             if any(a <= x <= c and b <= y <= d for _, (a, b, c, d) in rects)}
-    for kw in ({}, {"max_cells_per_zone": 4}, {"broadcast_vertex_limit": 0}):
+    for kw in ({}, {"cell_size": 0.4}, {"broadcast_vertex_limit": 0}):
         semi = {r.id for r in SP.spatial_join(p, z, "left_semi", left_geom="geometry", **kw).collect()}
         anti = {r.id for r in SP.spatial_join(p, z, "left_anti", left_geom="geometry", **kw).collect()}
         assert semi == want and semi | anti == {str(i) for i in range(len(pts))} and not (semi & anti)
@@ -155,6 +155,41 @@ def test_random_squares_vs_polygons_reference(spark):
 def test_left_join_pairs_plus_unmatched(spark):
     z = _zones(spark, [("A", (0.0, 0.0, 4.0, 4.0)), ("AE", (3.0, 3.0, 6.0, 6.0))])
     p = _points(spark, [(3.5, 3.5), (1.0, 1.0), (9.0, 9.0)])
-    for kw in ({}, {"max_cells_per_zone": 1}):
+    for kw in ({}, {"cell_size": 0.01}):
         rows = sorted((r.id, r.zone_id) for r in SP.spatial_join(p, z, "left", left_geom="geometry", **kw).collect())
         assert rows == [("0", 0), ("0", 1), ("1", 0), ("2", None)]
+
+
+def test_one_wide_left_polygon_keeps_cells_small(spark):
+    """A geometry over everything must not pull all rows into one cell, nor change any result."""
+    rng = random.Random(5)
+    rects = [("A", (x, y, x + 1.5, y + 1.5)) for x, y in ((rng.uniform(0, 100), rng.uniform(0, 100)) for _ in range(80))]
+    pts = [(rng.uniform(0, 100), rng.uniform(0, 100)) for _ in range(2000)]
+    z = _zones(spark, rects)
+    wide = spark.range(1).select(F.lit("wide").alias("id"), G.rectangle(*[F.lit(v) for v in (-10.0, -10.0, 900.0, 900.0)]).alias("geometry"))
+    left = _points(spark, pts).select("id", "geometry").unionByName(wide)
+    got = sorted((r.id, r.zone_id) for r in SP.spatial_join(left, z, "left", left_geom="geometry").collect())
+    want = [("wide", k) for k in range(len(rects))]
+    for i, (x, y) in enumerate(pts):
+        hit = [k for k, (_, (a, b, c, d)) in enumerate(rects) if a <= x <= c and b <= y <= d]
+        want += [(str(i), k) for k in hit] or [(str(i), None)]
+    assert got == sorted(want, key=lambda r: (r[0], -1 if r[1] is None else r[1])) or sorted(
+        map(str, got)) == sorted(map(str, want))
+    # Points stay on the finest grid: no cell holds more than a hundredth of them.
+    L = SP._prep(left, "geometry", "_l_").withColumn("_a", SP._level("_l_", 1.5)).where("_a = 0")
+    cells = L.groupBy(F.floor(F.col("_l_minx") / 1.5), F.floor(F.col("_l_miny") / 1.5)).count()
+    assert cells.agg(F.max("count")).first()[0] <= 20
+
+
+def test_points_lines_and_null_geometries(spark):
+    text = spark.createDataFrame([
+        ("p", '{"type":"Point","coordinates":[1,1]}'), ("q", '{"type":"Point","coordinates":[1,1]}'),
+        ("l", '{"type":"LineString","coordinates":[[0,0],[2,2]]}'), ("far", '{"type":"Point","coordinates":[5,5]}'),
+        ("ring", '{"type":"LineString","coordinates":[[0,0],[4,0],[4,4],[0,4],[0,0]]}'), ("none", None)], "id string, t string")
+    g = G.with_geometry(text, F.col("t"), "geometry").drop("t")
+    right = g.select(F.col("id").alias("other"), F.col("geometry").alias("geom"))
+    got = {(r.id, r.other) for r in SP.spatial_join(g, right, "inner", left_geom="geometry").collect()}
+    same = {("p", "q"), ("q", "p"), ("p", "l"), ("l", "p"), ("q", "l"), ("l", "q"), ("l", "ring"), ("ring", "l")}
+    assert got == same | {(k, k) for k in ("p", "q", "l", "far", "ring")}  # a point inside a closed line is not on it
+    anti = {r.id for r in SP.spatial_join(g, right, "left_anti", left_geom="geometry").collect()}
+    assert anti == {"none"}
