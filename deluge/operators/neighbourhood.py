@@ -100,24 +100,35 @@ def connected_pixel_count(df: DataFrame, value_col: str, cap: int, tile: int = 2
         _tile_counter(tile, halo, cap, value_col, tuple(payload)), schema=schema)
 
 
-_NEIGHBOURS = [("self", 0, 0), ("xm", 0, 1), ("xp", 0, -1), ("ym", 1, 0), ("yp", -1, 0)]
-
-
-def slope_degrees(df: DataFrame, elevation: str = "elevation", dx: float = 30.0, dy: float = 30.0) -> DataFrame:
+def _tile_slope(tile: int, dx: float, dy: float):
+    def slope(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = tile + 2
+        rr = pdf["row"].to_numpy(dtype=np.int64) - (int(pdf["_tr"].iloc[0]) * tile - 1)
+        cc = pdf["col"].to_numpy(dtype=np.int64) - (int(pdf["_tc"].iloc[0]) * tile - 1)
+        e = np.full((size, size), np.nan)
+        e[rr, cc] = pdf["_e"].to_numpy(dtype=float)
+        core = (rr >= 1) & (rr <= tile) & (cc >= 1) & (cc <= tile)
+        r, c = rr[core], cc[core]
+        gx = (e[r, c + 1] - e[r, c - 1]) / (2.0 * dx)
+        gy = (e[r + 1, c] - e[r - 1, c]) / (2.0 * dy)
+        return pd.DataFrame({"row": pdf["row"].to_numpy()[core].astype(np.int32),
+                             "col": pdf["col"].to_numpy()[core].astype(np.int32),
+                             "slope": np.degrees(np.arctan(np.sqrt(gx * gx + gy * gy)))})
+    return slope
+
+
+def slope_degrees(df: DataFrame, elevation: str = "elevation", dx: float = 30.0, dy: float = 30.0,
+                  tile: int = 256) -> DataFrame:
     """(row, col, slope) from the 4-connected neighbours; NULL where a neighbour is missing.
 
-    Each pixel sends its elevation to itself and to its four neighbours (tagged by the
-    side it lies on), then one grouped aggregate gathers them: a single shuffle instead
-    of four self-joins.
+    A tile with a border of one pixel holds all it needs, so only border pixels travel more
+    than once (about 3 % more rows at 256 x 256), in one shuffle.
     """
-    msgs = F.array(*[F.struct(F.lit(t).alias("t"), (F.col("row") + dr).alias("r"), (F.col("col") + dc).alias("c"))
-                     for t, dr, dc in _NEIGHBOURS])
-    sent = (df.select("row", "col", F.col(elevation).alias("_e"), F.explode(msgs).alias("_m"))
-              .select(F.col("_m.r").alias("row"), F.col("_m.c").alias("col"), F.col("_m.t").alias("t"), "_e"))
-    got = sent.groupBy("row", "col").agg(
-        F.count_if(F.col("t") == "self").alias("_has"),
-        *[F.max(F.when(F.col("t") == t, F.col("_e"))).alias(t) for t, _, _ in _NEIGHBOURS[1:]])
-    gx = (F.col("xp") - F.col("xm")) / F.lit(2.0 * dx)
-    gy = (F.col("yp") - F.col("ym")) / F.lit(2.0 * dy)
-    return (got.where(F.col("_has") > 0)
-               .select("row", "col", F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))).alias("slope")))
+    low = lambda c: F.floor((F.col(c) - 1) / tile)
+    high = lambda c: F.floor((F.col(c) + 1) / tile)
+    tiles = (df.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
+                       F.col(elevation).cast("double").alias("_e"))
+             .withColumn("_tr", F.explode(F.sequence(low("row"), high("row"))))
+             .withColumn("_tc", F.explode(F.sequence(low("col"), high("col")))))
+    out = tiles.groupBy("_tr", "_tc").applyInPandas(_tile_slope(tile, dx, dy), "row int, col int, slope double")
+    return out.select("row", "col", F.nanvl("slope", F.lit(None).cast("double")).alias("slope"))

@@ -31,8 +31,20 @@ def _margin(n: int) -> float:
 
 
 def _rank(df: DataFrame, class_col: str, order_cols: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(class_col).orderBy("_u", *order_cols)
-    return df.withColumn("_rank", F.row_number().over(w))
+    """``_rank`` from 1 within each class in the order of ``_u``, however many rows a class has.
+
+    ``_u`` is uniform, so equal slices of its range hold about equally many rows: rows are
+    numbered within a slice and shifted by the rows of the lower slices (a small aggregate).
+    """
+    slices = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = df.withColumn("_b", F.floor(F.col("_u") * F.lit(slices)).cast("int"))
+    sizes = d.groupBy(class_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    lower = Window.partitionBy(class_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col(class_col).alias("_rc"), F.col("_b").alias("_rb"),
+                         F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
+    w = Window.partitionBy(class_col, "_b").orderBy("_u", *[F.col(f"`{c}`") for c in order_cols])
+    return (d.join(shift, F.col(class_col).eqNullSafe(F.col("_rc")) & (F.col("_b") == F.col("_rb")))
+            .withColumn("_rank", F.row_number().over(w) + F.col("_before")).drop("_b", "_rc", "_rb", "_before"))
 
 
 def stratified_sample(df: DataFrame, class_col: str, n: int, seed: int,
@@ -72,15 +84,14 @@ def stratified_sample(df: DataFrame, class_col: str, n: int, seed: int,
 
 def stratified_split(df: DataFrame, class_col: str, test_fraction: float, seed: int,
                      order_cols: Sequence[str]) -> DataFrame:
-    """Adds ``is_test`` (0/1): per class the first ceil(f * n_c) rows by seeded hash.
-
-    Input is a sample table, bounded by construction (classes x samples per class).
-    """
-    w_all = Window.partitionBy(class_col)
-    ranked = _rank(df.withColumn("_u", uniform_hash(seed, order_cols)), class_col, order_cols)
-    n_c = F.count(F.lit(1)).over(w_all)
-    return (ranked.withColumn("is_test", (F.col("_rank") <= F.ceil(n_c * F.lit(test_fraction))).cast("int"))
-                  .drop("_u", "_rank"))
+    """Adds ``is_test`` (0/1): per class the first ceil(f * n_c) rows by seeded hash."""
+    base = df.withColumn("_u", uniform_hash(seed, order_cols))
+    ranked = _rank(base, class_col, order_cols)
+    cut = base.groupBy(class_col).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_fraction)).alias("_cut")).select(
+        F.col(class_col).alias("_cc"), "_cut")
+    return (ranked.join(cut, F.col(class_col).eqNullSafe(F.col("_cc")))
+                  .withColumn("is_test", (F.col("_rank") <= F.col("_cut")).cast("int"))
+                  .drop("_u", "_rank", "_cc", "_cut"))
 
 
 def stratified_folds(df: DataFrame, class_col: str, k: int, seed: int, order_cols: Sequence[str]) -> DataFrame:

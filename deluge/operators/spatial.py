@@ -2,7 +2,7 @@
 
 Plan
   * geometries are sorted into levels by the longer side of their bbox; a cell at level k is
-    ``base * 2^k`` wide, and no geometry of a level is wider than its cell;
+    ``2^(base + k)`` wide, and no geometry of a level is wider than its cell;
   * a left geometry of level a meets the zones of level z on the grid of level max(a, z): it
     goes to ONE cell there, that of its bbox's lower-left corner, and a zone is copied to the
     cells covering its bbox widened by one cell to the lower left: at most nine;
@@ -17,12 +17,14 @@ only while their copies, vertices and other columns stay below a limit.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 
-#: Cell sizes span base * 2^0 .. base * 2^MAX_LEVEL.
+#: Levels above the finest; wider geometries would not fit any coordinate range.
 MAX_LEVEL = 60
 
 
@@ -46,12 +48,29 @@ def _extent(prefix: str):
     return F.greatest(F.col(f"{prefix}maxx") - F.col(f"{prefix}minx"), F.col(f"{prefix}maxy") - F.col(f"{prefix}miny"))
 
 
-def _level(prefix: str, base: float):
-    """Smallest k with extent <= base * 2^k."""
-    k = F.ceil(F.log2(F.greatest(_extent(prefix) / F.lit(base), F.lit(1.0))))
+def _power(prefix: str):
+    """Smallest k with extent <= 2^k; null for extent 0 and for a null geometry."""
+    k = F.ceil(F.log2(_extent(prefix)))
     # The logarithm may be off by an ulp at exact powers: one level up is always safe.
-    k = F.when(_extent(prefix) > F.lit(base) * F.pow(F.lit(2.0), k), k + 1).otherwise(k)
-    return F.least(k, F.lit(MAX_LEVEL)).cast("int")
+    return F.when(_extent(prefix) > F.pow(F.lit(2.0), k), k + 1).otherwise(k).cast("int")
+
+
+def _level(prefix: str, base: int):
+    """Level of a geometry on grids whose finest cells are 2^base wide."""
+    return F.least(F.greatest(F.coalesce(_power(prefix) - F.lit(base), F.lit(0)), F.lit(0)), F.lit(MAX_LEVEL))
+
+
+def _finest(sizes: dict, cell_size: float | None) -> int:
+    """Exponent of the finest cells: the median zone's extent, or ``cell_size`` if given."""
+    if cell_size:
+        return math.ceil(math.log2(cell_size))
+    known = sorted((k, n) for k, (n, _) in sizes.items() if k is not None)
+    half, seen = sum(n for _, n in known) / 2, 0
+    for k, n in known:
+        seen += n
+        if seen >= half:
+            return k
+    return 0
 
 
 def spatial_join(left: DataFrame, right: DataFrame, how: str = "inner", left_geom: str = "geom",
@@ -62,8 +81,8 @@ def spatial_join(left: DataFrame, right: DataFrame, how: str = "inner", left_geo
     how: 'inner' | 'left' (pairs, unmatched left rows with NULL right columns) |
          'left_semi' | 'left_anti'.  Right payload columns keep their names; the right
          geometry is returned as ``right_geometry`` for pair joins.  A null geometry
-         intersects nothing.  ``cell_size`` is the width of the finest cells; by default the
-         median extent of the zones.
+         intersects nothing.  ``cell_size`` is the width of the finest cells (rounded up to a
+         power of two); by default the median extent of the zones.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
@@ -75,24 +94,27 @@ def spatial_join(left: DataFrame, right: DataFrame, how: str = "inner", left_geo
     R = _prep(G.keep_valid(right.withColumnRenamed(right_geom, "_r_geom"), "_r_geom"), "_r_geom", "_r_")
     rpay = [c for c in right.columns if c != right_geom]
 
-    if cell_size is None:
-        cell_size = R.agg(F.percentile_approx(_extent("_r_"), 0.5).alias("m")).first()["m"]
-    base = float(cell_size) if cell_size and cell_size > 0 else 1.0
-    L = L.withColumn("_a", F.coalesce(_level("_l_", base), F.lit(0)))
-    R = R.withColumn("_z", _level("_r_", base))
-    # Levels in use: at most MAX_LEVEL + 1 on either side, whatever the data.
-    lefts = sorted(r[0] for r in L.select("_a").distinct().collect())
+    # Extents of both sides by powers of two, in one job: a few dozen rows whatever the data.
     payload = F.length(F.to_json(F.struct(*[F.col(q(c)) for c in rpay]))) if rpay else F.lit(0)
-    zones = {r["_z"]: int(r["w"]) for r in R.groupBy("_z").agg(
-        F.sum(F.size("_r_edges") + 1 + payload / 40).alias("w")).collect()}
+    stats = L.select(F.lit("l").alias("side"), _power("_l_").alias("k"), F.lit(0.0).alias("w")).unionByName(
+        R.select(F.lit("r").alias("side"), _power("_r_").alias("k"), (F.size("_r_edges") + 1 + payload / 40).alias("w"))
+    ).groupBy("side", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).collect()
+    sizes = {side: {r["k"]: (r["n"], r["w"]) for r in stats if r["side"] == side} for side in "lr"}
+    base = _finest(sizes["r"], cell_size)
+    at = lambda k: min(max((k if k is not None else base) - base, 0), MAX_LEVEL)
+    lefts = sorted({at(k) for k in sizes["l"]})
+    zones: dict[int, float] = {}
+    for k, (_, w) in sizes["r"].items():
+        zones[at(k)] = zones.get(at(k), 0) + w
+    L, R = L.withColumn("_a", _level("_l_", base)), R.withColumn("_z", _level("_r_", base))
 
     def cell(value, level):
-        return F.floor(value / (F.lit(base) * F.pow(F.lit(2.0), level.cast("double"))))
+        return F.floor(value / F.pow(F.lit(2.0), level.cast("double") + F.lit(float(base))))
 
     joins = []
     for z, weight in sorted(zones.items()):
         grids = sorted({max(a, z) for a in lefts})
-        width = F.lit(base) * F.pow(F.lit(2.0), F.col("_g").cast("double"))
+        width = F.pow(F.lit(2.0), F.col("_g").cast("double") + F.lit(float(base)))
         own = (R.where(F.col("_z") == z).withColumn("_g", F.explode(F.array(*[F.lit(g) for g in grids])))
                .withColumn("_cx", F.explode(F.sequence(cell(F.col("_r_minx") - width, F.col("_g")),
                                                        cell(F.col("_r_maxx"), F.col("_g")))))

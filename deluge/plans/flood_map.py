@@ -21,6 +21,7 @@ from ..config import OUTPUT_NAMES, REQUIRED_BANDS, FloodSettings
 from ..functions import geometry as G
 from ..functions import indices as I
 from ..functions import masks as M
+from ..functions.dates import epoch_millis, month_start
 from ..operators import collection as C
 from ..operators import composite as X
 from ..operators import neighbourhood as N
@@ -71,8 +72,22 @@ class FloodMap:
         """Observations of valid scenes with their first cloud record (F1, P11, F5, J1)."""
         obs = C.filter_date(self.inp.s2_obs, self.s.pre_start, self.s.post_end)
         obs = C.clip(obs, self.s.aoi, self.s.grid)
+        if {"row", "col"} <= set(self.inp.s2_cloud.columns):
+            return self._with_pixel_clouds(obs)
         return obs.join(self.scene_table.select("scene_id", "probability"), "scene_id", "inner")
 
+    def _with_pixel_clouds(self, obs: DataFrame) -> DataFrame:
+        """Cloud probability as an image: the first record of each scene and pixel.
+
+        Cloud records are cut to the observations' dates and area before they are grouped.
+        """
+        cloud = C.clip(self.inp.s2_cloud, self.s.aoi, self.s.grid)
+        if "ts" in cloud.columns:
+            cloud = C.filter_date(cloud, self.s.pre_start, self.s.post_end)
+        obs = obs.join(self.scenes_valid.select("scene_id"), "scene_id", "left_semi")
+        return C.save_first(obs, cloud.select("scene_id", "row", "col", "probability"), ["scene_id", "row", "col"],
+                            order=["probability"], outer=self.s.keep_unmatched_scenes)
+
     @cached_property
     def scene_table(self) -> DataFrame:
         """Valid scenes with their first cloud record, resolved on the (small) scene table,
@@ -84,7 +99,12 @@ class FloodMap:
         if {"minx", "miny", "maxx", "maxy"} <= set(sc.columns):
             sc = C.filter_bounds(sc, self.s.aoi)
         keep = ["scene_id"] + (["ts"] if "ts" in sc.columns else [])
-        cloud = self.inp.s2_cloud.select("scene_id", "probability")
+        cloud = self.inp.s2_cloud
+        if "ts" in cloud.columns:
+            cloud = C.filter_date(cloud, self.s.pre_start, self.s.post_end)
+        if {"minx", "miny", "maxx", "maxy"} <= set(cloud.columns):
+            cloud = C.filter_bounds(cloud, self.s.aoi)
+        cloud = cloud.select("scene_id", "probability")
         return C.save_first(sc.select(*keep), cloud, ["scene_id"], order=["probability"],
                             outer=self.s.keep_unmatched_scenes)
 
@@ -97,12 +117,25 @@ class FloodMap:
         masked = C.cloud_mask(self.s2_tagged, self.s.cloud_threshold)
         return C.drop_fully_masked(masked).select("row", "col", "period", "k", *REQUIRED_BANDS)
 
+    @cached_property
+    def s2_by_pixel(self) -> DataFrame:
+        # The one wide shuffle of stage 1: months, periods and the join with the pixel frame all
+        # group by pixel.  A pixel has one observation per scene, so no key outgrows a task.
+        return self.s2_masked.repartition("row", "col")
+
     @cached_property
     def monthly(self) -> DataFrame:
-        # Partial (map-side) percentile aggregation runs before the shuffle, so a pixel
-        # with very many observations ships at most one partial buffer per map task;
-        # buffers are value->count maps bounded by the distinct reflectance values.
-        return X.monthly_median(self.s2_masked)
+        return X.monthly_median(self.s2_by_pixel)
+
+    def monthly_with_metadata(self) -> DataFrame:
+        """Monthly composites with the start of their window in epoch milliseconds, its year and month."""
+        starts = {name: start for name, start, _ in self.periods}
+        first = None
+        for name, start in starts.items():
+            first = F.when(F.col("period") == name, month_start(start, F.col("k"))) if first is None else \
+                first.when(F.col("period") == name, month_start(start, F.col("k")))
+        return self.monthly.withColumn("_first", first).withColumns({
+            "time_start": epoch_millis(F.col("_first")), "year": F.year("_first"), "month": F.month("_first")}).drop("_first")
 
     @cached_property
     def composite(self) -> DataFrame:
@@ -205,7 +238,7 @@ class FloodMap:
     @cached_property
     def slope(self) -> DataFrame:
         # Its own neighbour shuffle re-keys the rows, so it starts from the unpartitioned layer.
-        return N.slope_degrees(self.static_layers, "elevation", dx=self.s.scale, dy=self.s.scale)
+        return N.slope_degrees(self.static_layers, "elevation", dx=self.s.scale, dy=self.s.scale, tile=self.s.tile_size)
 
     # ---- ML inputs --------------------------------------------------------------------
     @cached_property

@@ -385,10 +385,92 @@ def job_oracles() -> dict[str, str]:
     return q
 
 
+#: Type and bbox by p_partkey % 16 of the edge texts; all others are null.
+EDGE_BOXES = {0: ("Point", 1, 2, 1, 2), 1: ("MultiPoint", 0, 1, 3, 4), 2: ("LineString", 0, 0, 2, 5),
+              3: ("MultiLineString", 0, 0, 6, 3), 4: ("Polygon", 0, 0, 4, 3), 5: ("MultiPolygon", 0, 0, 7, 8),
+              6: ("Polygon", 0, 0, 2, 2), 7: ("Point", 8, 9, 8, 9)}
+
+
+def round2_oracles() -> dict[str, str]:
+    """Real coordinates, study-area bounds, edge geometries, projected zones, stage 2."""
+    q = {}
+    grouped = "select change, combined_flood, count(*) as pixels from chg group by change, combined_flood"
+    # A box of degrees on the 0.01-degree grid, as a test of each pixel centre.
+    ctes = _flood_ctes()
+    for v in ("s2_obs", "s1_obs", "px_static"):
+        ctes = ctes.replace(f"{v} as ({VIEWS[v]})", f"{v} as (select * from ({VIEWS[v]}) where "
+                            f"-77.3 + (col + 0.5) * 0.01 between -77.15 and -76.95 and 39.7 - ({R} + 0.5) * 0.01 between 39.3 and 39.6)")
+    q["clip_lonlat"] = f"WITH RECURSIVE {ctes}\n{grouped}"
+    n_all = (f"select {R}, col, flood from ff join chg using ({R}, col) join sl using ({R}, col) "
+             "where flood is not null and ndwi_post is not null and mndwi_post is not null and awei_post is not null "
+             "and s1_water is not null and elevation is not null and slope is not null and Map is not null and seasonality is not null")
+    q["sample_points"] = _with(
+        f"select {R} || '_' || col as \"system:index\", flood, round(-77.3 + (col + 0.5) * 0.01, 6) as x, "
+        f"round(39.7 - ({R} + 0.5) * 0.01, 6) as y from ({n_all})")
+    zones = _zone_ctes()
+    flood = ", ".join(f"{k} as ({v})" for k, v in VIEWS.items())
+    q["predictors_to_zones"] = (
+        f"WITH {flood}, s1f as (select * from s1_obs where ts >= TIMESTAMP '{FS.post_start}' and ts < TIMESTAMP '{FS.post_end}' "
+        f"and list_contains(pols, 'VV') and mode = 'IW'), sar as (select {R}, col, median(VV) as VV from s1f group by {R}, col), "
+        f"px as (select p.{R} as r, p.col as c, case when (select count(*) from s1f) > 0 then cast(s.VV as float) else 0 end < -17 as wet "
+        f"from px_static p left join sar s on p.{R} = s.{R} and p.col = s.col), "
+        "zz as (select s_suppkey%6 as code, (s_suppkey*7)%40-0.5 as x0, (s_suppkey*7)%40+2.5 as x1, (s_suppkey*3)%50-0.5 as y0, "
+        "(s_suppkey*3)%50+1.5 as y1 from supplier where s_suppkey%6 not in (0, 4)) "
+        "select count(*) as total_areas_analyzed, count(*) filter (where wet) as flood_predictions_count, "
+        "(select least(count(*), 1) from zz) as fema_zones_count, count(*) filter (where wet and not exists "
+        "(select 1 from zz where c between x0 and x1 and r between y0 and y1)) as flooded_outside_fema_count from px")
+    wide = zones.replace("zones as (select s_suppkey", "zones0 as (select s_suppkey").replace(
+        "from supplier),\nsfha", """from supplier),
+b as (select min(minx) as bx0, min(miny) as by0, max(maxx) as bx1, max(maxy) as by1 from gdf),
+zones as (select zone_id, FLD_ZONE, zminx * 10 as zminx, zmaxx * 10 as zmaxx, zminy, zmaxy from zones0, b
+          where zminx * 10 <= bx1 and zmaxx * 10 >= bx0 and zminy <= by1 and zmaxy >= by0),
+sfha""")
+    q["zone_envelope"] = f"WITH {wide}\nselect zone_id, FLD_ZONE from zsel"
+    q["source_fallback_bounds"] = _zwith("select zone_id, FLD_ZONE, 1 as source_priority from zsel")
+    q["report_bounds"] = f"""WITH {wide}
+select (select count(*) from gdf) as total_areas_analyzed, (select count(*) from flooded) as flood_predictions_count,
+       (select count(*) > 0 from zsel) as fema_data_available, (select least(count(*), 1) from zsel) as fema_zones_count,
+       (select count(*) from outside) as flooded_outside_fema_count"""
+    rows = ", ".join(f"({k}, '{t}', {a}::double, {b}::double, {c}::double, {d}::double)" for k, (t, a, b, c, d) in EDGE_BOXES.items())
+    q["parse_geometry_edge"] = (f"select p_partkey as k, gtype, minx, miny, maxx, maxy from part left join "
+                                f"(values {rows}) t(m, gtype, minx, miny, maxx, maxy) on p_partkey % 16 = m")
+    q["spatial_outlier"] = _zwith(
+        'select g."system:index", z.zone_id from gdf g left join zsel z on g.minx <= z.zmaxx and g.maxx >= z.zminx '
+        "and g.miny <= z.zmaxy and g.maxy >= z.zminy union all select 'all', zone_id from zsel")
+    q["map_layers_projected"] = zone_oracles()["map_layers"]
+    px = (f"select l_orderkey as scene_id, cast(floor((l_partkey-1)/40) as int) as {R}, cast((l_partkey-1)%40 as int) as col, "
+          "min(cast((l_orderkey*31 + l_partkey*7)%100 as int)) as probability from lineitem where l_orderkey%13<>0 group by all")
+    q["cloud_masked_pixel"] = (
+        "WITH RECURSIVE " + _flood_ctes().replace(
+            "cloud1 as (select scene_id, min(probability) as probability from s2_cloud group by scene_id)", f"cloud1 as ({px})")
+        .replace("join cloud1 c on o.scene_id = c.scene_id", f"join cloud1 c on o.scene_id = c.scene_id and o.{R} = c.{R} and o.col = c.col")
+        + f"\nselect {R}, col, period, k, " + ", ".join(BANDS) + " from masked")
+    parts = []
+    for name, start, end in (("a", "1995-02-01", "1995-03-17"), ("b", "1995-02-01", "1995-05-17"), ("c", "1996-01-31", "1997-07-16")):
+        parts.append(f"select '{name}' as period, cast(w as int) as k, count(*) as n from lineitem join "
+                     f"range({_windows(start, end)}) t(w) on l_shipdate >= DATE '{start}' + to_months(cast(w as int)) "
+                     f"and l_shipdate < DATE '{start}' + to_months(cast(w + 1 as int)) group by all")
+    q["month_windows"] = " union all ".join(parts)
+    q["composite_metadata"] = _with(
+        "select period, k, epoch_ms(cast(d as timestamp)) as time_start, cast(year(d) as int) as year, cast(month(d) as int) as month, "
+        f"count(*) as pixels from (select *, case period when 'pre' then DATE '{FS.pre_start}' else DATE '{FS.post_start}' end "
+        "+ to_months(k) as d from monthly) group by all")
+    test = (f"select flood, cast(ceil(count(*) * 0.25) as bigint) as n from ({n_all}) group by flood")
+    q["holdout_report"] = _with(
+        f"select cast(flood as varchar) as label, n as support, true as consistent from ({test}) union all "
+        f"select label, sum(n)::bigint, true from ({test}), (values ('accuracy'), ('macro avg'), ('weighted avg')) v(label) group by label")
+    q["score_job_columns"] = flood_oracles()["predictor_stack"].replace(
+        f"select i.{R}, i.col, ", f"select true as valid_probability, true as valid_class, i.{R}, i.col, ")
+    q["model_invariants"] = _with(f"select flood, n, n as ids, true as valid, true as class_follows, true as same_auc, "
+                                  f"true as importances_add_up from ({test})")
+    return q
+
+
 def all_oracles() -> dict[str, str]:
     out = {}
     out.update(flood_oracles())
     out.update(zone_oracles())
     out.update(ml_oracles())
     out.update(job_oracles())
+    out.update(round2_oracles())
     return out

@@ -9,19 +9,21 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FIXTURE_SETTINGS, REQUIRED_BANDS, ModelSettings, ZoneSettings
+from ..config import FIXTURE_SETTINGS, REQUIRED_BANDS, Grid, ModelSettings, ZoneSettings
 from ..functions import geometry as G
 from ..operators import collection as C
+from ..operators import composite as X
 from ..operators import metrics as MT
 from ..operators import ml as ML
 from ..operators import zones as Z
 from ..operators.sampling import stratified_folds
-from ..session import output_root
+from ..session import cut_lineage, output_root
 from ..sources import files as FI
 from ..sources import fixtures
 from ..sources import sinks as SK
 from ..sources.tables import table
 from .flood_map import FloodMap, fixture_inputs
+from . import flood_model as FMOD
 from .zone_gap import ZoneGap, prediction_summary, run_analysis
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -312,8 +314,8 @@ _TRAINED: dict = {}
 
 
 def _trained_with_map(spark, sf):
-    """(flood map with its per-pixel stack checkpointed, training result), per process."""
-    key = (sf, id(spark))
+    """(flood map with its per-pixel stack checkpointed, training result), once per application."""
+    key = (sf, spark.sparkContext.applicationId)
     if key not in _TRAINED:
         fm = _fm(spark, sf, True)
         _TRAINED[key] = (fm, ML.train(fm.samples, MS))
@@ -478,3 +480,148 @@ def q_clipped_change_counts(spark, sf):
     """Change counts inside an AOI rectangle (x = col 0..19, y = row 0..24): scans, radar and pixels clipped."""
     return _fm_with(spark, sf, aoi=(0, 0, 19, 24)).change.groupBy("change", "combined_flood").agg(
         F.count(F.lit(1)).alias("pixels"))
+
+
+# ---- real coordinates, study-area bounds, edge geometries, projected zones --------------------------------
+LONLAT = Grid(origin_x=-77.3, origin_y=39.7, step_x=0.01, step_y=-0.01)
+
+
+@query
+def q_clip_lonlat(spark, sf):
+    """Change counts inside a box of degrees, on a north-up grid of 0.01 degrees."""
+    return _fm_with(spark, sf, grid=LONLAT, aoi=(-77.15, 39.3, -76.95, 39.6)).change.groupBy("change", "combined_flood").agg(
+        F.count(F.lit(1)).alias("pixels"))
+
+
+@query
+def q_sample_points(spark, sf):
+    """Sample rows with their point in degrees (at sf0.01 no class reaches the sample size: all rows)."""
+    s = FloodMap(fixture_inputs(spark, sf), replace(FIXTURE_SETTINGS, grid=LONLAT), materialize=True).samples
+    d = G.with_geometry(s.select("system:index", "flood", F.col("`.geo`").alias("g")), F.col("g"), "geometry")
+    xy = F.col("geometry.parts")[0][0][0]
+    return d.select("system:index", "flood", F.round(xy[0], 6).alias("x"), F.round(xy[1], 6).alias("y"))
+
+
+@query
+def q_predictors_to_zones(spark, sf):
+    """Stage 1 predictors (radar water as the flood flag) fed into the zone comparison through their .geo."""
+    p = _fm(spark, sf).predictors.select(
+        F.concat_ws("_", F.col("row").cast("string"), F.col("col").cast("string")).alias("system:index"), F.col("`.geo`"),
+        F.coalesce((F.col("VV") < -17).cast("int"), F.lit(0)).alias("flood_predicted"))
+    # A table between the stages, as the jobs hand it over; the zone comparison reads it several times.
+    r = ZoneGap(cut_lineage(p), [fixtures.zones(spark, sf)], ZoneSettings()).report(with_date=False)
+    return r.select("total_areas_analyzed", "flood_predictions_count", "fema_zones_count", "flooded_outside_fema_count")
+
+
+@query
+def q_zone_envelope(spark, sf):
+    """Zones of the study area, where the zone layer is ten times as wide."""
+    zg = ZoneGap(fixtures.predictions(spark, sf), [fixtures.shifted_zones(spark, sf, stretch=10.0)], ZoneSettings())
+    return zg.zones.select("zone_id", "FLD_ZONE")
+
+
+@query
+def q_source_fallback_bounds(spark, sf):
+    """The first source has zones, but none in the study area."""
+    far = fixtures.shifted_zones(spark, sf, shift=1000.0)
+    zg = ZoneGap(fixtures.predictions(spark, sf), [far, fixtures.zones(spark, sf)], ZoneSettings())
+    return zg.zones.select("zone_id", "FLD_ZONE", "source_priority")
+
+
+@query
+def q_report_bounds(spark, sf):
+    far = fixtures.shifted_zones(spark, sf, shift=1000.0)
+    r = ZoneGap(fixtures.predictions(spark, sf), [far, fixtures.shifted_zones(spark, sf, stretch=10.0)],
+                ZoneSettings()).report(with_date=False)
+    return r.select("total_areas_analyzed", "flood_predictions_count", "fema_data_available", "fema_zones_count",
+                    "flooded_outside_fema_count")
+
+
+@query
+def q_parse_geometry_edge(spark, sf):
+    d = G.with_geometry(fixtures.edge_geometries(spark, sf), F.col("text"), "geometry")
+    return d.select("k", F.col("geometry.type").alias("gtype"), *_bbox_cols())
+
+
+@query
+def q_spatial_outlier(spark, sf):
+    """Predictions and one rectangle over everything, each with its zones."""
+    p = fixtures.predictions(spark, sf)
+    zg = _zg(spark, sf)
+    over = zg.total_bounds().select(
+        F.lit("all").alias("system:index"),
+        G.rectangle(F.col("minx") - 500, F.col("miny") - 500, F.col("maxx") + 500, F.col("maxy") + 500).alias("geometry"))
+    left = zg.gdf.select("system:index", "geometry").unionByName(over)
+    from ..operators import spatial as SP
+    return SP.spatial_join(left, zg.zones.select("zone_id", "geom"), "left", left_geom="geometry").select(
+        "system:index", "zone_id")
+
+
+@query
+def q_map_layers_projected(spark, sf):
+    """Zones delivered in EPSG:3857: every layer comes out once in that CRS."""
+    z = fixtures.zones(spark, sf).withColumn("geom", G.to_web_mercator(F.col("geom")))
+    zg = ZoneGap(fixtures.predictions(spark, sf), [z], ZoneSettings(zone_crs="EPSG:3857"))
+    return zg.map_layers().select("layer", "feature_id", "geom_type",
+                                  *[F.round(c, 4).alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+
+
+@query
+def q_cloud_masked_pixel(spark, sf):
+    inp = replace(fixture_inputs(spark, sf), s2_cloud=fixtures.s2_cloud_px(spark, sf))
+    return FloodMap(inp, FIXTURE_SETTINGS).s2_masked.select("row", "col", "period", "k", *REQUIRED_BANDS)
+
+
+@query
+def q_month_windows(spark, sf):
+    """Optical observations per month window for three other pairs of dates."""
+    out = None
+    for name, (start, end) in MONTH_PAIRS.items():
+        d = X.assign_months(fixtures.s2_obs(spark, sf).select("ts"), [(name, start, end)])
+        out = d if out is None else out.unionByName(d)
+    return out.groupBy("period", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Pairs whose length in average months rounds differently from calendar months.
+MONTH_PAIRS = {"a": ("1995-02-01", "1995-03-17"), "b": ("1995-02-01", "1995-05-17"), "c": ("1996-01-31", "1997-07-16")}
+
+
+@query
+def q_composite_metadata(spark, sf):
+    return _fm(spark, sf).monthly_with_metadata().groupBy("period", "k", "time_start", "year", "month").agg(
+        F.count(F.lit(1)).alias("pixels"))
+
+
+# ---- stage 2 as jobs ---------------------------------------------------------------------------------------
+@query
+def q_holdout_report(spark, sf):
+    return FMOD.holdout_checks(FMOD.evaluate(_trained(spark, sf).test_scored, MS.label))
+
+
+@query
+def q_score_job_columns(spark, sf):
+    """The written CSV of the scoring job: every input column, and valid scores."""
+    fm, res = _trained_with_map(spark, sf)
+    model, source, target = (_out(spark, n) for n in ("model", "predictors_csv", "predictions_csv"))
+    SK.save_model(res.model, model)
+    SK.write_csv(fm.predictors, source)
+    FMOD.score_job(spark, model, source, target)
+    back = FMOD.read_predictions(spark, target)
+    cols = ("ndwi_post", "mndwi_post", "awei_post", "VV", "elevation", "slope", "Map", "jrc_seasonality")
+    return back.select("row", "col", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in cols],
+                       F.col("flood_probability").between(0.0, 1.0).alias("valid_probability"),
+                       F.col("flood_predicted").isin(0, 1).alias("valid_class"))
+
+
+@query
+def q_model_invariants(spark, sf):
+    """Test rows per class with valid scores; AUC of the frame and of the evaluator agree; importances add to one."""
+    res = _trained(spark, sf)
+    auc = MT.roc_auc_frame(res.test_scored, MS.label, "flood_probability").first()["auc"]
+    same = abs(auc - MT.roc_auc(res.test_scored, MS.label, "flood_probability")) < 1e-9
+    total = ML.importances(res.model, spark).agg(F.sum("importance").alias("s")).first()["s"]
+    return res.test_scored.groupBy("flood").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("system:index").alias("ids"),
+        F.min(F.col("flood_probability").between(0.0, 1.0)).alias("valid"),
+        F.min((F.col("flood_probability") > 0.5) == (F.col("flood_predicted") == 1)).alias("class_follows")).select(
+        "*", F.lit(bool(same)).alias("same_auc"), F.lit(bool(abs(total - 1) < 1e-9)).alias("importances_add_up"))

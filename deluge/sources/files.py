@@ -13,6 +13,14 @@ FEATURE_DDL = ("type string, properties map<string,string>, "
                "geometry struct<type:string, coordinates:string>")
 
 
+# Columns of the three tables that stages hand to each other as CSV.
+SAMPLES_DDL = ("`system:index` string, flood int, ndwi_post double, mndwi_post double, awei_post double, VV double, "
+               "elevation double, slope double, Map int, jrc_seasonality int, `.geo` string")
+PREDICTORS_DDL = ("row int, col int, ndwi_post float, mndwi_post float, awei_post float, VV float, elevation float, "
+                  "slope float, Map float, jrc_seasonality float, `.geo` string")
+PREDICTIONS_DDL = PREDICTORS_DDL + ", flood_probability double, flood_predicted int"
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Header CSV with an explicit schema; ``escape='"'`` keeps quoted GeoJSON whole."""
     return spark.read.schema(schema).csv(path, header=True, escape='"')

@@ -58,6 +58,14 @@ def s2_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ((F.col("o_orderkey") * 31) % 100).cast("int").alias("probability")))
 
 
+def s2_cloud_px(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cloud probability as an image: per scene and pixel, with its time."""
+    row, col = _row_col("l_partkey")
+    return table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 13 != 0).select(
+        F.col("l_orderkey").alias("scene_id"), row.alias("row"), col.alias("col"), F.col("l_shipdate").alias("ts"),
+        ((F.col("l_orderkey") * 31 + F.col("l_partkey") * 7) % 100).cast("int").alias("probability"))
+
+
 def s1_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     row, col = _row_col("l_partkey")
     return table(spark, sf_dir, "lineitem").select(
@@ -89,6 +97,32 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("zone_id"), code.alias("FLD_ZONE"), G.rectangle(minc, minr, maxc, maxr).alias("geom"))
 
 
+def shifted_zones(spark: SparkSession, sf_dir: str, stretch: float = 1.0, shift: float = 0.0) -> DataFrame:
+    """The zones with x stretched and shifted, so that part or all of them leave the study area."""
+    bb = G.bbox("geom")
+    z = zones(spark, sf_dir).select("zone_id", "FLD_ZONE", *[bb[k].alias(k) for k in ("minx", "miny", "maxx", "maxy")])
+    return z.select("zone_id", "FLD_ZONE", G.rectangle(
+        F.col("minx") * stretch + shift, F.col("miny"), F.col("maxx") * stretch + shift, F.col("maxy")).alias("geom"))
+
+
+#: Geometry texts by p_partkey % 16: every GeoJSON type, Python's printed forms, and broken ones.
+EDGE_TEXTS = [
+    '{"type":"Point","coordinates":[1,2]}', '{"type":"MultiPoint","coordinates":[[0,1],[3,4]]}',
+    '{"type":"LineString","coordinates":[[0,0],[2,5]]}', '{"type":"MultiLineString","coordinates":[[[0,0],[1,1]],[[2,2],[6,3]]]}',
+    '{"type":"Polygon","coordinates":[[[0,0],[4,0],[4,3],[0,0]]]}',
+    '{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[7,5],[7,8],[5,5]]]]}',
+    "{'type': 'Polygon', 'coordinates': (((0, 0), (2, 0), (2, 2), (0, 0)),)}", "{'type': 'Point', 'coordinates': (8, 9)}",
+    '{"type":"Polygon","coordinates":[[]]}', '{"type":"MultiPolygon","coordinates":[[]]}', '{"type":"Polygon","coordinates":[[[1]]]}',
+    '{"type":"Polygon","coordinates":[[[0,0],null,[1,1],[0,0]]]}', "{oops", "5", '{"type":"GeometryCollection","geometries":[]}', None]
+
+
+def edge_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One geometry text of EDGE_TEXTS per part."""
+    texts = F.array(*[F.lit(t).cast("string") for t in EDGE_TEXTS])
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("k"), F.get(texts, (F.col("p_partkey") % len(EDGE_TEXTS)).cast("int")).alias("text"))
+
+
 def _geo_text(row: Column, col: Column, key: Column) -> Column:
     c, r = col.cast("string"), row.cast("string")
     cm, cp = (col - 1).cast("string"), (col + 1).cast("string")

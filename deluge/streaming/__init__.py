@@ -6,6 +6,8 @@ forest) to predictor files as they land, exactly once, with state in a checkpoin
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -22,7 +24,9 @@ def score_stream(spark: SparkSession, model: PipelineModel, source_dir: str, sch
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source_dir))
     scored = ML.score(model, src)
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream-score"
+    # One checkpoint per sink, the same one after a restart.
+    name = uuid.uuid5(uuid.NAMESPACE_URL, sink_dir).hex
+    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/stream-score-{name}"
     writer = (scored.writeStream.format("parquet").option("path", sink_dir)
               .option("checkpointLocation", ckpt).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -84,7 +84,6 @@ def test_zones_absent_all_flooded_outside(spark):
     rep = zg.report(with_date=False).first()
     assert rep.fema_data_available is False and rep.flooded_outside_fema_count == 2
     assert rep.flood_percentage == round(2 / 3 * 100, 2)
-    assert F  # noqa
 
 
 def test_partitioned_observations_are_pruned(spark, tmp_path):

@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 
 import __spark_entry__ as E
 from deluge.sources.tables import TABLES
@@ -6,6 +7,14 @@ from deluge.sources.tables import TABLES
 from .conftest import SF001
 
 
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{SF001}/{t}.parquet')")
+    return con
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
@@ -17,22 +26,25 @@ def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-def _compare(spark, name, sf):
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+def _compare(spark, con, name, sf):
+    from check_oracles import _norm
     got = E.queries()[name](spark, sf).toPandas()
     want = con.execute(E.oracle_sql()[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    norm = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(df.notna(), None)
-                                 .itertuples(index=False, name=None)))
-    assert len(got) == len(want)
-    return got, want
+    assert sorted(got.columns) == sorted(want.columns), name
+
+    def rows(df):
+        return sorted(repr(tuple(_norm(v) for v in r)) for r in df[sorted(df.columns)].astype(object).where(
+            df[sorted(df.columns)].notna(), None).itertuples(index=False, name=None))
+    assert rows(got) == rows(want), name
+
+
+#: Queries of optional parts of the repository bring their own tests.
+NAMES = sorted(k for k in E.oracle_sql() if not k.startswith("op") and k != "pipeline")
 
 
-def test_flood_oracles_sf0001(spark):
-    for name in ("change_counts", "water_consensus", "flood_final", "outside_zones", "report"):
-        _compare(spark, name, SF001)
+@pytest.mark.parametrize("name", NAMES)
+def test_values_equal_the_oracle(spark, duck, name):
+    _compare(spark, duck, name, SF001)
 
 
 def test_change_counts_regression_anchor(spark):

@@ -56,7 +56,6 @@ def test_forest_quality_on_flood_samples(spark):
     again = ML.score(FI.load_model(path), res.test).select("flood_probability").collect()
     first = res.test_scored.select("flood_probability").collect()
     assert sorted(r[0] for r in again) == sorted(r[0] for r in first)
-    assert F  # noqa
 
 
 def test_stream_scoring_matches_batch(spark):

@@ -176,8 +176,8 @@ def test_one_wide_left_polygon_keeps_cells_small(spark):
     assert got == sorted(want, key=lambda r: (r[0], -1 if r[1] is None else r[1])) or sorted(
         map(str, got)) == sorted(map(str, want))
     # Points stay on the finest grid: no cell holds more than a hundredth of them.
-    L = SP._prep(left, "geometry", "_l_").withColumn("_a", SP._level("_l_", 1.5)).where("_a = 0")
-    cells = L.groupBy(F.floor(F.col("_l_minx") / 1.5), F.floor(F.col("_l_miny") / 1.5)).count()
+    L = SP._prep(left, "geometry", "_l_").withColumn("_a", SP._level("_l_", 1)).where("_a = 0")
+    cells = L.groupBy(F.floor(F.col("_l_minx") / 2), F.floor(F.col("_l_miny") / 2)).count()
     assert cells.agg(F.max("count")).first()[0] <= 20
 
 
