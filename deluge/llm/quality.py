@@ -165,8 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, label_col: str
                              labels[label_col].cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     n = labelled.count()
     fine = 1 << 30
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(fine)) < F.lit(int(fine * min(1.0, rows / max(n, 1)))))
-    # Bounded by ``rows``, so the broadcast and the collected features are, too.
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(fine)) < F.lit(int(fine * min(1.0, 0.95 * rows / max(n, 1)))))
+    # The share leaves room for chance, so the limit only states the bound: at most ``rows``, so the broadcast and the collected features are, too.
     picked = documents_of(docs).join(F.broadcast(sample.limit(rows)), "doc_id").limit(2 * rows)
     schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
 
