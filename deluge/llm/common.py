@@ -85,13 +85,22 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[str], salt: str, out
             .drop("_before", *[f"_r_{k}" for k in part]))
 
 
+#: Bytes of an Arrow batch sent to a Python worker, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark) -> None:
-    """Send this package to the Python workers of the session, once (as ``--py-files`` would)."""
+    """Send this package to the Python workers of the session, once (as ``--py-files`` would).
+
+    Batches are bounded in bytes, too: ten thousand long texts at once would not fit a worker.
+    """
     import os
     import tempfile
     import zipfile
 
     import deluge
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_deluge_shipped", False):
         return
