@@ -6,7 +6,7 @@ anchor at the same place inside them, wherever they stand.  So an anchor that oc
 rules out every window it represents, and windows that are equal meet under one key.
 
 1. ``shared``: anchors that occur more than once (one shuffle of 16-byte rows, a fifth of the
-   words or a two-hundredth of the bytes), as a bitmap of fixed size.  The bitmap only saves
+   words or a hundredth of the bytes), as a bitmap of fixed size.  The bitmap only saves
    work: an anchor let through by chance finds no partner later.
 2. ``snippets``: per text, the stretch covering all windows of each such anchor, keyed by the
    anchor.  A *hot* anchor (a common phrase in ever different context) is keyed window by

@@ -213,9 +213,13 @@ def sort_shards(found: DataFrame, window: int, shard_bytes: int = SHARD) -> Data
             .mapInArrow(run, "key long, digest long, spans array<struct<at:int,n:int>>"))
 
 
-def duplicate_spans(docs: DataFrame, window: int = 400, gram: int = 32) -> DataFrame:
-    """(tid, copies, spans): every different text with its repeated byte spans."""
-    kind = A.Kind("byte", window, gram)
+def duplicate_spans(docs: DataFrame, window: int = 400, gram: int = 200) -> DataFrame:
+    """(tid, copies, spans): every different text with its repeated byte spans.
+
+    ``gram``, the bytes of an anchor, only decides what is looked at: the longer it is, the
+    fewer passages shorter than ``window`` come as far as the shards.
+    """
+    kind = A.Kind("byte", window, min(gram, max(1, window // 2)))
     found = cut(A.occurrences(docs, kind, A.shared(docs, kind, within=True)))
     # Equal snippets at two places repeat as a whole; copies of one text share their places.
     places = found.groupBy("key", "digest").agg(
