@@ -5,13 +5,15 @@ the graph's state is a table (group, shard, members): at most one row per group
 gathered by a partial aggregate, however large a group is.  The start deals documents out in
 turn, so every shard has its quota from the beginning.  In each round a group's members move
 towards the shard that holds most of their neighbours and still has room; what may enter a
-shard is limited by its free capacity, shared out over buckets of groups, so that no window
-spans all groups.  Unlinked documents have no edges and fill what capacity is left, so counts
+shard is limited by its free capacity, handed out by what each bucket of groups asks for, so
+that no window spans all groups.  Unlinked documents have no edges and fill what capacity is left, so counts
 end at most one apart whatever the groups do.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,37 +28,49 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
     return [int(got.get(s) or 0) for s in range(shards)]
 
 
+def _granted(wish: DataFrame, keys: list[str], quota: DataFrame) -> DataFrame:
+    """``wish`` with the rows ``m`` of each piece that fit the ``quota`` of its ``keys``, larger pieces first.
+
+    Pieces are numbered through over size classes and buckets of groups; what the classes and buckets
+    before one ask for is a small aggregate, so a quota is used up wherever it is asked for.
+    """
+    part = [*keys, "late", "size", "b"]
+    wish = wish.withColumn("size", F.when(F.col("late"), 1).otherwise(-1) * F.floor(F.log2("n")))
+    asked = wish.groupBy(*part).agg(F.sum("n").alias("asked"))
+    earlier = Window.partitionBy(*keys).orderBy("late", "size", "b").rowsBetween(Window.unboundedPreceding, -1)
+    asked = asked.select(*part, F.coalesce(F.sum("asked").over(earlier), F.lit(0)).alias("earlier"))
+    within = Window.partitionBy(*part).orderBy(F.desc("n"), "g", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("earlier") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    return (wish.join(asked, part).join(F.broadcast(quota), keys)
+            .withColumn("m", F.least("n", F.greatest(F.col("quota") - before, F.lit(0))).cast("long")).where("m > 0"))
+
+
 def propagate(state: DataFrame, capacity: list[int], rounds: int) -> DataFrame:
-    """Moves members between shards until nothing moves or ``rounds`` are over."""
-    shards = len(capacity)
+    """Moves members between shards until nothing moves; ``rounds`` is a safety bound that warns."""
+    shards, spark = len(capacity), state.sparkSession
     buckets = max(1, state.select("g").distinct().count() // BUCKET_GROUPS)
     for _ in range(rounds):
         free = [c - n for c, n in zip(capacity, _loads(state, shards))]
-        room = F.element_at(F.array(*[F.lit(max(0, f)) for f in free]), F.col("shard").cast("int") + 1)
+        quota = spark.createDataFrame([(s, f) for s, f in enumerate(free) if f > 0], "to long, quota long")
         # The shard that holds most neighbours, among those with room; ties by hash.
         rank = F.struct("n", F.xxhash64("g", "shard").alias("h"), "shard")
-        target = state.where(room > 0).groupBy("g").agg(F.max(rank).alias("t")).select(
-            "g", F.col("t.shard").alias("to"), F.col("t.n").alias("t_n"), F.col("t.h").alias("t_h"))
+        target = state.join(F.broadcast(quota), F.col("shard") == F.col("to")).groupBy("g").agg(F.max(rank).alias("t")).select(
+            "g", F.col("t.shard").cast("long").alias("to"), F.col("t.n").alias("t_n"), F.col("t.h").alias("t_h"))
         wish = state.join(target, "g").where(
             (F.col("shard") != F.col("to"))
             & (F.struct("n", F.xxhash64("g", "shard")) < F.struct("t_n", "t_h")))
-        wish = wish.withColumn("b", F.pmod(F.xxhash64("g"), F.lit(buckets)))
-        quota = F.element_at(F.array(*[F.lit(max(0, f)) for f in free]), F.col("to").cast("int") + 1)
-        # Shares of all buckets add up to the free capacity.
-        share = F.floor(quota * (F.col("b") + 1) / buckets) - F.floor(quota * F.col("b") / buckets)
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("to", "b").orderBy(
-            F.desc("n"), "g", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        moves = cut(wish.withColumn("m", F.least("n", F.greatest(share - before, F.lit(0))).cast("long"))
-                    .where("m > 0").select("g", "shard", "to", "m"))
+        wish = wish.withColumn("b", F.pmod(F.xxhash64("g"), F.lit(buckets))).withColumn("late", F.lit(False))
+        moves = cut(_granted(wish, ["to"], quota).select("g", "shard", "to", "m"))
         if moves.isEmpty():
-            break
+            return state
         state = cut(state.unionByName(moves.select("g", "shard", (-F.col("m")).alias("n")))
                     .unionByName(moves.select("g", F.col("to").alias("shard"), F.col("m").alias("n")))
                     .groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
+    warnings.warn(f"label propagation still moved rows after {rounds} rounds", RuntimeWarning, stacklevel=2)
     return state
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 12,
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 1000,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), one row per input row.
 

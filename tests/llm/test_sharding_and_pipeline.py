@@ -43,6 +43,48 @@ def test_groups_stay_together_where_they_fit(spark):
     assert len(at["a third of all"]) <= 5  # 75 rows cannot fit into fewer than three shards of 28
 
 
+def _state(spark, groups, unlinked, shards=8):
+    """State and capacity as dealt out in turn: (group, rows) and so many rows without a group."""
+    import random
+    rows = [g for g, n in groups for _ in range(n)] + [None] * unlinked
+    random.Random(3).shuffle(rows)
+    parts = {}
+    for k, g in enumerate(rows):
+        if g is not None:
+            parts[g, k % shards] = parts.get((g, k % shards), 0) + 1
+    state = spark.createDataFrame([(g, s, n) for (g, s), n in parts.items()], "g string, shard long, n long")
+    return state, [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+
+
+def _cut_groups(state, capacity, groups):
+    """Groups in more than one shard, after the law was checked."""
+    at, load, rows = {}, [0] * len(capacity), {}
+    for r in state.collect():
+        at.setdefault(r.g, set()).add(r.shard)
+        load[r.shard] += r.n
+        rows[r.g] = rows.get(r.g, 0) + r.n
+    assert rows == dict(groups) and all(x <= c for x, c in zip(load, capacity))
+    return {g for g, s in at.items() if len(s) > 1}
+
+
+def test_many_buckets_of_groups_share_the_room(spark, monkeypatch):
+    from deluge.llm import sharding
+    monkeypatch.setattr(sharding, "BUCKET_GROUPS", 2)  # 251 buckets
+    groups = [(f"large {k}", 250) for k in range(2)] + [(f"pair {k}", 2) for k in range(500)]
+    texts = [g for g, n in groups for _ in range(n)] + [f"text {k}" for k in range(4000)]
+    at = {}
+    for r in shard_documents(frame(spark, list(enumerate(texts)))).select("doc_id", "shard").collect():
+        at.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert [g for g, s in at.items() if len(s) > 1] == []
+
+
+def test_a_bound_that_is_reached_warns(spark):
+    from deluge.llm import sharding
+    state, capacity = _state(spark, [("a", 9), ("b", 2)], 20)
+    with pytest.warns(RuntimeWarning, match="after 1 rounds"):
+        sharding.propagate(state, capacity, 1)
+
+
 def _columns_of_documents(df):
     return df.select("doc_id", "text", "lang", "source", "n_chars")
 
