@@ -4,10 +4,12 @@ Documents with equal texts are linked.  All members of a group in one shard are
 the graph's state is a table (group, shard, members): at most one row per group and shard,
 gathered by a partial aggregate, however large a group is.  The start deals documents out in
 turn, so every shard has its quota from the beginning.  In each round a group's members move
-towards the shard that holds most of their neighbours and still has room; what may enter a
-shard is limited by its free capacity, handed out by what each bucket of groups asks for, so
-that no window spans all groups.  Unlinked documents have no edges and fill what capacity is left, so counts
-end at most one apart whatever the groups do.
+towards the shard that holds most of their neighbours.  How many may go from shard to shard is
+found from counts per pair of shards: opposite wishes are swapped row for row, longer cycles
+likewise, and chains end in free room.  What may go is handed out by what each bucket of groups
+asks for, so that no window spans all groups.  Members refused by full shards look for the best
+other one.  Unlinked documents have no edges and fill what capacity is left, so counts end at
+most one apart whatever the groups do.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from deluge.llm.common import cut, documents_of, salted_rank
 
 #: Groups whose moves are ranked together in one window.
 BUCKET_GROUPS = 50_000
+#: Passes without a move, each with other ties, after which propagation ends.
+QUIET = 3
 
 
 def _loads(state: DataFrame, shards: int) -> list[int]:
@@ -45,27 +49,116 @@ def _granted(wish: DataFrame, keys: list[str], quota: DataFrame) -> DataFrame:
             .withColumn("m", F.least("n", F.greatest(F.col("quota") - before, F.lit(0))).cast("long")).where("m > 0"))
 
 
+def _flows(wish: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
+    """Rows that may move from shard to shard so that none exceeds its room: swaps, then chains and cycles.
+
+    Works on counts per pair of shards, not on rows.  Ends when no wish can be granted any more.
+    """
+    left, free, out = dict(wish), list(free), {}
+
+    def push(path):  # path: shards in order
+        edges = list(zip(path, path[1:]))
+        closed = path[0] == path[-1]
+        m = min([left[e] for e in edges] + ([] if closed else [free[path[-1]]]))
+        for e in edges:
+            left[e] -= m
+            out[e] = out.get(e, 0) + m
+        if not closed:
+            free[path[-1]] -= m
+            free[path[0]] += m
+
+    def path_of(i, j):
+        """From i over j, by a shortest way, to a shard with room or back to i."""
+        came, queue = {j: None}, [j]
+        for at in queue:
+            if free[at] > 0 and at != i or at == i:
+                way = [at]
+                while came[way[-1]] is not None:
+                    way.append(came[way[-1]])
+                return [i, *way[::-1]]
+            for (x, y), n in left.items():
+                if x == at and n > 0 and y not in came:
+                    came[y] = at
+                    queue.append(y)
+        return None
+
+    for i, j in wish:
+        if i < j and min(left[i, j], left.get((j, i), 0)) > 0:
+            push([i, j, i])
+    moved = True
+    while moved:
+        moved = False
+        for i, j in wish:
+            while left[i, j] > 0 and (path := path_of(i, j)):
+                push(path)
+                moved = True
+    return out
+
+
+def _weight(state: DataFrame) -> int:
+    """Grows with the links that lie within a shard."""
+    return int(state.agg(F.sum(F.col("n").cast("decimal(38,0)") * F.col("n"))).first()[0] or 0)
+
+
 def propagate(state: DataFrame, capacity: list[int], rounds: int) -> DataFrame:
-    """Moves members between shards until nothing moves; ``rounds`` is a safety bound that warns."""
+    """Moves members between shards until nothing moves; ``rounds`` is a safety bound that warns.
+
+    A round may only grow the links within shards.  Members that cannot enter the shard with most
+    neighbours look for the best other one; a pass ends when all such shards are closed, and
+    propagation ends with a number of passes without a move.  Ties are dealt anew in each round.
+    """
     shards, spark = len(capacity), state.sparkSession
     buckets = max(1, state.select("g").distinct().count() // BUCKET_GROUPS)
-    for _ in range(rounds):
+    weight, closed, loose, quiet, moved = _weight(state), set(), True, 0, False
+    for turn in range(rounds):
         free = [c - n for c, n in zip(capacity, _loads(state, shards))]
-        quota = spark.createDataFrame([(s, f) for s, f in enumerate(free) if f > 0], "to long, quota long")
-        # The shard that holds most neighbours, among those with room; ties by hash.
-        rank = F.struct("n", F.xxhash64("g", "shard").alias("h"), "shard")
-        target = state.join(F.broadcast(quota), F.col("shard") == F.col("to")).groupBy("g").agg(F.max(rank).alias("t")).select(
-            "g", F.col("t.shard").cast("long").alias("to"), F.col("t.n").alias("t_n"), F.col("t.h").alias("t_h"))
-        wish = state.join(target, "g").where(
-            (F.col("shard") != F.col("to"))
-            & (F.struct("n", F.xxhash64("g", "shard")) < F.struct("t_n", "t_h")))
-        wish = wish.withColumn("b", F.pmod(F.xxhash64("g"), F.lit(buckets))).withColumn("late", F.lit(False))
-        moves = cut(_granted(wish, ["to"], quota).select("g", "shard", "to", "m"))
-        if moves.isEmpty():
+        rank = F.struct("n", F.xxhash64("g", "shard", F.lit(turn)).alias("h"), F.col("shard").cast("long").alias("shard"))
+        best = F.max(F.when(~F.col("shard").isin(*closed), rank)) if closed else F.max(rank)
+        target = state.groupBy("g").agg(best.alias("t"), F.sum("n").alias("members"), F.count("*").alias("parts"))
+        target = target.where("parts > 1 and t is not null").select(
+            "g", "members", F.col("t.shard").alias("to"), F.col("t.n").alias("t_n"))
+        wish = state.join(target, "g").where("shard != to").withColumn("late", F.col("n") > F.col("t_n"))
+        # The larger part follows the smaller one only as a whole, else links would be lost.
+        wish = cut(wish.where(~F.col("late") | (F.col("members") <= max(capacity))).select(
+            "g", F.col("shard").cast("long").alias("shard"), "to", "n", "late",
+            F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("b")))
+        asked: dict[bool, dict] = {False: {}, True: {}}
+        for r in wish.groupBy("late", "shard", "to").agg(F.sum("n").alias("n")).collect():  # shards squared at most
+            asked[r.late][r.shard, r.to] = int(r.n)
+        every = {e: asked[False].get(e, 0) + asked[True].get(e, 0) for e in {**asked[False], **asked[True]}}
+        flow = _flows(dict(sorted((every if loose else asked[False]).items())), free)
+        got = wish if loose else wish.where(~F.col("late"))
+        moves = _granted(got, ["shard", "to"], spark.createDataFrame([(*e, n) for e, n in flow.items()], "shard long, to long, quota long"))
+        moves = moves.select("g", "shard", "to", "m")
+        if not loose:  # larger parts as a whole into the room that is left
+            for (i, j), n in flow.items():
+                free[j] -= n
+            room = spark.createDataFrame([(s, f) for s, f in enumerate(free) if f > 0], "to long, quota long")
+            moves = moves.unionByName(_granted(wish.where("late"), ["to"], room).where("m = n").select("g", "shard", "to", "m"))
+        moves = cut(moves)
+        went = {(r.shard, r.to): int(r.m) for r in moves.groupBy("shard", "to").agg(F.sum("m").alias("m")).collect()}
+        refused = {e[1] for e, n in every.items() if went.get(e, 0) < n}
+        if went:
+            after = cut(state.select("g", F.col("shard").cast("long").alias("shard"), "n")
+                        .unionByName(moves.select("g", "shard", (-F.col("m")).alias("n")))
+                        .unionByName(moves.select("g", F.col("to").alias("shard"), F.col("m").alias("n")))
+                        .groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
+            grown = _weight(after)
+            if grown > weight:
+                state, weight, moved = after, grown, True
+            elif loose:
+                loose = False  # the same wishes again, larger parts only into free room
+                continue
+        loose = True
+        if refused - closed:
+            closed |= refused
+            continue
+        if not every and not closed:
+            return state  # every group is whole
+        quiet, closed = (0 if moved else quiet + 1), set()
+        if quiet == QUIET:
             return state
-        state = cut(state.unionByName(moves.select("g", "shard", (-F.col("m")).alias("n")))
-                    .unionByName(moves.select("g", F.col("to").alias("shard"), F.col("m").alias("n")))
-                    .groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
+        moved = False
     warnings.warn(f"label propagation still moved rows after {rounds} rounds", RuntimeWarning, stacklevel=2)
     return state
 

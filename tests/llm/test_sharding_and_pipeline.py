@@ -78,6 +78,33 @@ def test_many_buckets_of_groups_share_the_room(spark, monkeypatch):
     assert [g for g, s in at.items() if len(s) > 1] == []
 
 
+def test_groups_move_without_unlinked_rows(spark):
+    from deluge.llm import sharding
+    groups = [(f"pair {k}", 2) for k in range(2000)]
+    state, capacity = _state(spark, groups, 0)
+    assert len(_cut_groups(sharding.propagate(state, capacity, 1000), capacity, groups)) <= 8  # at most one odd row a shard
+
+
+def test_pairs_leave_the_shards_of_a_hot_group(spark):
+    from deluge.llm import sharding
+    groups = [("hot", 1600)] + [(f"pair {k}", 2) for k in range(400)]
+    state, capacity = _state(spark, groups, 2400)
+    assert _cut_groups(sharding.propagate(state, capacity, 1000), capacity, groups) == {"hot"}  # 1600 rows, shards of 600
+
+
+def test_flows_never_exceed_the_room():
+    import random
+    from deluge.llm.sharding import _flows
+    rng = random.Random(5)
+    for _ in range(200):
+        wish = {(i, j): rng.randrange(1, 9) for i in range(5) for j in range(5) if i != j and rng.random() < 0.5}
+        free = [rng.choice([0, 0, 3]) for _ in range(5)]
+        got = _flows(wish, free)
+        assert all(0 < n <= wish[e] for e, n in got.items())
+        assert all(sum(n * ((y == s) - (x == s)) for (x, y), n in got.items()) <= free[s] for s in range(5))
+    assert _flows({(0, 1): 4, (1, 2): 3, (2, 0): 5}, [0, 0, 0]) == {(0, 1): 3, (1, 2): 3, (2, 0): 3}
+
+
 def test_a_bound_that_is_reached_warns(spark):
     from deluge.llm import sharding
     state, capacity = _state(spark, [("a", 9), ("b", 2)], 20)
