@@ -44,7 +44,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deluge.llm.simhash import near_duplicates
-    return near_duplicates(_table(spark, sf_dir, "documents"), SIMHASH_SHINGLE, SIMHASH_BITS)
+    found = near_duplicates(_table(spark, sf_dir, "documents"), SIMHASH_SHINGLE, SIMHASH_BITS)
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deluge.llm.common import batches_of, cut, documents_of, rows_of
@@ -49,13 +49,18 @@ def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, text_key, fp) of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
-        rows = rows_of(batches, "doc_id", "text")
-        yield from batches_of(((i, fingerprint((t or "").encode(), shingle) - (1 << 63)) for i, t in rows), schema)
+        rows = rows_of(batches, "doc_id", "text_key", "text")
+        yield from batches_of(((i, k, fingerprint((t or "").encode(), shingle) - (1 << 63)) for i, k, t in rows), schema)
 
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return docs.withColumn("text_key", _text_key(docs["text"])).mapInArrow(run, "doc_id long, text_key long, fp long")
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def top_of_trie(counts: dict[int, int], unit_size: int, budget: int):
@@ -264,9 +269,10 @@ def links(distinct: DataFrame, budget: int, unit_size: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, unit_size: int = 1 << 18,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row per input row.
+    """(doc_id, fingerprint, component_id, root, text_key), one row per input row.
 
-    ``component_id`` is the smallest id reachable over links of at most ``budget`` bits.
+    ``root`` tells components apart (rows sharing an id may name two of them), ``text_key`` the
+    texts of one id.  ``component_id`` is the smallest id reachable over links of at most ``budget`` bits.
     Texts without words (null, empty, blank) have fingerprint zero and link like any other.
     Null ids never name a component; a component of null ids only has component_id null.
     """
@@ -276,20 +282,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, budget: int = 4, unit_siz
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut(rooted.join(lowest, "root").select("fp", "component_id"))
+    named = cut(rooted.join(lowest, "root").select("fp", "component_id", "root"))
     # Stored signed with the top bit flipped, so that signed order is the trie's order.
     text = F.lower(F.lpad(F.hex(F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
-    return fps.join(named, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
+    return fps.join(named, "fp").select("doc_id", text.alias("fingerprint"), "component_id", "root", "text_key")
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their component: one row per near-duplicate group.
+    """One row of ``docs`` for each component: the smallest id, then the smallest text hash.
 
-    Repeated rows of one id count as copies: one of them stays.  Rows without an id stay.
+    Rows are judged by id and text, so of two texts under one id each counts in its own component.
+    Rows without an id stay.
     """
     from pyspark.sql import Window
-    named = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(named, docs["doc_id"] == F.col("_keep"), "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return (kept.withColumn("_number", number).where("_number = 1").drop("_number")
+    first = found.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
+    first = first.select(F.col("k.doc_id").alias("_keep"), F.col("k.text_key").alias("_keep_text")).distinct()
+    keyed = docs.withColumn("_key", _text_key(docs["text"]))
+    kept = keyed.join(first, (docs["doc_id"] == F.col("_keep")) & (F.col("_key") == F.col("_keep_text")), "left_semi")
+    number = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("text"))
+    return (kept.withColumn("_number", number).where("_number = 1").drop("_number", "_key")
             .unionByName(docs.where(F.col("doc_id").isNull())))

@@ -9,7 +9,7 @@ import xxhash
 from deluge.llm import anchors as A
 from deluge.llm import simhash, substring_dedup, suffix_dedup
 
-from .conftest import frame
+from .conftest import frame, words
 
 NO_ID = A.NO_ID
 
@@ -178,6 +178,15 @@ def test_one_row_of_each_group_stays(docs, messy):
     assert ids.count(None) == sum(i is None for i, _ in messy)
 
 
+def test_two_texts_under_one_id_are_judged_apart(spark):
+    rng = random.Random(21)
+    one, two, three = (" ".join(words(rng, 60, 100_000)) for _ in range(3))
+    rows = [(1, one), (2, one), (2, two), (2, two), (3, two), (4, three), (4, one), (5, three + " "), (6, None), (6, "")]
+    df = frame(spark, rows)
+    kept = simhash.keep_one(df, simhash.near_duplicates(df)).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(1, one), (2, two), (4, three), (6, "")])
+
+
 def test_trie_join_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2 ** 64, 150, dtype=np.uint64)
