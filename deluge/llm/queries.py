@@ -82,6 +82,34 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deluge.llm.hard_negatives import mine
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """Input of operator 12: where crc32(doc_id) ends in 0, the words from some place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    tail = F.expr("""transform(array(filter(split(text, '[ \\t-\\r]+', -1), w -> w != '')), ws ->
+        transform(array(named_struct('a', _g % size(ws), 'p', 1 + (size(ws) - _g % size(ws)) div (3 + _g % 8))), s ->
+            array_join(transform(ws, (w, i) -> if(i < s.a, w, ws[cast(s.a + (i - s.a) % s.p as int)])), ' '))[0])[0]""")
+    words = F.col("text").rlike("[^ \\t-\\r]")
+    return (docs.withColumn("_h", h).withColumn("_g", F.expr("_h div 10"))
+            .withColumn("text", F.when((F.col("_h") % 10 == 0) & words, tail).otherwise(F.col("text"))).drop("_h", "_g"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deluge.llm.periodic_runs import report
+    return report(repeated_tails(_table(spark, sf_dir, "documents")), least=24, times=3)
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deluge.llm.pii import report
+    return report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
@@ -93,8 +121,32 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_pii": op13_pii,
 }
 
-#: None of the ten is expressible in SQL over whole tables in reasonable time (tokenizers, fitted
-#: models, bit traversal, byte windows); tests/llm hold each against brute force instead.
-ORACLES: dict[str, str] = {}
+#: The others are not expressible in SQL over whole tables in reasonable time (tokenizers, fitted
+#: models, bit traversal, byte windows, periods, checksums); tests/llm hold each against brute force instead.
+ORACLES: dict[str, str] = {
+    "op11_hard_negatives": """
+WITH r AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, s.vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS k
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+   AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE k <= 5"""}
