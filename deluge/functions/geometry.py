@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GEOM_DDL = "struct<type:string,parts:array<array<array<array<double>>>>>"
-_RAW_DDL = "type string, coordinates string"
+_RAW_DDL = "type string, coordinates string, geometries string"
 EARTH_RADIUS_M = 6378137.0
 MERCATOR_MAX_LAT = 85.0511287798066
 
@@ -25,15 +25,47 @@ def _brackets(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "()", "[]"), r",(\s*\])", "$1")
 
 
+_DEPTHS = {"Point": 1, "MultiPoint": 2, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
+
+
+def _parts_sql(kind: str, coords: dict[int, str]) -> str:
+    """Parts of a geometry of type ``kind`` whose coordinates, by depth of nesting, are ``coords``."""
+    return f"""CASE {kind}
+        WHEN 'Point' THEN array(array(array({coords[1]})))
+        WHEN 'MultiPoint' THEN transform({coords[2]}, p -> array(array(p)))
+        WHEN 'LineString' THEN array(array({coords[2]}))
+        WHEN 'MultiLineString' THEN transform({coords[3]}, l -> array(l))
+        WHEN 'Polygon' THEN array({coords[3]})
+        WHEN 'MultiPolygon' THEN {coords[4]} END"""
+
+
+def _sound_sql(parts: str, kind: str) -> str:
+    """Every vertex two numbers; a line two vertices, a ring three; no empty part or ring."""
+    least = f"CASE WHEN {kind} LIKE '%Polygon' THEN 3 WHEN {kind} LIKE '%LineString' THEN 2 ELSE 1 END"
+    return f"""coalesce(size({parts}) > 0 AND forall({parts}, part -> coalesce(size(part) > 0 AND forall(part, ring ->
+        coalesce(size(ring) >= {least} AND forall(ring, v -> coalesce(size(v) >= 2 AND get(v, 0) IS NOT NULL
+        AND get(v, 1) IS NOT NULL, false)), false)), false)), false)"""
+
+
+def _closed_sql(parts: str, kind: str) -> str:
+    """Only x and y are kept; an open ring is closed."""
+    return f"""transform({parts}, part -> transform(part, ring -> CASE
+        WHEN {kind} LIKE '%Polygon' AND slice(element_at(ring, 1), 1, 2) != slice(element_at(ring, -1), 1, 2)
+        THEN transform(concat(ring, array(element_at(ring, 1))), v -> slice(v, 1, 2))
+        ELSE transform(ring, v -> slice(v, 1, 2)) END))"""
+
+
 def with_geometry(df: DataFrame, text: Column, out: str = "geometry", python_literals: bool = True,
                   strict: bool = False) -> DataFrame:
     """Add geometry column ``out`` parsed from GeoJSON text.
 
     Robust mode: NULL/empty -> NULL; JSON; Python-literal dict (single quotes, tuples)
     as fallback, with the trailing commas Python prints; anything else -> NULL: bad text,
-    empty or malformed coordinates, and GeometryCollection, which holds no coordinates of its
-    own.  All six coordinate types of GeoJSON are kept.  ``strict=True`` accepts only ``{...}`` JSON with double quotes.  Each ``from_json`` is its own projected
-    column, so it runs once per row (Catalyst does not inline a non-cheap expression
+    empty or malformed coordinates.  All seven types of GeoJSON are kept; a
+    GeometryCollection holds the parts of its members (collections within it: one level), one member
+    that cannot be read makes it NULL, and an empty one has no parts and meets nothing.
+    ``strict=True`` accepts only ``{...}`` JSON with double quotes.  Each ``from_json`` is its own
+    projected column, so it runs once per row (Catalyst does not inline a non-cheap expression
     that is referenced several times).
     """
     opts = {"allowSingleQuotes": "false" if strict else ("true" if python_literals else "false")}
@@ -48,32 +80,32 @@ def with_geometry(df: DataFrame, text: Column, out: str = "geometry", python_lit
                                           F.from_json(_brackets(F.col("_g_t")), _RAW_DDL, opts))
                                     .otherwise(F.col("_g_raw")))
     typ, coords = F.col("_g_raw.type"), F.col("_g_raw.coordinates")
-    depths = {"Point": 1, "MultiPoint": 2, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
     raw = {}
-    for depth in sorted(set(depths.values())):
-        kinds = [k for k, v in depths.items() if v == depth]
+    for depth in sorted(set(_DEPTHS.values())):
+        kinds = [k for k, v in _DEPTHS.items() if v == depth]
         raw[f"_g_{depth}"] = F.when(typ.isin(kinds), F.from_json(coords, "array<" * depth + "double" + ">" * depth))
     d = d.withColumns(raw)
-    parts = F.expr("""CASE _g_raw.type
-        WHEN 'Point' THEN array(array(array(_g_1)))
-        WHEN 'MultiPoint' THEN transform(_g_2, p -> array(array(p)))
-        WHEN 'LineString' THEN array(array(_g_2))
-        WHEN 'MultiLineString' THEN transform(_g_3, l -> array(l))
-        WHEN 'Polygon' THEN array(_g_3)
-        WHEN 'MultiPolygon' THEN _g_4 END""")
-    d = d.withColumn("_g_parts", parts)
-    # Every vertex two numbers; a line two vertices, a ring three; no empty part or ring.
-    least = "CASE WHEN _g_raw.type LIKE '%Polygon' THEN 3 WHEN _g_raw.type LIKE '%LineString' THEN 2 ELSE 1 END"
-    sound = F.expr(f"""size(_g_parts) > 0 AND forall(_g_parts, part -> coalesce(size(part) > 0 AND forall(part, ring ->
-        coalesce(size(ring) >= {least} AND forall(ring, v -> coalesce(size(v) >= 2 AND get(v, 0) IS NOT NULL
-        AND get(v, 1) IS NOT NULL, false)), false)), false))""")
-    # Only x and y are kept; an open ring is closed.
-    clean = F.expr("""transform(_g_parts, part -> transform(part, ring -> CASE
-        WHEN _g_raw.type LIKE '%Polygon' AND slice(element_at(ring, 1), 1, 2) != slice(element_at(ring, -1), 1, 2)
-        THEN transform(concat(ring, array(element_at(ring, 1))), v -> slice(v, 1, 2))
-        ELSE transform(ring, v -> slice(v, 1, 2)) END))""")
-    geom = F.when(F.coalesce(sound, F.lit(False)), F.struct(typ.alias("type"), clean.alias("parts")))
-    return d.withColumn(out, geom).drop("_g_t", "_g_raw", *raw, "_g_parts")
+    d = d.withColumn("_g_parts", F.expr(_parts_sql("_g_raw.type", {k: f"_g_{k}" for k in set(_DEPTHS.values())})))
+    clean = F.expr(_closed_sql("_g_parts", "_g_raw.type"))
+    geom = F.when(F.expr(_sound_sql("_g_parts", "_g_raw.type")), F.struct(typ.alias("type"), clean.alias("parts")))
+    # Members of collections, each parsed as a geometry of its own; a nested collection gives its members.
+    member = "array<struct<type:string,coordinates:string,geometries:array<struct<type:string,coordinates:string>>>>"
+    d = d.withColumn("_g_of", F.when(typ == "GeometryCollection", F.from_json("_g_raw.geometries", member, opts)))
+    d = d.withColumn("_g_of", F.expr("""flatten(transform(_g_of, m -> CASE WHEN m.type = 'GeometryCollection' THEN m.geometries
+        ELSE array(named_struct('type', m.type, 'coordinates', m.coordinates)) END))"""))
+    read = {k: f"from_json(m.coordinates, '{'array<' * k}double{'>' * k}')" for k in set(_DEPTHS.values())}
+    d = d.withColumn("_g_of", F.expr(
+        f"transform(_g_of, m -> named_struct('type', m.type, 'parts', {_parts_sql('m.type', read)}))"))
+    # A closed line is kept as two, so that only rings of areas are closed in a collection.
+    lines = _closed_sql("m.parts", "m.type")
+    whole = (f"flatten(transform(_g_of, m -> CASE WHEN m.type LIKE '%LineString' THEN flatten(transform({lines}, p -> "
+             "CASE WHEN size(p[0]) > 2 AND p[0][0] = element_at(p[0], -1) "
+             "THEN array(array(slice(p[0], 1, 2)), array(slice(p[0], 2, size(p[0]) - 1))) ELSE array(p) END)) "
+             f"ELSE {lines} END))")
+    fit = F.expr(f"_g_of IS NOT NULL AND forall(_g_of, m -> {_sound_sql('m.parts', 'm.type')})")
+    collected = F.when(F.coalesce(fit, F.lit(False)), F.struct(typ.alias("type"), F.expr(whole).alias("parts")))
+    d = d.withColumn(out, F.when(typ == "GeometryCollection", collected).otherwise(geom))
+    return d.drop("_g_t", "_g_raw", *raw, "_g_parts", "_g_of")
 
 
 def keep_valid(df: DataFrame, geom: str = "geometry") -> DataFrame:
@@ -122,9 +154,12 @@ def edges(geom: str) -> Column:
 
 
 def area_edges(geom: str, edges_col: str) -> Column:
-    """The segments that bound an area: those of polygons."""
-    return F.when(F.col(f"`{geom}`.type").isin("Polygon", "MultiPolygon"), F.col(edges_col)).otherwise(
-        F.array().cast("array<array<double>>"))
+    """The segments that bound an area: those of polygons; in a collection, of its closed parts."""
+    closed = F.expr(f"flatten(transform(flatten(filter(`{geom}`.parts, p -> size(p[0]) > 3 AND p[0][0] = element_at(p[0], -1))), r -> "
+                    "transform(sequence(0, size(r) - 2), i -> array(r[i][0], r[i][1], r[i + 1][0], r[i + 1][1]))))")
+    return (F.when(F.col(f"`{geom}`.type").isin("Polygon", "MultiPolygon"), F.col(edges_col))
+            .when(F.col(f"`{geom}`.type") == "GeometryCollection", closed)
+            .otherwise(F.array().cast("array<array<double>>")))
 
 
 def anchors(geom: str) -> Column:
@@ -143,11 +178,16 @@ def _crosses_ray(e: str, p: str) -> str:
             f"{p}[0] < try_divide(({e}[2] - {e}[0]) * ({p}[1] - {e}[1]), ({e}[3] - {e}[1])) + {e}[0])")
 
 
-def _point_in(edges_sql: str, p: str, tag: str) -> str:
-    """Point in polygon set given by its edges, boundary included (even-odd rule)."""
-    e1, e2, acc = f"e_{tag}1", f"e_{tag}2", f"acc_{tag}"
+def _point_in(edges_sql: str, p: str, tag: str, beyond: tuple[str, str] | None = None) -> str:
+    """Point in polygon set given by its edges, boundary included (even-odd rule).
+
+    ``beyond`` (flag, heights) stands for edges to the right that are not listed: the ray meets an odd
+    number of them when the flag differs from the parity of the heights above the point.
+    """
+    e1, e2, acc, t = f"e_{tag}1", f"e_{tag}2", f"acc_{tag}", f"t_{tag}"
+    start = f"({beyond[0]} != (size(filter({beyond[1]}, {t} -> {t} > {p}[1])) % 2 = 1))" if beyond else "false"
     return (f"(exists({edges_sql}, {e1} -> {_on_segment(e1, p)}) OR "
-            f"aggregate({edges_sql}, false, ({acc}, {e2}) -> {acc} != coalesce({_crosses_ray(e2, p)}, false)))")
+            f"aggregate({edges_sql}, {start}, ({acc}, {e2}) -> {acc} != coalesce({_crosses_ray(e2, p)}, false)))")
 
 
 def _orient(e: str, x: str, y: str) -> str:
@@ -162,9 +202,13 @@ def _segments_touch(e: str, f: str) -> str:
 
 
 def intersects_sql(edges_a: str, anchors_a: str, edges_b: str, anchors_b: str,
-                   area_a: str | None = None, area_b: str | None = None) -> str:
-    """Boundary-inclusive intersects given edges, anchors and the edges that bound areas."""
-    return (f"(exists({anchors_a}, pa -> {_point_in(area_b or edges_b, 'pa', 'b')}) OR "
+                   area_a: str | None = None, area_b: str | None = None,
+                   beyond_b: tuple[str, str] | None = None) -> str:
+    """Boundary-inclusive intersects given edges, anchors and the edges that bound areas.
+
+    ``beyond_b``: see ``_point_in``, for a side b of which only the edges near a are listed.
+    """
+    return (f"(exists({anchors_a}, pa -> {_point_in(area_b or edges_b, 'pa', 'b', beyond_b)}) OR "
             f"exists({anchors_b}, pb -> {_point_in(area_a or edges_a, 'pb', 'a')}) OR "
             f"exists({edges_a}, ea -> exists({edges_b}, eb -> {_segments_touch('ea', 'eb')})))")
 
@@ -187,6 +231,29 @@ def to_web_mercator(geom: Column) -> Column:
     return F.when(geom.isNotNull(), F.struct(geom.getField("type").alias("type"), parts.alias("parts")))
 
 
+def from_web_mercator(geom: Column) -> Column:
+    """EPSG:3857 -> EPSG:4326 on every vertex."""
+    def proj(p):
+        return F.array(F.degrees(p[0] / F.lit(EARTH_RADIUS_M)),
+                       F.degrees(F.lit(2.0) * F.atan(F.exp(p[1] / F.lit(EARTH_RADIUS_M))) - F.lit(math.pi / 2)))
+    parts = F.transform(geom.getField("parts"),
+                        lambda part: F.transform(part, lambda ring: F.transform(ring, proj)))
+    return F.when(geom.isNotNull(), F.struct(geom.getField("type").alias("type"), parts.alias("parts")))
+
+
+def convert(geom: Column, source: str, target: str) -> Column:
+    """A geometry from one CRS to another; codes that mean the same are the same CRS."""
+    codes = {"4326": "lonlat", "4269": "lonlat", "3857": "mercator", "900913": "mercator", "102100": "mercator"}
+    a, b = (codes.get(c.split(":")[-1]) for c in (source, target))
+    if source == target or (a and a == b):
+        return geom
+    if (a, b) == ("lonlat", "mercator"):
+        return to_web_mercator(geom)
+    if (a, b) == ("mercator", "lonlat"):
+        return from_web_mercator(geom)
+    raise ValueError(f"unsupported CRS pair {source} -> {target}")
+
+
 def mercator_x(lon: Column) -> Column:
     return F.lit(EARTH_RADIUS_M) * F.radians(lon)
 
@@ -205,8 +272,17 @@ def to_geojson(geom: Column) -> Column:
                .when(kind == "MultiLineString", F.to_json(F.transform(parts, lambda p: p[0])))
                .when(kind == "Polygon", F.to_json(parts[0]))
                .otherwise(F.to_json(parts)))
-    return F.when(geom.isNotNull(),
-                  F.concat(F.lit('{"type":"'), geom.getField("type"), F.lit('","coordinates":'), coords, F.lit("}")))
+
+    def member(p):
+        """A part of a collection: closed rings are areas, single vertices points, the rest lines."""
+        ring = p[0]
+        return (F.when(F.size(ring) == 1, F.concat(F.lit('{"type":"Point","coordinates":'), F.to_json(ring[0])))
+                .when((F.size(ring) > 3) & (ring[0] == F.element_at(ring, -1)),
+                      F.concat(F.lit('{"type":"Polygon","coordinates":'), F.to_json(p)))
+                .otherwise(F.concat(F.lit('{"type":"LineString","coordinates":'), F.to_json(ring))))
+    inner = F.array_join(F.transform(parts, lambda p: F.concat(member(p), F.lit("}"))), ",")
+    return (F.when(kind == "GeometryCollection", F.concat(F.lit('{"type":"GeometryCollection","geometries":['), inner, F.lit("]}")))
+            .when(geom.isNotNull(), F.concat(F.lit('{"type":"'), kind, F.lit('","coordinates":'), coords, F.lit("}"))))
 
 
 def snap_to_grid(df: DataFrame, id_col: str, scale: float, geom: str = "geometry") -> DataFrame:

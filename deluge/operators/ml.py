@@ -75,6 +75,9 @@ def build_pipeline(ms: ModelSettings, codes: list[int]) -> Pipeline:
 
 def fit(df: DataFrame, ms: ModelSettings, codes: list[int] | None = None) -> PipelineModel:
     from ..session import checkpoint_dir
+    classes = df.select(ms.label).where(F.col(ms.label).isNotNull()).distinct().limit(2).count()
+    if classes < 2:
+        raise ValueError(f"a forest needs samples of two classes of {ms.label}; the sample has {classes}")
     checkpoint_dir(df.sparkSession)  # the node-id cache checkpoints into the shared folder
     codes = fit_codes(df, ms.categorical, ms.max_codes) if codes is None else codes
     data = with_weights(df, ms.label).withColumn("_y", F.col(ms.label).cast("double"))

@@ -1,31 +1,49 @@
-"""Exact spatial join (boundary-inclusive intersects) as grid-cell equi-joins over size levels.
+"""Exact spatial join (boundary-inclusive intersects) as one grid-cell equi-join.
 
 Plan
-  * geometries are sorted into levels by the longer side of their bbox; a cell at level k is
-    ``2^(base + k)`` wide, and no geometry of a level is wider than its cell;
-  * a left geometry of level a meets the zones of level z on the grid of level max(a, z): it
-    goes to ONE cell there, that of its bbox's lower-left corner, and a zone is copied to the
-    cells covering its bbox widened by one cell to the lower left: at most nine;
-  * so every (left, zone) pair whose bboxes overlap meets in exactly one cell of one grid: no
+  * a cell at level k is ``2^(base + k)`` wide; a left geometry has the level a whose cells it
+    fits in, a zone the level f of the finest grid it is kept on;
+  * the two meet on the grid of level g = max(a, f).  The left geometry goes to ONE cell there, that of its
+    bbox's lower-left corner, so it lies in the block of 2 x 2 cells to the upper right, and a zone has
+    a record in every cell whose block it touches.  Every (left, zone) pair meets in exactly one cell: no
     duplicates, no distinct, and a wide geometry on either side coarsens only its own grid;
-  * join condition = cell equality, then bbox overlap, then the exact predicate
-    (SQL higher-order functions, see functions/geometry.py).
-There is one equi-join per level that zones have (usually one to three).  Hot cells are the
-large side of an equi-join, which adaptive execution splits.  A level's zones are broadcast
-only while their copies, vertices and other columns stay below a limit.
+  * a zone of few edges is kept whole on the grid of its own extent (at most nine records);
+  * a zone of many edges is covered by finer cells, about as many across as the root of its edges.  Cells whose block
+    lies inside it need no exact test; cells at its border carry only the edges that touch
+    the block, and, for the ray of the point test, the parity of all edges further right: a flag
+    and the heights at which it changes (ends of chains of edges; only comparisons of given
+    coordinates, so results equal those of a walk around the whole ring);
+  * join condition = cell equality, then bbox overlap, then the exact predicate (SQL higher-order
+    functions, see functions/geometry.py).
+Where zones have several levels a left row is copied to its few grids (``inner``), or the levels are
+joined one after the other (``left_anti``).  Hot cells are the large side of an equi-join, which adaptive
+execution splits.  Zone records are broadcast only while they stay below a limit.
 """
 
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import cut_lineage
+
+# Python workers do not have to import this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Levels above the finest; wider geometries would not fit any coordinate range.
 MAX_LEVEL = 60
+#: Zones of more edges are covered by cells.
+CLIP_EDGES = 48
+#: Edges that the cover of a zone hands on at a time.
+OUT_EDGES = 100_000
 
 
 def _prep(df: DataFrame, geom: str, prefix: str) -> DataFrame:
@@ -37,34 +55,43 @@ def _prep(df: DataFrame, geom: str, prefix: str) -> DataFrame:
     return d.withColumn(f"{prefix}area", G.area_edges(geom, f"{prefix}edges"))
 
 
-def _condition():
+def _condition(clipped: bool):
     overlap = ((F.col("_l_minx") <= F.col("_r_maxx")) & (F.col("_l_maxx") >= F.col("_r_minx")) &
                (F.col("_l_miny") <= F.col("_r_maxy")) & (F.col("_l_maxy") >= F.col("_r_miny")))
-    return overlap & F.expr(G.intersects_sql("_l_edges", "_l_anchors", "_r_edges", "_r_anchors",
-                                             "_l_area", "_r_area"))
+    exact = F.expr(G.intersects_sql("_l_edges", "_l_anchors", "_r_edges", "_r_anchors", "_l_area", "_r_area",
+                                    ("_r_odd", "_r_turns") if clipped else None))
+    return overlap & ((F.col("_r_full") | exact) if clipped else exact)
 
 
 def _extent(prefix: str):
     return F.greatest(F.col(f"{prefix}maxx") - F.col(f"{prefix}minx"), F.col(f"{prefix}maxy") - F.col(f"{prefix}miny"))
 
 
-def _power(prefix: str):
+def power(extent):
     """Smallest k with extent <= 2^k; null for extent 0 and for a null geometry."""
-    k = F.ceil(F.log2(_extent(prefix)))
+    k = F.ceil(F.log2(extent))
     # The logarithm may be off by an ulp at exact powers: one level up is always safe.
-    return F.when(_extent(prefix) > F.pow(F.lit(2.0), k), k + 1).otherwise(k).cast("int")
+    return F.when(extent > F.pow(F.lit(2.0), k), k + 1).otherwise(k).cast("int")
+
+
+def _level(prefix: str, base: int, least: int = 0):
+    """Level of a geometry on grids whose cells of level 0 are 2^base wide; at least ``least``."""
+    return F.least(F.greatest(F.coalesce(power(_extent(prefix)) - F.lit(base), F.lit(least)), F.lit(least)), F.lit(MAX_LEVEL))
+
 
+def _depth(edges: str, clip_edges: int):
+    """How many levels below its extent a zone is covered: 2^depth is about the root of its edges; 0: kept whole.
 
-def _level(prefix: str, base: int):
-    """Level of a geometry on grids whose finest cells are 2^base wide."""
-    return F.least(F.greatest(F.coalesce(_power(prefix) - F.lit(base), F.lit(0)), F.lit(0)), F.lit(MAX_LEVEL))
+    A collection stays whole, as only some of its edges bound an area.
+    """
+    return F.when((F.size(edges) > clip_edges) & (F.col("_r_geom.type") != "GeometryCollection"), 2 * F.greatest(F.lit(1), F.round(F.log2(F.size(edges)) / 4))).otherwise(0).cast("int")
 
 
-def _finest(sizes: dict, cell_size: float | None) -> int:
-    """Exponent of the finest cells: the median zone's extent, or ``cell_size`` if given."""
+def _finest(sizes: Sequence, cell_size: float | None) -> int:
+    """Exponent of the cells of level 0: the median zone's extent, or ``cell_size`` if given."""
     if cell_size:
         return math.ceil(math.log2(cell_size))
-    known = sorted((k, n) for k, (n, _) in sizes.items() if k is not None)
+    known = sorted((r["k"], r["n"]) for r in sizes if r["k"] is not None)
     half, seen = sum(n for _, n in known) / 2, 0
     for k, n in known:
         seen += n
@@ -73,16 +100,152 @@ def _finest(sizes: dict, cell_size: float | None) -> int:
     return 0
 
 
+# --- cover of a zone by cells ---------------------------------------------------------------------------------------
+
+
+def _strips(edges: np.ndarray, w: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(block row, edge, first and last cell) of every edge in every row of blocks it touches.
+
+    A block row R is the strip between R*w and (R+2)*w.  What lies within a millionth of a
+    cell's width counts as touching, so edges left out are clear of the block.
+    """
+    ax, ay, bx, by = edges.T
+    m = w * 1e-6
+    low = np.floor((np.minimum(ay, by) - m) / w).astype(np.int64)
+    count = np.floor((np.maximum(ay, by) + m) / w).astype(np.int64) - low + 1
+    e = np.repeat(np.arange(len(edges)), count)
+    row = np.repeat(low, count) + np.arange(len(e)) - np.repeat(np.cumsum(count) - count, count)
+    dy = (by - ay)[e]
+    flat = dy == 0
+    slope = np.where(flat, 1.0, dy)
+    t = np.stack([(row * w - m - ay[e]) / slope, ((row + 1) * w + m - ay[e]) / slope])
+    t = np.where(flat, np.array([[0.0], [1.0]]), np.clip(t, 0.0, 1.0))
+    x = ax[e] + t * (bx - ax)[e]
+    first = np.floor((x.min(0) - m) / w).astype(np.int64)
+    last = np.floor((x.max(0) + m) / w).astype(np.int64)
+    # A cell row belongs to two rows of blocks; an edge in both cell rows of a block row counts once.
+    row, e = np.concatenate([row, row - 1]), np.concatenate([e, e])
+    first, last = np.concatenate([first, first]), np.concatenate([last, last])
+    order = np.lexsort((e, row))
+    row, e, first, last = row[order], e[order], first[order], last[order]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (e[1:] != e[:-1])]))
+    return row[new], e[new], np.minimum.reduceat(first, new), np.maximum.reduceat(last, new)
+
+
+def cover(edges: np.ndarray, w: float, area: bool) -> Iterator[tuple]:
+    """(cx, cy, full, edge numbers, turns, odd) for every cell of width ``w`` whose block of 2 x 2 cells a zone touches.
+
+    ``full``: the block lies inside the zone.  Else ``edge numbers`` touch the block, and a ray to the
+    right meets, besides them, an odd number of edges when ``odd`` differs from the parity of the
+    ``turns`` above it.
+    """
+    row, e, first, last = _strips(edges, w)
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(row)).tolist()):
+        cy, some, lo, hi = int(row[a]), e[a:b], first[a:b], last[a:b]
+        top = (cy + 2) * w
+        cells = np.arange(lo.min() - 1, hi.max() + 1)
+        touched = np.zeros(len(cells) + 1, np.int64)
+        np.add.at(touched, lo - 1 - cells[0], 1)
+        np.add.at(touched, hi + 1 - cells[0], -1)
+        touched = np.cumsum(touched)[:-1] > 0
+        if area:
+            by_first = np.argsort(lo, kind="stable")
+            ends = edges[some[by_first]][:, [1, 3]]
+            # Ends above the block among the edges right of a cell's block, which start at cell + 2 or later.
+            above = np.concatenate([np.cumsum((ends > top).sum(1)[::-1])[::-1], [0]])
+            beyond = np.searchsorted(lo[by_first], cells + 2)
+            odd = above[beyond] % 2 == 1
+            for cx in cells[~touched & odd].tolist():
+                yield cx, cy, True, some[:0], (), False
+        for k in np.flatnonzero(touched).tolist():
+            cx = int(cells[k])
+            listed = some[(lo - 1 <= cx) & (cx <= hi)]
+            if not area:
+                yield cx, cy, False, listed, (), False
+                continue
+            y, n = np.unique(ends[beyond[k]:], return_counts=True)
+            y = y[(n % 2 == 1) & (y >= cy * w) & (y <= top)]
+            yield cx, cy, False, listed, y, bool(odd[k])
+
+
+def _cover_rows(base: int):
+    """mapInArrow function: zones (_zk, _f, _z, _poly, _grids, edges) to their records on every grid finer than their extent."""
+    schema = pa.schema([("_zk", pa.int64()), ("_f", pa.int32()), ("_g", pa.int32()), ("_cx", pa.int64()), ("_cy", pa.int64()),
+                        ("_r_full", pa.bool_()), ("_r_edges", pa.list_(pa.list_(pa.float64()))),
+                        ("_r_turns", pa.list_(pa.float64())), ("_r_odd", pa.bool_())])
+
+    def batch(held: list, edges: list, turns: list) -> pa.RecordBatch:
+        cols = list(zip(*held))
+        sizes = np.array([len(x) for x in edges])
+        flat = np.concatenate(edges) if sizes.sum() else np.empty((0, 4))
+        quads = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * 4), pa.array(flat.ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), quads)
+        arrays = [pa.array(c, f.type) for c, f in zip(cols[:6], schema)]
+        return pa.RecordBatch.from_arrays([*arrays, lists, pa.array(turns, schema.field("_r_turns").type),
+                                           pa.array(cols[6], pa.bool_())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held, edges, turns, size = [], [], [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                zk, f, poly, grids = (b.column(c)[i].as_py() for c in range(4))
+                flat = b.column(4)[i].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+                for g in grids:
+                    for cx, cy, full, some, turn, odd in cover(flat, 2.0 ** (base + g), poly):
+                        held.append((zk, f, g, cx, cy, full, odd))
+                        edges.append(flat[some])
+                        turns.append(list(turn))
+                        size += len(some) + 1
+                        if size > OUT_EDGES:
+                            yield batch(held, edges, turns)
+                            held, edges, turns, size = [], [], [], 0
+        if held:
+            yield batch(held, edges, turns)
+
+    return run, ("_zk long, _f int, _g int, _cx long, _cy long, _r_full boolean, _r_edges array<array<double>>, "
+                 "_r_turns array<double>, _r_odd boolean")
+
+
+def _records(R: DataFrame, base: int, lefts: list[int], clipped: bool) -> DataFrame:
+    """Zone records by grid and cell: whole zones in up to nine cells, covered zones in the cells they touch."""
+    def cell(value):
+        return F.floor(value / F.pow(F.lit(2.0), F.col("_g").cast("double") + F.lit(float(base))))
+
+    width = F.pow(F.lit(2.0), F.col("_g").cast("double") + F.lit(float(base)))
+    grids = F.array_distinct(F.transform(F.array(*[F.lit(a) for a in lefts]), lambda a: F.greatest(a, F.col("_f"))))
+    R = R.withColumn("_grids", grids)
+    whole = (R.withColumn("_g", F.explode(F.filter("_grids", lambda g: g >= F.col("_z")) if clipped else F.col("_grids")))
+             .withColumn("_cx", F.explode(F.sequence(cell(F.col("_r_minx") - width), cell(F.col("_r_maxx")))))
+             .withColumn("_cy", F.explode(F.sequence(cell(F.col("_r_miny") - width), cell(F.col("_r_maxy"))))).drop("_grids"))
+    if not clipped:
+        return whole
+    run, ddl = _cover_rows(base)
+    polygon = F.col("_r_kind").isin("Polygon", "MultiPolygon")
+    fine = (R.where(F.col("_f") < F.col("_z"))
+            .select("_zk", "_f", polygon.alias("_poly"), F.filter("_grids", lambda g: g < F.col("_z")).alias("_grids"), "_r_edges")
+            .where(F.size("_grids") > 0).repartition(F.col("_zk")).mapInArrow(run, ddl))
+    box = R.select("_zk", polygon.alias("_poly"), "_r_minx", "_r_miny", "_r_maxx", "_r_maxy")
+    fine = (fine.join(box, "_zk")
+            .withColumn("_r_anchors", F.transform("_r_edges", lambda e: F.slice(e, 1, 2)))
+            .withColumn("_r_area", F.when(F.col("_poly"), F.col("_r_edges")).otherwise(F.array().cast("array<array<double>>"))).drop("_poly"))
+    whole = (whole.withColumn("_r_full", F.lit(False)).withColumn("_r_odd", F.lit(False))
+             .withColumn("_r_turns", F.array().cast("array<double>")))
+    return whole.select(fine.columns).unionByName(fine)
+
+
 def spatial_join(left: DataFrame, right: DataFrame, how: str = "inner", left_geom: str = "geom",
-                 right_geom: str = "geom", cell_size: float | None = None,
-                 broadcast_vertex_limit: int = 4_000_000) -> DataFrame:
+                 right_geom: str = "geom", cell_size: float | None = None, broadcast_vertex_limit: int = 4_000_000,
+                 clip_edges: int = CLIP_EDGES, left_powers: Sequence[int | None] | None = None) -> DataFrame:
     """Rows of ``left`` joined to intersecting rows of ``right``.
 
     how: 'inner' | 'left' (pairs, unmatched left rows with NULL right columns) |
          'left_semi' | 'left_anti'.  Right payload columns keep their names; the right
          geometry is returned as ``right_geometry`` for pair joins.  A null geometry
-         intersects nothing.  ``cell_size`` is the width of the finest cells (rounded up to a
-         power of two); by default the median extent of the zones.
+         intersects nothing.  ``cell_size`` is the width of the cells of level 0 (rounded up to a
+         power of two); by default the median extent of the zones.  Zones of more than
+         ``clip_edges`` edges are covered by cells.  ``left_powers``: the extents of the left geometries as
+         powers of two (``power``), where they are known; else they are counted.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
@@ -91,75 +254,85 @@ def spatial_join(left: DataFrame, right: DataFrame, how: str = "inner", left_geo
     # Geometries pass through a generator on both sides: filters on what is derived from them then
     # stop there, instead of being pushed below with the whole parse expression copied in.
     L = _prep(left.withColumn(left_geom, F.explode(F.array(F.col(q(left_geom))))), left_geom, "_l_")
-    R = _prep(G.keep_valid(right.withColumnRenamed(right_geom, "_r_geom"), "_r_geom"), "_r_geom", "_r_")
-    rpay = [c for c in right.columns if c != right_geom]
-
-    # Extents of both sides by powers of two, in one job: a few dozen rows whatever the data.
-    payload = F.length(F.to_json(F.struct(*[F.col(q(c)) for c in rpay]))) if rpay else F.lit(0)
-    stats = L.select(F.lit("l").alias("side"), _power("_l_").alias("k"), F.lit(0.0).alias("w")).unionByName(
-        R.select(F.lit("r").alias("side"), _power("_r_").alias("k"), (F.size("_r_edges") + 1 + payload / 40).alias("w"))
-    ).groupBy("side", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).collect()
-    sizes = {side: {r["k"]: (r["n"], r["w"]) for r in stats if r["side"] == side} for side in "lr"}
-    base = _finest(sizes["r"], cell_size)
-    at = lambda k: min(max((k if k is not None else base) - base, 0), MAX_LEVEL)
-    lefts = sorted({at(k) for k in sizes["l"]})
-    zones: dict[int, float] = {}
-    for k, (_, w) in sizes["r"].items():
-        zones[at(k)] = zones.get(at(k), 0) + w
-    L, R = L.withColumn("_a", _level("_l_", base)), R.withColumn("_z", _level("_r_", base))
-
-    def cell(value, level):
-        return F.floor(value / F.pow(F.lit(2.0), level.cast("double") + F.lit(float(base))))
-
-    joins = []
-    for z, weight in sorted(zones.items()):
-        grids = sorted({max(a, z) for a in lefts})
-        width = F.pow(F.lit(2.0), F.col("_g").cast("double") + F.lit(float(base)))
-        own = (R.where(F.col("_z") == z).withColumn("_g", F.explode(F.array(*[F.lit(g) for g in grids])))
-               .withColumn("_cx", F.explode(F.sequence(cell(F.col("_r_minx") - width, F.col("_g")),
-                                                       cell(F.col("_r_maxx"), F.col("_g")))))
-               .withColumn("_cy", F.explode(F.sequence(cell(F.col("_r_miny") - width, F.col("_g")),
-                                                       cell(F.col("_r_maxy"), F.col("_g"))))))
-        if 9 * len(grids) * weight <= broadcast_vertex_limit:
-            own = F.broadcast(own)
-        g = F.greatest(F.col("_a"), F.lit(z))
-        placed = {"_lg": g, "_lx": cell(F.col("_l_minx"), g), "_ly": cell(F.col("_l_miny"), g)}
-        on = ((F.col("_lg") == F.col("_g")) & (F.col("_lx") == F.col("_cx")) & (F.col("_ly") == F.col("_cy"))
-              & _condition())
-        joins.append((placed, own, on))
-
-    def unmatched():
-        rest = L
-        for placed, own, on in joins:
-            rest = rest.withColumns(placed).join(own, on, "left_anti").drop(*placed)
-        return rest
+    # Right columns get names of their own, so that both sides may come from one table.
+    rpay = {f"_p{k}": c for k, c in enumerate(c for c in right.columns if c != right_geom)}
+    R = right.select(F.col(q(right_geom)).alias("_r_geom"), *[F.col(q(c)).alias(p) for p, c in rpay.items()])
+    R = _prep(G.keep_valid(R, "_r_geom"), "_r_geom", "_r_")
 
-    if how == "left_anti":
-        return unmatched().select(*[q(c) for c in lcols])
-    if how == "left_semi":
-        rest, hits = L, None
-        for k, (placed, own, on) in enumerate(joins):
-            side = rest.withColumns(placed)
-            hit = side.join(own, on, "left_semi").select(*[q(c) for c in lcols])
-            hits = hit if hits is None else hits.unionByName(hit)
-            if k < len(joins) - 1:
-                rest = side.join(own, on, "left_anti").drop(*placed)
-        return L.select(*[q(c) for c in lcols]).limit(0) if hits is None else hits
-
-    nulls = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in rpay]
-    alone = [*[F.col(q(c)) for c in lcols], *nulls,
+    # Extents of both sides by powers of two: a few dozen rows whatever the data.
+    payload = F.length(F.to_json(F.struct(*rpay))) if rpay else F.lit(0)
+    sizes = R.select(power(_extent("_r_")).alias("k"), _depth("_r_edges", clip_edges).alias("d"),
+                     (F.size("_r_edges") + 1 + payload / 40).alias("w")).groupBy("k", "d").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).collect()
+    if left_powers is None:
+        left_powers = [r[0] for r in L.select(power(_extent("_l_"))).distinct().collect()]
+    base = _finest(sizes, cell_size)
+    z_of = lambda k: min(max((k if k is not None else base) - base, 0), MAX_LEVEL)
+    f_of = {(r["k"], r["d"]): z_of(r["k"]) if not r["d"] or r["k"] is None else r["k"] - base - r["d"] for r in sizes}
+    levels = sorted(set(f_of.values()))
+    clipped = any(r["d"] and r["k"] is not None for r in sizes)
+    least = min([0, *levels])
+    lefts = sorted({min(max((k if k is not None else base + least) - base, least), MAX_LEVEL) for k in left_powers}) or [least]
+
+    R = R.withColumn("_z", _level("_r_", base)).withColumn(
+        "_f", F.when((F.col("_z") >= 0) & (_depth("_r_edges", clip_edges) > 0) & power(_extent("_r_")).isNotNull(),
+                     power(_extent("_r_")) - F.lit(base) - _depth("_r_edges", clip_edges)).otherwise(F.col("_z")))
+    zone_side = None
+    if clipped:  # records carry a key instead of the zone's other columns, which a large geometry would multiply
+        R = cut_lineage(R.withColumn("_zk", F.monotonically_increasing_id()).withColumn("_r_kind", F.col("_r_geom.type")))
+        zone_side = R.select("_zk", *rpay, "_r_geom")
+    records = _records(R, base, lefts, clipped)
+    # Records of a whole zone: nine per grid; of a covered one: its edges in four blocks each and as many cells inside.
+    weight = sum((9 * r["w"] if not r["d"] else 16 * r["w"]) for r in sizes) * len(lefts)
+    small = weight <= broadcast_vertex_limit
+    L = L.withColumn("_a", _level("_l_", base, least))
+
+    def placed(df: DataFrame, f) -> DataFrame:
+        def at(c):
+            return F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_lg").cast("double") + F.lit(float(base))))
+        return (df.withColumn("_lf", f).withColumn("_lg", F.greatest(F.col("_a"), F.col("_lf")))
+                .withColumn("_lx", at("_l_minx")).withColumn("_ly", at("_l_miny")))
+
+    on = ((F.col("_lg") == F.col("_g")) & (F.col("_lx") == F.col("_cx")) & (F.col("_ly") == F.col("_cy"))
+          & (F.col("_lf") == F.col("_f")) & _condition(clipped))
+    shown = [F.col(q(c)) for c in lcols]
+    nulls = [*[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in rpay.values()],
              F.lit(None).cast(right.schema[right_geom].dataType).alias("right_geometry")]
 
-    def pairs(placed, own, on, how_="inner"):
-        side = L.withColumns(placed)
-        return side.join(own, on, how_).select(*[side[q(c)] for c in lcols], *[own[q(c)] for c in rpay],
-                                               own["_r_geom"].alias("right_geometry"))
-    if not joins:
-        return L.select(*alone) if how == "left" else L.select(*alone).limit(0)
-    if how == "left" and len(joins) == 1:
-        # One cell per left row: a single outer join gives the pairs and the rows without a partner.
-        return pairs(*joins[0], "left")
-    out = None
-    for j in joins:
-        out = pairs(*j) if out is None else out.unionByName(pairs(*j))
-    return out.unionByName(unmatched().select(*alone)) if how == "left" else out
+    def of_level(f: int) -> DataFrame:
+        own = records.where(F.col("_f") == f) if len(levels) > 1 else records
+        return F.broadcast(own) if small else own
+
+    def pairs(side: DataFrame, own: DataFrame, how_: str = "inner", also: tuple = ()) -> DataFrame:
+        left_side = [F.col(q(c)) for c in (*lcols, *also)]
+        hit = side.join(own, on, how_)
+        if zone_side is not None:
+            hit = hit.select(*left_side, F.col("_zk").alias("_hit")).join(zone_side, F.col("_hit") == F.col("_zk"), how_)
+        return hit.select(*left_side, *[F.col(p).alias(c) for p, c in rpay.items()], F.col("_r_geom").alias("right_geometry"))
+
+    if not levels:
+        return (L.select(*shown) if how == "left_anti" else L.select(*shown).limit(0) if how == "left_semi"
+                else L.select(*shown, *nulls) if how == "left" else L.select(*shown, *nulls).limit(0))
+    if how == "left_anti":
+        for f in levels:
+            L = placed(L, F.lit(f)).join(of_level(f), on, "left_anti").drop("_lf", "_lg", "_lx", "_ly")
+        return L.select(*shown)
+    if len(levels) == 1:  # one cell per left row: any kind of join is direct
+        side = placed(L, F.lit(levels[0]))
+        if how == "left_semi":
+            return side.join(of_level(levels[0]), on, "left_semi").select(*shown)
+        return pairs(side, of_level(levels[0]), how)
+    every = F.explode(F.array(*[F.lit(f) for f in levels]))
+    own = F.broadcast(records) if small else records
+    if how == "inner":
+        return pairs(placed(L, every), own)
+    # Several levels, and left rows asked for once: they are written with a number, so that they can be told apart.
+    L = cut_lineage(L.withColumn("_row", F.monotonically_increasing_id()))
+    if how == "left_semi":
+        hits = placed(L, every).join(own, on, "left_semi").select("_row").distinct()
+        return L.join(hits, "_row", "left_semi").select(*shown)
+    hits = pairs(placed(L, every), own, also=("_row",))
+    rest = L
+    for f in levels:
+        rest = placed(rest, F.lit(f)).join(of_level(f), on, "left_anti").drop("_lf", "_lg", "_lx", "_ly")
+    return hits.drop("_row").unionByName(rest.select(*shown, *nulls))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import cut_lineage
 
 
 def within_bounds(zones: DataFrame, bounds: DataFrame, geom: str = "geom") -> DataFrame:
@@ -19,19 +20,28 @@ def within_bounds(zones: DataFrame, bounds: DataFrame, geom: str = "geom") -> Da
     return zones.join(F.broadcast(b), touch, "left_semi")  # the bounds are one aggregate row
 
 
+def within_box(zones: DataFrame, box: tuple | None, geom: str = "geom") -> DataFrame:
+    """Zones whose bbox touches ``box`` (minx, miny, maxx, maxy); none without a box."""
+    if box is None:
+        return zones.where(F.lit(False))
+    bb = G.bbox(geom)
+    return zones.where((bb["minx"] <= F.lit(box[2])) & (bb["maxx"] >= F.lit(box[0]))
+                       & (bb["miny"] <= F.lit(box[3])) & (bb["maxy"] >= F.lit(box[1])))
+
+
 def first_nonempty_source(sources: Sequence[DataFrame]) -> DataFrame:
-    """Rows of the first source (in list order) that has at least one row.
+    """Rows of the first source (in list order) that has at least one row, with its place as ``source_priority``.
 
-    All sources are unioned with a priority tag; the winning priority is a one-row
-    scalar aggregate joined back by broadcast, so no source is pulled to the driver.
+    Sources are asked in turn: each is read once, into a table, and those after the first that
+    answers are not read at all.
     """
-    tagged = None
+    if not sources:
+        raise ValueError("no zone sources")
     for i, s in enumerate(sources):
-        t = s.withColumn("_priority", F.lit(i))
-        tagged = t if tagged is None else tagged.unionByName(t, allowMissingColumns=True)
-    best = tagged.agg(F.min("_priority").alias("_best"))
-    return (tagged.join(F.broadcast(best), F.col("_priority") == F.col("_best"), "inner")
-                  .drop("_best").withColumnRenamed("_priority", "source_priority"))
+        answer = cut_lineage(s.withColumn("source_priority", F.lit(i)))
+        if not answer.isEmpty():
+            break
+    return answer
 
 
 def filter_zone_codes(zones: DataFrame, zone_field: str, codes: Sequence[str]) -> DataFrame:

@@ -71,10 +71,34 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def holdout_checks(ev: Evaluation) -> DataFrame:
-    """label, support, and whether report and matrix agree (accuracy = trace / total)."""
-    totals = ev.matrix.agg(F.sum(F.col("pred_0") + F.col("pred_1")).alias("total"),
-                           F.sum(F.when(F.col("truth") == 0, F.col("pred_0")).otherwise(F.col("pred_1"))).alias("trace"))
-    return ev.report.crossJoin(F.broadcast(totals)).select(
-        "label", "support", F.when(F.col("label") == "accuracy", F.abs(
-            F.col("f1_score") - F.col("trace") / F.col("total")) < 1e-12).otherwise(
-            F.col("f1_score").between(0.0, 1.0)).alias("consistent"))
+    """label, support, and whether every figure of the report is what the matrix says.
+
+    Precision, recall, f1 and support of both classes, accuracy and both averages are worked out
+    again from the four counts of the matrix.
+    """
+    def of(truth, pred):
+        return F.sum(F.when(F.col("truth") == truth, F.col(f"pred_{pred}")).otherwise(0)).cast("double")
+    n = ev.matrix.agg(of(0, 0).alias("n00"), of(0, 1).alias("n01"), of(1, 0).alias("n10"), of(1, 1).alias("n11"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    c = F.col
+    n = n.select("*", *[e.alias(k) for k, e in {
+        "p0": ratio(c("n00"), c("n00") + c("n10")), "r0": ratio(c("n00"), c("n00") + c("n01")),
+        "p1": ratio(c("n11"), c("n11") + c("n01")), "r1": ratio(c("n11"), c("n11") + c("n10")),
+        "s0": c("n00") + c("n01"), "s1": c("n10") + c("n11"), "total": c("n00") + c("n01") + c("n10") + c("n11")}.items()])
+    n = n.select("*", *[ratio(2.0 * c(f"p{k}") * c(f"r{k}"), c(f"p{k}") + c(f"r{k}")).alias(f"f{k}") for k in (0, 1)],
+                 ratio(c("n00") + c("n11"), c("total")).alias("accuracy"))
+    none = F.lit(None).cast("double")
+    macro = [(c(f"{m}0") + c(f"{m}1")) / 2 for m in "prf"]
+    weighted = [ratio(c(f"{m}0") * c("s0") + c(f"{m}1") * c("s1"), c("total")) for m in "prf"]
+    want = n.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("label"), *[v.alias(k) for k, v in zip(("p", "r", "f", "s"), values)])
+        for name, values in {"0": (c("p0"), c("r0"), c("f0"), c("s0")), "1": (c("p1"), c("r1"), c("f1"), c("s1")),
+                             "accuracy": (none, none, c("accuracy"), c("total")), "macro avg": (*macro, c("total")),
+                             "weighted avg": (*weighted, c("total"))}.items()])).alias("w")).select("w.*")
+
+    def same(a, b):
+        return (a.isNull() & b.isNull()) | (F.abs(a - b) < 1e-12)
+    both = ev.report.join(F.broadcast(want), "label")  # five rows
+    return both.select("label", "support", F.coalesce(
+        same(c("precision"), c("p")) & same(c("recall"), c("r")) & same(c("f1_score"), c("f"))
+        & (c("support").cast("double") == c("s")), F.lit(False)).alias("consistent"))

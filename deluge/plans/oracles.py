@@ -173,7 +173,8 @@ def flood_oracles() -> dict[str, str]:
 SFHA_SQL = "('A','AE','AH','AO','AR','A99','V','VE','VO')"
 
 
-def _zone_ctes() -> str:
+def _zone_ctes(envelope: bool = True) -> str:
+    """Predictions and zones; with ``envelope`` only zones that touch the predictions' bounds can be selected."""
     geo = """case when k%97=5 then NULL when k%97=7 then '{oops' when k%97=11 then '' when k%97=13 then '5'
        when k%97=17 then '{"type":"LineString","coordinates":[[' || c || ',' || r || '],[' || (c+1) || ',' || r || ']]}'
        when k%50=3 then '{"type":"Polygon","coordinates":[[[' || (c-1) || ',' || (r-1) || '],[' || (c+1) || ',' || (r-1)
@@ -207,15 +208,17 @@ zones as (select s_suppkey as zone_id, case s_suppkey%6 when 0 then 'X' when 1 t
                  when 4 then 'D' else 'AH' end as FLD_ZONE,
                  cast((s_suppkey*7)%40 as double)-0.5 as zminx, cast((s_suppkey*7)%40 as double)+2.5 as zmaxx,
                  cast((s_suppkey*3)%50 as double)-0.5 as zminy, cast((s_suppkey*3)%50 as double)+1.5 as zmaxy from supplier),
-sfha as (select * from zones where FLD_ZONE in {SFHA_SQL}),
-zsel as (select * from sfha union all select * from zones where not exists (select 1 from sfha)),
+area as (select min(minx) as ax0, min(miny) as ay0, max(maxx) as ax1, max(maxy) as ay1 from gdf),
+near as (select zones.* from zones{", area where zminx <= ax1 and zmaxx >= ax0 and zminy <= ay1 and zmaxy >= ay0" if envelope else ""}),
+sfha as (select * from near where FLD_ZONE in {SFHA_SQL}),
+zsel as (select * from sfha union all select * from near where not exists (select 1 from sfha)),
 flooded as (select * from gdf where flood_predicted = 1),
 outside as (select * from flooded f where not exists (select 1 from zsel z where f.minx <= z.zmaxx and f.maxx >= z.zminx
                                                       and f.miny <= z.zmaxy and f.maxy >= z.zminy))"""
 
 
-def _zwith(body: str) -> str:
-    return f"WITH {_zone_ctes()}\n{body}"
+def _zwith(body: str, envelope: bool = True) -> str:
+    return f"WITH {_zone_ctes(envelope)}\n{body}"
 
 
 def _merc_x(c: str) -> str:
@@ -239,7 +242,7 @@ def zone_oracles() -> dict[str, str]:
         + " from gdf")
     q["dropna_rows"] = _zwith('select "system:index", flood_probability, flood_predicted, ".geo" from predictions '
                               'where ".geo" is not null')
-    q["zone_filter"] = _zwith("select zone_id, FLD_ZONE from zsel")
+    q["zone_filter"] = _zwith("select zone_id, FLD_ZONE from zsel", envelope=False)
     q["zone_fallback"] = _zwith("select zone_id, FLD_ZONE from zones where FLD_ZONE in ('X', 'D')")
     q["source_fallback"] = _zwith("select zone_id, FLD_ZONE, 1 as source_priority from zones where FLD_ZONE = 'X'")
     q["distinct_zones"] = _zwith("select distinct FLD_ZONE from zones")
@@ -415,16 +418,16 @@ def round2_oracles() -> dict[str, str]:
         f"px as (select p.{R} as r, p.col as c, case when (select count(*) from s1f) > 0 then cast(s.VV as float) else 0 end < -17 as wet "
         f"from px_static p left join sar s on p.{R} = s.{R} and p.col = s.col), "
         "zz as (select s_suppkey%6 as code, (s_suppkey*7)%40-0.5 as x0, (s_suppkey*7)%40+2.5 as x1, (s_suppkey*3)%50-0.5 as y0, "
-        "(s_suppkey*3)%50+1.5 as y1 from supplier where s_suppkey%6 not in (0, 4)) "
+        "(s_suppkey*3)%50+1.5 as y1 from supplier where s_suppkey%6 not in (0, 4) and (s_suppkey*7)%40-0.5 <= (select max(c) from px) "
+        "and (s_suppkey*7)%40+2.5 >= (select min(c) from px) and (s_suppkey*3)%50-0.5 <= (select max(r) from px) "
+        "and (s_suppkey*3)%50+1.5 >= (select min(r) from px)) "
         "select count(*) as total_areas_analyzed, count(*) filter (where wet) as flood_predictions_count, "
         "(select least(count(*), 1) from zz) as fema_zones_count, count(*) filter (where wet and not exists "
         "(select 1 from zz where c between x0 and x1 and r between y0 and y1)) as flooded_outside_fema_count from px")
     wide = zones.replace("zones as (select s_suppkey", "zones0 as (select s_suppkey").replace(
-        "from supplier),\nsfha", """from supplier),
-b as (select min(minx) as bx0, min(miny) as by0, max(maxx) as bx1, max(maxy) as by1 from gdf),
-zones as (select zone_id, FLD_ZONE, zminx * 10 as zminx, zmaxx * 10 as zmaxx, zminy, zmaxy from zones0, b
-          where zminx * 10 <= bx1 and zmaxx * 10 >= bx0 and zminy <= by1 and zmaxy >= by0),
-sfha""")
+        "from supplier),\narea", """from supplier),
+zones as (select zone_id, FLD_ZONE, zminx * 10 as zminx, zmaxx * 10 as zmaxx, zminy, zmaxy from zones0),
+area""")
     q["zone_envelope"] = f"WITH {wide}\nselect zone_id, FLD_ZONE from zsel"
     q["source_fallback_bounds"] = _zwith("select zone_id, FLD_ZONE, 1 as source_priority from zsel")
     q["report_bounds"] = f"""WITH {wide}
@@ -459,6 +462,11 @@ select (select count(*) from gdf) as total_areas_analyzed, (select count(*) from
     q["holdout_report"] = _with(
         f"select cast(flood as varchar) as label, n as support, true as consistent from ({test}) union all "
         f"select label, sum(n)::bigint, true from ({test}), (values ('accuracy'), ('macro avg'), ('weighted avg')) v(label) group by label")
+    q["train_job"] = _with(
+        f"select 'report' as part, cast(flood as varchar) as name, n from ({test}) union all select 'report', label, sum(n)::bigint "
+        f"from ({test}), (values ('accuracy'), ('macro avg'), ('weighted avg')) v(label) group by label union all "
+        f"select 'matrix', cast(flood as varchar), n from ({test}) union all select 'auc', name, 1::bigint from (values ('holdout'), "
+        "('holdout_calibrated'), ('cv_mean'), ('fold_0'), ('fold_1'), ('fold_2'), ('fold_3'), ('fold_4')) v(name)")
     q["score_job_columns"] = flood_oracles()["predictor_stack"].replace(
         f"select i.{R}, i.col, ", f"select true as valid_probability, true as valid_class, i.{R}, i.col, ")
     q["model_invariants"] = _with(f"select flood, n, n as ids, true as valid, true as class_follows, true as same_auc, "
@@ -466,6 +474,88 @@ select (select count(*) from gdf) as total_areas_analyzed, (select count(*) from
     return q
 
 
+#: Directed border steps of cells (x, y) covered by ``cells``: area on the left.
+STEPS = """steps as (
+  select x-0.5 as x0, y-0.5 as y0, x+0.5 as x1, y-0.5 as y1 from cells c where not exists (select 1 from cells d where d.x=c.x and d.y=c.y-1)
+  union all select x+0.5, y-0.5, x+0.5, y+0.5 from cells c where not exists (select 1 from cells d where d.x=c.x+1 and d.y=c.y)
+  union all select x+0.5, y+0.5, x-0.5, y+0.5 from cells c where not exists (select 1 from cells d where d.x=c.x and d.y=c.y+1)
+  union all select x-0.5, y+0.5, x-0.5, y-0.5 from cells c where not exists (select 1 from cells d where d.x=c.x-1 and d.y=c.y))"""
+
+
+def round3_oracles() -> dict[str, str]:
+    """Large zones, dissolve, collections on disk, other grids."""
+    q = {}
+    bars = "bars as (select row_number() over (order by l_orderkey, l_linenumber) as i, l_quantity as h from lineitem)"
+    sites = ("sites as (select p_partkey as site_id, p_partkey*30.0-7.25 as x0, p_size::double as y0, case when p_partkey%2=0 then 0 else 3 end as s from part)")
+    hit = "exists (select 1 from bars where i between floor(x0) and ceil(x0 + s) + 1 and i - 1 <= x0 + s and i >= x0 and y0 <= h)"
+    q["large_zone"] = f"WITH {bars}, {sites} select site_id from sites where {hit}"
+    q["large_zone_outside"] = f"WITH {bars}, {sites} select site_id from sites where not {hit}"
+    cells = ("cells as (select distinct x::double as x, y::double as y from zsel, generate_series((zminx+0.5)::bigint, (zmaxx-0.5)::bigint) a(x), "
+             "generate_series((zminy+0.5)::bigint, (zmaxy-0.5)::bigint) b(y))")
+    zc = f"{_zone_ctes()}, {cells}, {STEPS}"
+    q["dissolve_border"] = f"WITH {zc} select x0, y0, x1, y1 from steps"
+    # A left turn goes before straight on, and that before a right turn.
+    q["dissolve_rings"] = f"""WITH RECURSIVE {zc},
+named as (select row_number() over (order by x0, y0, x1, y1) as id, * from steps),
+follows as (select a.id, b.id as nxt from named a join named b on b.x0 = a.x1 and b.y0 = a.y1
+  qualify row_number() over (partition by a.id order by (a.x1-a.x0)*(b.y1-b.y0)-(a.y1-a.y0)*(b.x1-b.x0) desc) = 1),
+walk as (select id, id as at from named union select w.id, f.nxt from walk w join follows f on f.id = w.at),
+ring as (select id, min(at) as ring from walk group by id)
+select sum(x0*y1-x1*y0)/2 as area, count(*)::double as length, min(x0) as minx, min(y0) as miny, max(x0) as maxx, max(y0) as maxy
+from named join ring using (id) group by ring"""
+    flood = """reach as (select x, y, x as fx, y as fy from cells union
+  select r.x, r.y, c.x, c.y from reach r join cells c on abs(c.x-r.fx)+abs(c.y-r.fy) = 1),
+part as (select x, y, min(fx*1000+fy) as p from reach group by x, y)"""
+    q["dissolve"] = f"""WITH RECURSIVE {zc}, {flood}
+select count(*)::double as area, min(x)-0.5 as minx, min(y)-0.5 as miny, max(x)+0.5 as maxx, max(y)+0.5 as maxy from part group by p"""
+    q["dissolve_by_code"] = f"""WITH RECURSIVE {_zone_ctes()},
+cells as (select distinct FLD_ZONE, x::double as x, y::double as y from zones, generate_series((zminx+0.5)::bigint, (zmaxx-0.5)::bigint) a(x),
+  generate_series((zminy+0.5)::bigint, (zmaxy-0.5)::bigint) b(y)),
+reach as (select FLD_ZONE, x, y, x as fx, y as fy from cells union select r.FLD_ZONE, r.x, r.y, c.x, c.y
+  from reach r join cells c on c.FLD_ZONE = r.FLD_ZONE and abs(c.x-r.fx)+abs(c.y-r.fy) = 1),
+part as (select FLD_ZONE, x, y, min(fx*1000+fy) as p from reach group by all)
+select FLD_ZONE, count(distinct p) as polygons, count(*)::double as area from part group by FLD_ZONE"""
+    px = (f"px as (select l_orderkey as scene_id, cast((l_partkey-1)%40 as int) as col, cast(floor((l_partkey-1)/40) as int) as {R}, o_orderdate as ts, "
+          "o_orderstatus, l_quantity from lineitem join orders on l_orderkey = o_orderkey)")
+    foot = f"foot as (select scene_id, min(col) as c0, max(col) as c1, min({R}) as r0, max({R}) as r1 from px group by scene_id)"
+    q["collection_scan"] = f"""WITH {px}, {foot}
+select strftime(ts, '%Y-%m') as month, count(distinct scene_id) as scenes, count(*) as n, sum(l_quantity*200) as b3 from px join foot using (scene_id)
+where ts >= TIMESTAMP '1996-01-15' and ts < TIMESTAMP '1998-01-15' and scene_id % 17 <> 0 and c0 <= 9 and c1 >= 0 and r0 <= 9 and r1 >= 0 group by all"""
+    q["collection_radar"] = f"""WITH {px}
+select 'IW' as mode, count(distinct scene_id) as scenes, count(*) as n, sum(-21 + l_quantity*0.25) as vv from px
+where ts >= TIMESTAMP '1997-03-01' and ts < TIMESTAMP '1997-09-01' and o_orderstatus <> 'O' and scene_id % 5 <> 0 having count(*) > 0"""
+    monthly = ", ".join(f"median(v_{b}) as {b}" for b in BANDS)
+    scaled = {"B3": "l_quantity*200", "B4": "cast((l_orderkey*37+l_linenumber*11)%10000 as double)", "B8": "l_discount*100000",
+              "B11": "l_tax*100000", "B12": "l_extendedprice/60"}
+    parts = []
+    for name, start in (("pre", "1996-01-01"), ("post", "1997-01-01")):
+        parts.append(f"select *, '{name}' as period, {_k(start)} as k from obs where ts >= TIMESTAMP '1996-01-01' and ts < TIMESTAMP '1997-06-30'")
+    q["collection_composite"] = (
+        f"WITH obs as (select cast((l_partkey-1)%40 as int) as col, cast(floor((l_partkey-1)/40) as int) as {R}, o_orderdate as ts, "
+        + ", ".join(f"({scaled[b]})/10000.0 as v_{b}" for b in BANDS)
+        + " from lineitem join orders on l_orderkey = o_orderkey where o_orderkey%17<>0 and o_orderkey%13<>0 and (o_orderkey*31)%100 < 50), "
+        f"tagged as ({' union all '.join(parts)}) select {R}, col, period, k, {monthly} from tagged "
+        f"where k between 0 and case period when 'pre' then {_windows('1996-01-01', '1996-06-30') - 1} else {_windows('1997-01-01', '1997-06-30') - 1} end group by {R}, col, period, k")
+    layer = (f"layer as (select cast((p_partkey-1)%40 as int) as c, cast(floor((p_partkey-1)/40) as int) as r, p_size::double as elevation, "
+             "nullif(p_size%13, 0)::double as season from part)")
+    span = "span as (select max(c) as c1, max(r) as r1 from layer)"
+    grid = (f"{layer}, {span}, grid as (select i as {R}, j as col, 0.25 + j*1.5 as x0, 0.25 + (j+1)*1.5 as x1, 50.5 - (i+1)*1.25 as y0, 50.5 - i*1.25 as y1 "
+            "from span, generate_series(-1, ((c1+1)/1.5)::bigint + 1) a(j), generate_series(((49.5-r1)/1.25)::bigint - 2, 42) b(i))")
+    q["regrid_nearest"] = (f"WITH {grid} select cast({R} as int) as {R}, cast(col as int) as col, elevation, season from grid join layer "
+                           "on c = floor((x0+x1)/2) and r = ceil((y0+y1)/2) - 1")
+    q["regrid_area_mean"] = (
+        f"WITH {grid}, o as (select {R}, col, elevation, season, (least(x1, c+1)-greatest(x0, c)) * (least(y1, r+1)-greatest(y0, r)) as w from grid join layer "
+        f"on c < x1 and c+1 > x0 and r < y1 and r+1 > y0) select cast({R} as int) as {R}, cast(col as int) as col, round(sum(w*elevation)/sum(w), 6) as elevation, "
+        f"round(sum(w*season)/sum(case when season is not null then w end), 6) as season from o group by {R}, col")
+    q["regrid_bilinear"] = (
+        f"WITH {grid}, p as (select *, (x0+x1)/2-0.5 as u, (y0+y1)/2-0.5 as v from grid), "
+        f"o as (select p.{R}, p.col, elevation, season, (1-abs(u-c))*(1-abs(v-r)) as w, (case when u=floor(u) then 1 else 2 end)*(case when v=floor(v) then 1 else 2 end) as n "
+        f"from p join layer on abs(u-c) < 1 and abs(v-r) < 1) select cast({R} as int) as {R}, cast(col as int) as col, "
+        f"round(case when count(elevation) = max(n) then sum(w*elevation) end, 6) as elevation, round(case when count(season) = max(n) then sum(w*season) end, 6) as season "
+        f"from o group by {R}, col")
+    return q
+
+
 def all_oracles() -> dict[str, str]:
     out = {}
     out.update(flood_oracles())
@@ -473,4 +563,5 @@ def all_oracles() -> dict[str, str]:
     out.update(ml_oracles())
     out.update(job_oracles())
     out.update(round2_oracles())
+    out.update(round3_oracles())
     return out

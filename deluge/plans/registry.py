@@ -13,11 +13,15 @@ from ..config import FIXTURE_SETTINGS, REQUIRED_BANDS, Grid, ModelSettings, Zone
 from ..functions import geometry as G
 from ..operators import collection as C
 from ..operators import composite as X
+from ..operators import dissolve as D
 from ..operators import metrics as MT
 from ..operators import ml as ML
+from ..operators import regrid as RG
+from ..operators import spatial as SP
 from ..operators import zones as Z
 from ..operators.sampling import stratified_folds
 from ..session import cut_lineage, output_root
+from ..sources import catalogue as CAT
 from ..sources import files as FI
 from ..sources import fixtures
 from ..sources import sinks as SK
@@ -552,7 +556,6 @@ def q_spatial_outlier(spark, sf):
         F.lit("all").alias("system:index"),
         G.rectangle(F.col("minx") - 500, F.col("miny") - 500, F.col("maxx") + 500, F.col("maxy") + 500).alias("geometry"))
     left = zg.gdf.select("system:index", "geometry").unionByName(over)
-    from ..operators import spatial as SP
     return SP.spatial_join(left, zg.zones.select("zone_id", "geom"), "left", left_geom="geometry").select(
         "system:index", "zone_id")
 
@@ -625,3 +628,126 @@ def q_model_invariants(spark, sf):
         F.min(F.col("flood_probability").between(0.0, 1.0)).alias("valid"),
         F.min((F.col("flood_probability") > 0.5) == (F.col("flood_predicted") == 1)).alias("class_follows")).select(
         "*", F.lit(bool(same)).alias("same_auc"), F.lit(bool(abs(total - 1) < 1e-9)).alias("importances_add_up"))
+
+
+@query
+def q_train_job(spark, sf):
+    """The training job on the written sample table, its outputs read back: support per label of the report,
+    test rows per class of the matrix, and one row per ROC AUC, which must lie between 0 and 1."""
+    fm, _ = _trained_with_map(spark, sf)
+    source, out = _out(spark, "samples_csv"), _out(spark, "training")
+    SK.write_csv(fm.samples, source)
+    FMOD.train_job(spark, source, out, replace(MS, trees=10))
+    report = FI.read_csv(spark, f"{out}/classification_report", "label string, precision double, recall double, f1_score double, support long")
+    matrix = FI.read_csv(spark, f"{out}/confusion_matrix", "truth int, pred_0 long, pred_1 long")
+    auc = FI.read_csv(spark, f"{out}/auc", "name string, auc double")
+    parts = [report.select(F.lit("report").alias("part"), F.col("label").alias("name"), F.col("support").alias("n")),
+             matrix.select(F.lit("matrix").alias("part"), F.col("truth").cast("string").alias("name"),
+                           (F.col("pred_0") + F.col("pred_1")).alias("n")),
+             auc.where(F.col("auc").between(0.0, 1.0)).select(F.lit("auc").alias("part"), "name", F.lit(1).cast("long").alias("n"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# ---- large zones, dissolve -----------------------------------------------------------------------------------
+@query
+def q_large_zone(spark, sf):
+    """Points and squares that meet one zone with two vertices per order line."""
+    return SP.spatial_join(fixtures.skyline_sites(spark, sf), fixtures.skyline_zone(spark, sf), "left_semi",
+                           left_geom="geometry").select("site_id")
+
+
+@query
+def q_large_zone_outside(spark, sf):
+    return SP.spatial_join(fixtures.skyline_sites(spark, sf), fixtures.skyline_zone(spark, sf), "left_anti",
+                           left_geom="geometry").select("site_id")
+
+
+@query
+def q_dissolve_border(spark, sf):
+    """Border of the union of the selected zones, cut into directed steps of length 1 (zones lie on half units)."""
+    b = D.border(_zg(spark, sf).zones)
+    steps = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
+    b = b.withColumn("n", steps).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    dx, dy = (F.col("bx") - F.col("ax")) / F.col("n"), (F.col("by") - F.col("ay")) / F.col("n")
+    return b.select((F.col("ax") + F.col("i") * dx).alias("x0"), (F.col("ay") + F.col("i") * dy).alias("y0"),
+                    (F.col("ax") + (F.col("i") + 1) * dx).alias("x1"), (F.col("ay") + (F.col("i") + 1) * dy).alias("y1"))
+
+
+@query
+def q_dissolve_rings(spark, sf):
+    """Rings of the dissolved zones: signed area (holes negative), length and box."""
+    t = D.ring_table(D.rings(D.border(_zg(spark, sf).zones)))
+    return t.select("area", "length", "minx", "miny", "maxx", "maxy")
+
+
+@query
+def q_dissolve(spark, sf):
+    """Polygons of the dissolved zones, with their holes: area and box."""
+    return D.dissolve(_zg(spark, sf).zones).select("area", *_bbox_cols("geom"))
+
+
+@query
+def q_dissolve_by_code(spark, sf):
+    """All zones dissolved per code: polygons and area of each code."""
+    d = D.dissolve(fixtures.zones(spark, sf), by=["FLD_ZONE"])
+    return d.groupBy("FLD_ZONE").agg(F.count(F.lit(1)).alias("polygons"), F.sum("area").alias("area"))
+
+
+# ---- collections on disk -----------------------------------------------------------------------------------------
+def _collection(spark, sf, kind):
+    """A written collection (tiles of 10 x 10 units), opened again."""
+    path = _out(spark, f"collection_{kind}")
+    CAT.write_collection(fixtures.collection_scenes(spark, sf), fixtures.collection_pixels(spark, sf), path, kind, 10.0)
+    return CAT.open_collection(spark, path, kind)
+
+
+@query
+def q_collection_scan(spark, sf):
+    """Optical collection: scenes of two years whose footprint meets a box and that carry all bands, their observations per month."""
+    c = _collection(spark, sf, "optical").filter_date("1996-01-15", "1998-01-15").filter_bounds((0, 0, 9, 9)).filter_bands(REQUIRED_BANDS)
+    return c.observations().groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(
+        F.count_distinct("scene_id").alias("scenes"), F.count(F.lit(1)).alias("n"), F.sum("B3").alias("b3"))
+
+
+@query
+def q_collection_radar(spark, sf):
+    """Radar collection: scenes by mode and polarisation, backscatter per mode."""
+    c = _collection(spark, sf, "radar").filter_date("1997-03-01", "1997-09-01").filter_eq("mode", "IW").filter_contains("pols", "VV")
+    return c.observations(["mode"]).groupBy("mode").agg(
+        F.count_distinct("scene_id").alias("scenes"), F.count(F.lit(1)).alias("n"), F.sum("VV").alias("vv"))
+
+
+@query
+def q_collection_composite(spark, sf):
+    """Monthly composites of a collection read through its catalogue (two radar-free periods)."""
+    s = replace(FIXTURE_SETTINGS, pre_start="1996-01-01", pre_end="1996-06-30", post_start="1997-01-01", post_end="1997-06-30")
+    c = _collection(spark, sf, "optical").filter_date(s.pre_start, s.post_end)
+    inp = replace(fixture_inputs(spark, sf), s2_obs=c.observations(), s2_scene=c.scenes)
+    return FloodMap(inp, s).monthly.select("row", "col", "period", "k", *REQUIRED_BANDS)
+
+
+# ---- other grids ---------------------------------------------------------------------------------------------------
+#: Layers lie on a grid of step 1; targets are coarser, shifted, and run the other way.
+FINE, COARSE = Grid(0.0, 0.0, 1.0, 1.0), Grid(0.25, 50.5, 1.5, -1.25)
+
+
+def _layer(spark, sf):
+    return fixtures.px_static(spark, sf).select("row", "col", F.col("elevation"), F.when(F.col("seasonality") > 0, F.col("seasonality").cast(
+        "double")).alias("season"))
+
+
+@query
+def q_regrid_nearest(spark, sf):
+    return RG.nearest(_layer(spark, sf), FINE, COARSE, ["elevation", "season"])
+
+
+@query
+def q_regrid_area_mean(spark, sf):
+    r = RG.area_mean(_layer(spark, sf), FINE, COARSE, ["elevation", "season"])
+    return r.select("row", "col", F.round("elevation", 6).alias("elevation"), F.round("season", 6).alias("season"))
+
+
+@query
+def q_regrid_bilinear(spark, sf):
+    r = RG.bilinear(_layer(spark, sf), FINE, COARSE, ["elevation", "season"])
+    return r.select("row", "col", F.round("elevation", 6).alias("elevation"), F.round("season", 6).alias("season"))

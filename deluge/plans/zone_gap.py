@@ -34,6 +34,20 @@ def validate(df: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
     return df
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """What one aggregate over the parsed predictions yields."""
+
+    success: int
+    failed: int
+    flooded: int
+    #: minx, miny, maxx, maxy in the predictions' CRS and in that of the zones; None without a geometry.
+    bounds: tuple | None
+    zone_bounds: tuple | None
+    #: Extents in the zones' CRS as powers of two (None: points), as ``spatial_join`` wants them.
+    powers: tuple
+
+
 class ZoneGap:
     def __init__(self, predictions: DataFrame, zone_sources: Sequence[DataFrame],
                  settings: ZoneSettings = ZoneSettings(), geo_col: str = ".geo"):
@@ -50,30 +64,48 @@ class ZoneGap:
         return self.parsed.agg(F.count_if(F.col("geometry").isNotNull()).alias("success"),
                                F.count_if(F.col("geometry").isNull()).alias("failed"))
 
-    @cached_property
+    @property
     def gdf(self) -> DataFrame:
         return G.keep_valid(self.parsed, "geometry")
 
+    @cached_property
+    def statistics(self) -> Statistics:
+        """Parses the predictions once, into a table that everything below reads, and sums it up in one aggregate.
+
+        Its rows are one per power of two that extents have: a few dozen whatever the data.
+        """
+        self.parsed = cut_lineage(self.parsed)
+        own, there = G.bbox("geometry"), G.bbox("_in_zone")
+        names = ("minx", "miny", "maxx", "maxy")
+        d = self._in_zone_crs(self.parsed, "_in_zone").select(
+            F.col("geometry").isNull().alias("bad"), (F.col("flood_predicted") == 1).alias("wet"),
+            *[own[n].alias(n) for n in names], *[there[n].alias(f"z{n}") for n in names])
+        extent = F.greatest(F.col("zmaxx") - F.col("zminx"), F.col("zmaxy") - F.col("zminy"))
+        rows = d.groupBy("bad", SP.power(extent).alias("k")).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("wet").alias("wet"),
+            *[(F.min if n.startswith("min") else F.max)(p + n).alias(p + n) for p in ("", "z") for n in names]).collect()
+        good = [r for r in rows if not r["bad"]]
+
+        def box(prefix):
+            known = [r for r in good if r[prefix + "minx"] is not None]
+            return tuple((min if n.startswith("min") else max)(r[prefix + n] for r in known) for n in names) if known else None
+        return Statistics(sum(r["n"] for r in good), sum(r["n"] for r in rows if r["bad"]), sum(r["wet"] for r in good),
+                          box(""), box("z"), tuple({r["k"] for r in good}))
+
     @cached_property
     def zones(self) -> DataFrame:
         """Zones of the study area: sources cut to the predictions' envelope, then the first source
-        that has any, then its listed codes (all its codes if none is listed)."""
+        that has any (later ones are not read), then its listed codes (all its codes if none is listed)."""
         if not self.sources:
             return None
-        bounds = self.total_bounds(self._in_zone_crs(self.gdf))
-        near = [Z.within_bounds(s, bounds) for s in self.sources]
+        near = [Z.within_box(s, self.statistics.zone_bounds) for s in self.sources]
         return Z.filter_zone_codes(Z.first_nonempty_source(near), self.s.zone_field, self.s.sfha_zones)
 
     def _in_zone_crs(self, df: DataFrame, out: str = "geometry") -> DataFrame:
-        """Predictions with their geometry in the zone layer's CRS (geographic -> Web Mercator only)."""
-        src, dst = self.s.initial_crs, self.s.zone_crs
-        if src == dst:
-            return df.withColumn(out, F.col("geometry"))
-        if (src, dst) == ("EPSG:4326", "EPSG:3857"):
-            return df.withColumn(out, G.to_web_mercator(F.col("geometry")))
-        raise ValueError(f"unsupported CRS pair {src} -> {dst}")
+        """Predictions with their geometry in the zone layer's CRS (geographic and Web Mercator, either way)."""
+        return df.withColumn(out, G.convert(F.col("geometry"), self.s.initial_crs, self.s.zone_crs))
 
-    @cached_property
+    @property
     def flooded(self) -> DataFrame:
         return self.gdf.where(F.col("flood_predicted") == 1)
 
@@ -85,14 +117,16 @@ class ZoneGap:
         z = self.zones.select(self.s.zone_field, F.col("geom"))
         left = self._in_zone_crs(self.flooded, "_in_zone")
         return SP.spatial_join(left, z, "left_anti", left_geom="_in_zone", right_geom="geom", cell_size=self.s.cell_size,
-                               broadcast_vertex_limit=self.s.broadcast_vertex_limit).drop("_in_zone")
+                               broadcast_vertex_limit=self.s.broadcast_vertex_limit,
+                               left_powers=self.statistics.powers).drop("_in_zone")
 
     def spatial_left(self) -> DataFrame:
         """Every valid prediction with each intersecting zone (NULL zone if none)."""
         z = self.zones.select("zone_id", self.s.zone_field, F.col("geom"))
         return SP.spatial_join(self._in_zone_crs(self.gdf, "_in_zone"), z, "left", left_geom="_in_zone",
                                right_geom="geom", cell_size=self.s.cell_size,
-                               broadcast_vertex_limit=self.s.broadcast_vertex_limit).drop("_in_zone")
+                               broadcast_vertex_limit=self.s.broadcast_vertex_limit,
+                               left_powers=self.statistics.powers).drop("_in_zone")
 
     def total_bounds(self, df: DataFrame | None = None) -> DataFrame:
         df = self.gdf if df is None else df
@@ -102,16 +136,15 @@ class ZoneGap:
             F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
 
     def report(self, with_date: bool = True) -> DataFrame:
-        """One row; a single aggregate over the predictions plus two scalar counts."""
-        bb = G.bbox("geometry")
-        base = self.gdf.select("flood_predicted", *[bb[k].alias(k) for k in ("minx", "miny", "maxx", "maxy")])
-        agg = base.agg(F.count(F.lit(1)).alias("total_areas_analyzed"),
-                       F.count_if(F.col("flood_predicted") == 1).alias("flood_predictions_count"),
-                       F.min("minx").alias("minx"), F.min("miny").alias("miny"),
-                       F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
+        """One row: counts and bounds from ``statistics``, and two counts over the selected zones and the anti-join."""
+        st, spark = self.statistics, self.raw.sparkSession
+        box = st.bounds or (None,) * 4
+        agg = spark.range(1).select(
+            F.lit(st.success).cast("long").alias("total_areas_analyzed"), F.lit(st.flooded).cast("long").alias("flood_predictions_count"),
+            *[F.lit(v).cast("double").alias(n) for n, v in zip(("minx", "miny", "maxx", "maxy"), box)])
         outside = self.outside.agg(F.count(F.lit(1)).alias("flooded_outside_fema_count"))
         if self.zones is None:
-            zones = agg.sparkSession.range(1).select(F.lit(0).cast("long").alias("fema_zones_count"))
+            zones = spark.range(1).select(F.lit(0).cast("long").alias("fema_zones_count"))
         else:
             zones = Z.dissolved_count(self.zones)
         pct = F.coalesce(F.bround(F.try_divide(F.col("flood_predictions_count"), F.col("total_areas_analyzed"))
@@ -130,8 +163,10 @@ class ZoneGap:
 
     def map_layers(self) -> DataFrame:
         """Study area, zones, flooded and outside features in EPSG:3857 with a layer tag."""
+        self.statistics  # from here on the predictions are a parsed table
+
         def layer(df, name, id_col, geom_col, crs=self.s.initial_crs):
-            g = F.col(geom_col) if crs == self.s.web_mercator_crs else G.to_web_mercator(F.col(geom_col))
+            g = G.convert(F.col(geom_col), crs, self.s.web_mercator_crs)
             bb = G.bbox("_g")
             return (df.select(F.col(id_col).cast("string").alias("feature_id"), g.alias("_g"))
                       .select(F.lit(name).alias("layer"), "feature_id", F.col("_g.type").alias("geom_type"),
@@ -186,9 +221,8 @@ def run_analysis(predictions: DataFrame, zone_sources: Sequence[DataFrame], out_
     validate(predictions)
     zg = ZoneGap(predictions, zone_sources, settings)
     # Parsing, zone selection and the anti-join each run once; everything below reads tables.
-    zg.parsed = cut_lineage(zg.parsed)
-    stats = zg.parse_stats().first()
-    if not stats["success"]:
+    stats = zg.statistics
+    if not stats.success:
         raise ValueError("no prediction has a usable geometry")
     if zg.zones is not None:
         zg.zones = cut_lineage(zg.zones)
@@ -200,5 +234,4 @@ def run_analysis(predictions: DataFrame, zone_sources: Sequence[DataFrame], out_
     zg.map_layers().write.mode("overwrite").parquet(f"{out_dir}/map_layers")
     report = zg.report()
     SK.write_report(report, f"{out_dir}/analysis_report")
-    parse_stats = {"success": int(stats["success"]), "failed": int(stats["failed"])}
-    return ZoneGapResult(report, parse_stats)
+    return ZoneGapResult(report, {"success": stats.success, "failed": stats.failed})

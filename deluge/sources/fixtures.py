@@ -153,3 +153,43 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         prob.alias("flood_probability"),
         F.when(prob >= 0.5, 1).otherwise(0).cast("int").alias("flood_predicted"),
         _geo_text(row, col, k).alias(".geo"))
+
+
+def skyline_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One zone of very many vertices: the area under a bar chart with a bar of width 1 per order line."""
+    from pyspark.sql import Window
+    bars = table(spark, sf_dir, "lineitem").select(
+        F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber")).alias("i"), F.col("l_quantity").alias("h"))
+    tops = F.expr("flatten(transform(bars, b -> array(array(double(b.i - 1), b.h), array(double(b.i), b.h))))")
+    one = bars.agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("bars"))
+    ground = lambda x: F.array(F.array(x, F.lit(0.0)))
+    ring = F.concat(ground(F.lit(0.0)), tops, ground(F.size("bars").cast("double")), ground(F.lit(0.0)))
+    return one.select(F.lit(1).cast("long").alias("zone_id"),
+                      F.struct(F.lit("Polygon").alias("type"), F.array(F.array(ring)).alias("parts")).alias("geom"))
+
+
+def skyline_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points (even keys) and squares of side 3 (odd keys) along the skyline, one per part."""
+    k = F.col("p_partkey")
+    x, y = k * 30.0 - 7.25, F.col("p_size").cast("double")
+    return table(spark, sf_dir, "part").select(k.alias("site_id"), F.when(
+        k % 2 == 0, G.point(x, y)).otherwise(G.rectangle(x, y, x + 3, y + 3)).alias("geometry"))
+
+
+def collection_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes with one time each, as a catalogue lists them: bands, mode and polarisations."""
+    k = F.col("o_orderkey")
+    names = F.when(k % 17 == 0, F.lit("B3,B4,B8,B11")).otherwise(F.lit("B3,B4,B8,B11,B12"))
+    return table(spark, sf_dir, "orders").select(
+        k.alias("scene_id"), F.col("o_orderdate").alias("ts"), F.split(names, ",").alias("band_names"),
+        F.when(F.col("o_orderstatus") == "O", "EW").otherwise("IW").alias("mode"),
+        F.split(F.when(k % 5 == 0, "HH").otherwise("VV,VH"), ",").alias("pols"))
+
+
+def collection_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of those scenes: optical bands and radar backscatter per scene and pixel."""
+    row, col = _row_col("l_partkey")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("scene_id"), row.alias("row"), col.alias("col"), (F.lit(-21) + F.col("l_quantity") * 0.25).alias("VV"),
+        (F.col("l_quantity") * 200).alias("B3"), ((F.col("l_orderkey") * 37 + F.col("l_linenumber") * 11) % 10000).cast("double").alias("B4"),
+        (F.col("l_discount") * 100000).alias("B8"), (F.col("l_tax") * 100000).alias("B11"), (F.col("l_extendedprice") / 60).alias("B12"))

@@ -46,7 +46,8 @@ def write_raster(df: DataFrame, path: str, tile: int = 256, max_pixels: float |
     Rows of a tile lie together in their file, so a reader of one tile skips the rest by row
     group statistics; the number of folders stays small (at 256 x 64 pixels a side about four
     thousand for 1e12 pixels).  ``max_pixels``, if given, refuses larger exports; the pixels
-    are then counted on a table already written, not on the plan.
+    are then counted on a table already written, not on the plan.  A file without rows carries the
+    schema, so an empty export can be read back, too.
     """
     if max_pixels is not None:
         df = cut_lineage(df)
@@ -58,6 +59,9 @@ def write_raster(df: DataFrame, path: str, tile: int = 256, max_pixels: float |
              .withColumn("block_col", F.floor(F.col("tile_col") / tiles_per_folder)))
     (tiled.repartition("tile_row", "tile_col").sortWithinPartitions("block_row", "block_col", "tile_row", "tile_col")
      .write.mode("overwrite").partitionBy("block_row", "block_col").parquet(path))
+    bare = tiled.drop("block_row", "block_col").schema
+    (tiled.sparkSession.createDataFrame([], bare).coalesce(1)
+     .write.mode("append").parquet(f"{path}/block_row=0/block_col=0"))
 
 
 def save_model(model: PipelineModel, path: str) -> None:
