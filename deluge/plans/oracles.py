@@ -388,10 +388,11 @@ def job_oracles() -> dict[str, str]:
     return q
 
 
-#: Type and bbox by p_partkey % 16 of the edge texts; all others are null.
+#: Type and bbox by p_partkey % 18 of the edge texts; all others are null.
 EDGE_BOXES = {0: ("Point", 1, 2, 1, 2), 1: ("MultiPoint", 0, 1, 3, 4), 2: ("LineString", 0, 0, 2, 5),
               3: ("MultiLineString", 0, 0, 6, 3), 4: ("Polygon", 0, 0, 4, 3), 5: ("MultiPolygon", 0, 0, 7, 8),
-              6: ("Polygon", 0, 0, 2, 2), 7: ("Point", 8, 9, 8, 9)}
+              6: ("Polygon", 0, 0, 2, 2), 7: ("Point", 8, 9, 8, 9), 14: ("GeometryCollection", "null", "null", "null", "null"),
+              16: ("GeometryCollection", 1, 2, 7, 8), 17: ("GeometryCollection", 1, 2, 7, 8)}
 
 
 def round2_oracles() -> dict[str, str]:
@@ -436,7 +437,7 @@ select (select count(*) from gdf) as total_areas_analyzed, (select count(*) from
        (select count(*) from outside) as flooded_outside_fema_count"""
     rows = ", ".join(f"({k}, '{t}', {a}::double, {b}::double, {c}::double, {d}::double)" for k, (t, a, b, c, d) in EDGE_BOXES.items())
     q["parse_geometry_edge"] = (f"select p_partkey as k, gtype, minx, miny, maxx, maxy from part left join "
-                                f"(values {rows}) t(m, gtype, minx, miny, maxx, maxy) on p_partkey % 16 = m")
+                                f"(values {rows}) t(m, gtype, minx, miny, maxx, maxy) on p_partkey % 18 = m")
     q["spatial_outlier"] = _zwith(
         'select g."system:index", z.zone_id from gdf g left join zsel z on g.minx <= z.zmaxx and g.maxx >= z.zminx '
         "and g.miny <= z.zmaxy and g.maxy >= z.zminy union all select 'all', zone_id from zsel")
@@ -485,7 +486,7 @@ STEPS = """steps as (
 def round3_oracles() -> dict[str, str]:
     """Large zones, dissolve, collections on disk, other grids."""
     q = {}
-    bars = "bars as (select row_number() over (order by l_orderkey, l_linenumber) as i, l_quantity as h from lineitem)"
+    bars = "bars as (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as i, l_quantity as h from lineitem)"
     sites = ("sites as (select p_partkey as site_id, p_partkey*30.0-7.25 as x0, p_size::double as y0, case when p_partkey%2=0 then 0 else 3 end as s from part)")
     hit = "exists (select 1 from bars where i between floor(x0) and ceil(x0 + s) + 1 and i - 1 <= x0 + s and i >= x0 and y0 <= h)"
     q["large_zone"] = f"WITH {bars}, {sites} select site_id from sites where {hit}"
@@ -499,8 +500,8 @@ def round3_oracles() -> dict[str, str]:
 named as (select row_number() over (order by x0, y0, x1, y1) as id, * from steps),
 follows as (select a.id, b.id as nxt from named a join named b on b.x0 = a.x1 and b.y0 = a.y1
   qualify row_number() over (partition by a.id order by (a.x1-a.x0)*(b.y1-b.y0)-(a.y1-a.y0)*(b.x1-b.x0) desc) = 1),
-walk as (select id, id as at from named union select w.id, f.nxt from walk w join follows f on f.id = w.at),
-ring as (select id, min(at) as ring from walk group by id)
+walk as (select id, id as cur from named union select w.id, f.nxt from walk w join follows f on f.id = w.cur),
+ring as (select id, min(cur) as ring from walk group by id)
 select sum(x0*y1-x1*y0)/2 as area, count(*)::double as length, min(x0) as minx, min(y0) as miny, max(x0) as maxx, max(y0) as maxy
 from named join ring using (id) group by ring"""
     flood = """reach as (select x, y, x as fx, y as fy from cells union

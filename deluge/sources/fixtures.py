@@ -105,7 +105,7 @@ def shifted_zones(spark: SparkSession, sf_dir: str, stretch: float = 1.0, shift:
         F.col("minx") * stretch + shift, F.col("miny"), F.col("maxx") * stretch + shift, F.col("maxy")).alias("geom"))
 
 
-#: Geometry texts by p_partkey % 16: every GeoJSON type, Python's printed forms, and broken ones.
+#: Geometry texts by p_partkey % 18: every GeoJSON type, Python's printed forms, and broken ones.
 EDGE_TEXTS = [
     '{"type":"Point","coordinates":[1,2]}', '{"type":"MultiPoint","coordinates":[[0,1],[3,4]]}',
     '{"type":"LineString","coordinates":[[0,0],[2,5]]}', '{"type":"MultiLineString","coordinates":[[[0,0],[1,1]],[[2,2],[6,3]]]}',
@@ -113,7 +113,9 @@ EDGE_TEXTS = [
     '{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[7,5],[7,8],[5,5]]]]}',
     "{'type': 'Polygon', 'coordinates': (((0, 0), (2, 0), (2, 2), (0, 0)),)}", "{'type': 'Point', 'coordinates': (8, 9)}",
     '{"type":"Polygon","coordinates":[[]]}', '{"type":"MultiPolygon","coordinates":[[]]}', '{"type":"Polygon","coordinates":[[[1]]]}',
-    '{"type":"Polygon","coordinates":[[[0,0],null,[1,1],[0,0]]]}', "{oops", "5", '{"type":"GeometryCollection","geometries":[]}', None]
+    '{"type":"Polygon","coordinates":[[[0,0],null,[1,1],[0,0]]]}', "{oops", "5", '{"type":"GeometryCollection","geometries":[]}', None,
+    '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]},{"type":"LineString","coordinates":[[5,5],[7,8]]}]}',
+    "{'type': 'GeometryCollection', 'geometries': ({'type': 'Point', 'coordinates': (1, 2)}, {'type': 'MultiPoint', 'coordinates': ((7, 8),)})}"]
 
 
 def edge_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +161,7 @@ def skyline_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One zone of very many vertices: the area under a bar chart with a bar of width 1 per order line."""
     from pyspark.sql import Window
     bars = table(spark, sf_dir, "lineitem").select(
-        F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber")).alias("i"), F.col("l_quantity").alias("h"))
+        F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("i"), F.col("l_quantity").alias("h"))
     tops = F.expr("flatten(transform(bars, b -> array(array(double(b.i - 1), b.h), array(double(b.i), b.h))))")
     one = bars.agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("bars"))
     ground = lambda x: F.array(F.array(x, F.lit(0.0)))
