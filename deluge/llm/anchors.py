@@ -6,11 +6,11 @@ anchor at the same place inside them, wherever they stand.  So an anchor that oc
 rules out every window it represents, and windows that are equal meet under one key.
 
 1. ``shared``: anchors that occur more than once (one shuffle of 16-byte rows, a fifth of the
-   words or a hundredth of the bytes), as a bitmap of fixed size.  The bitmap only saves
-   work: an anchor let through by chance finds no partner later.
+   words or a hundredth of the bytes), as a bitmap of at least eight bits per anchor, up to a largest
+   size.  The bitmap only saves work: an anchor let through by chance finds no partner later.
 2. ``snippets``: per text, the stretch covering all windows of each such anchor, keyed by the
-   anchor.  A *hot* anchor (a common phrase in ever different context) is keyed window by
-   window instead, so that no key gathers unboundedly many different snippets.
+   anchor.  Where asked for, a *hot* anchor (a common phrase in ever different context) is keyed
+   window by window instead, so that no key gathers unboundedly many different snippets.
 
 Equal texts are copies (one text id): they make no anchor shared, and a task that meets a
 copy again passes over it, so a large group of copies shrinks before any shuffle.
@@ -44,12 +44,14 @@ class Kind:
     unit: str
     window: int
     gram: int
-    #: The bitmap of shared anchors has 2^bits bits; 2^27 bits are 16 MB.
+    #: A bitmap made by hand has 2^bits bits; ``shared`` sizes its own.
     bits: int = 27
     #: An anchor is hot when it makes up more than 1/hot of all anchors, so there are at most ``hot``.
     hot: int = 20_000
 
 
+#: Smallest and largest bitmap: 2^20 to 2^29 bits (64 MB).
+LEAST_BITS, MOST_BITS = 20, 29
 #: Texts and snippets a task remembers, so as to hand a copy on only once.
 REMEMBER = 200_000
 
@@ -155,10 +157,10 @@ def anchor_rows(docs: DataFrame, kind: Kind) -> DataFrame:
     return docs.select("text").mapInArrow(run, "anchor long, tid long, place int")
 
 
-def shared(docs: DataFrame, kind: Kind, within: bool):
+def shared(docs: DataFrame, kind: Kind, within: bool, with_hot: bool = True):
     """Broadcast of (bitmap of anchors that occur more than once, sorted hot anchors).
 
-    ``within``: a repeat inside one text counts.  Positions decide it, so copies of one text
+    ``with_hot``: look for hot anchors, too (else there are none).  ``within``: a repeat inside one text counts.  Positions decide it, so copies of one text
     (same id, same places) count once.
     """
     spark = docs.sparkSession
@@ -166,16 +168,14 @@ def shared(docs: DataFrame, kind: Kind, within: bool):
         F.min("tid").alias("t0"), F.max("tid").alias("t1"),
         *([F.min("place").alias("p0"), F.max("place").alias("p1")] if within else []), F.count("*").alias("n"))
     several = (F.col("t0") < F.col("t1")) | ((F.col("p0") < F.col("p1")) if within else F.lit(False))
-    mask, chunk_bits = (1 << kind.bits) - 1, 16
+    found = cut(found.where(several).select("anchor", "n"))
+    total, known = found.agg(F.sum("n"), F.count("*")).first()
+    total = total or 0
+    bits = min(max(LEAST_BITS, (8 * known).bit_length()), MOST_BITS)
+    mask, chunk_bits = (1 << bits) - 1, 16
     slot = F.col("anchor").bitwiseAND(F.lit(mask))
-    # A row of the aggregate is 20 bytes; only slots of shared anchors go on to the bitmap.
-    found = found.where(several).select(F.shiftright(slot, chunk_bits).alias("chunk"),
-                                        slot.bitwiseAND(F.lit((1 << chunk_bits) - 1)).cast("int").alias("slot"),
-                                        "anchor", "n")
-    found = cut(found)
-    total = found.agg(F.sum("n")).first()[0] or 0
     hot = np.sort(np.array([r[0] for r in found.where(F.col("n") * F.lit(kind.hot) > F.lit(total))
-                            .where(F.col("n") > 1000).select("anchor").collect()], np.int64))
+                            .where(F.col("n") > 1000).select("anchor").collect()], np.int64)) if with_hot else np.empty(0, np.int64)
 
     def bitmaps(table: pa.Table) -> pa.Table:
         bits = np.zeros(1 << chunk_bits, bool)
@@ -183,7 +183,8 @@ def shared(docs: DataFrame, kind: Kind, within: bool):
         return pa.table({"chunk": table.column("chunk").slice(0, 1),
                          "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    slots = found.select("chunk", "slot").distinct()
+    slots = found.select(F.shiftright(slot, chunk_bits).alias("chunk"),
+                         slot.bitwiseAND(F.lit((1 << chunk_bits) - 1)).cast("int").alias("slot")).distinct()
     whole = bytearray((mask + 1) // 8)
     for r in slots.groupBy("chunk").applyInArrow(bitmaps, "chunk long, bits binary").toLocalIterator():
         at = r["chunk"] << (chunk_bits - 3)
@@ -199,7 +200,7 @@ def snippet_rows(kind: Kind, sent, raw: bytes):
     a, _, first, count = anchors(kind, h)
     if not len(a):
         return
-    slot = (a & np.uint64((1 << kind.bits) - 1)).astype(np.int64)
+    slot = (a & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
     ok = np.flatnonzero(bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
     keys = a.view(np.int64)[ok]
     is_hot = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys if len(hot) else np.zeros(len(ok), bool)

@@ -1,12 +1,16 @@
 """Suffix-array dedup: bytes covered by a ``window``-byte string that also starts elsewhere.
 
-Snippets of bytes around shared anchors (see ``anchors``) are dealt to shards by anchor, so
-equal windows fall into one shard.  A shard's text is its different snippets one after
-another; its suffix array is refined as Larsson and Sadakane do (only groups of equal ranks
-are sorted again, by the rank ``h`` places on, with ``h`` doubling), in NumPy.  Common
-prefixes of neighbours come from Kasai's recurrence, run for all snippets in lockstep.  Where
-one anchor's snippets fill more than one shard, the shards are merged by binary search: each
-window of one is looked up in the sorted windows of the others.
+Snippets of bytes around shared anchors (see ``anchors``) meet by anchor, so equal windows do.  A shard's text is
+different snippets one after another; its suffix array is refined as Larsson and Sadakane do
+(only groups of equal ranks are sorted again, by the rank ``h`` places on, with ``h``
+doubling), in NumPy.  Common prefixes of neighbours come from Kasai's recurrence, run for all
+snippets in lockstep.
+
+An anchor whose different snippets fit a shard goes into one shard with others.  A larger one (a common
+phrase in ever different context) is dealt over many shards by snippet, whatever the number of
+snippets, and these are merged: each shard cuts its sorted windows, one per class of equal ones, into ranges of their
+128-bit hashes, and per range one shard after another is looked up, by binary search, in the windows
+merged so far.  A shard and a range hold a bounded number of windows, so memory does not grow with an anchor.
 """
 
 from __future__ import annotations
@@ -116,31 +120,17 @@ class Shard:
         self.repeats[self.sa[equal]] = True
         self.repeats[self.sa[equal - 1]] = True
         self.repeats &= full
-        self.windows = self.sa[full[self.sa]]  # whole windows in sorted order
-
-    def find(self, other: "Shard", among: np.ndarray) -> None:
-        """Mark windows that also stand in ``other``, by binary search in its sorted windows."""
-        if not len(other.windows):
-            return
-        w = self.window
-        for p in among.tolist():
-            want = self.data[p:p + w]
-            lo, hi = 0, len(other.windows)
-            while lo < hi:
-                mid = (lo + hi) // 2
-                q = int(other.windows[mid])
-                if other.data[q:q + w] < want:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo < len(other.windows):
-                k = lo
-                while k < len(other.windows):  # all equal windows of the other shard repeat, too
-                    q = int(other.windows[k])
-                    if other.data[q:q + w] != want:
-                        break
-                    self.repeats[p] = other.repeats[q] = True
-                    k += 1
+        self.full, self.lcp = full, lcp
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first hash, second hash, place) of one window of every class of equal windows; the place of a window that
+        stands alone, -1 for a class of several, whose windows are marked already."""
+        windows = self.sa[self.full[self.sa]]  # whole windows in sorted order: equal ones are neighbours
+        head = np.flatnonzero(np.concatenate([[True], self.lcp[windows[1:]] < self.window])) if len(windows) else windows
+        alone = np.diff(np.append(head, len(windows))) == 1
+        at = windows[head]
+        first, second = (A.rolling(t[self.text], self.window) for t in _SUBSTITUTES)
+        return first[at], second[at], np.where(alone, at, -1)
 
     def spans(self) -> list[list[tuple[int, int]]]:
         """Per snippet its repeated stretches as (first byte, bytes)."""
@@ -153,47 +143,38 @@ class Shard:
         return out
 
 
+#: Windows of one range of hashes, for which so many are expected at most.
+RANGE = 500_000
+#: Two random substitutions of the bytes, for two independent hashes of a window.
+_SUBSTITUTES = np.random.default_rng(1).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def sort_shards(found: DataFrame, window: int, shard_bytes: int = SHARD) -> DataFrame:
-    """(key, digest, spans) for the different snippets of anchors that have two or more of them."""
+    """(key, digest, spans) for (key, digest, snippet) rows, of anchors whose different snippets fit a shard."""
     schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()),
                         ("spans", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))])
 
     def groups(rows):
-        """(key, [(digest, snippet)], more): an anchor's different snippets, in parts of a shard's size."""
-        key, part, size, done = None, [], 0, set()
+        """(key, [(digest, snippet)]): an anchor's different snippets."""
+        key, part, done = None, [], set()
         for k, digest, snippet in rows:
             if k != key:
                 if part:
-                    yield key, part, False
-                key, part, size, done = k, [], 0, set()
-            if digest in done:
-                continue
-            done.add(digest)
-            if size >= shard_bytes:
-                yield key, part, True
-                part, size = [], 0
-            part.append((digest, snippet))
-            size += len(snippet)
+                    yield key, part
+                key, part, done = k, [], set()
+            if digest not in done:
+                done.add(digest)
+                part.append((digest, snippet))
         if part:
-            yield key, part, False
+            yield key, part
 
     def result(held, shard):
         for (key, digest), spans in zip(held, shard.spans()):
             yield key, digest, [{"at": a, "n": n} for a, n in spans]
 
     def rows(batches):
-        held, snippets, size, split = [], [], 0, []
-        for key, part, more in groups(rows_of(batches, "key", "digest", "snippet")):
-            if more or split:  # one anchor over several shards
-                shard = Shard([s for _, s in part], window)
-                for _, earlier in split:
-                    shard.find(earlier, shard.windows)
-                split.append(([(key, d) for d, _ in part], shard))
-                if not more:
-                    for names, each in split:
-                        yield from result(names, each)
-                    split = []
-                continue
+        held, snippets, size = [], [], 0
+        for key, part in groups(rows_of(batches, "key", "digest", "snippet")):
             if len(part) < 2:
                 continue  # no other text has this anchor in another snippet
             held += [(key, d) for d, _ in part]
@@ -213,19 +194,164 @@ def sort_shards(found: DataFrame, window: int, shard_bytes: int = SHARD) -> Data
             .mapInArrow(run, "key long, digest long, spans array<struct<at:int,n:int>>"))
 
 
-def duplicate_spans(docs: DataFrame, window: int = 400, gram: int = 200) -> DataFrame:
+_SHARD_DDL = "shard long, range long, names binary, first binary, second binary, places binary, marks binary"
+
+
+def _cut_shards(window: int, shard_bytes: int, ranges: int):
+    """mapInArrow: snippets to shards; a row with range -1 (names, lengths and marks) and one per range of windows."""
+    schema = pa.schema([("shard", pa.int64()), ("range", pa.int64()), *((n, pa.binary()) for n in (
+        "names", "first", "second", "places", "marks"))])
+
+    def shard_rows(number, held, snippets):
+        shard = Shard(snippets, window)
+        names = np.array([(k, d, len(s)) for (k, d), s in zip(held, snippets)], np.int64)
+        yield number, -1, names.tobytes(), None, None, None, np.packbits(shard.repeats).tobytes()
+        first, second, place = shard.classes()
+        of = (first % np.uint64(ranges)).astype(np.int64)
+        order = np.lexsort((second, first, of))
+        first, second, place, of = first[order], second[order], place[order].astype(np.int32), of[order]
+        heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
+        for a, b in zip(heads.tolist(), np.append(heads[1:], len(of)).tolist()):
+            yield number, int(of[a]), None, first[a:b].tobytes(), second[a:b].tobytes(), place[a:b].tobytes(), None
+
+    def rows(batches):
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 32
+        held, snippets, size = [], [], 0
+        for key, digest, snippet in rows_of(batches, "key", "digest", "snippet"):
+            held.append((key, digest))
+            snippets.append(snippet)
+            size += len(snippet)
+            if size >= shard_bytes:
+                yield from shard_rows(number, held, snippets)
+                held, snippets, size, number = [], [], 0, number + 1
+        if snippets:
+            yield from shard_rows(number, held, snippets)
+
+    def run(batches):
+        yield from batches_of(rows(batches), schema, 16)
+
+    return run
+
+
+def _merge_range(batches):
+    """mapInArrow over windows by range and shard: (shard, -2, places) of windows that another shard has, too."""
+    schema = pa.schema([("shard", pa.int64()), ("range", pa.int64()), ("places", pa.binary())])
+
+    def hits_of(parts):
+        """Looks one sorted shard after another up among those merged so far."""
+        none = np.empty(0, np.uint64)
+        first, second, shard, place = none, none, np.empty(0, np.int64), np.empty(0, np.int32)
+        for number, f, s, p in parts:
+            low, high = np.searchsorted(first, f, "left"), np.searchsorted(first, f, "right")
+            mine, theirs = [], []
+            for k in np.flatnonzero(high > low).tolist():
+                for j in range(low[k], high[k]):  # equal first hashes: one, but by chance
+                    if second[j] == s[k]:
+                        mine.append(k)
+                        theirs.append(j)
+            if mine:
+                yield number, p[mine]
+                for other in np.unique(shard[theirs]).tolist():
+                    yield other, place[theirs][shard[theirs] == other]
+            new = np.ones(len(f), bool)
+            new[mine] = False  # a class already there stands for this one
+            place[theirs] = -1
+            at = low[new]
+            first, second = np.insert(first, at, f[new]), np.insert(second, at, s[new])
+            shard, place = np.insert(shard, at, number), np.insert(place, at, p[new])
+
+    def parts():
+        held, of = [], None
+        for number, r, f, s, p in rows_of(batches, "shard", "range", "first", "second", "places"):
+            if r != of:
+                if held:
+                    yield held
+                held, of = [], r
+            held.append((number, np.frombuffer(f, np.uint64), np.frombuffer(s, np.uint64), np.frombuffer(p, np.int32)))
+        if held:
+            yield held
+
+    def rows():
+        for held in parts():
+            found: dict[int, list] = {}
+            for number, places in hits_of(held):
+                found.setdefault(number, []).append(places[places >= 0])
+            for number, places in found.items():
+                yield number, -2, np.concatenate(places).tobytes()
+
+    yield from batches_of(rows(), schema, 64)
+
+
+def _spans_of_shards(window: int):
+    """mapInArrow over a shard's own row and its hits: (key, digest, spans)."""
+    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()),
+                        ("spans", pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))])
+
+    def result(names, marks):
+        start = 0
+        for key, digest, size in names.tolist():
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], marks[start:start + size].astype(np.int8), [0]])))
+            start += size
+            yield key, digest, [{"at": int(a), "n": int(b - a + window - 1)} for a, b in zip(edge[::2], edge[1::2])]
+
+    def rows(batches):
+        names = marks = None
+        for r, n, p, m in rows_of(batches, "range", "names", "places", "marks"):
+            if r == -1:  # sorted after the hits of the shard before, and before its own
+                if names is not None:
+                    yield from result(names, marks)
+                names = np.frombuffer(n, np.int64).reshape(-1, 3)
+                marks = np.unpackbits(np.frombuffer(m, np.uint8), count=int(names[:, 2].sum())).astype(bool)
+            else:
+                marks[np.frombuffer(p, np.int32)] = True
+        if names is not None:
+            yield from result(names, marks)
+
+    def run(batches):
+        yield from batches_of(rows(batches), schema)
+
+    return run
+
+
+def merge_shards(found: DataFrame, window: int, shard_bytes: int = SHARD) -> DataFrame:
+    """(key, digest, spans) for (key, digest, snippet) rows, each once, of any number per anchor."""
+    found = cut(found)
+    windows = found.agg(F.sum(F.length("snippet") - F.lit(window - 1))).first()[0] or 0
+    ranges = windows // RANGE + 1
+    shards = cut(found.repartition(F.col("digest")).mapInArrow(_cut_shards(window, shard_bytes, ranges), _SHARD_DDL))
+    hits = (shards.where(F.col("range") >= 0).select("shard", "range", "first", "second", "places")
+            .repartition("range").sortWithinPartitions("range", "shard")
+            .mapInArrow(_merge_range, "shard long, range long, places binary"))
+    own = shards.where("range = -1").select("shard", "range", "names", F.lit(None).cast("binary").alias("places"), "marks")
+    more = hits.select("shard", "range", F.lit(None).cast("binary").alias("names"), "places", F.lit(None).cast("binary").alias("marks"))
+    return (own.unionByName(more).repartition("shard").sortWithinPartitions("shard", F.desc("range"))
+            .mapInArrow(_spans_of_shards(window), "key long, digest long, spans array<struct<at:int,n:int>>"))
+
+
+def duplicate_spans(docs: DataFrame, window: int = 400, gram: int = 200, shard_bytes: int = SHARD) -> DataFrame:
     """(tid, copies, spans): every different text with its repeated byte spans.
 
     ``gram``, the bytes of an anchor, only decides what is looked at: the longer it is, the
     fewer passages shorter than ``window`` come as far as the shards.
     """
     kind = A.Kind("byte", window, min(gram, max(1, window // 2)))
-    found = cut(A.occurrences(docs, kind, A.shared(docs, kind, within=True)))
+    found = cut(A.occurrences(docs, kind, A.shared(docs, kind, within=True, with_hot=False)))
     # Equal snippets at two places repeat as a whole; copies of one text share their places.
-    places = found.groupBy("key", "digest").agg(
-        F.min("tid").alias("t0"), F.max("tid").alias("t1"), F.min("start").alias("s0"), F.max("start").alias("s1"))
+    places = cut(found.groupBy("key", "digest").agg(
+        F.min("tid").alias("t0"), F.max("tid").alias("t1"), F.min("start").alias("s0"), F.max("start").alias("s1"),
+        F.max("size").alias("size")))
     several = places.where("t0 < t1 or s0 < s1").select("key", "digest", F.lit(True).alias("several"))
-    sorted_ = sort_shards(found, window)
+    # Anchors whose different snippets exceed a shard are merged from many; each holds a shard's bytes, so they are few.
+    large = cut(places.groupBy("key").agg(F.count("*").alias("different"), F.sum("size").alias("bytes"))
+                .where((F.col("bytes") > shard_bytes) & (F.col("different") > 1)).select("key"))
+    texts = found.where(F.col("snippet").isNotNull()).select("key", "digest", "snippet")
+    if large.isEmpty():
+        sorted_ = sort_shards(texts, window, shard_bytes)
+    else:
+        once = texts.join(large, "key", "left_semi").groupBy("key", "digest").agg(F.first("snippet").alias("snippet"))
+        sorted_ = sort_shards(texts.join(large, "key", "left_anti"), window, shard_bytes).unionByName(
+            merge_shards(once, window, shard_bytes))
     verdict = cut(several.join(sorted_, ["key", "digest"], "full").where("several or size(spans) > 0"))
     whole = F.array(F.struct(F.lit(0).alias("at"), F.col("size").alias("n")))
     placed = found.select("key", "digest", "tid", "start", "size").join(verdict, ["key", "digest"]).select(

@@ -132,6 +132,26 @@ def test_one_anchor_over_several_shards(spark):
     assert small == large and any(r[2] for r in small)
 
 
+@pytest.mark.parametrize("shard_bytes", [150, 4000, 1 << 20])
+def test_a_phrase_in_many_contexts(spark, shard_bytes, monkeypatch):
+    """One phrase between ever different words, some contexts twice: large anchors are merged from many shards, equal
+    runs are one row, and every size of shards and ranges finds the same bytes."""
+    monkeypatch.setattr(suffix_dedup, "RANGE", 700)
+    rng = random.Random(14)
+    phrase = "".join(rng.choice("abcdefgh ") for _ in range(45))
+    ends = ["".join(rng.choice("xyz") for _ in range(30)) for _ in range(25)]
+    rows = [(k, rng.choice(ends) + phrase + rng.choice(ends)) for k in range(300)]
+    rows += [(1000 + k, "q" * k + phrase + ends[0] + phrase) for k in range(3)] + [(2000, None), (None, ends[1] + phrase)]
+    df = frame(spark, rows).select("doc_id", "text")
+    spans = {r.tid: r.spans for r in suffix_dedup.duplicate_spans(df, 60, 32, shard_bytes).collect()}
+    count = collections.Counter(t[j:j + 60] for _, t in rows for t in [t or ""] for j in range(len(t) - 59))
+    copies = collections.Counter(t or "" for _, t in rows)
+    for t in copies:
+        want = {j + i for j in range(len(t) - 59) if count[t[j:j + 60]] > copies[t] for i in range(60)}
+        got = {i for s in spans[A.text_id(t.encode())] or [] for i in range(s["at"], s["at"] + s["n"])}
+        assert got == want
+
+
 def _brute_components(fps, ids, budget):
     root = list(range(len(fps)))
 
@@ -218,3 +238,46 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{i: 100 for i in range(101, 141)}, **{i: 7 for i in range(300, 361)}}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def _brute_table(texts, window):
+    """(n_removed, n_spans, sha) per text by counting a 128-bit hash of every window of every text."""
+    rng = np.random.default_rng(77)
+    raws = [(t or "").encode() for t in texts]
+    hashes, base = [], [int(x) | 1 for x in rng.integers(1, 2 ** 62, 2)]
+    for raw in raws:
+        c = np.frombuffer(raw, np.uint8).astype(np.uint64)
+        n = len(c) - window + 1
+        pair = np.zeros((max(n, 0), 2), np.uint64)
+        for k in range(2):  # Horner over the window, all windows at once
+            h = np.zeros(max(n, 0), np.uint64)
+            for j in range(window if n > 0 else 0):
+                h = h * np.uint64(base[k]) + c[j:j + n] + np.uint64(7 + k)
+            pair[:, k] = h
+        hashes.append(pair)
+    flat = np.concatenate(hashes)
+    order = np.lexsort((flat[:, 1], flat[:, 0]))
+    same = (flat[order][1:] == flat[order][:-1]).all(1)
+    twice = np.zeros(len(flat), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    out, at = [], 0
+    for raw, pair in zip(raws, hashes):
+        mark, at = twice[at:at + len(pair)], at + len(pair)
+        gone = np.convolve(mark, np.ones(window, int))[:len(raw)] > 0 if len(pair) else np.zeros(len(raw), bool)
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        out.append((int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffix_dedup_on_a_whole_table(spark, monkeypatch):
+    """Every document of sf0.01, with shards so small that many anchors are merged from several."""
+    from deluge.llm.common import ship
+    ship(spark)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = table.collect()
+    want = {r.doc_id: w for r, w in zip(rows, _brute_table([r.text for r in rows], 400))}
+    plain = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(table).collect()}
+    assert plain == want
+    whole = suffix_dedup.duplicate_spans
+    monkeypatch.setattr(suffix_dedup, "duplicate_spans", lambda docs, window: whole(docs, window, shard_bytes=5_000))
+    assert {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(table).collect()} == want
