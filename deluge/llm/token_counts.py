@@ -71,8 +71,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, frequent: int = 200_000,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (doc_id, n_bytes, n_tokens) per input row.
 
-    Null and empty texts count 0.  Null ids are kept.  Rows that agree in id and text are
-    counted once and given back as often as they came; other columns are ignored.
+    Null and empty texts count 0.  Null ids are kept.  Rows that agree in id and text are rows of
+    their own, told apart by the task that read them and their number there; other columns are ignored.
     """
     docs = documents_of(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -82,12 +82,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, frequent: int = 200_000,
     hot = (words.where(F.col("freq") >= F.lit(least)).select("pretoken", "pieces").toPandas()
            .itertuples(index=False, name=None))
     sent = spark.sparkContext.broadcast((json_text, {p: int(n) for p, n in hot}))
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_bytes", pa.int64()),
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("copy", pa.int64()), ("n_bytes", pa.int64()),
                         ("known", pa.int64()), ("pretoken", pa.string()), ("freq", pa.int64())])
 
     def per_document(rows):
         import xxhash
+        from pyspark import TaskContext
         text_of, known = loaded(sent.value[0]), sent.value[1]
+        # Equal rows are interchangeable, so their numbers hold however a lost task is run again.
+        task, copies = TaskContext.get().partitionId() << 32, Counter()
         for doc_id, text in rows:
             raw, s, rare = (text or "").encode(), 0, []
             for p, n in Counter(text_of.of(text or "")).items():
@@ -99,18 +102,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, frequent: int = 200_000,
             digest = xxhash.xxh64_intdigest(raw) - (1 << 63)
             # A key with a space is no pre-token: the document's own row finds no partner
             # in the join, and the documents spread over its partitions.
-            yield doc_id, digest, len(raw), s, f" {digest}", 0
+            copy = task + copies[doc_id, digest]
+            copies[doc_id, digest] += 1
+            yield doc_id, digest, copy, len(raw), s, f" {digest} {copy}", 0
             for p, n in rare:
-                yield doc_id, digest, None, 0, p, n
+                yield doc_id, digest, copy, None, 0, p, n
 
     def run(batches):
         yield from batches_of(per_document(rows_of(batches, "doc_id", "text")), schema)
 
-    parts = docs.mapInArrow(run, "doc_id long, digest long, n_bytes long, known long, pretoken string, freq long")
+    parts = docs.mapInArrow(run, "doc_id long, digest long, copy long, n_bytes long, known long, pretoken string, freq long")
     rare_words = words.where(F.col("freq") < F.lit(least)).select("pretoken", "pieces")
     joined = parts.join(rare_words, "pretoken", "left")
-    per_doc = joined.groupBy("doc_id", "digest").agg(
-        F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("rows"),
-        F.sum(F.col("known") + F.coalesce(F.col("pieces") * F.col("freq"), F.lit(0))).alias("total"))
-    return (per_doc.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-            .select("doc_id", "n_bytes", (F.col("total") / F.col("rows")).cast("long").alias("n_tokens")))
+    return joined.groupBy("doc_id", "digest", "copy").agg(
+        F.max("n_bytes").alias("n_bytes"),
+        F.sum(F.col("known") + F.coalesce(F.col("pieces") * F.col("freq"), F.lit(0))).alias("n_tokens")).select(
+        "doc_id", "n_bytes", "n_tokens")
