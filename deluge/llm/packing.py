@@ -174,13 +174,15 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     A null or empty text is one piece holding ``end_id`` alone.  Repeated rows and null ids
     are packed like any other row; columns beyond the two are ignored.
     """
-    table = cut(pieces(documents_of(docs, id_col, text_col), tokenizer_path, capacity, end_id))
+    # Pieces are numbered as they are written, so that even equal rows can be spread.
+    table = cut(pieces(documents_of(docs, id_col, text_col), tokenizer_path, capacity, end_id)
+                .withColumn("_at", F.monotonically_increasing_id()))
     histogram = dict(table.groupBy("length").count().toPandas().itertuples(index=False, name=None))
     steps = plan({int(n): int(c) for n, c in histogram.items()}, capacity)
     sent = docs.sparkSession.sparkContext.broadcast(places(steps))
     spread = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranked = salted_rank(table.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(spread))),
-                         ["length"], ["doc_id", "piece", "ids_crc32"], "_salt", "_rank")
+    ranked = salted_rank(table.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(spread))),
+                         ["length"], ["_at"], "_salt", "_rank")
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                         ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
