@@ -95,6 +95,13 @@ def _flows(wish: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int,
     return out
 
 
+def _table(spark, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A few rows of longs (at most shards squared) as literals of the plan."""
+    literals = [F.struct(*[F.lit(int(v)).cast("long").alias(n) for n, v in zip(names, row)]) for row in rows]
+    some = F.array(*literals) if rows else F.array().cast(f"array<struct<{','.join(f'{n}:bigint' for n in names)}>>")
+    return spark.range(1).select(F.explode(some).alias("r")).select("r.*")
+
+
 def _weight(state: DataFrame) -> int:
     """Grows with the links that lie within a shard."""
     return int(state.agg(F.sum(F.col("n").cast("decimal(38,0)") * F.col("n"))).first()[0] or 0)
@@ -128,12 +135,12 @@ def propagate(state: DataFrame, capacity: list[int], rounds: int) -> DataFrame:
         every = {e: asked[False].get(e, 0) + asked[True].get(e, 0) for e in {**asked[False], **asked[True]}}
         flow = _flows(dict(sorted((every if loose else asked[False]).items())), free)
         got = wish if loose else wish.where(~F.col("late"))
-        moves = _granted(got, ["shard", "to"], spark.createDataFrame([(*e, n) for e, n in flow.items()], "shard long, to long, quota long"))
+        moves = _granted(got, ["shard", "to"], _table(spark, [(*e, n) for e, n in flow.items()], ["shard", "to", "quota"]))
         moves = moves.select("g", "shard", "to", "m")
         if not loose:  # larger parts as a whole into the room that is left
             for (i, j), n in flow.items():
                 free[j] -= n
-            room = spark.createDataFrame([(s, f) for s, f in enumerate(free) if f > 0], "to long, quota long")
+            room = _table(spark, [(s, f) for s, f in enumerate(free) if f > 0], ["to", "quota"])
             moves = moves.unionByName(_granted(wish.where("late"), ["to"], room).where("m = n").select("g", "shard", "to", "m"))
         moves = cut(moves)
         went = {(r.shard, r.to): int(r.m) for r in moves.groupBy("shard", "to").agg(F.sum("m").alias("m")).collect()}
@@ -176,12 +183,13 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 1000,
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.md5(text).alias("g"))
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("doc_id", "g"), F.lit(spread))
-    base = cut(base.withColumn("salt", salt).withColumn("all", F.lit(0)))
+    # Rows are numbered as they are written, so that even equal rows can be spread.
+    base = cut(base.withColumn("at", F.monotonically_increasing_id()).withColumn("all", F.lit(0)))
+    base = base.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(spread)))
     rows = base.count()
     capacity = [rows // shards + (s < rows % shards) for s in range(shards)]
 
-    dealt = salted_rank(base, ["all"], ["doc_id", "g"], "salt", "r")
+    dealt = salted_rank(base, ["all"], ["doc_id", "g", "at"], "salt", "r")
     counts = dealt.groupBy("g", F.pmod("r", F.lit(shards)).alias("shard")).agg(F.count("*").alias("n"))
     counts = cut(counts)
     linked = cut(counts.groupBy("g").agg(F.sum("n").alias("members")).where("members > 1"))
@@ -189,19 +197,24 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 1000,
 
     # Unlinked documents are one more "group" that fills each shard up to its capacity.
     left = [c - n for c, n in zip(capacity, _loads(state, shards))]
-    spark = docs.sparkSession
-    fill = spark.createDataFrame([("", s, n) for s, n in enumerate(left) if n > 0], "g string, shard long, n long")
-    parts = state.select("g", F.col("shard").cast("long").alias("shard"), "n").unionByName(fill)
+    parts = state.select("g", F.col("shard").cast("long").alias("shard"), "n")
     # Per group its shards in order with the ranks from which on they hold: at most one entry a shard.
     upto = F.sum("n").over(Window.partitionBy("g").orderBy("shard"))
     ranges = parts.select("g", F.struct(upto.alias("upto"), "shard").alias("part")).groupBy("g").agg(
         F.sort_array(F.collect_list("part")).alias("parts")).withColumnRenamed("g", "owner")
     owned = base.join(linked.select(F.col("g").alias("lg")), F.col("g") == F.col("lg"), "left").withColumn(
         "owner", F.coalesce("lg", F.lit(""))).drop("lg")
-    ranked = salted_rank(cut(owned), ["owner"], ["doc_id", "g"], "salt", "r")
-    placed = cut(ranked.join(ranges, "owner").select(
-        "doc_id", "size", "text_crc32", "salt",
-        F.expr("filter(parts, p -> r < p.upto)[0].shard").cast("int").alias("shard")))
-    return salted_rank(placed, ["shard"], ["doc_id", "text_crc32"], "salt", "slot").select(
+    ranked = cut(salted_rank(cut(owned), ["owner"], ["doc_id", "g", "at"], "salt", "r"))
+    own = "doc_id", "size", "text_crc32", "salt", "at"
+    grouped = ranked.where("owner != ''").join(ranges, "owner").select(
+        *own, F.expr("filter(parts, p -> r < p.upto)[0].shard").cast("int").alias("shard"))
+    # The unlinked rows, which may be most, need no join: the first shard whose room their number lies in.
+    alone, upto_ = F.lit(None).cast("int"), sum(left)
+    for shard, n in reversed(list(enumerate(left))):
+        if n > 0:
+            alone = F.when(F.col("r") < upto_, F.lit(shard)) if upto_ == sum(left) else F.when(F.col("r") < upto_, F.lit(shard)).otherwise(alone)
+            upto_ -= n
+    placed = cut(grouped.unionByName(ranked.where("owner = ''").select(*own, alone.alias("shard"))))
+    return salted_rank(placed, ["shard"], ["doc_id", "text_crc32", "at"], "salt", "slot").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
