@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deluge.llm.common import batches_of, rows_of
+from deluge.llm.common import batches_of
 from deluge.llm.pretokens import tokenizer_json
 
 # ---- fixed values: the template's control strings, in the order of their reserved ids ----
@@ -29,6 +29,8 @@ CONTROL = ("<s>", "[INST]", "[/INST]", "</s>")
 BEGIN, OPEN, CLOSE, END = range(4)
 #: A control string with any number of backslashes after its first character.
 _CONTROL = re.compile(r"<(\\*)(/?s>)|\[(\\*)(/?INST\])")
+#: Different roles remembered.
+REMEMBER = 10_000
 TURNS = "conv_id long, turn long, position int, token_start long, ids array<int>, loss array<boolean>"
 
 
@@ -54,6 +56,8 @@ class Codec:
         self.tok = Tokenizer.from_str(json_text)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.first = self.tok.get_vocab_size(with_added_tokens=True)
+        self.roles: dict[bytes, str] = {}
+        self.role_ids: dict[str, list[int]] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -61,11 +65,23 @@ class Codec:
     def decode(self, ids) -> str:
         return self.tok.decode(list(ids), skip_special_tokens=False)
 
-    def split(self, ids: list[int]) -> tuple[bool, str, str]:
-        """(begins a conversation, escaped role, escaped text) of one turn's ids."""
-        begins = ids[0] == self.first + BEGIN
-        close = ids.index(self.first + CLOSE)
-        return begins, self.decode(ids[begins + 1:close]), self.decode(ids[close + 1:-1])
+    def decode_many(self, ids: list[list[int]]) -> list[str]:
+        return self.tok.decode_batch(ids, skip_special_tokens=False)
+
+    def role(self, ids: np.ndarray) -> str:
+        """A decoded role; there are few different ones, so they are remembered."""
+        key = ids.tobytes()
+        if key not in self.roles:
+            if len(self.roles) >= REMEMBER:
+                self.roles.clear()
+            self.roles[key] = self.decode(ids.tolist())
+        return self.roles[key]
+
+    def split(self, ids: np.ndarray) -> tuple[bool, np.ndarray, int]:
+        """(begins a conversation, ids of the role, where its text begins) of one turn's ids; the text ends before the last."""
+        begins = bool(ids[0] == self.first + BEGIN)
+        close = int(np.argmax(ids == self.first + CLOSE))
+        return begins, ids[begins + 1:close], close + 1
 
 
 _CODECS: dict[int, Codec] = {}
@@ -89,6 +105,25 @@ def loss_mask(size: int, start: int, end: int, counts: bool) -> np.ndarray:
     return np.cumsum(edge)[:size].astype(bool)
 
 
+def _lists(column) -> list[np.ndarray]:
+    """The rows of an Arrow list column as arrays."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    stops = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    return np.split(flat, stops[:-1]) if len(stops) else []
+
+
+def _column(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """Arrays as the rows of an Arrow list column."""
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), kind))
+
+
+def _slices(batches, rows: int):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def format_turns(conversations: DataFrame, tokenizer_path: str, loss_role: str = "assistant") -> DataFrame:
     """One row per turn: (conv_id, turn, position, token_start, ids, loss).
 
@@ -111,27 +146,37 @@ def format_turns(conversations: DataFrame, tokenizer_path: str, loss_role: str =
     def encode(batches):
         codec = _codec(sent.value)
         open_, close, end = (codec.first + k for k in (OPEN, CLOSE, END))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                conv, turn, role, text = (col.to_pylist() for col in batch.slice(at, 512).columns)
-                roles = codec.encode([escape(r or "") for r in role])
-                texts = codec.encode([escape(t or "") for t in text])
-                yield from batches_of(((i, k, r == loss_role, [open_, *a, close, *b, end])
-                                       for i, k, r, a, b in zip(conv, turn, role, roles, texts)), pieces)
+        for batch in _slices(batches, 512):
+            conv, turn, role, text = batch.columns
+            roles = [escape(r or "") for r in role.to_pylist()]
+            new = list({r for r in roles if r not in codec.role_ids})
+            if len(codec.role_ids) + len(new) > REMEMBER:
+                codec.role_ids, new = {}, list(set(roles))
+            codec.role_ids.update(zip(new, codec.encode(new)))
+            texts = codec.encode([escape(t or "") for t in text.to_pylist()])
+            ids = [np.array([open_, *codec.role_ids[r], close, *b, end], np.int32) for r, b in zip(roles, texts)]
+            counts = pa.array([r == loss_role for r in role.to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([conv, turn, counts, _column(ids, pa.int32())], schema=pieces)
 
     def assemble(batches):
         codec = _codec(sent.value)
-
-        def rows():
-            now, position, start = object(), 0, 0
-            for conv, turn, counts, ids in rows_of(batches, "conv_id", "turn", "counts", "ids"):
-                if conv != now:
-                    now, position, start = conv, 0, 0
-                    ids = [codec.first + BEGIN, *ids]
-                mask = loss_mask(len(ids), ids.index(codec.first + CLOSE) + 1, len(ids) - 1, counts)
-                yield conv, turn, position, start, ids, mask.tolist()
-                position, start = position + 1, start + len(ids)
-        yield from batches_of(rows(), turns, 2_000)
+        now, position, start = object(), 0, 0
+        for batch in _slices(batches, 1_000):
+            conv, turn, counts = (batch.column(k).to_pylist() for k in range(3))
+            ids, masks, positions, starts = [], [], [], []
+            for c_, n, piece in zip(conv, counts, _lists(batch.column(3))):
+                if c_ != now:
+                    now, position, start = c_, 0, 0
+                    piece = np.concatenate([[np.int32(codec.first + BEGIN)], piece])
+                text = int(np.argmax(piece == codec.first + CLOSE)) + 1
+                ids.append(piece)
+                masks.append(loss_mask(len(piece), text, len(piece) - 1, n))
+                positions.append(position)
+                starts.append(start)
+                position, start = position + 1, start + len(piece)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(positions, pa.int32()), pa.array(starts, pa.int64()),
+                 _column(ids, pa.int32()), _column(masks, pa.bool_())], schema=turns)
 
     return (c.mapInArrow(encode, "conv_id long, turn long, counts boolean, ids array<int>")
             .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ids")
@@ -151,21 +196,30 @@ def digest(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
 
         def rows():
             now, held = object(), None
-            for conv, ids, loss in rows_of(batches, "conv_id", "ids", "loss"):
-                if conv != now:
-                    if held:
-                        yield finish(now, held)
-                    now, held = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                begins, role, text = codec.split(ids)
-                under = unescape(codec.decode([i for i, m in zip(ids, loss) if m]))
-                held[0] += 1
-                held[1].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
-                held[2] += len(under)
-                held[3].update(under.encode())
-                held[4] += len(role) + len(text) + sum(len(CONTROL[k]) for k in (OPEN, CLOSE, END)) \
-                    + begins * len(CONTROL[BEGIN])
-                held[5] += len(ids)
-                held[6] += sum(loss)
+            for batch in _slices(batches, 512):
+                ids_, loss_ = _lists(batch.column(1)), _lists(batch.column(2))
+                turns = [codec.split(ids) for ids in ids_]
+                texts = [ids[at:-1] for ids, (_, _, at) in zip(ids_, turns)]
+                read = codec.decode_many([t.tolist() for t in texts])
+                for conv, ids, loss, (begins, role, at), text in zip(batch.column(0).to_pylist(), ids_, loss_, turns, read):
+                    if conv != now:
+                        if held:
+                            yield finish(now, held)
+                        now, held = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
+                    role, plain, masked = codec.role(role), unescape(text), int(loss.sum())
+                    # What the mask covers is the text, nothing, or (a mask of another make) decoded for itself.
+                    if masked == len(ids) - 1 - at and loss[at:-1].all():
+                        under = plain
+                    else:
+                        under = unescape(codec.decode(ids[loss.astype(bool)].tolist())) if masked else ""
+                    held[0] += 1
+                    held[1].update(f"{unescape(role)}\n{plain}\n".encode())
+                    held[2] += len(under)
+                    held[3].update(under.encode())
+                    held[4] += len(role) + len(text) + sum(len(CONTROL[k]) for k in (OPEN, CLOSE, END)) \
+                        + begins * len(CONTROL[BEGIN])
+                    held[5] += len(ids)
+                    held[6] += masked
             if held:
                 yield finish(now, held)
 
@@ -174,5 +228,5 @@ def digest(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
 
         yield from batches_of(rows(), schema)
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
+    return formatted.select("conv_id", "ids", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
                                      "loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long")
