@@ -166,14 +166,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, label_col: str
     n = labelled.count()
     fine = 1 << 30
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(fine)) < F.lit(int(fine * min(1.0, 0.95 * rows / max(n, 1)))))
-    # The share leaves room for chance, so the limit only states the bound: at most ``rows``, so the broadcast and the collected features are, too.
-    picked = documents_of(docs).join(F.broadcast(sample.limit(rows)), "doc_id").limit(2 * rows)
+    # The share leaves room for chance, so the limits only state the bound: at most ``rows`` labels are broadcast,
+    # and at most twice as many rows of features, which are worked out where the texts lie, are collected.
+    picked = documents_of(docs).join(F.broadcast(sample.limit(rows)), "doc_id")
     schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def run(batches):
         yield from batches_of(((y, statistics(t)[1]) for t, y in rows_of(batches, "text", "y")), schema)
 
-    table = picked.select("text", "y").mapInArrow(run, "y int, x array<double>").toPandas()
+    table = picked.select("text", "y").mapInArrow(run, "y int, x array<double>").limit(2 * rows).toPandas()
     if not len(table):
         return None
     # Rows come in any order; sorted, the same sample always gives the same trees.
