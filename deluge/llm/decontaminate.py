@@ -6,7 +6,8 @@ leaves the hash as it is; the three masks together keep at least one hash alive
 choice of two substitutions in ``OVERLAP`` aligned tokens.  Hashes of benchmark and documents
 are joined, and every hit is verified on the tokens around it: an aligned stretch of
 ``OVERLAP`` tokens with at most ``substitutions`` differing.  A shorter item must occur
-whole and unchanged.
+whole: with at most one token changed from ``TOLERANT`` tokens on (a mask per ignored place), below
+that unchanged.
 
 The benchmark is the query set: it is taken in blocks of bounded size, and a bitmap of a
 block's hashes, sent to the tasks, lets only possible hits of the documents into the join.
@@ -26,7 +27,9 @@ from deluge.llm.common import batches_of, cut, rows_of
 MASKS = ("11101011001", "10011110101", "11010001111")
 SPAN, OVERLAP = 11, 13
 # ----------------------------------------------------------------------------------------------
-#: Items shorter than this many tokens are not searched: their words occur anywhere.
+#: Shortest items that are found with one token changed.
+TOLERANT = 5
+#: A filter passes over items of fewer tokens than this: their words occur anywhere in clean texts.
 LEAST = 5
 #: Seeds of one benchmark block, and the bits of its bitmap (2^27 bits: 16 MB).
 BLOCK, BITS = 1 << 20, 27
@@ -44,10 +47,17 @@ def tokens(text: str | None) -> np.ndarray:
 
 
 def masks_for(n_tokens: int) -> list[np.ndarray]:
-    """Places each mask looks at; an item shorter than ``OVERLAP`` is taken whole."""
+    """Places each mask looks at; an item shorter than ``OVERLAP`` is taken whole, or but for one place."""
     if n_tokens >= OVERLAP:
         return [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == ord("1")) for m in MASKS]
-    return [np.arange(n_tokens)] if n_tokens >= LEAST else []
+    if n_tokens < TOLERANT:
+        return [np.arange(n_tokens)] if n_tokens else []
+    return [np.delete(np.arange(n_tokens), k) for k in range(n_tokens)]
+
+
+def allowed(n_tokens: int, substitutions: int) -> int:
+    """Tokens that may differ in a verified stretch of an item of ``n_tokens``."""
+    return substitutions if n_tokens >= OVERLAP else min(substitutions, 1) if n_tokens >= TOLERANT else 0
 
 
 def seeds(h: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -119,7 +129,7 @@ def hits(docs: DataFrame, block: DataFrame) -> DataFrame:
 
     def rows(batches):
         bitmap, short = np.frombuffer(sent.value[0], np.uint8), sent.value[1]
-        masks = masks_for(OVERLAP) + [np.arange(n) for n in short]
+        masks = masks_for(OVERLAP) + [m for n in short for m in masks_for(n)]
         for doc_id, text in rows_of(batches, "doc_id", "text"):
             h = tokens(text)
             for mask in masks:
@@ -135,12 +145,13 @@ def hits(docs: DataFrame, block: DataFrame) -> DataFrame:
     return found.join(block, "hash")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, substitutions: int = 2) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, substitutions: int = 2, least: int = 1) -> DataFrame:
     """(doc_id, item_id, n_hits, agree, place): one row per document and benchmark item it holds.
 
     ``agree`` is the most equal tokens in a verified stretch, ``place`` the first verified
     place in the document, in tokens.  An item of fewer than ``OVERLAP`` tokens must occur
-    whole and unchanged, one of fewer than ``LEAST`` is not searched.  Null texts have no
+    whole, with at most one token changed, of fewer than ``TOLERANT`` unchanged; items of fewer
+    than ``least`` tokens are left out.  Null texts and texts without words have no
     tokens; null ids are reported as they are.  Rows of one id count as one document.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
@@ -152,11 +163,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, substitutions: int = 2)
                     batches, "doc_id", "item_id", "n", "width", "d_place", "d_context", "i_context"):
                 length = min(OVERLAP, n)
                 agree = agreement(d, i, length, width)
-                if agree >= length - (substitutions if n >= OVERLAP else 0):
+                if agree >= length - allowed(n, substitutions):
                     yield doc_id, item, place, agree
         yield from batches_of(rows(), schema)
 
-    table = cut(benchmark_seeds(benchmark))
+    table = cut(benchmark_seeds(benchmark).where(F.col("n") >= least))
     blocks = max(1, -(-table.count() // BLOCK))
     out = None
     for k in range(blocks):
@@ -169,9 +180,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, substitutions: int = 2)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, substitutions: int = 2) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; rows without an id are judged by their text."""
+    """The rows of ``docs`` that hold no benchmark item of ``LEAST`` tokens or more; rows without an id are judged by their text."""
     # Judged per text, so that rows sharing an id (or having none) are told apart.
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    bad = contaminated(docs.select(key.alias("doc_id"), docs["text"]), benchmark, substitutions)
+    bad = contaminated(docs.select(key.alias("doc_id"), docs["text"]), benchmark, substitutions, LEAST)
     bad = bad.select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, key == F.col("__bad"), "left_anti")

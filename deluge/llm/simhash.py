@@ -292,13 +292,14 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: the smallest id, then the smallest text hash.
 
     Rows are judged by id and text, so of two texts under one id each counts in its own component.
-    Rows without an id stay.
+    Rows without an id come last: they go where their component has an id, else one of them stays.
+    Of rows that agree in id and text one stays (which, if they differ elsewhere, is left open).
     """
-    from pyspark.sql import Window
-    first = found.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
     first = first.select(F.col("k.doc_id").alias("_keep"), F.col("k.text_key").alias("_keep_text")).distinct()
     keyed = docs.withColumn("_key", _text_key(docs["text"]))
-    kept = keyed.join(first, (docs["doc_id"] == F.col("_keep")) & (F.col("_key") == F.col("_keep_text")), "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("text"))
-    return (kept.withColumn("_number", number).where("_number = 1").drop("_number", "_key")
-            .unionByName(docs.where(F.col("doc_id").isNull())))
+    kept = keyed.join(first, docs["doc_id"].eqNullSafe(F.col("_keep")) & (F.col("_key") == F.col("_keep_text")), "left_semi")
+    # An aggregate, combined before its shuffle: any number of copies is one row per task.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.groupBy(F.col("doc_id").alias("_id"), "_key").agg(F.first(row).alias("_row"))
+    return one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -14,18 +14,18 @@ def _tokens(text):
             if w.strip(decontaminate.PUNCTUATION)]
 
 
-def _brute_leaks(docs, items, substitutions=2):
-    """All aligned stretches of all pairs that share four tokens in a row (13 tokens less 2 always do)."""
+def _brute_leaks(docs, items, substitutions=2, least=1):
+    """All aligned stretches of all pairs, those of long items that share four tokens in a row (13 tokens less 2 always do)."""
     out, grams = set(), lambda t: {tuple(t[k:k + 4]) for k in range(len(t) - 3)}
-    known = [(i, q, grams(q)) for i, item in items for q in [_tokens(item)] if len(q) >= decontaminate.LEAST]
+    known = [(i, q, grams(q)) for i, item in items for q in [_tokens(item)] if len(q) >= max(1, least)]
     for d, text in docs:
         t = _tokens(text)
         own = grams(t)
         for i, q, of_item in known:
-            if not own & of_item:
+            if len(q) >= decontaminate.OVERLAP and not own & of_item:
                 continue
             n = min(13, len(q))
-            allowed = substitutions if len(q) >= decontaminate.OVERLAP else 0
+            allowed = substitutions if len(q) >= decontaminate.OVERLAP else 1 if len(q) >= decontaminate.TOLERANT else 0
             if any(sum(x != y for x, y in zip(t[a:a + n], q[b:b + n])) <= allowed
                    for a in range(len(t) - n + 1) for b in range(len(q) - n + 1)):
                 out.add((d, i))
@@ -54,13 +54,15 @@ def test_decontamination(spark, docs, messy, empty):
     long_item = items[0][1]
     rows += [(100, "Start " + long_item.upper() + ", end."), (101, "a b " + changed(" ".join(long_item.split()[5:18]), [3, 7]) + " c"),
              (102, "a b " + changed(" ".join(long_item.split()[5:18]), [3, 5, 7]) + " c"), (103, items[4][1]), (104, items[5][1]),
-             (105, changed(items[2][1], [1])), (108, changed(items[1][1], [1, 8])), (106, items[6][1]), (107, " ".join(long_item.split()[:12])), (None, items[8][1])]
+             (105, changed(items[2][1], [1])), (109, "x " + changed(items[4][1], [0]) + " y"), (110, changed(items[4][1], [2, 5])),
+             (111, changed(items[3][1], [10])), (112, changed(items[6][1], [1])), (113, "a " + changed(items[5][1], [4])), (108, changed(items[1][1], [1, 8])), (106, items[6][1]), (107, " ".join(long_item.split()[:12])), (None, items[8][1])]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, hash string")
     bench = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id long, text string, context string, n int")
     got = decontaminate.contaminated(df, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == _brute_leaks(rows, items)
     clean = decontaminate.keep_clean(df, bench)
-    bad = {d for d, _ in _brute_leaks([(k, t) for k, (_, t) in enumerate(rows)], items)}
+    assert {(109, 4), (111, 3), (113, 5), (106, 6)} <= {(r.doc_id, r.item_id) for r in got}
+    bad = {d for d, _ in _brute_leaks([(k, t) for k, (_, t) in enumerate(rows)], items, least=decontaminate.LEAST)}
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(rows[k][0]) for k in range(len(rows)) if k not in bad)
     assert decontaminate.contaminated(empty, bench).collect() == []
     assert decontaminate.contaminated(df, bench.limit(0)).collect() == []
