@@ -99,6 +99,8 @@ class FloodSettings:
     # 'water' = radar water flag in samples (reference default), 'db' = raw backscatter.
     sample_vv: str = "water"
     tile_size: int = 256
+    # The static layers are a stored layer of so many buckets by pixel (sources/layers.py); None = a plain table.
+    buckets: int | None = None
     # Largest raster export; None = no limit (opt in, as an export quota).
     max_pixels: float | None = None
 

@@ -19,14 +19,16 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # The per-tile function is shipped by value (it needs only numpy and pandas), so Python
 # workers do not have to import this package: it works from --py-files, an installed
 # wheel, or neither.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def component_sizes(values: np.ndarray, present: np.ndarray) -> np.ndarray:
-    """Size of each cell's 4-connected equal-value component (0 where absent)."""
+def component_labels(values: np.ndarray, present: np.ndarray) -> np.ndarray:
+    """For each cell (flat) the smallest cell of its 4-connected equal-value component; absent cells are alone."""
     h, w = values.shape
     idx = np.arange(h * w).reshape(h, w)
     right = present[:, :-1] & present[:, 1:] & (values[:, :-1] == values[:, 1:])
@@ -46,7 +48,13 @@ def component_sizes(values: np.ndarray, present: np.ndarray) -> np.ndarray:
             if np.array_equal(nxt, parent):
                 break
             parent = nxt
-    flat_present = present.ravel()
+    return parent
+
+
+def component_sizes(values: np.ndarray, present: np.ndarray) -> np.ndarray:
+    """Size of each cell's 4-connected equal-value component (0 where absent)."""
+    h, w = values.shape
+    parent, flat_present = component_labels(values, present), present.ravel()
     sizes = np.bincount(parent[flat_present], minlength=h * w)
     out = np.where(flat_present, sizes[parent], 0)
     return out.reshape(h, w)
@@ -77,15 +85,80 @@ def _tile_counter(tile: int, halo: int, cap: int, value_col: str, payload: tuple
     return count
 
 
+#: Bits of a column number in a pixel's label; rows have the rest.
+_COLUMN_BITS = 31
+
+
+def _tile_labels(tile: int, value_col: str, payload: tuple):
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        rr, cc = pdf["row"].to_numpy(dtype=np.int64), pdf["col"].to_numpy(dtype=np.int64)
+        r0, c0 = int(pdf["_tr"].iloc[0]) * tile, int(pdf["_tc"].iloc[0]) * tile
+        at = (rr - r0) * tile + cc - c0
+        vals, present = np.zeros(tile * tile, np.int64), np.zeros(tile * tile, bool)
+        vals[at], present[at] = pdf[value_col].to_numpy(dtype=np.int64), True
+        low = component_labels(vals.reshape(tile, tile), present.reshape(tile, tile))[at]
+        sizes = np.bincount(low, minlength=tile * tile)
+        out = pd.DataFrame({
+            "row": rr.astype(np.int32), "col": cc.astype(np.int32), value_col: pdf[value_col].to_numpy().astype(np.int32),
+            "_label": ((low // tile + r0) << _COLUMN_BITS) + low % tile + c0, "_local": sizes[low].astype(np.int64)})
+        for p in payload:
+            out[p] = pdf[p].to_numpy()
+        return out
+    return label
+
+
+def connected_pixel_count_any(df: DataFrame, value_col: str, cap: int | None = None, tile: int = 256,
+                              payload: tuple = ()) -> DataFrame:
+    """(row, col, value, count, *payload) for a cap of any size, or none: no halo grows with it.
+
+    Tiles are labelled on their own.  Pixels at tile borders meet their neighbours across the
+    border by an equi-join on the position; the pairs of labels they yield form a graph whose
+    components (``graph.components``) merge the tiles' labels.  A component's size is the sum of its
+    parts' sizes, so a component over all tiles is as many rows as it has parts.
+    """
+    from .graph import components
+    src = df.where(F.col(value_col).isNotNull()).select(
+        F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
+        F.col(value_col).cast("int").alias(value_col), *payload)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in payload]
+    tiles = src.withColumns({"_tr": F.floor(F.col("row") / tile), "_tc": F.floor(F.col("col") / tile)})
+    labelled = cut_lineage(tiles.groupBy("_tr", "_tc").applyInPandas(
+        _tile_labels(tile, value_col, tuple(payload)),
+        schema=", ".join([f"row int, col int, `{value_col}` int, _label long, _local long", *fields])))
+
+    def last(c):
+        return F.pmod(F.col(c), F.lit(tile)) == tile - 1
+
+    def first(c):
+        return F.pmod(F.col(c), F.lit(tile)) == 0
+    links = None
+    for axis, other in (("row", "col"), ("col", "row")):
+        here = labelled.where(last(axis)).select((F.col(axis) + 1).alias(axis), other, value_col, F.col("_label").alias("a"))
+        there = labelled.where(first(axis)).select(axis, other, value_col, F.col("_label").alias("b"))
+        pairs = here.join(there, [axis, other, value_col]).select("a", "b")
+        links = pairs if links is None else links.unionByName(pairs)
+    roots = components(links.distinct())
+    parts = labelled.select("_label", "_local").distinct().join(
+        roots.withColumnRenamed("node", "_label"), "_label", "left").withColumn("root", F.coalesce("root", "_label"))
+    # Only labels that reach over a border need the join; all others know their size.
+    sizes = parts.groupBy("root").agg(F.sum("_local").alias("_size"))
+    merged = roots.join(sizes, "root").select(F.col("node").alias("_label"), "_size")
+    out = labelled.join(merged, "_label", "left").withColumn("count", F.coalesce("_size", "_local"))
+    count = F.col("count") if cap is None else F.least(F.col("count"), F.lit(cap).cast("long"))
+    return out.select("row", "col", value_col, count.alias("count"), *payload)
+
+
 def connected_pixel_count(df: DataFrame, value_col: str, cap: int, tile: int = 256,
                           payload: tuple = ()) -> DataFrame:
     """(row, col, value, count, *payload): count = min(cap, size of the pixel's
     equal-value 4-connected component).  ``payload`` columns ride along, so callers
     need no join back.  Masked (NULL) pixels belong to no component and are not returned.
+    A cap too large for a halo inside the tile goes through ``connected_pixel_count_any``.
     """
     halo = cap - 1
     if tile <= 2 * halo:
-        raise ValueError("tile must exceed 2*(cap-1)")
+        any_ = connected_pixel_count_any(df, value_col, cap, tile, payload)
+        return any_.withColumn("count", F.col("count").cast("int"))
     src = df.where(F.col(value_col).isNotNull()).select(
         F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"),
         F.col(value_col).cast("int").alias(value_col), *payload)

@@ -28,6 +28,7 @@ from ..operators import neighbourhood as N
 from ..operators import sampling as S
 from ..session import cut_lineage
 from ..sources import fixtures
+from ..sources import layers as LY
 
 PERIODS = ("pre", "post")
 
@@ -38,7 +39,7 @@ class FloodInputs:
     s2_scene: DataFrame    # scene_id, band_names
     s2_cloud: DataFrame    # scene_id, probability
     s1_obs: DataFrame      # row, col, ts, VV, mode, pols
-    px_static: DataFrame   # row, col, elevation, Map, seasonality
+    px_static: DataFrame   # row, col, elevation, Map, seasonality (a stored layer if settings.buckets is set)
 
 
 def fixture_inputs(spark: SparkSession, sf_dir: str) -> FloodInputs:
@@ -56,6 +57,8 @@ class FloodMap:
         self.inp = inputs
         self.s = settings
         self.materialize = materialize
+        # With stored layers (``settings.buckets``) every shuffle by pixel goes into as many parts.
+        self.by_pixel = ([settings.buckets] if settings.buckets else []) + ["row", "col"]
 
     @property
     def periods(self):
@@ -121,7 +124,7 @@ class FloodMap:
     def s2_by_pixel(self) -> DataFrame:
         # The one wide shuffle of stage 1: months, periods and the join with the pixel frame all
         # group by pixel.  A pixel has one observation per scene, so no key outgrows a task.
-        return self.s2_masked.repartition("row", "col")
+        return self.s2_masked.repartition(*self.by_pixel)
 
     @cached_property
     def monthly(self) -> DataFrame:
@@ -165,7 +168,8 @@ class FloodMap:
 
     @cached_property
     def sar(self) -> DataFrame:
-        return X.temporal_median(self.s1_filtered, "VV")
+        s1 = self.s1_filtered
+        return X.temporal_median(s1.repartition(*self.by_pixel) if self.s.buckets else s1, "VV")
 
     # ---- pixel stack ------------------------------------------------------------
     @cached_property
@@ -176,8 +180,8 @@ class FloodMap:
     def pixels(self) -> DataFrame:
         # Hash-partitioned by pixel: the joins with the per-pixel composites need this
         # distribution anyway, and everything downstream (indices, scoring) inherits the
-        # parallelism whatever the source file layout.
-        return self.static_layers.repartition("row", "col")
+        # parallelism whatever the source file layout.  A stored layer has it already.
+        return self.static_layers if self.s.buckets else self.static_layers.repartition("row", "col")
 
     @cached_property
     def stack(self) -> DataFrame:
@@ -216,7 +220,13 @@ class FloodMap:
             "flood_map": flood_map,
             "combined_flood": M.m_or(flood_map, F.col("s1_water")),
         })
-        return cut_lineage(out) if self.materialize else out
+        return self._kept(out)
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """``df`` written once when outputs share it: as a stored layer, or as a plain table."""
+        if not self.materialize:
+            return df
+        return LY.write_layer(df, self.s.buckets) if self.s.buckets else cut_lineage(df)
 
     # ---- cleaning -------------------------------------------------------------------
     @cached_property
@@ -224,7 +234,7 @@ class FloodMap:
         """(row, col, combined_flood, count, Map, seasonality) for valid pixels."""
         out = N.connected_pixel_count(self.change, "combined_flood", self.s.min_component,
                                       tile=self.s.tile_size, payload=("Map", "seasonality"))
-        return cut_lineage(out) if self.materialize else out
+        return self._kept(out)
 
     @cached_property
     def flood_final(self) -> DataFrame:
@@ -238,7 +248,8 @@ class FloodMap:
     @cached_property
     def slope(self) -> DataFrame:
         # Its own neighbour shuffle re-keys the rows, so it starts from the unpartitioned layer.
-        return N.slope_degrees(self.static_layers, "elevation", dx=self.s.scale, dy=self.s.scale, tile=self.s.tile_size)
+        out = N.slope_degrees(self.static_layers, "elevation", dx=self.s.scale, dy=self.s.scale, tile=self.s.tile_size)
+        return out.repartition(*self.by_pixel) if self.s.buckets else out
 
     # ---- ML inputs --------------------------------------------------------------------
     @cached_property

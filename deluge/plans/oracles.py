@@ -516,6 +516,22 @@ reach as (select FLD_ZONE, x, y, x as fx, y as fy from cells union select r.FLD_
   from reach r join cells c on c.FLD_ZONE = r.FLD_ZONE and abs(c.x-r.fx)+abs(c.y-r.fy) = 1),
 part as (select FLD_ZONE, x, y, min(fx*1000+fy) as p from reach group by all)
 select FLD_ZONE, count(distinct p) as polygons, count(*)::double as area from part group by FLD_ZONE"""
+    for name, like in (("stored_change_counts", "change_counts"), ("stored_predictor_stack", "predictor_stack"),
+                       ("stored_sample_sizes", "stratified_sample_sizes")):
+        q[name] = flood_oracles()[like]
+    q["zone_collection"] = _zwith("select FLD_ZONE, zminx as minx, zminy as miny, zmaxx as maxx, zmaxy as maxy from zones")
+    # The fit at i: over all a up to i the largest of the smallest means of a..b, b from i on.
+    q["isotonic_steps"] = """WITH g as (select c_acctbal as s, sum(case when c_mktsegment = 'BUILDING' then 1 else 0 end)::double as y, count(*)::double as w
+  from customer group by 1),
+p as (select row_number() over (order by s) as i, s, sum(y) over (order by s) as ys, sum(w) over (order by s) as ws, w, y from g),
+m as (select a.i as a, b.i as b, (b.ys - a.ys + a.y) / (b.ws - a.ws + a.w) as mean from p a join p b on b.i >= a.i),
+low as (select a, b as i, min(mean) over (partition by a order by b desc) as v from m),
+fit as (select i, round(max(v), 9) as value from low group by i)
+select min(s) as low, max(s) as high, value, sum(w) as weight from fit join p using (i) group by value"""
+    sizes = ("with recursive whole as (select r as r0, c as c0, v, r, c from cc_src union select w.r0, w.c0, w.v, n.r, n.c from whole w join cc_src n "
+             "on abs(n.r - w.r) + abs(n.c - w.c) = 1 and n.v = w.v) select r0, c0, v, count(*) as n from whole group by all")
+    for name, count in (("256", "cast(least(n, 256) as int)"), ("all", "n")):
+        q[f"connected_count_{name}"] = _with(f"select r0 as {R}, c0 as col, v as combined_flood, {count} as count from ({sizes})")
     px = (f"px as (select l_orderkey as scene_id, cast((l_partkey-1)%40 as int) as col, cast(floor((l_partkey-1)/40) as int) as {R}, o_orderdate as ts, "
           "o_orderstatus, l_quantity from lineitem join orders on l_orderkey = o_orderkey)")
     foot = f"foot as (select scene_id, min(col) as c0, max(col) as c1, min({R}) as r0, max({R}) as r1 from px group by scene_id)"

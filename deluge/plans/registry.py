@@ -6,16 +6,18 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import FIXTURE_SETTINGS, REQUIRED_BANDS, Grid, ModelSettings, ZoneSettings
 from ..functions import geometry as G
+from ..operators import calibration as CAL
 from ..operators import collection as C
 from ..operators import composite as X
 from ..operators import dissolve as D
 from ..operators import metrics as MT
 from ..operators import ml as ML
+from ..operators import neighbourhood as N
 from ..operators import regrid as RG
 from ..operators import spatial as SP
 from ..operators import zones as Z
@@ -24,6 +26,7 @@ from ..session import cut_lineage, output_root
 from ..sources import catalogue as CAT
 from ..sources import files as FI
 from ..sources import fixtures
+from ..sources import layers as LY
 from ..sources import sinks as SK
 from ..sources.tables import table
 from .flood_map import FloodMap, fixture_inputs
@@ -751,3 +754,63 @@ def q_regrid_area_mean(spark, sf):
 def q_regrid_bilinear(spark, sf):
     r = RG.bilinear(_layer(spark, sf), FINE, COARSE, ["elevation", "season"])
     return r.select("row", "col", F.round("elevation", 6).alias("elevation"), F.round("season", 6).alias("season"))
+
+
+# ---- components of any size --------------------------------------------------------------------------------------
+@query
+def q_connected_count_256(spark, sf):
+    """Component sizes capped at 256, on tiles of 16: far more than a halo inside the tile could hold."""
+    return N.connected_pixel_count(_fm(spark, sf).change, "combined_flood", 256, tile=16).select("row", "col", "combined_flood", "count")
+
+
+@query
+def q_connected_count_all(spark, sf):
+    """Whole component sizes."""
+    return N.connected_pixel_count_any(_fm(spark, sf).change, "combined_flood", tile=16)
+
+
+# ---- stored layers ---------------------------------------------------------------------------------------------------
+def _stored(spark, sf, materialize=False) -> FloodMap:
+    """The flood map over static layers stored in 12 buckets by pixel."""
+    inp = fixture_inputs(spark, sf)
+    return FloodMap(replace(inp, px_static=LY.write_layer(inp.px_static, 12)), replace(FIXTURE_SETTINGS, buckets=12), materialize)
+
+
+@query
+def q_stored_change_counts(spark, sf):
+    return _stored(spark, sf).change.groupBy("change", "combined_flood").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+@query
+def q_stored_predictor_stack(spark, sf):
+    p = _stored(spark, sf, True).predictors
+    return p.select("row", "col", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in
+                                    ("ndwi_post", "mndwi_post", "awei_post", "VV", "elevation", "slope", "Map", "jrc_seasonality")])
+
+
+@query
+def q_stored_sample_sizes(spark, sf):
+    return _stored(spark, sf, True).samples.groupBy("flood").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- one large document, isotonic steps --------------------------------------------------------------------------
+@query
+def q_zone_collection(spark, sf):
+    """Zones from one FeatureCollection document, read in parts."""
+    lines, path = _out(spark, "zone_lines"), _out(spark, "zone_collection")
+    SK.write_geojson(fixtures.zones(spark, sf).select("FLD_ZONE", "zone_id", F.col("geom").alias("geometry")), lines)
+    features = spark.read.text(lines).select(F.row_number().over(Window.orderBy("value")).alias("k"), "value")
+    text = F.when(F.col("k") > 1, F.concat(F.lit(","), F.col("value"))).otherwise(F.col("value"))
+    ends = spark.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (1 << 40, "]}")], "k long, value string")
+    (features.select(F.col("k").cast("long").alias("k"), text.alias("value")).unionByName(ends).coalesce(1).sortWithinPartitions("k")
+     .select("value").write.text(path))
+    back = FI.read_zone_features(spark, path, "FLD_ZONE", collection=True)
+    return back.select("FLD_ZONE", *_bbox_cols("geom"))
+
+
+@query
+def q_isotonic_steps(spark, sf):
+    """Isotonic fit of a yes/no over a score: value and weight of each step."""
+    c = table(spark, sf, "customer").select(F.col("c_acctbal").alias("score"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y"))
+    s = CAL.isotonic_steps(c, "score", "y", blocks=16)
+    return s.select("low", "high", F.round("value", 9).alias("value"), "weight")

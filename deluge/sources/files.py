@@ -9,8 +9,10 @@ from pyspark.sql.types import StructType
 
 from ..functions import geometry as G
 
-FEATURE_DDL = ("type string, properties map<string,string>, "
-               "geometry struct<type:string, coordinates:string>")
+FEATURE_DDL = "type string, properties map<string,string>, geometry string"
+#: How a feature begins when its type comes first.
+_BEGINS = r'^\s*"type"\s*:\s*"Feature"\s*,'
+_ANYWHERE = r'"type"\s*:\s*"Feature"'
 
 
 # Columns of the three tables that stages hand to each other as CSV.
@@ -26,24 +28,40 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return spark.read.schema(schema).csv(path, header=True, escape='"')
 
 
+def feature_mark(spark: SparkSession, path: str) -> str | None:
+    """The exact text with which every feature of the FeatureCollections at ``path`` begins, if it is one and the same.
+
+    Found by one scan in pieces between opening braces, which splits like any text.
+    """
+    pieces = spark.read.text(path, lineSep="{").select(
+        F.nullif(F.regexp_extract("value", _BEGINS, 0), F.lit("")).alias("mark"),
+        F.regexp_count("value", F.lit(_ANYWHERE)).alias("n"))
+    r = pieces.agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.count("mark").alias("marked"), F.sum("n").alias("n")).first()
+    return "{" + r.a if r.a is not None and r.a == r.b and r.marked == r.n else None
+
+
 def read_zone_features(spark: SparkSession, path: str, zone_field: str = "FLD_ZONE",
                        collection: bool = False) -> DataFrame:
     """Zone features -> (zone_id, <zone_field>, geom).
 
-    ``collection=True`` reads FeatureCollection documents (one file = one task);
-    otherwise one Feature per line, which splits across tasks at any size.
+    One Feature per line splits across tasks at any size.  ``collection=True`` reads FeatureCollection
+    documents: they are cut where features begin, so one large document is read by many tasks, too.  Only
+    where features begin in different ways (type not first, other white space) a document is
+    one task.  Features that cannot be parsed are dropped.
     """
-    if collection:
-        ddl = ("features array<struct<type:string, properties:map<string,string>, "
-               "geometry:struct<type:string, coordinates:string>>>")
+    mark = feature_mark(spark, path) if collection else None
+    if mark is not None:
+        # A record is what follows a mark: a feature and, ignored by the parser, the comma or end after it.
+        parts = spark.read.text(path, lineSep=mark).select(F.from_json(F.concat(F.lit(mark), F.col("value")), FEATURE_DDL).alias("f"))
+        feats = parts.where("f.type = 'Feature'").select("f.*")
+    elif collection:
+        ddl = f"features array<struct<{FEATURE_DDL.replace(' string', ':string').replace(' map', ':map')}>>"
         fc = spark.read.schema(ddl).json(path, multiLine=True)
         feats = fc.select(F.explode("features").alias("f")).select("f.*")
     else:
         feats = spark.read.schema(FEATURE_DDL).json(path)
-    text = F.concat(F.lit('{"type":"'), F.col("geometry.type"), F.lit('","coordinates":'),
-                    F.col("geometry.coordinates"), F.lit("}"))
-    base = feats.select(F.xxhash64(F.col("geometry.coordinates"), F.to_json(F.col("properties"))).alias("zone_id"),
-                        F.col("properties")[zone_field].alias(zone_field), text.alias("_text"))
+    base = feats.select(F.xxhash64(F.col("geometry"), F.to_json(F.col("properties"))).alias("zone_id"),
+                        F.col("properties")[zone_field].alias(zone_field), F.col("geometry").alias("_text"))
     return G.with_geometry(base, F.col("_text"), "geom").drop("_text")
 
 
