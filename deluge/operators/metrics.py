@@ -100,3 +100,12 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     w = Window.partitionBy()
     return counts.select("class", "n_c",
                          (F.sum("n_c").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_c"))).alias("weight"))
+
+
+def fold_aucs(scored: DataFrame, fold: str, folds, label: str, score: str) -> DataFrame:
+    """(fold, auc): the ROC AUC of every fold named and, as fold ``mean``, their mean."""
+    out = None
+    for f in folds:
+        one = roc_auc_frame(scored.where(F.col(fold) == f), label, score).select(F.lit(str(f)).alias("fold"), "auc")
+        out = one if out is None else out.unionByName(one)
+    return out.unionByName(out.agg(F.lit("mean").alias("fold"), F.avg("auc").alias("auc")))

@@ -8,7 +8,8 @@ codes unseen in training (or NULL) become all zeros, extra codes are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -84,6 +85,76 @@ def fit(df: DataFrame, ms: ModelSettings, codes: list[int] | None = None) -> Pip
     return build_pipeline(ms, codes).fit(data)
 
 
+#: Poisson(1): chances of at most 0, 1, 2 ... draws; beyond the last it is taken as one more.
+_POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9))
+
+
+def bootstrap(df: DataFrame, key: str, trees: int, seed: int) -> DataFrame:
+    """``df`` once per tree that draws the row, with ``tree`` and ``draws``.
+
+    How often a tree draws a row is a Poisson(1) number read off a hash of (key, tree, seed): what a
+    bootstrap of a large sample gives, without shuffling or counting rows, and the same on every run.
+    """
+    named = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    text = F.concat_ws(":", F.col(f"`{key}`").cast("string"), F.col("tree").cast("string"), F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(2.0 ** 32)
+    draws = sum((F.when(u >= F.lit(p), 1).otherwise(0) for p in _POISSON), F.lit(0))
+    return named.withColumn("draws", draws).where("draws > 0")
+
+
+def bootstrap_weights(drawn: DataFrame, label: str) -> DataFrame:
+    """(tree, class, n, weight): draws per tree and class, and the weight that balances the tree's classes."""
+    per = drawn.groupBy("tree", F.col(label).alias("class")).agg(F.sum("draws").cast("long").alias("n"))
+    whole = per.groupBy("tree").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"))
+    return per.join(whole, "tree").select("tree", "class", "n", (F.col("total") / (F.col("classes") * F.col("n"))).alias("weight"))
+
+
+@dataclass
+class SubsampledForest:
+    """Trees fitted one by one; a row's probability is the mean over the trees."""
+
+    trees: list[PipelineModel]
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Adds flood_probability (mean P(class 1)) and flood_predicted (0/1)."""
+        out = PipelineModel(self.trees[0].stages[:-1]).transform(df)  # the same features for all
+        names = []
+        for k, tree in enumerate(self.trees):
+            one = tree.stages[-1].copy()
+            one.setProbabilityCol(f"_v{k}").setRawPredictionCol("").setPredictionCol("")
+            out = one.transform(out)
+            names.append(vector_to_array(f"_v{k}")[1])
+        mean = sum(names, F.lit(0.0)) / len(names)
+        return out.select(*[F.col(f"`{c}`") for c in df.columns], mean.alias("flood_probability")).withColumn(
+            "flood_predicted", (F.col("flood_probability") > 0.5).cast("int"))
+
+
+def fit_balanced(df: DataFrame, ms: ModelSettings, key: str = "system:index", codes: list[int] | None = None,
+                 parallel: int = 4) -> SubsampledForest:
+    """A forest whose class weights are those of each tree's own bootstrap (``balanced_subsample``).
+
+    Every tree is a forest of one, fitted on its drawn rows with draws x class weight as row weight and the usual
+    random choice of features per node.  ``parallel`` trees are fitted at a time.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ..session import checkpoint_dir, cut_lineage
+    checkpoint_dir(df.sparkSession)
+    codes = fit_codes(df, ms.categorical, ms.max_codes) if codes is None else codes
+    drawn = cut_lineage(bootstrap(df, key, ms.trees, ms.seed))
+    weights = bootstrap_weights(drawn, ms.label).withColumnsRenamed({"tree": "_tree", "class": "_class", "weight": "_cw"}).drop("n")
+    data = drawn.join(F.broadcast(weights), (F.col("tree") == F.col("_tree")) & (F.col(ms.label) == F.col("_class")))  # trees x classes rows
+    data = cut_lineage(data.withColumn("_w", F.col("draws") * F.col("_cw")).withColumn("_y", F.col(ms.label).cast("double"))
+                       .drop("_tree", "_class", "_cw"))
+
+    def one(tree: int) -> PipelineModel:
+        pipeline = build_pipeline(replace(ms, trees=1, seed=ms.seed + tree), codes)
+        pipeline.getStages()[-1].setBootstrap(False)
+        return pipeline.fit(data.where(F.col("tree") == tree))
+    with ThreadPoolExecutor(parallel) as pool:
+        return SubsampledForest(list(pool.map(one, range(ms.trees))))
+
+
 def score(model: PipelineModel, df: DataFrame, calibrator=None) -> DataFrame:
     """Adds flood_probability (P(class 1)) and flood_predicted (0/1).
 

@@ -6,6 +6,7 @@ capped connected count and neighbour self-joins for slope.
 
 from __future__ import annotations
 
+import math
 from datetime import date
 
 from ..config import FIXTURE_SETTINGS as FS
@@ -528,6 +529,37 @@ m as (select a.i as a, b.i as b, (b.ys - a.ys + a.y) / (b.ws - a.ws + a.w) as me
 low as (select a, b as i, min(mean) over (partition by a order by b desc) as v from m),
 fit as (select i, round(max(v), 9) as value from low group by i)
 select min(s) as low, max(s) as high, value, sum(w) as weight from fit join p using (i) group by value"""
+    n_all = (f"select {R} || '_' || col as id, flood from ff join chg using ({R}, col) join sl using ({R}, col) "
+             "where flood is not null and ndwi_post is not null and mndwi_post is not null and awei_post is not null "
+             "and s1_water is not null and elevation is not null and slope is not null and Map is not null and seasonality is not null")
+    at_most = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+    draws = " + ".join(f"(u >= {p!r}::double)::int" for p in at_most)
+    q["bootstrap_weights"] = _with(
+        f"select tree, class, n, sum(n) over (partition by tree) / (count(*) over (partition by tree) * n) as weight from "
+        f"(select cast(tree as int) as tree, flood as class, sum({draws})::bigint as n from (select *, "
+        f"('0x' || substr(md5(id || ':' || tree || ':42'), 1, 8))::bigint / 4294967296.0::double as u from ({n_all}) cross join range(20) t(tree)) "
+        f"group by all having sum({draws}) > 0)")
+    test = f"select flood, cast(ceil(count(*) * 0.25) as bigint) as n from ({n_all}) group by flood"
+    q["balanced_forest"] = _with(f"select flood, n, true as valid, true as class_follows from ({test})")
+    day = FS.post_start.replace("-", "")
+    q["export_names"] = "select kind, name, true as written from (values " + ", ".join(
+        f"('{k}', '{n}_{day}')" for k, n in (("flood_mask", "flood_mask_final"), ("samples", "FloodSamples"), ("change_map", "changeMap"),
+                                             ("predictors", "predictors"))) + ") v(kind, name)"
+    q["outside_without_zones"] = _zwith('select "system:index", flood_probability from flooded')
+    q["prediction_summary_plain"] = (f"select rows_read, valid_geometries, parse_errors, null::bigint as flooded from "
+                                     f"({zone_oracles()['prediction_summary']})")
+    case = lambda name, where, taken, usable="count(gtype)": (
+        f"select '{name}' as input, count(*) as rows, {usable} as usable, {taken} as taken from parsed where {where}")
+    q["refused_inputs"] = _zwith(" union all ".join([
+        case("all", "true", "count(gtype) > 0"), case("without a geometry column", "true", "false", "0::bigint"),
+        case("without a flag", "true", "false"), case("no rows", "flood_probability > 2", "count(gtype) > 0"),
+        case("no usable text", "\".geo\" is null or length(\".geo\") < 8", "count(gtype) > 0")]))
+    q["fold_auc_mean"] = """with s as (select c_custkey % 5 as fold, c_acctbal as score, cast(c_mktsegment = 'BUILDING' as int) as y from customer),
+g as (select fold, score, sum(y) as pos, sum(1 - y) as neg from s group by all),
+c as (select fold, pos, neg, coalesce(sum(neg) over (partition by fold order by score rows between unbounded preceding and 1 preceding), 0) as below from g),
+a as (select cast(fold as varchar) as fold, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) as auc from c group by fold)
+select fold, round(auc, 10) as auc from a union all select 'mean', round(avg(auc), 10) from a"""
+    q["crs_codes"] = ("select s_suppkey as k, case when s_suppkey % 7 <> 0 then cast(s_suppkey as int) end as code from supplier")
     sizes = ("with recursive whole as (select r as r0, c as c0, v, r, c from cc_src union select w.r0, w.c0, w.v, n.r, n.c from whole w join cc_src n "
              "on abs(n.r - w.r) + abs(n.c - w.c) = 1 and n.v = w.v) select r0, c0, v, count(*) as n from whole group by all")
     for name, count in (("256", "cast(least(n, 256) as int)"), ("all", "n")):

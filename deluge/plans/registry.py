@@ -814,3 +814,86 @@ def q_isotonic_steps(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_acctbal").alias("score"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y"))
     s = CAL.isotonic_steps(c, "score", "y", blocks=16)
     return s.select("low", "high", F.round("value", 9).alias("value"), "weight")
+
+
+# ---- balanced subsamples -----------------------------------------------------------------------------------------------
+@query
+def q_bootstrap_weights(spark, sf):
+    """Draws per tree and class of the sample, and the class weights of each tree's bootstrap."""
+    samples = cut_lineage(_fm(spark, sf, True).samples)
+    return ML.bootstrap_weights(ML.bootstrap(samples, "system:index", 20, MS.seed), "flood")
+
+
+@query
+def q_balanced_forest(spark, sf):
+    """Test rows per class, scored by a forest with class weights per bootstrap."""
+    res = _trained(spark, sf)
+    scored = ML.fit_balanced(res.train, replace(MS, trees=8, max_depth=6), codes=res.codes).score(res.test)
+    return scored.groupBy("flood").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("flood_probability").between(0.0, 1.0)).alias("valid"),
+                                       F.min((F.col("flood_probability") > 0.5) == (F.col("flood_predicted") == 1)).alias("class_follows"))
+
+
+# ---- names, guards, optional columns -----------------------------------------------------------------------------------
+@query
+def q_export_names(spark, sf):
+    """Files of the four exports by name, with the start of the period in it, and how many there are of each."""
+    out = _out(spark, "named_exports")
+    paths = _fm(spark, sf, True).export(out)
+    files = None
+    for kind, path in sorted(paths.items()):
+        f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+            F.lit(kind).alias("kind"), F.element_at(F.split(F.split("path", out.rsplit("/", 1)[-1] + "/")[1], "/"), 1).alias("name"))
+        files = f if files is None else files.unionByName(f)
+    return files.groupBy("kind", "name").agg((F.count(F.lit(1)) > 0).alias("written"))
+
+
+@query
+def q_outside_without_zones(spark, sf):
+    """No zone source at all: every flooded prediction is outside."""
+    return ZoneGap(fixtures.predictions(spark, sf), []).outside.select("system:index", "flood_probability")
+
+
+@query
+def q_prediction_summary_plain(spark, sf):
+    """Summary of predictions that carry no flood flag."""
+    return prediction_summary(fixtures.predictions(spark, sf).drop("flood_predicted"))
+
+
+@query
+def q_refused_inputs(spark, sf):
+    """Inputs of the zone job by kind, their rows and rows with a geometry, and whether the job takes them."""
+    p = fixtures.predictions(spark, sf)
+    text = F.col("`.geo`")
+    cases = {"all": p, "without a geometry column": p.drop(".geo"), "without a flag": p.drop("flood_predicted"),
+             "no rows": p.where(F.col("flood_probability") > 2), "no usable text": p.where(text.isNull() | (F.length(text) < 8))}
+    out = []
+    for name, df in cases.items():
+        try:
+            run_analysis(df, [fixtures.zones(spark, sf)], _out(spark, "refused"), ZoneSettings())
+            taken = True
+        except ValueError:
+            taken = False
+        usable = G.with_geometry(df, text, "_g") if ".geo" in df.columns else df.withColumn("_g", F.lit(None))
+        out.append(usable.agg(F.lit(name).alias("input"), F.count(F.lit(1)).alias("rows"), F.count("_g").alias("usable"),
+                              F.lit(taken).alias("taken")))
+    union = out[0]
+    for o in out[1:]:
+        union = union.unionByName(o)
+    return union
+
+
+@query
+def q_crs_codes(spark, sf):
+    """Authority codes of CRS names, some of which have none."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 7 == 0, "WGS 84").when(k % 5 == 0, F.concat(F.lit("urn:ogc:def:crs:EPSG::"), k.cast("string"))).otherwise(
+        F.concat(F.lit("EPSG:"), k.cast("string")))
+    return table(spark, sf, "supplier").select(k.alias("k"), G.authority_code(name).alias("code"))
+
+
+@query
+def q_fold_auc_mean(spark, sf):
+    """ROC AUC of each of five folds of a scored table, and their mean."""
+    c = table(spark, sf, "customer").select((F.col("c_custkey") % 5).alias("fold"), F.col("c_acctbal").alias("score"),
+                                            (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y"))
+    return MT.fold_aucs(c, "fold", range(5), "y", "score").select("fold", F.round("auc", 10).alias("auc"))

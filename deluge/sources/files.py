@@ -60,9 +60,10 @@ def read_zone_features(spark: SparkSession, path: str, zone_field: str = "FLD_ZO
         feats = fc.select(F.explode("features").alias("f")).select("f.*")
     else:
         feats = spark.read.schema(FEATURE_DDL).json(path)
-    base = feats.select(F.xxhash64(F.col("geometry"), F.to_json(F.col("properties"))).alias("zone_id"),
-                        F.col("properties")[zone_field].alias(zone_field), F.col("geometry").alias("_text"))
-    return G.with_geometry(base, F.col("_text"), "geom").drop("_text")
+    parsed = G.with_geometry(feats.select("geometry", "properties"), F.col("geometry"), "geom")
+    # The id follows from what the feature says, not from how it is written.
+    return parsed.select(F.xxhash64("geom", F.to_json("properties")).alias("zone_id"),
+                         F.col("properties")[zone_field].alias(zone_field), "geom")
 
 
 def load_model(path: str) -> PipelineModel:
