@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from deluge.llm.common import cut
 
 #: Rows of a block, anchors of a chunk, and levels of one-bit codes.
-BLOCK, CHUNK, LEVELS = 4096, 256, 4
+BLOCK, CHUNK, LEVELS = 4096, 256, 5
 #: Bits that an anchor's rotated components are rounded to.
 PLANES = 8
 SEED = 20_240_607
@@ -107,26 +107,39 @@ class Query:
         return (2 * (step[q] * weighed + low[q] * ones) - total[q]) / self.root, error[q]
 
 
-def surviving(query: Query, index: tuple, q: np.ndarray, r: np.ndarray, least: np.ndarray, most: np.ndarray):
-    """Pairs (q, r) whose score may lie in [least, most] of their pair, level by level."""
+def _levels(query: Query, index: tuple, q: np.ndarray, r: np.ndarray):
+    """Level by level the pairs (q, r) left, their estimate and the room around it that certainly holds the score.
+
+    A caller narrows the pairs by sending back which of them go on.
+    """
     codes, aligned, lengths = index
-    done = np.zeros(len(q))
-    wide = np.zeros(len(q))
+    done, wide = np.zeros(len(q)), np.zeros(len(q))
     for level in range(aligned.shape[1]):
-        if not len(q):
-            break
         est, err = query.estimate(level, codes[level], q, r)
         a, left = aligned[r, level], lengths[r, level + 1]
-        done = done + a * est
-        wide = wide + np.abs(a) * err
+        done, wide = done + a * est, wide + np.abs(a) * err
         across = query.norm[q]
         if level == 0:  # the rest lies across c1, so only the part of q across c1 counts
             along = np.maximum(np.abs(est) - err, 0)
             across = np.sqrt(np.maximum(across * across - along * along, 0))
-        room = wide + across * left + SLACK * query.norm[q] * lengths[r, 0] + 1e-6
-        ok = (done + room >= least) & (done - room <= most)
-        q, r, done, wide, least, most = q[ok], r[ok], done[ok], wide[ok], least[ok], most[ok]
-    return q, r
+        ok = yield done, wide + across * left + SLACK * query.norm[q] * lengths[r, 0] + 1e-6
+        if ok is not None:
+            q, r, done, wide = q[ok], r[ok], done[ok], wide[ok]
+            if not len(q):
+                return
+
+
+def surviving(query: Query, index: tuple, q: np.ndarray, r: np.ndarray, least: np.ndarray, most: np.ndarray):
+    """Pairs (q, r) whose score may lie in [least, most] of their pair: each level drops what it can."""
+    levels = _levels(query, index, q, r)
+    try:
+        done, room = next(levels)
+        while True:
+            ok = (done + room >= least) & (done - room <= most)
+            q, r, least, most = q[ok], r[ok], least[ok], most[ok]
+            done, room = levels.send(ok)
+    except StopIteration:
+        return q, r
 
 
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -250,30 +263,23 @@ class Block:
         self.index = (codes, aligned, lengths)
 
 
-def _thresholds(query: Query, block: Block, q: np.ndarray, r: np.ndarray, k: int, n: int) -> np.ndarray:
-    """Per anchor a score that ``k`` of its pairs certainly reach (the first level's lower bounds)."""
-    codes, aligned, lengths = block.index
-    out = np.full(n, -np.inf)
-    if not len(q):
-        return out
-    est, err = query.estimate(0, codes[0], q, r)
-    a, left = aligned[r, 0], lengths[r, 1]
-    low = (a * est - np.abs(a) * err - query.norm[q] * left - SLACK * query.norm[q] * lengths[r, 0] - 1e-6)
-    order = np.lexsort((-low, q))
-    g = q[order]
-    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    sizes = np.diff(np.append(first, len(g)))
-    enough = sizes >= k
-    out[g[first[enough]]] = low[order][first[enough] + k - 1]
-    return out
-
-
 def _positives(block: Block, chunk: list[np.ndarray], query: Query, k: int):
-    """Rows (akey, vec_id, score): the best k + 1 of the anchor's label in this block (its own row may be one)."""
+    """Rows (akey, vec_id, score): the best k + 1 of the anchor's label in this block (its own row may be one).
+
+    The k + 1 rows of the best estimates are scored first; the least of their scores is what any other
+    row's interval has to reach.
+    """
     keys, _, _, labels, ints, *_ = chunk
     q, r = np.nonzero(labels[:, None] == block.labels[None, :])
-    least = _thresholds(query, block, q, r, k + 1, len(keys))
-    q, r = surviving(query, block.index, q, r, least[q], np.full(len(q), np.inf))
+    if len(q):
+        for done, room in _levels(query, block.index, q, r):
+            pass
+        first = _best(q, done, r, np.zeros(len(r), bool), k + 1)
+        value = scores(ints[q[first]], block.ints[r[first]].astype(np.int64))
+        least, count = np.full(len(keys), np.inf), np.bincount(q[first], minlength=len(keys))
+        np.minimum.at(least, q[first], value.astype(float))
+        ok = (done + room >= least[q]) | (count[q] <= k)
+        q, r = q[ok], r[ok]
     value = scores(ints[q], block.ints[r].astype(np.int64))
     best = _best(q, value, block.ids[r], block.unknown[r], k + 1)
     return keys[q[best]], np.zeros(len(best), np.int32), r[best], value[best]
