@@ -74,7 +74,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     path = tokenizer_path("byte_bpe_50k.json")
-    return digest(format_turns(turns, path), path)
+    return digest(format_turns(turns, path), path).drop("n_tokens", "loss_tokens")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +129,42 @@ QUERIES = {
 #: The others are not expressible in SQL over whole tables in reasonable time (tokenizers, fitted
 #: models, bit traversal, byte windows, periods, checksums); tests/llm hold each against brute force instead.
 ORACLES: dict[str, str] = {
+    "op5_substring_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\x0c\r]+'), lambda w: w <> '') AS w
+  FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) t(i) WHERE len(w) >= 13),
+first AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s),
+gone AS (SELECT DISTINCT r, p FROM win JOIN first USING (s), unnest(range(i, i + 13)) u(p) WHERE f < doc_id),
+words AS (SELECT r, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) t(p)),
+kept AS (
+  SELECT words.r, string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS k, count(gone.p) AS n
+  FROM words LEFT JOIN gone ON gone.r = words.r AND gone.p = words.p GROUP BY words.r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
+    "op8_suffix_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM d, unnest(range(0, n - 399)) t(i) WHERE n >= 400),
+starts AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS c FROM win) WHERE c > 1),
+edges AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM starts),
+spans AS (SELECT r, s, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS s FROM edges) GROUP BY r, s),
+pieces AS (
+  SELECT r, b AS a, coalesce(lead(a) OVER (PARTITION BY r ORDER BY a), 1000000000000) AS b FROM spans
+  UNION ALL SELECT r, 0, min(a) FROM spans GROUP BY r
+  UNION ALL SELECT r, 0, 1000000000000 FROM d WHERE r NOT IN (SELECT r FROM spans)),
+kept AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (least(b, n) - a)), '' ORDER BY a) AS k FROM pieces JOIN d USING (r) GROUP BY r),
+gone AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS removed, count(*) AS spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)""",
+    "op9_chat_formatting": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(17 + length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '<\\*/?s>|\[\\*/?INST\]'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""",
     "op11_hard_negatives": """
 WITH r AS (
   SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,

@@ -87,13 +87,17 @@ def test_scores_are_exact_or_refused():
         hard_negatives.scores(a * 4, a * 4)
 
 
-def test_hard_negatives_equal_their_sql(spark):
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+def test_queries_equal_their_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    con.execute(f"create view embeddings as select * from '{SF001}/embeddings.parquet'")
-    want = con.execute(Q.ORACLES["op11_hard_negatives"]).fetchall()
-    got = Q.op11_hard_negatives(spark, SF001).collect()
-    assert got and sorted(map(tuple, got)) == sorted(want)
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF001}/{t}.parquet'")
+    want = con.execute(Q.ORACLES[name]).df()
+    got = Q.QUERIES[name](spark, SF001).toPandas()
+    assert len(got) and sorted(got.columns) == sorted(want.columns)
+    rows = [sorted(map(tuple, f[sorted(want.columns)].itertuples(index=False))) for f in (got, want)]
+    assert rows[0] == rows[1]
 
 
 # --- periodic runs -------------------------------------------------------------------------------------------------
