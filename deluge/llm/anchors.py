@@ -6,7 +6,7 @@ anchor at the same place inside them, wherever they stand.  So an anchor that oc
 rules out every window it represents, and windows that are equal meet under one key.
 
 1. ``shared``: anchors that occur more than once (one shuffle of 16-byte rows, a fifth of the
-   words or a hundredth of the bytes), as a bitmap of at least eight bits per anchor, up to a largest
+   words or a hundredth of the bytes), as a bitmap of at least 32 bits per anchor, up to a largest
    size.  The bitmap only saves work: an anchor let through by chance finds no partner later.
 2. ``snippets``: per text, the stretch covering all windows of each such anchor, keyed by the
    anchor.  Where asked for, a *hot* anchor (a common phrase in ever different context) is keyed
@@ -171,7 +171,7 @@ def shared(docs: DataFrame, kind: Kind, within: bool, with_hot: bool = True):
     found = cut(found.where(several).select("anchor", "n"))
     total, known = found.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
-    bits = min(max(LEAST_BITS, (8 * known).bit_length()), MOST_BITS)
+    bits = min(max(LEAST_BITS, (32 * known).bit_length()), MOST_BITS)
     mask, chunk_bits = (1 << bits) - 1, 16
     slot = F.col("anchor").bitwiseAND(F.lit(mask))
     hot = np.sort(np.array([r[0] for r in found.where(F.col("n") * F.lit(kind.hot) > F.lit(total))

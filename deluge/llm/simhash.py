@@ -296,10 +296,16 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     Of rows that agree in id and text one stays (which, if they differ elsewhere, is left open).
     """
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k"))
-    first = first.select(F.col("k.doc_id").alias("_keep"), F.col("k.text_key").alias("_keep_text")).distinct()
+    first = cut(first.select(F.col("k.doc_id").alias("_keep"), F.col("k.text_key").alias("_keep_text")).distinct())
     keyed = docs.withColumn("_key", _text_key(docs["text"]))
-    kept = keyed.join(first, docs["doc_id"].eqNullSafe(F.col("_keep")) & (F.col("_key") == F.col("_keep_text")), "left_semi")
-    # An aggregate, combined before its shuffle: any number of copies is one row per task.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = kept.groupBy(F.col("doc_id").alias("_id"), "_key").agg(F.first(row).alias("_row"))
-    return one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+    def one(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.first(row).alias("_row")).select("_row")
+    # Joined and grouped by the same columns: one shuffle for both.
+    named = keyed.where("doc_id is not null").join(
+        first.where("_keep is not null"), (F.col("doc_id") == F.col("_keep")) & (F.col("_key") == F.col("_keep_text")), "left_semi")
+    nameless = keyed.where("doc_id is null").join(
+        first.where("_keep is null").select("_keep_text"), F.col("_key") == F.col("_keep_text"), "left_semi")
+    kept = one(named, ["doc_id", "_key"]).unionByName(one(nameless, ["_key"]))
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
