@@ -369,7 +369,7 @@ def job_oracles() -> dict[str, str]:
            "and awei_post is not null and s1_water is not null and elevation is not null and slope is not null "
            "and Map is not null and seasonality is not null group by flood")
     q["flood_exports"] = _with(
-        f"select (select count(*) from ff where flood is not null) as flood_mask, (select cast(sum(n_c) as bigint) from ({n_c})) as samples, "
+        f"select (select count(*) from ff where flood is not null) as flood_mask, (select cast(coalesce(sum(n_c), 0) as bigint) from ({n_c})) as samples, "
         "(select count(*) from chg) as change_map, (select count(*) from idx) as predictors")
     q["scene_save_first_outer"] = _with(
         f"select scene_id, {R}, col, strftime(ts, '%Y-%m-%d') as day, probability from s2j", outer=True)

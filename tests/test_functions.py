@@ -119,7 +119,7 @@ def test_auc_with_one_class_and_many_rows(spark):
 def test_malformed_geometry_is_null_and_never_raises(spark):
     texts = ['{"type":"Polygon","coordinates":[[]]}', '{"type":"MultiPolygon","coordinates":[[]]}',
              '{"type":"Polygon","coordinates":[[[1]]]}', '{"type":"Polygon","coordinates":[[[0,0],null,[1,1],[0,0]]]}',
-             '{"type":"Point","coordinates":[]}', '{"type":"LineString","coordinates":[[0,0]]}', '{"type":"GeometryCollection","geometries":[]}',
+             '{"type":"Point","coordinates":[]}', '{"type":"LineString","coordinates":[[0,0]]}', '{"type":"GeometryCollection"}',
              '{"type":"Polygon","coordinates":[]}', '{"type":"MultiPoint","coordinates":[]}', '{"type":"Polygon"}', "[1,2]"]
     good = ["{'type': 'Polygon', 'coordinates': (((0, 0), (2, 0), (2, 2), (0, 0)),)}", "{'type': 'Point', 'coordinates': (1.5, 2.0)}",
             '{"type":"MultiPoint","coordinates":[[0,0],[2,2]]}', '{"type":"MultiLineString","coordinates":[[[0,0],[2,2]],[[1,1],[2,0]]]}',
