@@ -114,7 +114,7 @@ class ZoneGap:
         """Flooded rows that intersect no selected zone (all flooded rows if no zones), in their own CRS."""
         if self.zones is None:
             return self.flooded
-        z = self.zones.select(self.s.zone_field, F.col("geom"))
+        z = self.zones.select("geom")
         left = self._in_zone_crs(self.flooded, "_in_zone")
         return SP.spatial_join(left, z, "left_anti", left_geom="_in_zone", right_geom="geom", cell_size=self.s.cell_size,
                                broadcast_vertex_limit=self.s.broadcast_vertex_limit,
@@ -122,7 +122,7 @@ class ZoneGap:
 
     def spatial_left(self) -> DataFrame:
         """Every valid prediction with each intersecting zone (NULL zone if none)."""
-        z = self.zones.select("zone_id", self.s.zone_field, F.col("geom"))
+        z = self.zones.select("zone_id", *[c for c in (self.s.zone_field,) if c in self.zones.columns], "geom")
         return SP.spatial_join(self._in_zone_crs(self.gdf, "_in_zone"), z, "left", left_geom="_in_zone",
                                right_geom="geom", cell_size=self.s.cell_size,
                                broadcast_vertex_limit=self.s.broadcast_vertex_limit,

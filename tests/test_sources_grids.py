@@ -160,3 +160,12 @@ def test_the_report_parses_once(spark):
     st = zg.statistics
     row = zg.report(with_date=False).first()
     assert (st.success, st.flooded, list(st.bounds)) == (row.total_areas_analyzed, row.flood_predictions_count, row.bbox)
+
+
+def test_a_source_without_the_zone_field_counts_whole(spark):
+    """No zone field: all zones are used, as where no code is listed."""
+    preds, z = fixtures.predictions(spark, SF001), fixtures.zones(spark, SF001)
+    bare = ZoneGap(preds, [z.where("zone_id < 0"), z.drop("FLD_ZONE")])
+    every = ZoneGap(preds, [z.withColumn("FLD_ZONE", F.lit("A"))])
+    assert sorted(r[0] for r in bare.outside.select("system:index").collect()) == sorted(r[0] for r in every.outside.select("system:index").collect())
+    assert "FLD_ZONE" not in bare.spatial_left().columns
