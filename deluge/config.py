@@ -45,7 +45,6 @@ EXTENT_BUFFER = 0.15
 FEATURES = ["ndwi_post", "mndwi_post", "awei_post", "VV",
             "elevation", "slope", "Map", "jrc_seasonality"]
 LABEL = "flood"
-BALTIMORE_AOI = (-77.3, 38.8, -76.0, 39.7)
 # Days in a month when the length of a period is turned into months.
 DAYS_PER_MONTH = 30.436875
 # Names of the four stage-1 outputs; the post-period start date follows.
@@ -81,7 +80,7 @@ class FloodSettings:
     scale: float = EXPORT_SCALE_M
     grid: Grid = field(default_factory=Grid)
     # [west, south, east, north] in the grid's units, for pixels, footprints and area alike;
-    # None = everything (BALTIMORE_AOI is the reference area, for a grid in degrees).
+    # None = everything.
     aoi: tuple | None = None
     ndwi_threshold: float = NDWI_THRESHOLD
     mndwi_threshold: float = MNDWI_THRESHOLD

@@ -11,17 +11,8 @@ from ..functions import geometry as G
 from ..session import cut_lineage
 
 
-def within_bounds(zones: DataFrame, bounds: DataFrame, geom: str = "geom") -> DataFrame:
-    """Zones whose bbox touches ``bounds`` (one row: minx, miny, maxx, maxy), as an envelope query returns them."""
-    bb = G.bbox(geom)
-    b = bounds.select(*[F.col(k).alias(f"_b_{k}") for k in ("minx", "miny", "maxx", "maxy")])
-    touch = ((bb["minx"] <= F.col("_b_maxx")) & (bb["maxx"] >= F.col("_b_minx"))
-             & (bb["miny"] <= F.col("_b_maxy")) & (bb["maxy"] >= F.col("_b_miny")))
-    return zones.join(F.broadcast(b), touch, "left_semi")  # the bounds are one aggregate row
-
-
 def within_box(zones: DataFrame, box: tuple | None, geom: str = "geom") -> DataFrame:
-    """Zones whose bbox touches ``box`` (minx, miny, maxx, maxy); none without a box."""
+    """Zones whose bbox touches ``box`` (minx, miny, maxx, maxy), as an envelope query returns them; none without a box."""
     if box is None:
         return zones.where(F.lit(False))
     bb = G.bbox(geom)
