@@ -127,7 +127,7 @@ QUERIES = {
 }
 
 #: The others are not expressible in SQL over whole tables in reasonable time (tokenizers, fitted
-#: models, bit traversal, byte windows, periods, checksums); tests/llm hold each against brute force instead.
+#: models, bit traversal, checksums); tests/llm hold each against brute force instead.
 ORACLES: dict[str, str] = {
     "op5_substring_dedup": r"""
 WITH d AS (
@@ -165,6 +165,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(3 + sum(17 + length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '<\\*/?s>|\[\\*/?INST\]'))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op12_periodic_runs": r"""
+WITH h AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\x0c\r]+'), lambda w: w <> '') AS w,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) AS h
+  FROM documents),
+a AS (SELECT r, doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM h),
+d AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i
+    ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM a),
+tok AS (SELECT r, i, w[i + 1] AS word FROM d, unnest(range(n)) t(i)),
+gram AS (SELECT r, n, i, array_to_string(w[i + 1:i + 16], ' ') AS s FROM d, unnest(range(n - 15)) t(i) WHERE n >= 24),
+cand AS (SELECT DISTINCT x.r, y.i - x.i AS q FROM gram x JOIN gram y ON x.r = y.r AND x.s = y.s AND y.i > x.i WHERE 3 * (y.i - x.i) <= x.n),
+same AS (SELECT c.r, c.q, x.i FROM cand c JOIN tok x ON x.r = c.r JOIN tok y ON y.r = c.r AND y.i = x.i + c.q AND y.word = x.word),
+run AS (
+  SELECT r, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same)
+  GROUP BY r, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (
+  SELECT * FROM run x WHERE NOT EXISTS (SELECT 1 FROM run y WHERE y.r = x.r AND y.q < x.q AND y.s <= x.s AND y.s + y.l >= x.s + x.l)),
+listed AS (SELECT r, count(*) AS m, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY r),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY l / q DESC, s, q) = 1),
+gone AS (SELECT DISTINCT r, i FROM runs, unnest(range(s + q, s + l)) t(i)),
+kept AS (SELECT tok.r, string_agg(word, ' ' ORDER BY tok.i) AS k FROM tok ANTI JOIN gone ON gone.r = tok.r AND gone.i = tok.i GROUP BY tok.r)
+SELECT doc_id, coalesce(m, 0) AS n_runs, s AS start, CAST(l AS BIGINT) AS length, q AS period, CAST(l * 1000 // q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(t, '')) AS runs_sha256, sha256(coalesce(k, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)""",
     "op11_hard_negatives": """
 WITH r AS (
   SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
