@@ -23,6 +23,22 @@ def test_pretokens_give_the_librarys_ids(tokenizer):
         assert [i for p in cut.of(text) for i in cut.pieces(p)] == _ids(tok, text), repr(text)
 
 
+def test_another_tokenizer_is_cut_its_own_way_or_refused(tokenizer):
+    """Digits kept together: the expression is not used, counts stay the library's.  Pieces across words: refused."""
+    import public_tokenizers
+    import pytest
+    from tokenizers import Tokenizer
+    text = tokenizer_json(tokenizer[0])
+    other = text.replace("|[\\\\p{N}]|", "|[\\\\p{N}]+|")
+    assert other != text
+    cut, tok = PreTokens(other), Tokenizer.from_str(other)
+    assert not cut._fast and PreTokens(text)._fast
+    for t in ("in 1984 it's 12,345.67", "x1y22z333 <|endoftext|> 'S", ""):
+        assert [i for p in cut.of(t) for i in cut.pieces(p)] == _ids(tok, t)
+    with pytest.raises(ValueError, match="across words"):
+        PreTokens(tokenizer_json(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def test_token_counts(docs, messy, empty, tokenizer):
     path, tok = tokenizer
     want = sorted((str(i), len((t or "").encode()), len(_ids(tok, t))) for i, t in messy)
