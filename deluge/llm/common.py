@@ -43,10 +43,34 @@ def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names))
 
 
+_GIVEN = [0.0]
+
+
+def give_back(every: float = 2.0) -> None:
+    """Hand freed memory back to the system, at most once in ``every`` seconds.
+
+    Python workers outlive their tasks, and several of them wait beside each executor.
+    """
+    import ctypes
+    import gc
+    import time
+    if time.monotonic() - _GIVEN[0] < every:
+        return
+    _GIVEN[0] = time.monotonic()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to do
+
+
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most ``size`` rows from an iterator of tuples."""
     while chunk := list(itertools.islice(rows, size)):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*chunk), schema)], schema=schema)
+        del chunk
+    give_back()
 
 
 def map_rows(df: DataFrame, func: Callable[[Iterator[tuple]], Iterator[tuple]], columns: list[str],
