@@ -5,7 +5,8 @@ Layout below one folder:
 * ``scenes``  one row per scene: id, time, footprint, and what the collection's kind adds (bands, cloud
   probability, mode, polarisations), with the partition (``month``, ``tile``) its observations lie in;
 * ``obs``     one row per scene and pixel, in folders ``month=yyyy-MM/tile=<x>_<y>``; the tile is the square of
-  ``tile_size`` units that holds the centre of the scene's footprint.
+  ``tile_size`` units that holds the centre of the scene's footprint.  Where that makes more than ``FOLDERS``
+  folders, squares are twice as wide, and so on: a folder then grows with the collection, not their number.
 
 Filters on time, footprint and properties are answered by the catalogue.  The scenes that pass are joined
 with the observations on (month, tile, scene_id): their partitions become a dynamic filter of
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import collection as C
+from ..session import cut_lineage
 
 _SCENE = "scene_id long, ts timestamp_ntz, minx double, miny double, maxx double, maxy double"
 _PLACE = "month string, tile string"
@@ -35,6 +37,16 @@ KINDS = {
 }
 #: Scenes (three narrow columns each, some 50 bytes) that are still broadcast to the scan.
 SCENES_BROADCAST = 1_000_000
+#: Folders of observations aimed at, at most; tiles widen up to 2^LEVELS times for that.
+FOLDERS, LEVELS = 1024, 40
+
+
+def _widening(placed: DataFrame) -> int:
+    """Doublings of the tiles (``month``, ``_tx``, ``_ty``) after which there are at most ``FOLDERS`` folders, about."""
+    levels = range(LEVELS + 1)
+    folder = lambda k: F.xxhash64("month", F.shiftright("_tx", k), F.shiftright("_ty", k))
+    n = placed.agg(*[F.approx_count_distinct(folder(k)).alias(str(k)) for k in levels]).first()
+    return next((k for k in levels if n[k] <= FOLDERS), LEVELS)
 
 
 def write_collection(scenes: DataFrame, obs: DataFrame, path: str, kind: str, tile_size: float) -> None:
@@ -49,8 +61,10 @@ def write_collection(scenes: DataFrame, obs: DataFrame, path: str, kind: str, ti
             F.min("col").cast("double").alias("minx"), F.min("row").cast("double").alias("miny"),
             F.max("col").cast("double").alias("maxx"), F.max("row").cast("double").alias("maxy"))
         scenes = scenes.join(boxes, "scene_id")
-    centre = [F.floor((F.col(a) + F.col(b)) / 2 / tile_size).cast("string") for a, b in (("minx", "maxx"), ("miny", "maxy"))]
-    scenes = scenes.withColumn("month", F.date_format("ts", "yyyy-MM")).withColumn("tile", F.concat_ws("_", *centre))
+    centre = [F.floor((F.col(a) + F.col(b)) / 2 / tile_size).alias(c) for a, b, c in (("minx", "maxx", "_tx"), ("miny", "maxy", "_ty"))]
+    scenes = cut_lineage(scenes.select("*", F.date_format("ts", "yyyy-MM").alias("month"), *centre))
+    k = _widening(scenes)
+    scenes = scenes.withColumn("tile", F.concat_ws("_", *[F.shiftright(c, k).cast("string") for c in ("_tx", "_ty")]))
     schemas = [SparkSession.active().createDataFrame([], ddl).schema for ddl in KINDS[kind]]
     shaped = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas[0]]
     scenes.select(*shaped).write.mode("overwrite").parquet(f"{path}/scenes")

@@ -52,6 +52,19 @@ def test_a_collection_without_scenes(spark, optical, monkeypatch):
     assert CAT.open_collection(spark, optical, "optical").observations().count() == fixtures.collection_pixels(spark, SF001).count()
 
 
+def test_folders_stay_few_where_scenes_spread(spark, tmp_path, monkeypatch):
+    """Scenes of one month, far apart: tiles widen until the folders are few, and no row is lost."""
+    monkeypatch.setattr(CAT, "FOLDERS", 20)
+    obs = spark.range(900).select(F.col("id").alias("scene_id"), (F.col("id") % 30 * 100 - 1500).cast("int").alias("row"),
+                                  (F.floor(F.col("id") / 30) * 100).cast("int").alias("col"), *[F.lit(1.0).alias(b) for b in ("B3", "B4", "B8", "B11", "B12")])
+    scenes = obs.select("scene_id", F.expr("timestamp_ntz'1996-02-03'").alias("ts"), F.array(F.lit("B3")).alias("band_names"))
+    CAT.write_collection(scenes, obs, str(tmp_path), "optical", 10.0)
+    assert 1 < len(list(tmp_path.glob("obs/month=*/tile=*"))) <= 25
+    c = CAT.open_collection(spark, str(tmp_path), "optical")
+    assert c.observations().count() == 900
+    assert {r.scene_id for r in c.filter_bounds((0, -1500, 100, -1400)).observations().collect()} == {0, 1, 30, 31}
+
+
 # --- grids -----------------------------------------------------------------------------------------------------------
 
 
