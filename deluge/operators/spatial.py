@@ -44,6 +44,10 @@ MAX_LEVEL = 60
 CLIP_EDGES = 48
 #: Edges that the cover of a zone hands on at a time.
 OUT_EDGES = 100_000
+#: Zones given edge by edge: a left geometry takes up to 2^FINER + 1 columns, rather than edges more grids.
+FINER = 4
+#: Edges of one extent that are broadcast: few wide ones would bring all left rows together in their columns.
+FEW_EDGES = 2_000
 
 
 def _prep(df: DataFrame, geom: str, prefix: str) -> DataFrame:
@@ -234,9 +238,95 @@ def _records(R: DataFrame, base: int, lefts: list[int], clipped: bool) -> DataFr
     return whole.select(fine.columns).unionByName(fine)
 
 
+# --- zones given edge by edge -----------------------------------------------------------------------------------------
+
+
+def _edge_join(left: DataFrame, right: DataFrame, how: str, left_geom: str, edges: Sequence[str]) -> DataFrame:
+    """``spatial_join`` with zones of any size, as rows of their edges; the other columns name the zone.
+
+    Edges and left geometries meet in columns of the axis that a line across crosses fewest edges of.  A pair meets on
+    the grid of the wider one's extent, so an edge has at most two records per grid and a left geometry ``2^FINER + 1``.  A left
+    geometry meets a zone where one of its edges touches, or has its start inside, or where an odd number of the zone's
+    edges lies beyond an anchor: these are summed over the rows, so that no task holds a zone.
+    """
+    along, across = ("x", "y")
+    names = dict(zip(("ax", "ay", "bx", "by"), edges))
+    zone = [c for c in right.columns if c not in edges]
+    E = right.select(*[F.col(f"`{c}`").alias(f"_z{k}") for k, c in enumerate(zone)],
+                     *[F.col(f"`{c}`").cast("double").alias(f"_{k}") for k, c in names.items()]).where("_ax IS NOT NULL AND _ay IS NOT NULL AND _bx IS NOT NULL AND _by IS NOT NULL")
+    E = cut_lineage(E)
+    reach = E.agg(*[f(F.abs(F.col(f"_b{c}") - F.col(f"_a{c}"))).alias(f"s{c}") for c in "xy" for f in (F.sum,)],
+                  *[(F.max(F.greatest(f"_a{c}", f"_b{c}")) - F.min(F.least(f"_a{c}", f"_b{c}"))).alias(f"w{c}") for c in "xy"]).first()
+    stabs = {c: (reach[f"s{c}"] or 0.0) / (reach[f"w{c}"] or 1.0) for c in "xy"}
+    if stabs["y"] < stabs["x"]:
+        along, across = across, along
+    L = cut_lineage(left.withColumn("_row", F.monotonically_increasing_id()))
+    # One row per part, for its anchor; the first also stands for the geometry's own edges.
+    P = _prep(L.select("_row", F.col(f"`{left_geom}`").alias("_geom")).withColumn("_geom", F.explode(F.array("_geom"))), "_geom", "_l_")
+    first = F.col("_part") == 0
+    at = {"x": 0, "y": 1}
+    quads = F.array().cast("array<array<double>>")
+    P = P.select("*", F.posexplode("_l_anchors").alias("_part", "_p")).select(
+        "_row", "_part", "_p", F.when(first, F.col("_l_edges")).otherwise(quads).alias("_l_edges"), F.when(first, F.col("_l_area")).otherwise(quads).alias("_l_area"),
+        *[F.when(first, F.col(f"_l_{m}{c}")).otherwise(F.col("_p")[at[c]]).alias(f"_l_{m}{c}") for m in ("min", "max") for c in "xy"])
+    P = cut_lineage(P)
+
+    low, high = F.least(f"_a{along}", f"_b{along}"), F.greatest(f"_a{along}", f"_b{along}")
+    counts = {r["k"]: r["n"] for r in E.select(power(high - low).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    base = _finest([{"k": k, "n": n} for k, n in counts.items()], None)
+    level = lambda extent, finer=0: F.least(F.greatest(F.coalesce(power(extent) - F.lit(base + finer), F.lit(0)), F.lit(0)), F.lit(MAX_LEVEL))
+    of = lambda k: min(max((k if k is not None else base) - base, 0), MAX_LEVEL)
+    few: dict[int, int] = {}
+    for k, n in counts.items():
+        few[of(k)] = few.get(of(k), 0) + n
+    width = F.col(f"_l_max{along}") - F.col(f"_l_min{along}")
+    P = P.withColumn("_a", level(width, FINER))
+    grids = sorted(r[0] for r in P.select("_a").distinct().collect())
+    E = E.withColumn("_f", level(high - low))
+
+    def column(value):
+        return F.floor(value / F.pow(F.lit(2.0), F.col("_g").cast("double") + F.lit(float(base)))).cast("long")
+
+    def placed(df, levels, own, a, b):
+        every = F.array_distinct(F.transform(F.array(*[F.lit(v) for v in levels]), lambda v: F.greatest(v, F.col(own))))
+        df = df.withColumn("_g", F.explode(every))
+        return df.withColumn("_c", F.explode(F.sequence(column(a), column(b))))
+
+    overlap = " AND ".join(f"_l_min{c} <= greatest(_a{c}, _b{c}) AND _l_max{c} >= least(_a{c}, _b{c})" for c in "xy")
+    touch = (f"({overlap}) AND (exists(_l_edges, ea -> {G._segments_touch('ea', 'eb')}) OR {G._point_in('_l_area', 'pb', 'a')})")
+    hit = F.expr(f"exists(array(array(_ax, _ay, _bx, _by)), eb -> exists(array(array(_ax, _ay)), pb -> {touch}))")
+    p, q, n, m = (f"_p[{at[along]}]", f"_p[{at[across]}]", along, across)
+    beyond = F.expr(f"coalesce((_a{n} > {p}) != (_b{n} > {p}) AND {q} < try_divide((_b{m} - _a{m}) * ({p} - _a{n}), (_b{n} - _a{n})) + _a{m}, false)")
+    keys = [f"_z{k}" for k in range(len(zone))]
+
+    def met(levels: list[int], small: bool) -> DataFrame:
+        edges_ = placed(E.where(F.col("_f").isin(levels)), grids, "_f", low, high)
+        edges_ = edges_.withColumnsRenamed({"_g": "_eg", "_c": "_ec"}).withColumnRenamed("_f", "_ef")
+        parts = placed(P.withColumn("_lf", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumn("_own", F.greatest("_a", "_lf")),
+                       [0], "_own", F.col(f"_l_min{along}"), F.col(f"_l_max{along}"))
+        parts = parts.withColumn("_here", column(F.expr(p)) == F.col("_c"))
+        on = (F.col("_g") == F.col("_eg")) & (F.col("_c") == F.col("_ec")) & (F.col("_lf") == F.col("_ef"))
+        pairs = parts.join(F.broadcast(edges_) if small else edges_, on)
+        return pairs.select("_row", "_part", *keys, hit.alias("_hit"), (F.col("_here") & beyond).alias("_odd")).where("_hit OR _odd")
+
+    small = [f for f, c in few.items() if c <= FEW_EDGES]
+    large = [f for f in few if f not in small]
+    pairs = [met(sorted(fs), s) for fs, s in ((small, True), (large, False)) if fs and grids]
+    if not pairs:
+        hits = L.select("_row", *[F.lit(None).cast(right.schema[c].dataType).alias(k) for k, c in zip(keys, zone)]).limit(0)
+    else:
+        both = pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1])
+        hits = (both.groupBy("_row", "_part", *keys).agg(F.max("_hit").alias("_hit"), F.count_if("_odd").alias("_n"))
+                .where("_hit OR _n % 2 = 1").select("_row", *keys).distinct())
+    if how in ("left_semi", "left_anti"):
+        return L.join(hits.select("_row"), "_row", how).drop("_row")
+    return L.join(hits, "_row", how).select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(k).alias(c) for k, c in zip(keys, zone)])
+
+
 def spatial_join(left: DataFrame, right: DataFrame, how: str = "inner", left_geom: str = "geom",
                  right_geom: str = "geom", cell_size: float | None = None, broadcast_vertex_limit: int = 4_000_000,
-                 clip_edges: int = CLIP_EDGES, left_powers: Sequence[int | None] | None = None) -> DataFrame:
+                 clip_edges: int = CLIP_EDGES, left_powers: Sequence[int | None] | None = None,
+                 right_edges: Sequence[str] | None = None) -> DataFrame:
     """Rows of ``left`` joined to intersecting rows of ``right``.
 
     how: 'inner' | 'left' (pairs, unmatched left rows with NULL right columns) |
@@ -245,10 +335,14 @@ def spatial_join(left: DataFrame, right: DataFrame, how: str = "inner", left_geo
          intersects nothing.  ``cell_size`` is the width of the cells of level 0 (rounded up to a
          power of two); by default the median extent of the zones.  Zones of more than
          ``clip_edges`` edges are covered by cells.  ``left_powers``: the extents of the left geometries as
-         powers of two (``power``), where they are known; else they are counted.
+         powers of two (``power``), where they are known; else they are counted.  ``right_edges``: names of the
+         columns ax, ay, bx, by where ``right`` has one row per edge of areas too large for one value; its
+         other columns then name the zone, and pair joins return them without a geometry.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
+    if right_edges:
+        return _edge_join(left, right, how, left_geom, right_edges)
     q = lambda c: f"`{c}`"  # noqa: E731  (names such as '.geo' need quoting)
     lcols = left.columns
     # Geometries pass through a generator on both sides: filters on what is derived from them then

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from deluge.functions import geometry as G
 from deluge.operators import dissolve as D
 from deluge.operators import spatial as SP
+from deluge.sources import fixtures
 
+from .conftest import SF001
 from .test_spatial_zones import _pip, _points, _poly_hit, _zones
 
 
@@ -103,6 +105,46 @@ def test_a_large_zone_costs_a_cell_not_a_ring(spark):
     assert near <= got and not (far & got)
 
 
+def test_zones_as_rows_of_edges_equal_whole_ones(spark):
+    """Two zones edge by edge, with a hole; points, squares of all sizes, parts, lines and a null geometry."""
+    rng = random.Random(5)
+    rings = {1: [_star(rng, 400, 30, 30, 25), [(25.0, 25.0), (35.0, 25.0), (35.0, 35.0), (25.0, 35.0), (25.0, 25.0)]], 2: [_star(rng, 60, 50, 40, 20, 0)]}
+    edges = spark.createDataFrame([(z, *a, *b) for z, rs in rings.items() for r in rs for a, b in zip(r, r[1:])],
+                                  "zone_id long, ax double, ay double, bx double, by double")
+    whole = _polygons(spark, [[], rings[1], rings[2]]).where("zone_id > 0")
+    texts = [{"type": "Point", "coordinates": p} for p in [(rng.uniform(0, 70), rng.uniform(0, 70)) for _ in range(200)] + rings[2][0]]
+    for _ in range(80):
+        x, y, s = rng.uniform(-5, 60), rng.uniform(-5, 60), 2 ** rng.uniform(-4, 7)
+        texts.append({"type": "Polygon", "coordinates": [[(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]]})
+        texts.append({"type": "MultiPoint", "coordinates": [(x, y), (x + s, y + s)]})
+        texts.append({"type": "LineString", "coordinates": [(x, y), (x + s, y + s / 3)]})
+    rows = [(i, json.dumps(t)) for i, t in enumerate(texts)] + [(len(texts), None)]
+    left = G.with_geometry(spark.createDataFrame(rows, "id long, g string"), F.col("g"), "geometry").drop("g")
+    for turned in (False, True):  # the columns run along either axis
+        kw = {"right_edges": ("ay", "ax", "by", "bx") if turned else ("ax", "ay", "bx", "by")}
+        l2, whole2 = left, whole
+        if turned:
+            flip = "struct(g.type as type, transform(g.parts, a -> transform(a, r -> transform(r, v -> array(v[1], v[0])))) as parts)"
+            l2 = left.withColumn("geometry", F.expr("if(geometry is null, null, " + flip.replace("g.", "geometry.") + ")"))
+            whole2 = whole.withColumn("geom", F.expr(flip.replace("g.", "geom.")))
+        for how in ("inner", "left_semi") if turned else ("left", "left_anti"):
+            cols = ["id", "zone_id"] if how in ("inner", "left") else ["id"]
+            want, got = (sorted(map(tuple, SP.spatial_join(l2, z, how, left_geom="geometry", **k).select(*cols).collect()), key=repr)
+                         for z, k in ((whole2, {}), (edges, kw)))
+            assert got == want and want, (how, turned)
+
+
+def test_a_skyline_is_numbered_and_closed_in_pieces(spark, monkeypatch):
+    """No row holds the ring: its edges follow each other, whatever the groups of bars."""
+    monkeypatch.setattr(fixtures, "BARS", 64)
+    zone = fixtures.skyline_zone(spark, SF001)
+    rows = zone.collect()
+    n = fixtures.table(spark, SF001, "lineitem").count()
+    assert set(zone.columns) == {"zone_id", "ax", "ay", "bx", "by"} and len(rows) == 2 * n + 2
+    assert sorted((r.ax, r.ay) for r in rows) == sorted((r.bx, r.by) for r in rows)  # closed
+    assert sorted(r.ax for r in rows if r.bx == r.ax + 1) == [float(k) for k in range(n)]
+
+
 def test_lines_of_many_vertices(spark):
     line = [(k / 10, math.sin(k / 10)) for k in range(600)]
     zones = _polygons(spark, [line], "LineString")
