@@ -290,3 +290,17 @@ def test_suffix_dedup_on_a_whole_table(spark, monkeypatch):
     whole = suffix_dedup.duplicate_spans
     monkeypatch.setattr(suffix_dedup, "duplicate_spans", lambda docs, window: whole(docs, window, shard_bytes=5_000))
     assert {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(table).collect()} == want
+
+
+def test_a_shard_sorts_in_bounded_memory():
+    """A shard of the largest size, twice SHARD, of random and repeated snippets: at most 64 MB beside it."""
+    import tracemalloc
+    rng = np.random.default_rng(4)
+    shared_ = rng.integers(97, 101, 500, np.uint8).tobytes()
+    parts = [rng.integers(97, 101, 400, np.uint8).tobytes() + shared_ for _ in range(2 * suffix_dedup.SHARD // 900)]
+    tracemalloc.start()
+    shard = suffix_dedup.Shard(parts, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20, peak
+    assert all(s and s[-1][0] + s[-1][1] == 900 and s[-1][0] <= 400 for s in shard.spans())
