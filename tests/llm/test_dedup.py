@@ -304,3 +304,25 @@ def test_a_shard_sorts_in_bounded_memory():
     tracemalloc.stop()
     assert peak < 64 << 20, peak
     assert all(s and s[-1][0] + s[-1][1] == 900 and s[-1][0] <= 400 for s in shard.spans())
+
+
+@pytest.mark.parametrize("window", [3, 7, 8, 20, 33])
+def test_equal_windows_are_read_off_the_ranks(window):
+    """The rank by ``window`` bytes tells equal windows, whatever lies beyond; no pass over the bytes compares neighbours."""
+    rng = random.Random(window)
+    for size in (1, 3, 40):
+        parts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 90))) * rng.randrange(1, 3) for _ in range(size)]
+        shard = suffix_dedup.Shard(parts, window)
+        order, rank = suffix_dedup.suffix_array(shard.text, shard.ends, max(map(len, parts)), window)
+        rests = [shard.data[p:shard.ends[p]] for p in range(len(shard.data))]
+        assert [rests[p] for p in order] == sorted(rests)
+        by_rank, by_bytes = collections.defaultdict(set), collections.defaultdict(set)
+        for p, rest in enumerate(rests):
+            by_rank[int(rank[p])].add(p)
+            by_bytes[rest[:window]].add(p)
+        assert sorted(map(sorted, by_rank.values())) == sorted(map(sorted, by_bytes.values()))
+        whole = {w: at for w, at in by_bytes.items() if len(w) == window}
+        assert {p for p, r in enumerate(shard.repeats) if r} == {p for at in whole.values() if len(at) > 1 for p in at}
+        alone = sorted(min(at) for at in whole.values() if len(at) == 1)
+        first, second, place = shard.classes()
+        assert len(set(zip(first.tolist(), second.tolist()))) == len(whole) and sorted(place[place >= 0].tolist()) == alone
