@@ -142,7 +142,8 @@ class FloodMap:
 
     @cached_property
     def composite(self) -> DataFrame:
-        return X.period_composite(self.monthly, PERIODS)
+        # The same as X.period_composite(self.monthly, PERIODS), without an aggregate per pixel and month.
+        return X.pixel_composite(self.s2_by_pixel, PERIODS).repartition(*self.by_pixel)
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -153,8 +154,8 @@ class FloodMap:
         """
         if "ts" in self.scene_table.columns:
             tagged = X.assign_months(self.scene_table.select("ts"), self.periods, self.s.inclusive_tail_month)
-        else:
-            tagged = self.s2_tagged
+        else:  # a month follows from the time alone
+            tagged = X.assign_months(self.s2_joined.select("ts").distinct(), self.periods, self.s.inclusive_tail_month)
         return X.month_counts(tagged, PERIODS).crossJoin(
             self.s1_filtered.agg(F.count(F.lit(1)).alias("n_s1")))
 

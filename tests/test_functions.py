@@ -135,3 +135,39 @@ def test_malformed_geometry_is_null_and_never_raises(spark):
     again = spark.createDataFrame([(r.out,) for r in rows if r.out], "t string")
     assert len([r for r in rows if r.out]) == len(good)
     assert all(r[0] for r in G.with_geometry(again, F.col("t"), "geometry").select("geometry.type").collect())
+
+
+def test_sorted_composites_equal_the_aggregates(spark):
+    """Medians of monthly medians by one sort: as the two aggregates give them, with nulls, NaN and pixels over batches."""
+    import random
+
+    from deluge.operators import composite as X
+    rng = random.Random(3)
+    values = [None, float("nan"), -1.0, 0.0, 0.25, 1.0, 3.0, 7.5, 1e300]
+    rows = [(rng.choice([None, 0, 1, -4]), rng.choice([None, 2, 0]), rng.choice(["pre", "post", "other"]), rng.randrange(3),
+             rng.choice(values), rng.choice([None, 5.0])) for _ in range(400)]
+    rows += [(9, 9, "pre", 1, float(i % 7), None) for i in range(60)]  # more than a batch of one pixel
+    df = spark.createDataFrame(rows, "row int, col int, period string, k int, a double, b double").repartition(3, "row", "col")
+    old = X.period_composite(X.monthly_median(df, ["a", "b"]), ("pre", "post"), ["a", "b"])
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "7", kept):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            new = X.pixel_composite(df, ("pre", "post"), ["a", "b"])
+            assert new.schema.simpleString() == old.schema.simpleString()
+            assert sorted(map(repr, new.collect())) == sorted(map(repr, old.collect()))
+        assert X.pixel_composite(df.where("false"), ("pre", "post"), ["a", "b"]).collect() == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
+def test_flood_map_groups_no_observations_by_pixel_and_month(spark):
+    """The composites need no aggregate per pixel and month, and months are counted on the different times."""
+    from deluge.config import FIXTURE_SETTINGS
+    from deluge.plans.flood_map import FloodMap, fixture_inputs
+    fm = FloodMap(fixture_inputs(spark, "/root/testdata/sf0.001"), FIXTURE_SETTINGS)
+    plan = fm.composite._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[row" not in plan and "MapInArrow" in plan
+    counts = fm.counts._jdf.queryExecution().executedPlan().toString()
+    explode = counts.index("Generate explode")
+    assert "HashAggregate(keys=[ts" in counts[explode:]  # below it: one row per time
