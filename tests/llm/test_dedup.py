@@ -105,6 +105,25 @@ def test_suffix_dedup(docs, messy, empty):
     assert suffix_dedup.report(empty).collect() == []
 
 
+def test_planted_passages_go_by_bytes_not_by_words(spark):
+    """Passages of over 50 words, each in two documents: gone from 400 bytes on, however many words; the rest stays."""
+    from deluge.llm.common import ship
+    ship(spark)
+    rng = random.Random(31)
+    word = lambda size: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+    text = lambda: " ".join(word(6) for _ in range(80))
+    # 51 to 57 words: 356 to 398 bytes, and one blank on either side; the last just makes a window of 400.
+    passages = [" ".join(word(6) for _ in range(n)) for n in range(51, 58)] + [" ".join(word(9) for _ in range(51))]
+    rows = [(10 * k + j, f"{text()} {p} {text()}") for k, p in enumerate(passages) for j in range(2)]
+    rows += [(1000 + k, text()) for k in range(6)]
+    got = suffix_dedup.report(frame(spark, rows), window=400).collect()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == brute_bytes(rows, 400)
+    gone = {r.doc_id: r.n_removed for r in got}
+    for k, p in enumerate(passages):
+        assert all((gone[10 * k + j] >= len(p) + 2) if len(p) >= 398 else gone[10 * k + j] == 0 for j in range(2))
+    assert not any(gone[1000 + k] for k in range(6)) and gone[60] and gone[70] and not gone[50]
+
+
 def test_suffix_shards():
     rng = random.Random(9)
     for _ in range(8):
