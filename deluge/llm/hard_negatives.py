@@ -13,9 +13,10 @@ of q and r across c1, which is tighter).  So each level gives an interval that c
 row goes to the next level only while its interval can still matter, and rows that survive
 all levels are scored in integers.
 
-Rows lie in packed blocks, anchors in packed chunks; every block meets every chunk through an equi-join on
-the block's slot (the anchors are a stated query set), and what leaves a block are the few best rows per
-anchor, so no anchor or label gathers unboundedly many.
+Rows lie in packed blocks, anchors in packed chunks; blocks are dealt to slots, and every block meets every chunk
+through an equi-join on the slot (the anchors are a stated query set).  What leaves a slot are the few best rows per
+anchor, so no anchor or label gathers unboundedly many.  Joins are by sort and merge whatever the
+tables' estimated sizes: a packed or copied row is far larger than Spark expects of it.
 
 1. positives: per anchor the best rows of its label.  2. negatives: per anchor and positive the best rows of other labels
 with a score between ``low`` percent of the positive's score and all of it.
@@ -34,6 +35,8 @@ from deluge.llm.common import cut
 
 #: Rows of a block, anchors of a chunk, and levels of one-bit codes.
 BLOCK, CHUNK, LEVELS = 4096, 256, 5
+#: Slots that blocks are dealt to for each core, and blocks that a slot holds where there are more.
+SLOTS, HELD = 8, 32
 #: Bits that an anchor's rotated components are rounded to.
 PLANES = 8
 SEED = 20_240_607
@@ -182,6 +185,12 @@ def _unpacked(payload: bytes) -> list[np.ndarray]:
         return [z[n] for n in z.files]
 
 
+def _small(ints: np.ndarray) -> np.ndarray:
+    """The same integers in the shortest type that holds them all."""
+    low, high = ints.min(initial=0), ints.max(initial=0)
+    return ints.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
 def _matrix(batch: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
     """Integer lists as a matrix; shorter ones end in zeros."""
     lists = batch.column(batch.schema.get_field_index(name))
@@ -212,8 +221,7 @@ def index_blocks(rows: DataFrame, dim: int, size: int = BLOCK) -> DataFrame:
                 codes, aligned, lengths = encode(ints, turns)
                 ids, unknown = _ids(piece)
                 labels = piece.column(piece.schema.get_field_index("label")).to_numpy()
-                small = ints.astype(np.int32) if np.abs(ints).max(initial=0) < 1 << 31 else ints
-                payload = _payload([ids, unknown, labels, small, aligned, lengths, *codes])
+                payload = _payload([ids, unknown, labels, _small(ints), aligned, lengths, *codes])
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(
                     (part, at, piece.num_rows, payload), schema)], schema=schema)
                 at += 1
@@ -237,7 +245,7 @@ def anchor_chunks(anchors: DataFrame, dim: int, size: int = CHUNK) -> DataFrame:
                 bounds = [np.array([s + [fill] * (width - len(s)) for s in side], np.int64).reshape(piece.num_rows, width)
                           for side, fill in zip(spans, (1, 0))]  # an empty interval, where there are fewer
                 payload = _payload([piece.column(at("akey")).to_numpy(), ids, unknown, piece.column(at("label")).to_numpy(),
-                                    _matrix(piece, "ints", dim), *bounds])
+                                    _small(_matrix(piece, "ints", dim)), *bounds])
                 yield pa.RecordBatch.from_arrays([pa.array([payload], pa.binary())], names=["anchors"])
 
     return anchors.mapInArrow(run, "anchors binary")
@@ -255,6 +263,15 @@ def _best(group: np.ndarray, score: np.ndarray, ids: np.ndarray, unknown: np.nda
     return order[rank < k]
 
 
+class Chunk:
+    """An unpacked chunk of anchors."""
+
+    def __init__(self, payload: bytes, turns: list[np.ndarray]):
+        self.keys, _, _, self.labels, ints, self.least, self.most = _unpacked(payload)
+        self.ints = ints.astype(np.int64)
+        self.query = Query(self.ints, turns)
+
+
 class Block:
     """An unpacked block of rows."""
 
@@ -263,72 +280,90 @@ class Block:
         self.index = (codes, aligned, lengths)
 
 
-def _positives(block: Block, chunk: list[np.ndarray], query: Query, k: int):
-    """Rows (akey, vec_id, score): the best k + 1 of the anchor's label in this block (its own row may be one).
+def _positives(block: Block, chunk: Chunk, k: int):
+    """Pairs (anchor, place 0, row, score): the best k rows of the anchor's label in this block (its own row may be one).
 
-    The k + 1 rows of the best estimates are scored first; the least of their scores is what any other
+    The k rows of the best estimates are scored first; the least of their scores is what any other
     row's interval has to reach.
     """
-    keys, _, _, labels, ints, *_ = chunk
-    q, r = np.nonzero(labels[:, None] == block.labels[None, :])
+    q, r = np.nonzero(chunk.labels[:, None] == block.labels[None, :])
     if len(q):
-        for done, room in _levels(query, block.index, q, r):
+        for done, room in _levels(chunk.query, block.index, q, r):
             pass
-        first = _best(q, done, r, np.zeros(len(r), bool), k + 1)
-        value = scores(ints[q[first]], block.ints[r[first]].astype(np.int64))
-        least, count = np.full(len(keys), np.inf), np.bincount(q[first], minlength=len(keys))
+        first = _best(q, done, r, np.zeros(len(r), bool), k)
+        value = scores(chunk.ints[q[first]], block.ints[r[first]].astype(np.int64))
+        least, count = np.full(len(chunk.keys), np.inf), np.bincount(q[first], minlength=len(chunk.keys))
         np.minimum.at(least, q[first], value.astype(float))
-        ok = (done + room >= least[q]) | (count[q] <= k)
+        ok = (done + room >= least[q]) | (count[q] < k)
         q, r = q[ok], r[ok]
-    value = scores(ints[q], block.ints[r].astype(np.int64))
-    best = _best(q, value, block.ids[r], block.unknown[r], k + 1)
-    return keys[q[best]], np.zeros(len(best), np.int32), r[best], value[best]
+    value = scores(chunk.ints[q], block.ints[r].astype(np.int64))
+    best = _best(q, value, block.ids[r], block.unknown[r], k)
+    return q[best], np.zeros(len(best), np.int64), r[best], value[best]
 
 
-def _negatives(block: Block, chunk: list[np.ndarray], query: Query, k: int):
-    """Rows (akey, place of the interval, vec_id, score): the best k of other labels in each interval."""
-    keys, _, _, labels, ints, least, most = chunk
+def _negatives(block: Block, chunk: Chunk, k: int):
+    """Pairs (anchor, place of the interval, row, score): the best k of other labels in each interval."""
+    least, most = chunk.least, chunk.most
     if not least.shape[1]:
         none = np.empty(0, np.int64)
-        return none, none.astype(np.int32), none, none
+        return none, none, none, none
     some = least <= most
     low = np.where(some, least, np.iinfo(np.int64).max).min(1)
     high = np.where(some, most, np.iinfo(np.int64).min).max(1)
-    q, r = np.nonzero((labels[:, None] != block.labels[None, :]) & some.any(1)[:, None])
-    q, r = surviving(query, block.index, q, r, low[q].astype(float), high[q].astype(float))
-    value = scores(ints[q], block.ints[r].astype(np.int64))
+    q, r = np.nonzero((chunk.labels[:, None] != block.labels[None, :]) & some.any(1)[:, None])
+    q, r = surviving(chunk.query, block.index, q, r, low[q].astype(float), high[q].astype(float))
+    value = scores(chunk.ints[q], block.ints[r].astype(np.int64))
     out = []
     for place in range(least.shape[1]):
         ok = np.flatnonzero((value >= least[q, place]) & (value <= most[q, place]))
         best = ok[_best(q[ok], value[ok], block.ids[r[ok]], block.unknown[r[ok]], k)]
-        out.append((keys[q[best]], np.full(len(best), place, np.int32), r[best], value[best]))
+        out.append((q[best], np.full(len(best), place, np.int64), r[best], value[best]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def slots_for(blocks: int, cores: int) -> int:
+    """Slots of so many blocks: enough for the cores, and no more copies of the anchors than a slot's memory asks for."""
+    return max(1, min(blocks, max(SLOTS * cores, -(-blocks // HELD))))
+
+
 def search(blocks: DataFrame, chunks: DataFrame, dim: int, what, k: int) -> DataFrame:
     """(akey, place, vec_id, score): ``what`` run on every block with every chunk of anchors.
 
-    ``chunks`` are copied once per slot of blocks and joined by the slot; a task holds one block and one chunk at a time.
+    ``chunks`` are copied once per slot and joined by the slot; a task holds one block and one chunk at a time,
+    and the blocks of a slot follow one another, so of these only the first ``k`` rows of a place are handed on.
     """
     schema = pa.schema([("akey", pa.int64()), ("place", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
+    def told(chunk: Chunk, found: tuple) -> pa.RecordBatch:
+        q, place, ids, unknown, value = found
+        return pa.RecordBatch.from_arrays([pa.array(chunk.keys[q], pa.int64()), pa.array(place, pa.int32()),
+                                           pa.array(ids, pa.int64(), mask=unknown), pa.array(value, pa.int64())], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]):
-        turns, last, block = rotations(dim), None, None
+        turns, last, chunk, found = rotations(dim), None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                part, at, payload, anchors = (batch.column(c)[i].as_py() for c in range(4))
-                if (part, at) != last:
-                    last, block = (part, at), Block(payload)
-                chunk = _unpacked(anchors)
-                keys, place, r, value = what(block, chunk, Query(chunk[4], turns), k)
-                ids = pa.array(block.ids[r], pa.int64(), mask=block.unknown[r])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(place, pa.int32()), ids,
-                                                  pa.array(value, pa.int64())], schema=schema)
-
-    slots = max(1, blocks.count())
+                anchors, payload = (batch.column(c)[i].as_py() for c in range(2))
+                if anchors != last:
+                    if found is not None:
+                        yield told(chunk, found)
+                    last, chunk, found = anchors, Chunk(anchors, turns), None
+                block = Block(payload)
+                q, place, r, value = what(block, chunk, k)
+                new = (q, place, block.ids[r], block.unknown[r], value)
+                if found is not None:
+                    new = tuple(np.concatenate(x) for x in zip(found, new))
+                    best = _best(new[0] * max(1, chunk.least.shape[1]) + new[1], new[4], new[2], new[3], k)
+                    new = tuple(x[best] for x in new)
+                found = new
+        if found is not None:
+            yield told(chunk, found)
+
+    slots = slots_for(blocks.count(), blocks.sparkSession.sparkContext.defaultParallelism)
     dealt = blocks.withColumn("slot", F.pmod(F.xxhash64("part", "at"), F.lit(slots)))
     copies = chunks.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    return (dealt.join(copies, "slot").select("part", "at", "payload", "anchors")
+    # The side on the left streams, a slot's rows of the other are held: for a chunk come all blocks of the slot.
+    return (copies.hint("merge").join(dealt, "slot").select("anchors", "payload")
             .mapInArrow(run, "akey long, place int, vec_id long, score long"))
 
 
@@ -355,7 +390,7 @@ def mine(rows: DataFrame, is_anchor: Column | str, positives: int = 5, negatives
     """
     own = cut(prepared(rows, id_col, vector_col, label_col, scale))
     dim = own.agg(F.max(F.size("ints"))).first()[0] or 1
-    blocks = cut(index_blocks(own, dim))
+    blocks = cut(index_blocks(own, dim, BLOCK))
     zero = F.lit(0).cast("long")
     self_score = F.aggregate("ints", zero, lambda s, x: s + x * x)
     anchors = cut(own.where(is_anchor).withColumn("akey", F.monotonically_increasing_id())
@@ -365,9 +400,9 @@ def mine(rows: DataFrame, is_anchor: Column | str, positives: int = 5, negatives
     none = F.array().cast("array<long>")
     chunks = anchor_chunks(anchors.withColumns({"least": none, "most": none}).repartition(parts), dim, size)
 
-    found = _first(search(blocks, chunks, dim, _positives, positives), ["akey"], positives + 1)
+    found = _first(search(blocks, chunks, dim, _positives, positives + 1), ["akey"], positives + 1)
     best = found.groupBy("akey").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("best"))
-    known = anchors.join(best, "akey")
+    known = anchors.hint("merge").join(best, "akey")
     # One entry that is the anchor itself goes: the first with its id and its score with itself.
     itself = F.filter("best", lambda b: b.vec_id.eqNullSafe(F.col("vec_id")) & (b.score == F.col("self")))
     at = F.when(F.size(itself) > 0, F.element_at(itself, 1)["rank"]).otherwise(positives + 1)
@@ -382,7 +417,7 @@ def mine(rows: DataFrame, is_anchor: Column | str, positives: int = 5, negatives
     found = _first(search(blocks, chunks, dim, _negatives, negatives), ["akey", "place"], negatives)
     named = known.select("akey", F.col("vec_id").alias("anchor_id"), "best")
     positive = F.col("best")[F.col("place")]
-    return found.join(named, "akey").select(
+    return found.hint("merge").join(named, "akey").select(
         "anchor_id", positive.vec_id.alias("positive_id"), "rank", F.col("vec_id").alias("negative_id"),
         positive.score.alias("positive_score"), F.col("score").alias("negative_score"))
 

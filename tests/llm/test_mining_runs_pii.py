@@ -60,6 +60,52 @@ def test_hard_negatives_equal_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == brute_negatives(rows)
 
 
+def test_hard_negatives_never_pass_through_the_driver(spark, monkeypatch):
+    """Spark expects the copied anchors to be as small as their file; no join may send them by broadcast."""
+    from deluge.llm.common import cut, ship
+    ship(spark)
+    plans = []
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(df):
+        plans.append(plan(df))
+        return cut(df)
+
+    monkeypatch.setattr(hard_negatives, "cut", seen)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        found = hard_negatives.mine(vectors(spark, messy_vectors(300)), "vec_id % 100 = 0")
+        plans += [plan(found), plan(found) if found.collect() else ""]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sum("Join" in p for p in plans) == 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_slots_of_many_blocks_equal_brute_force(spark, monkeypatch):
+    """Several blocks in a slot and several chunks: a slot hands on the first rows of each place, ties and nulls included."""
+    from deluge.llm.common import ship
+    ship(spark)
+    assert [hard_negatives.slots_for(n, 6) for n in (0, 1, 20, 150, 5000)] == [1, 1, 20, 48, 157]
+    for name, value in (("BLOCK", 64), ("CHUNK", 16), ("HELD", 7), ("SLOTS", 0)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    handed = []
+
+    def searched(blocks, chunks, dim, what, k):
+        out = search(blocks, chunks, dim, what, k)
+        handed.append((hard_negatives.slots_for(blocks.count(), 4), out.groupBy("akey", "place").count().agg({"count": "max"}).first()[0], k))
+        return out
+
+    search = hard_negatives.search
+    monkeypatch.setattr(hard_negatives, "search", searched)
+    rows = messy_vectors()
+    got = hard_negatives.mine(vectors(spark, rows), "vec_id % 100 = 0").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_negatives(rows)
+    assert len(handed) == 2 and all(most <= slots * k for slots, most, k in handed) and handed[0][0] > 1
+
+
 def test_hard_negatives_without_rows(spark):
     assert hard_negatives.mine(vectors(spark, []), "vec_id % 100 = 0").collect() == []
     assert hard_negatives.mine(vectors(spark, [(100, [1.0], 1), (1, None, 2)]), "vec_id % 100 = 0").collect() == []
